@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sharding, simhash
+from . import decontaminate, line_dedup, quality_rules, sharding, simhash
 from .common import read
 
 
@@ -23,10 +23,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op8_decontaminate, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op8_decontaminate, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
