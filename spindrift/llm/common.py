@@ -47,3 +47,10 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
         F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("__id"),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("\0"))).alias("__text"),
     ]
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows in an Arrow batch, as texts are long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules, sharding, simhash
-from .common import read
+from . import bpe, decontaminate, line_dedup, quality_rules, sharding, simhash
+from .common import read, small_batches
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
+    """The public tokenizer file; spark.spindrift.tokenizers may name another folder."""
+    import public_tokenizers
+
+    folder = spark.conf.get("spark.spindrift.tokenizers", None)
+    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
+
+
+def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
+    small_batches(docs.sparkSession)
+    ids = bpe.encode(docs.select("doc_id", "text"), path)
+    decoded = bpe.decode(ids.select("doc_id", "ids"), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(read(spark, sf_dir, "documents"), tokenizer_path(spark))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -31,6 +51,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op8_decontaminate, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op5_bpe, op8_decontaminate, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
