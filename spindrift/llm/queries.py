@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality_rules, sharding, simhash
-from .common import read, small_batches
+from . import bpe, decontaminate, language_id, line_dedup, quality_knn, quality_rules, sharding, simhash
+from .common import fold, read, small_batches
+
+
+def quality_scores(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs with the score of a space learned from the labelled rows outside the held-out fold."""
+    small_batches(spark)
+    space = quality_knn.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
+    return quality_knn.score(docs, space)
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), spark, sf_dir)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +49,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    models = language_id.fit(docs.filter(fold("doc_id", 3) != 1))
+    found = language_id.predict(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.cross_entropy", "language.rejected")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -51,6 +71,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op5_bpe, op8_decontaminate, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_knn, op3_line_dedup, op4_simhash, op5_bpe, op6_language_id, op8_decontaminate, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
