@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, quality_knn, quality_rules, sharding, simhash
+from . import bpe, decontaminate, html_text, language_id, line_dedup, quality_knn, quality_rules, sharding, simhash, toxicity
 from .common import fold, read, small_batches
 
 
-def quality_scores(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", fold("doc_id", 4) != 2)
+    scored = toxicity.score(docs.select("doc_id", "text"), scorer)
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), "toxicity.n_clauses", "toxicity.worst")
+
+
+def quality_scores(docs: DataFrame, spark: SparkSession, sf_dir: str, out: str = "score") -> DataFrame:
     """docs with the score of a space learned from the labelled rows outside the held-out fold."""
     small_batches(spark)
     space = quality_knn.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
-    return quality_knn.score(docs, space)
+    return quality_knn.score(docs, space, out=out)
 
 
 def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +66,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.cross_entropy", "language.rejected")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = html_text.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -71,6 +86,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_knn, op3_line_dedup, op4_simhash, op5_bpe, op6_language_id, op8_decontaminate, op9_quality_rules, op10_sharding)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_knn, op3_line_dedup, op4_simhash, op5_bpe, op6_language_id, op7_html_text, op8_decontaminate, op9_quality_rules, op10_sharding, pipeline)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
