@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, row_key, text_of
 
 #: Bytes of the word table (hashes, offsets and ids) up to which it is broadcast.
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 128 << 20
 
 # Unicode's White_Space, spelled out: in Java \s is ASCII alone.
 _S = r"\t-\r \x85\xA0  -     　"
@@ -71,44 +71,68 @@ class Vocabulary:
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         pieces = {i: bytes(byte_of[c] for c in piece) for piece, i in held["model"]["vocab"].items()} | {i: s.encode() for s, i in added.items()}
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.width = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
 
 
 def words(text: Column, specials: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(specials)), F.lit(0))
 
 
-def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """word, hash, ids for each distinct word of all texts, written to the checkpoint folder."""
-    distinct = docs.select(F.explode(words(text_of(text_col), vocabulary.specials)).alias("word")).distinct()
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary.source)
+def distinct_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    return docs.select(F.explode(words(text_of(text_col), vocabulary.specials)).alias("word")).distinct()
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = _tokenizer(source.value)
-        for batch in batches:
-            yield pa.array([e.ids for e in own.encode_batch_fast(batch.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
 
-    return cut(distinct.select("word", F.xxhash64("word").alias("hash"), encode("word").alias("ids")))
+def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """The encoded distinct words of all texts, written to the checkpoint folder.
 
+    A row holds some thousands of words: n, n_ids, and packed the words' hashes
+    (8 bytes each), how many ids each has (4 bytes) and the ids (2 bytes, 4 if
+    the vocabulary needs them). That takes a quarter of the space of a row for each word.
+    """
+    source, width = docs.sparkSession.sparkContext.broadcast(vocabulary.source), vocabulary.width
 
-def _packed(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Hashes in order, where the ids of each begin, the ids, and the words whose hash isn't theirs alone."""
-    held = table.select("hash", "ids").toArrow()
-    hashes, lists = held["hash"].to_numpy().view(np.uint64), held["ids"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _tokenizer(source.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = [e.ids for e in own.encode_batch_fast(batch["word"].to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
+            ids = np.fromiter((i for x in lists for i in x), width, int(sizes.sum()))
+            packed = [batch["hash"].to_numpy().tobytes(), sizes.tobytes(), ids.tobytes()]
+            yield pa.record_batch([pa.array([len(lists)]), pa.array([len(ids)]), *[pa.array([x], pa.binary()) for x in packed]], names=["n", "n_ids", "hashes", "sizes", "ids"])
+
+    distinct = distinct_words(docs, vocabulary, text_col)
+    return cut(distinct.select("word", F.xxhash64("word").alias("hash")).mapInArrow(encode, "n long, n_ids long, hashes binary, sizes binary, ids binary"))
+
+
+def _packed(table: DataFrame, vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Hashes in order, where the ids of each begin and end, the ids, and the words whose hash isn't theirs alone."""
+    rows = table.select("hashes", "sizes", "ids").collect()
+    hashes = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
+    sizes = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).astype(np.int64)
+    ids = np.frombuffer(b"".join(r[2] for r in rows), vocabulary.width)
+    del rows
     order = np.argsort(hashes, kind="stable")
-    hashes, lists = hashes[order], lists.take(pa.array(order))
+    hashes, begin = hashes[order], (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    ids = _gather(ids, begin, sizes)
     shared = hashes[1:][hashes[1:] == hashes[:-1]].view(np.int64).tolist()
-    odd = {r.word: np.array(r.ids, np.int32) for r in table.filter(F.col("hash").isin(shared)).collect()} if shared else {}
-    return hashes, np.asarray(lists.offsets).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), odd
+    odd = {}
+    if shared:
+        own = _tokenizer(vocabulary.source)
+        for r in distinct_words(docs, vocabulary, text_col).filter(F.xxhash64("word").isin(shared)).collect():
+            odd[r.word] = np.array(own.encode(r.word, add_special_tokens=False).ids, vocabulary.width)
+    return hashes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32), ids, odd
 
 
-def _gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """flat[begin:begin + length] for each, one after the other."""
-    end = np.cumsum(length)
-    at = np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - length), length)
-    return flat[at]
+def _gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """flat[begin:begin + length] for each, one after the other; in steps, which bounds the index arrays."""
+    parts = []
+    for i in range(0, len(begin), step):
+        some, end = length[i : i + step], np.cumsum(length[i : i + step])
+        parts.append(flat[np.arange(end[-1]) + np.repeat(begin[i : i + step] - (end - some), some)])
+    return np.concatenate(parts) if parts else flat[:0]
 
 
 def _offsets(owner_ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -116,25 +140,29 @@ def _offsets(owner_ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])[owner_ends]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", out: str = "ids", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", out: str = "ids", broadcast_bytes: int = BROADCAST_BYTES, decoded: str | None = None) -> DataFrame:
     """docs with the ids of the text (array of int) as a column; a column of that name is replaced.
 
+    With ``decoded`` the text that the ids decode to is a column too, as decode() gives
+    it, but made in the same pass: a second one would need Python workers of its own.
+
     Null and empty texts have no ids. A special token's string in a text is that
     token. Rows that repeat are encoded alike. The shuffled way tells rows apart
     by id and text.
     """
     vocabulary = Vocabulary(path)
     table = word_table(docs, vocabulary, text_col)
-    n, n_ids = table.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
-    keep = [c for c in docs.columns if c != out]
+    n, n_ids = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    keep = [c for c in docs.columns if c not in (out, decoded)]
     pieces = words(text_of(text_col), vocabulary.specials)
-    if 16 * n + 4 * n_ids > broadcast_bytes:
-        return _encode_shuffled(docs.select(*keep), pieces, table, text_col, id_col, out)
-    packed = docs.sparkSession.sparkContext.broadcast(_packed(table))
+    if 12 * n + np.dtype(vocabulary.width).itemsize * n_ids > broadcast_bytes:
+        coded = _encode_shuffled(docs.select(*keep), pieces, table, vocabulary, text_col, id_col, out)
+        return decode(coded, path, out, decoded) if decoded else coded
+    piece_table = _piece_table(vocabulary) if decoded else None
+    packed = docs.sparkSession.sparkContext.broadcast((*_packed(table, vocabulary, docs, text_col), piece_table))
 
-    @F.arrow_udf("array<int>")
     def join(lists: pa.Array) -> pa.Array:
-        hashes, starts, flat, odd = packed.value
+        hashes, starts, flat, odd, _ = packed.value
         if not len(lists.flatten()):
             return pa.array([[]] * len(lists), pa.list_(pa.int32()))
         coded = lists.flatten().dictionary_encode()
@@ -143,42 +171,74 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
         at = np.searchsorted(hashes, found)
         if (hashes[np.minimum(at, len(hashes) - 1)] != found).any():
             raise ValueError("a word of a text isn't in the word table: did the texts change in between?")
-        begin, length = starts[at], starts[at + 1] - starts[at]
+        begin = starts[at].astype(np.int64)
+        length = starts[at + 1] - begin
         extra = [(i, odd[w]) for i, w in enumerate(own) if w in odd] if odd else []
         for i, ids in extra:
             begin[i], length[i], flat = len(flat), len(ids), np.concatenate([flat, ids])
         index = coded.indices.to_numpy()
         ends = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
-        ids = _gather(flat, begin[index], length[index])
-        return pa.ListArray.from_arrays(pa.array(_offsets(ends, length[index]).astype(np.int32)), pa.array(ids))
+        length = length[index]
+        ids = _gather(flat, begin[index], length).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(_offsets(ends, length).astype(np.int32)), pa.array(ids))
+
+    if not decoded:
+        return docs.select(*keep, F.arrow_udf(join, "array<int>")(pieces).alias(out))
+
+    @F.arrow_udf("struct<ids: array<int>, text: string>")
+    def both(lists: pa.Array) -> pa.Array:
+        ids = join(lists)
+        return pa.StructArray.from_arrays([ids, _glue(ids, packed.value[-1])], names=["ids", "text"])
 
-    return docs.select(*keep, join(pieces).alias(out))
+    return docs.select(*keep, both(pieces).alias("__bpe")).select(*keep, F.col("__bpe.ids").alias(out), F.col("__bpe.text").alias(decoded))
 
 
-def _encode_shuffled(docs: DataFrame, pieces: Column, table: DataFrame, text_col: str, id_col: str, out: str) -> DataFrame:
-    """The same by joins alone. Both sides are dealt by word, so that frequent words are skew that adaptive execution splits."""
+def _encode_shuffled(docs: DataFrame, pieces: Column, table: DataFrame, vocabulary: Vocabulary, text_col: str, id_col: str, out: str) -> DataFrame:
+    """The same by joins alone, on the words' hashes.
+
+    Both sides are dealt by the join itself, so frequent words are skew that
+    adaptive execution splits. Two words of one hash, which at a billion words
+    is one chance in forty, would be mixed up and are an error instead.
+    """
+    width = vocabulary.width
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, sizes, ids in zip(batch["hashes"].to_pylist(), batch["sizes"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, width).astype(np.int32)))
+                yield pa.record_batch([pa.array(np.frombuffer(hashes, np.int64)), lists], names=["hash", "ids"])
+
+    single = cut(table.mapInArrow(unpack, "hash long, ids array<int>").groupBy("hash").agg(F.first("ids").alias("ids"), F.count("*").alias("n")))
+    if not single.filter("n > 1").isEmpty():
+        raise ValueError("two words share a 64-bit hash; raise broadcast_bytes, which tells them apart")
     key = row_key(id_col, text_col)
-    rows = docs.select(*key, F.posexplode(pieces).alias("at", "word"))
-    joined = rows.join(table.select("word", "ids"), "word").groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("parts"))
+    rows = docs.select(*key, F.posexplode(pieces).alias("at", "word")).select("__id", "__text", "at", F.xxhash64("word").alias("hash"))
+    joined = rows.join(single.select("hash", "ids"), "hash").groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("parts"))
     ids = F.coalesce(F.flatten(F.transform("parts", lambda x: x["ids"])), F.array().cast("array<int>"))
     return docs.select("*", *key).join(joined, ["__id", "__text"], "left").select(*docs.columns, ids.alias(out))
 
 
+def _piece_table(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces' bytes, where each id's begin, and how many they are."""
+    length = np.array([len(p) for p in vocabulary.pieces], np.int64)
+    return np.frombuffer(b"".join(vocabulary.pieces), np.uint8), np.cumsum(length) - length, length
+
+
+def _glue(lists: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """The id-to-piece join: each id becomes its piece, and a list's pieces one text."""
+    flat, begin, length = table
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    raw = _gather(flat, begin[ids], length[ids]).tobytes()
+    at = _offsets(np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py(), length[ids]).tolist()
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)], pa.string())
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of the ids as a column; a column of that name is replaced.
 
     Bytes that aren't UTF-8 become U+FFFD. No ids, or null, give the empty text; an id outside the vocabulary is an error.
     """
-    pieces = Vocabulary(path).pieces
-    length = np.array([len(p) for p in pieces], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(length) - length, length))
-
-    @F.arrow_udf("string")
-    def glue(lists: pa.Array) -> pa.Array:
-        flat, begin, length = shared.value
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        raw = _gather(flat, begin[ids], length[ids]).tobytes()
-        at = _offsets(np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py(), length[ids]).tolist()
-        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)], pa.string())
-
+    shared = df.sparkSession.sparkContext.broadcast(_piece_table(Vocabulary(path)))
+    glue = F.arrow_udf(lambda lists: _glue(lists, shared.value), "string")
     return df.select(*[c for c in df.columns if c != out], glue(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).alias(out))

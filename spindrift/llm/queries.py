@@ -49,9 +49,8 @@ def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
     small_batches(docs.sparkSession)
-    ids = bpe.encode(docs.select("doc_id", "text"), path)
-    decoded = bpe.decode(ids.select("doc_id", "ids"), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
