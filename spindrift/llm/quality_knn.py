@@ -81,10 +81,13 @@ class Space:
     """Term weights, the projection, and labelled unit vectors with their labels."""
 
     def __init__(self, texts: list[str], labels: list[int], rank: int = RANK):
-        counts = term_counts(texts)
-        self.weight = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-        x = self._weighed(counts)
-        values, vectors = np.linalg.eigh(x.T @ x)  # right singular vectors of the sample
+        x = np.zeros((len(texts), TERMS), np.float32)
+        for at in range(0, len(texts), BLOCK // 4):  # the words of all texts at once would take far more than their counts
+            x[at : at + BLOCK // 4] = term_counts(texts[at : at + BLOCK // 4])
+        self.weight = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+        for at in range(0, len(texts), BLOCK):
+            x[at : at + BLOCK] = self._weighed(x[at : at + BLOCK])
+        _, vectors = np.linalg.eigh(x.T @ x)  # right singular vectors of the sample
         self.project = np.ascontiguousarray(vectors[:, ::-1][:, :rank], dtype=np.float32)
         self.labels = np.array(labels, np.float32)
         self.vectors = self._unit(x @ self.project)
