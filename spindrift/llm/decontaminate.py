@@ -52,30 +52,42 @@ def grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return items.select("item", F.explode(spans).alias("gram")).groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", "items")
 
 
+def _placed(scanned: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
+    """columns, at, n_words, and start, span and words of each window; the text's other words are dropped here."""
+    start, span = F.col("at"), F.lit(0)
+    for i, k in enumerate(lengths):
+        before = reduce(lambda a, b: a + b, [F.greatest(F.size("w") - (x - 1), F.lit(0)) for x in lengths[:i]], F.lit(0))
+        inside = (F.col("at") > before) & (F.col("at") <= before + F.greatest(F.size("w") - (k - 1), F.lit(0)))
+        start, span = F.when(inside, F.col("at") - before).otherwise(start), F.when(inside, F.lit(k)).otherwise(span)
+    placed = scanned.withColumns({"start": start, "span": span})
+    return placed.select("__id", "__text", "id", "at", *columns, "start", "span", F.size("w").alias("n_words"), F.when(F.col("at") > 0, F.slice("w", F.greatest("start", F.lit(1)), F.col("span"))).alias("window"))
+
+
 def _hits(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
     """Per distinct row of docs: __id, __text, id, copies, n_words, spans (from, length) of hits, items."""
     table = cut(table)
     lengths = sorted(r[0] for r in table.select(F.size("gram")).distinct().collect())  # n values at most
-    head = table.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("gram", "items")])
-    probe = table.unionByName(head)
-    if table.count() <= broadcast_windows:
-        probe = F.broadcast(probe)
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), words(text_of(text_col)).alias("w"))
     # Place 0 is the head row of a text; then all windows of the first length, of the second, ...
     hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[_windows(F.col("w"), k) for k in lengths])
-    scanned = rows.select("*", F.posexplode(hashes).alias("at", "hash")).join(probe, "hash")
-    start, span = F.col("at"), F.lit(0)
-    for i, k in enumerate(lengths):
-        before = reduce(lambda a, b: a + b, [F.greatest(F.size("w") - (x - 1), F.lit(0)) for x in lengths[:i]], F.lit(0))
-        inside = (F.col("at") > before) & (F.col("at") <= before + F.greatest(F.size("w") - (k - 1), F.lit(0)))
-        start, span = F.when(inside, F.col("at") - before).otherwise(start), F.when(inside, F.lit(k)).otherwise(span)
     first = F.col("at") == 0
-    held = scanned.withColumns({"start": start, "span": span}).filter((first & F.col("gram").isNull()) | (~first & (F.slice("w", "start", F.greatest("span", F.lit(1))) == F.col("gram"))))
+    if table.count() <= broadcast_windows:
+        head = table.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("gram", "items")])
+        scanned = rows.select("*", F.posexplode(hashes).alias("at", "hash")).join(F.broadcast(table.unionByName(head)), "hash")
+        held = _placed(scanned.filter(first == F.col("gram").isNull()), lengths, "gram", "items")
+    else:
+        # Windows are shuffled without their words; the words join their hits again, which are few.
+        slim = rows.select("__id", "__text", F.posexplode(hashes).alias("at", "hash")).filter(~first)
+        found = slim.join(table.select("hash").distinct(), "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
+        hits = _placed(rows.join(found, ["__id", "__text"]).select("__id", "__text", "id", "w", F.inline("hits")), lengths, "hash").join(table, "hash").drop("hash")
+        heads = _placed(rows.withColumn("at", F.lit(0)), lengths).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in ("gram", "items")})
+        held = heads.unionByName(hits)
+    held = held.filter(first | (F.col("window") == F.col("gram")))
     hit = F.when(~first, F.struct("start", "span"))
     return held.groupBy("__id", "__text").agg(
         F.first("id").alias("id"),
         F.count(F.when(first, 1)).alias("copies"),
-        F.first(F.size("w")).cast("long").alias("n_words"),
+        F.first("n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_set(hit)).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set(F.when(~first, F.col("items"))))).alias("items"),
     )

@@ -31,8 +31,10 @@ _token = re.compile(
     r"(?P<comment><!--.*?(?:-->|\Z))"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|(?P<mark><[!?][^>]*(?:>|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>"
+    # Quoted values may hold "<" and ">". Bounds on such a value and on the number of parts keep unclosed quotes from being
+    # read to the end of the page from every tag; what is longer is read without regard to quotes.
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'){0,400}+)>"
+    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )

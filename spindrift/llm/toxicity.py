@@ -88,14 +88,18 @@ def _within(opens: str, on: str, weight: float, reach: int) -> Transducer:
     return Transducer(reach + 1, arcs)
 
 
+def threats() -> Transducer:
+    """The first of the cascade: a threat is one within reach of an intent; others go on as plain words."""
+    return _within("W", "H", THREAT, REACH)
+
+
 def grammar() -> Transducer:
-    """The composed machine; the weight of an insult itself comes from the lexicon."""
-    threat = _within("W", "H", THREAT, REACH)
+    """The composed rest; the weight of an insult itself comes from the lexicon."""
     target = _within("T", "IH", BESIDE_TARGET, REACH).compose(_within("IH", "T", BESIDE_TARGET, REACH), SYMBOLS)
     negation = _within("N", "IH", NEGATED, REACH)
     # Reported speech holds to the end of the clause.
     report = Transducer(2, {(0, "R"): (1, 0.0)} | {(1, s): (1, REPORTED) for s in "IH"})
-    return threat.compose(target, SYMBOLS).compose(negation, SYMBOLS).compose(report, SYMBOLS)
+    return target.compose(negation, SYMBOLS).compose(report, SYMBOLS)
 
 
 _CLASS = {w: s for s, ws in (("H", THREATS), ("W", INTENTS), ("T", TARGETS), ("R", REPORTS), ("N", NEGATIONS)) for w in ws}
@@ -142,11 +146,11 @@ class Scorer:
     """Lexicon, grammar and link; learned from a sample or given."""
 
     def __init__(self, lexicon: dict[str, float], link: tuple[float, float, float] = (-4.0, 1.5, 0.5)):
-        self.lexicon, self.link, self.machine = lexicon, link, grammar()
+        self.lexicon, self.link, self.threats, self.machine = lexicon, link, threats(), grammar()
         self._automaton = None
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "link": self.link, "machine": self.machine, "_automaton": None}
+        return self.__dict__ | {"_automaton": None}
 
     def _matches(self, low: str) -> list[tuple[int, str, float]]:
         """Where insults and threats begin, with their symbol and weight."""
@@ -180,11 +184,12 @@ class Scorer:
         out = []
         for i in sorted({bisect.bisect_right(starts, at) - 1 for at, *_ in matches}):
             a, b = spans[i]
-            state = weight = 0
+            intent = state = weight = 0
             for m in _word.finditer(low, a, b):
                 symbol = "I" if m.start() in insult else _CLASS.get(m[0], "-")
-                state, more = self.machine.step(state, symbol)
-                weight += more + insult.get(m.start(), 0.0)
+                intent, threat = self.threats.step(intent, symbol)
+                state, more = self.machine.step(state, "-" if symbol == "H" and not threat else symbol)
+                weight += threat + more + insult.get(m.start(), 0.0)
             if weight > 0:
                 out.append((low[a:b].strip(), weight))
         return out

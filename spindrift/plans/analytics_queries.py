@@ -134,7 +134,7 @@ def corpus_stats(spark, d):
     return W.prompts(spark, d).agg(F.count("*").alias("n"), active.alias("n_active"), F.count_if(F.col("n_chars") > 1600).alias("n_long"), F.count_if(F.col("domain")[0] == "en").alias("n_en"), F.round(F.try_divide(100.0 * active, F.count("*")), 2).alias("active_pct"))
 
 
-@query(f"WITH {P} SELECT id, CASE WHEN len(domain) > 0 AND n_chars > 1600 THEN 0.8 WHEN len(domain) > 0 THEN 0.4 ELSE 0.1 END AS confidence, n_chars <= 1600 AS needs_classification FROM prompts")
+@query(f"WITH {P} SELECT id, CASE WHEN len(domain) > 0 AND n_chars > 1600 THEN 0.8::DOUBLE WHEN len(domain) > 0 THEN 0.4 ELSE 0.1 END AS confidence, n_chars <= 1600 AS needs_classification FROM prompts")
 def confidence_ladder(spark, d):
     c = F.when((F.size("domain") > 0) & (F.col("n_chars") > 1600), 0.8).when(F.size("domain") > 0, 0.4).otherwise(0.1)
     return W.prompts(spark, d).select("id", c.alias("confidence"), (c < 0.8).alias("needs_classification"))
@@ -254,7 +254,7 @@ def fk_orphans(spark, d):
     return keys.join(there, ["ref_table", "ref_column"], "left_anti").select("table", "column", "ref_table")
 
 
-@query("""SELECT * FROM (VALUES ('users', 50.0), ('orders', 75.0), ('logs', 0.0)) t("table", nullable_pct)""")
+@query("""SELECT * FROM (VALUES ('users', 50.0::DOUBLE), ('orders', 75.0::DOUBLE), ('logs', 0.0::DOUBLE)) t("table", nullable_pct)""")
 def nullable_share(spark, d):
     return assets.nullable_share(_catalog(spark)[0])
 

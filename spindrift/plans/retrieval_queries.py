@@ -109,7 +109,7 @@ def sparse_stemmed(spark, d):
     return retrieval.sparse_search(_active(spark, d), W.word_queries(spark, d), {"title": "A", "prompt_text": "D"}, 50)
 
 
-@query(f"""WITH {OR_HITS}, b AS (SELECT query_id, l.id, l.score + CASE WHEN list_has_any(domain, ['fr', 'es']) THEN 0.05 ELSE 0 END + CASE WHEN list_has_any(task_type, ['src0', 'src1']) THEN 0.05 ELSE 0 END AS score FROM lexical l JOIN prompts p ON p.id = l.id)
+@query(f"""WITH {OR_HITS}, b AS (SELECT query_id, l.id, l.score::DOUBLE + CASE WHEN list_has_any(domain, ['fr', 'es']) THEN 0.05 ELSE 0 END + CASE WHEN list_has_any(task_type, ['src0', 'src1']) THEN 0.05 ELSE 0 END AS score FROM lexical l JOIN prompts p ON p.id = l.id)
 SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, {RANKED} FROM b) WHERE rank <= 10""")
 def skill_boost(spark, d):
     return retrieval.skill_search(W.prompts(spark, d), _lexical(spark, d), {"domain": ["fr", "es"], "task_type": ["src0", "src1"]}, 10).select("query_id", "id", _round("score"), "rank")
@@ -168,12 +168,12 @@ def rerank_doc(spark, d):
     return p.select("id", rerank.rerank_document(domain="domain", task_type="task_type", chunk="none").alias("head")).select("id", F.regexp_replace("head", r"\n\z", "").alias("head"))
 
 
-@query(f"""WITH {P} SELECT id, CASE WHEN domain[1] = 'en' THEN 0.06 WHEN domain[1] = 'fr' THEN 0.03 ELSE 0 END + CASE WHEN regexp_matches(lower(title), 'the|de') THEN 0.02 ELSE 0 END + CASE WHEN id IN (3, 4) THEN -0.1 ELSE 0 END AS context_adjustment,
+@query(f"""WITH {P} SELECT id, round(CASE WHEN domain[1] = 'en' THEN 0.06::DOUBLE WHEN domain[1] = 'fr' THEN 0.03 ELSE 0 END + CASE WHEN regexp_matches(lower(title), 'the|de') THEN 0.02 ELSE 0 END + CASE WHEN id IN (3, 4) THEN -0.1::DOUBLE ELSE 0 END, 6) AS context_adjustment,
 array_to_string(list_filter([CASE WHEN domain[1] = 'en' THEN 'domain' END, CASE WHEN domain[1] = 'fr' THEN 'recurring' END, CASE WHEN regexp_matches(lower(title), 'the|de') THEN 'insight' END, CASE WHEN id IN (3, 4) THEN 'prior' END], lambda x: x IS NOT NULL), ',') AS reasons FROM prompts""")
 def context_rescore(spark, d):
     ranked = W.prompts(spark, d).withColumn("rerank_score", F.lit(0.5))
     out = rerank.context_rescore(ranked, ["EN"], ["en", "fr"], [], ["the", "de"], {3: 0.1, 4: 0.39, 5: 0.4})
-    return out.select("id", "context_adjustment", F.array_join("reasons", ",").alias("reasons"))
+    return out.select("id", F.round("context_adjustment", 6).alias("context_adjustment"), F.array_join("reasons", ",").alias("reasons"))
 
 
 # parts as prompts: the first parts by price are a query's ranked list

@@ -18,7 +18,7 @@ def _rows(spark: SparkSession, *texts: str) -> DataFrame:
 
 
 def _values(columns: str, *rows: tuple) -> str:
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
 
 
@@ -185,7 +185,7 @@ def ctx_aliases(spark, d):
     return rows.select("id", rules.context_fields(F.col("m")).alias("c")).select("id", "c.agent_id", "c.agent_role", "c.session_id")
 
 
-@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, 0.0 AS drift FROM events")
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, 0.0::DOUBLE AS drift FROM events")
 def frame_parse(spark, d):
     frame = F.from_json("props", "k long, drift double")
     return W.table(spark, d, "events").select("event_id", F.coalesce(frame["k"], F.lit(0)).alias("k"), F.coalesce(frame["drift"], F.lit(0.0)).alias("drift"))

@@ -14,7 +14,7 @@ _ENTRY = r"(?m)^([A-Za-z][\w ]*?)[ \t]*:[ \t]*(.*?)[ \t]*$"
 
 def read_files(spark: SparkSession, path: str, suffix: str = "*.md") -> DataFrame:
     """path, modified, title (the file's stem), raw: every file below the folder, but for clippings."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
     return rows.filter(~F.col("path").contains("Clippings")).withColumn("title", F.url_decode(F.regexp_extract("path", r"([^/]+)\.[^./]*\z", 1)))
 
@@ -74,7 +74,7 @@ def skill_steps(raw: Column | str) -> Column:
     blocks = F.filter(F.split(X.col(raw), r"(?m)^### Step "), lambda b, i: i > 0)
 
     def step(b: Column) -> Column:
-        head = F.transform(F.split(F.substring_index(b, "\n", 1), "·"), F.trim)
+        head = F.transform(F.split(F.substring_index(b, "\n", 1), "·"), lambda x: F.trim(x))
         why = F.nullif(F.trim(F.regexp_extract(b, r"(?mi)^rationale:[ \t]*(.*)$", 1)), F.lit(""))
         return F.struct(F.try_element_at(head, F.lit(1)).cast("int").alias("step_order"), F.try_element_at(head, F.lit(2)).alias("id"), F.try_element_at(head, F.lit(3)).alias("title"), why.alias("rationale"), F.size(head).alias("n"))
 
