@@ -87,12 +87,20 @@ class Space:
         self.weight = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         for at in range(0, len(texts), BLOCK):
             x[at : at + BLOCK] = self._weighed(x[at : at + BLOCK])
-        _, vectors = np.linalg.eigh(x.T @ x)  # right singular vectors of the sample
-        self.project = np.ascontiguousarray(vectors[:, ::-1][:, :rank], dtype=np.float32)
+        self.project = self._right_vectors(x, rank)
         self.labels = np.array(labels, np.float32)
         self.vectors = self._unit(x @ self.project)
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
 
+    @staticmethod
+    def _right_vectors(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+        """The first right singular vectors, by subspace iteration from a fixed start; no matrix of terms by terms is made."""
+        basis = np.random.default_rng(0).standard_normal((x.shape[1], rank + 16)).astype(np.float32)
+        for _ in range(rounds):
+            basis = np.linalg.qr(x.T @ np.linalg.qr(x @ basis)[0])[0]
+        rotate = np.linalg.svd(x @ basis, full_matrices=False)[2]
+        return np.ascontiguousarray((basis @ rotate.T)[:, :rank], dtype=np.float32)
+
     def _weighed(self, counts: np.ndarray) -> np.ndarray:
         return self._unit(np.log1p(counts) * self.weight)
 
