@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assets, evaluation, lifecycle, rules
+from ..operators import assets, chains, evaluation, lifecycle, maintenance, rules
 from ..sources import events as logs
 from ..streaming import events as streams
 from . import views as W
@@ -444,3 +444,68 @@ def ab_gate(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 20 < 5 THEN 'too few examples' WHEN (doc_id % 7) / (doc_id % 20) < 0.2 THEN 'too few external examples' WHEN (doc_id % 7) / (doc_id % 20) < 0.3 THEN 'warn' ELSE 'ok' END AS state FROM labels")
 def run_report(spark, d):
     return W.table(spark, d, "labels").select("doc_id", rules.run_allowed(F.col("doc_id") % 20, F.col("doc_id") % 7).alias("state"))
+
+
+# --- chains and upkeep ------------------------------------------------------------------------
+
+
+@query("SELECT value, round(n / total, 6) AS share FROM (SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang), (SELECT count(*) AS total FROM documents) WHERE n / total > 0.4")
+def taxonomy_skew(spark, d):
+    return chains.taxonomy_skew(W.prompts(spark, d), "domain").select("value", _r("share"))
+
+
+@query("SELECT query_id, stage, id, round(score, 4) AS score, n - 1 AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stage ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY query_id, stage) AS n FROM (SELECT p_size % 5 AS query_id, p_brand AS stage, p_partkey AS id, p_retailprice / 500 - 5 AS score FROM part)) WHERE k = 1 AND score > -3")
+def stage_chain(spark, d):
+    rows = W.table(spark, d, "part").select((F.col("p_size") % 5).alias("query_id"), F.col("p_brand").alias("stage"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 500 - 5).alias("score"))
+    return chains.stage_best(rows).select("query_id", "stage", "id", _r("score", digits=4), "alternatives")
+
+
+@query()
+def beam_chains(spark, d):
+    scored = W.table(spark, d, "part").select((F.col("p_size") % 5).alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 2000).alias("score"))
+    steps = W.steps(spark, d)
+    pairs = steps.select("skill_id", F.col("id").alias("prev")).join(steps, "skill_id").filter("prev < id").groupBy("prev", "id").agg((F.count("*") / 10).alias("fit"))
+    return chains.beam_search(scored, pairs, longest=3)
+
+
+@query("SELECT e.event_id, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) <= 60000000, false) AS requeried, o.o_custkey IS NOT NULL AS used, levenshtein(event_type, o_orderstatus) AS edit_distance FROM events e LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_custkey) o ON o_custkey = user_id")
+def serving_outcome(spark, d):
+    e = W.table(spark, d, "events").select(F.col("user_id").alias("episode_id"), "ts", F.col("event_type").alias("text"), "event_id")
+    used = W.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("episode_id")).agg(F.min("o_orderstatus").alias("final_text"))
+    out = chains.serving_outcome(e, used, e.select("episode_id", F.lit(1.0).alias("value")))
+    return out.join(e.select("episode_id", "ts", "event_id"), ["episode_id", "ts"]).select("event_id", "requeried", "used", "edit_distance")
+
+
+@query("SELECT * FROM (VALUES (0, ''), (1, 'slots left'), (2, 'length'), (3, 'length,empty')) t(id, problems)")
+def fill_check(spark, d):
+    rows = [(0, "Plan [ITEM NAME] now", "Plan the launch now"), (1, "Plan [ITEM NAME] now", "Plan [ITEM NAME] now"), (2, "Plan [ITEM NAME] now", "P"), (3, "Plan [ITEM NAME]", "")]
+    t = spark.createDataFrame(rows, "id int, template string, filled string")
+    return t.select("id", F.array_join(chains.fill_problems("template", "filled"), ",").alias("problems"))
+
+
+@query()
+def kmeans_labels(spark, d):
+    v = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return chains.cluster_labels(v.select("id", "embedding"), v.filter("id % 10 = 0").select("id", "label"))
+
+
+@query()
+def chunk_backfill(spark, d):
+    return maintenance.backfill_chunks(W.prompts(spark, d), "hash-64").select("id", "chunk_index", "label", "is_atomic", "embedding", "embedding_version")
+
+
+@query()
+def embed_missing(spark, d):
+    p = W.prompts(spark, d).select("id", "title", "prompt_text", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_version"))
+    return maintenance.embed_missing(p, "hash-64").select("id", "embedding", "embedding_version")
+
+
+@query()
+def engine_find(spark, d):
+    from ..functions import plugins
+    from .engine import Engine
+
+    p = W.prompts(spark, d)
+    vectors = p.select("id", F.col("id").alias("chunk_id"), plugins.embed(64)(F.left("prompt_text", F.lit(4000))).alias("embedding"))
+    engine = Engine(p, vectors, embedder=plugins.embed(64))
+    return engine.find(W.word_queries(spark, d))
