@@ -29,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a written side of a join is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that, which is counted; else as it is, for a shuffled join. df should be written already."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(key: Column | str, parts: int) -> Column:
     """crc32 of the key as text, modulo parts; a null key counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_of
+from .common import cut, row_key, small, text_of
 
 N = 10
 BROADCAST_WINDOWS = 2_000_000
@@ -38,18 +38,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
-def _windows(tokens: Column, length: int) -> Column:
-    """Hashes of all windows of so many words; none in shorter texts."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (length - 1))
-    return F.when(F.size(tokens) >= length, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, length)))).otherwise(F.array().cast("array<bigint>"))
+def _windowed(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """rows with, for each length k, a column __w<k>: the hashes of all windows of k of the words w; none in shorter texts.
+
+    Hashes of runs of 1, 2, 4, 8 words are made each from two of half the length,
+    and a window's from those that it is made of; a word is hashed once however many windows it is in.
+    """
+    size = 1
+    rows = rows.withColumn("__h1", F.transform("w", lambda x: F.xxhash64(x)))
+    both = lambda a, b: F.xxhash64(a, b)
+    while 2 * size <= max(lengths, default=1):
+        half = f"__h{size}"
+        rows = rows.withColumn(f"__h{2 * size}", F.zip_with(half, F.slice(half, size + 1, F.size("w")), both))
+        size *= 2
+    for k in lengths:
+        run, done, power = None, 0, size
+        while done < k:
+            if power <= k - done:
+                part = F.slice(f"__h{power}", done + 1, F.greatest(F.size("w"), F.lit(0)))
+                run, done = part if run is None else F.zip_with(run, part, both), done + power
+            power //= 2
+        rows = rows.withColumn(f"__w{k}", F.slice(run, F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0))))
+    return rows.drop(*[c for c in rows.columns if c.startswith("__h")])
 
 
 def grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """hash, gram (its words), items (ids of the items that hold it): the windows of all items."""
+    """gram (its words), items (ids of the items that hold it): the windows of all items."""
     items = benchmark.select(F.col(id_col).alias("item"), words(text_of(text_col)).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
     spans = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))
-    return items.select("item", F.explode(spans).alias("gram")).groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", "items")
+    return items.select("item", F.explode(spans).alias("gram")).groupBy("gram").agg(F.collect_set("item").alias("items"))
 
 
 def _placed(scanned: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
@@ -67,17 +85,22 @@ def _hits(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, broadca
     """Per distinct row of docs: __id, __text, id, copies, n_words, spans (from, length) of hits, items."""
     table = cut(table)
     lengths = sorted(r[0] for r in table.select(F.size("gram")).distinct().collect())  # n values at most
+    own = _windowed(table.withColumn("w", F.col("gram")), lengths)
+    hash_of = F.coalesce(*[F.when(F.size("gram") == k, F.get(f"__w{k}", F.lit(0))) for k in lengths], F.lit(None).cast("bigint"))
+    table = own.select(hash_of.alias("hash"), "gram", "items")
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), words(text_of(text_col)).alias("w"))
-    # Place 0 is the head row of a text; then all windows of the first length, of the second, ...
-    hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[_windows(F.col("w"), k) for k in lengths])
+    # The exploding is outer, though no array is empty: from an inner one Spark infers a filter on the array's size, which
+    # would compute the array a second time. Place 0 is the head row of a text; then all windows of the first length, of the second, ...
+    rows = _windowed(rows, lengths)
+    hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[F.col(f"__w{k}") for k in lengths])
     first = F.col("at") == 0
     if table.count() <= broadcast_windows:
         head = table.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("gram", "items")])
-        scanned = rows.select("*", F.posexplode(hashes).alias("at", "hash")).join(F.broadcast(table.unionByName(head)), "hash")
+        scanned = rows.select("*", F.posexplode_outer(hashes).alias("at", "hash")).join(F.broadcast(table.unionByName(head)), "hash")
         held = _placed(scanned.filter(first == F.col("gram").isNull()), lengths, "gram", "items")
     else:
         # Windows are shuffled without their words; the words join their hits again, which are few.
-        slim = rows.select("__id", "__text", F.posexplode(hashes).alias("at", "hash")).filter(~first)
+        slim = rows.select("__id", "__text", F.posexplode_outer(hashes).alias("at", "hash")).filter(~first)
         found = slim.join(table.select("hash").distinct(), "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
         hits = _placed(rows.join(found, ["__id", "__text"]).select("__id", "__text", "id", "w", F.inline("hits")), lengths, "hash").join(table, "hash").drop("hash")
         heads = _placed(rows.withColumn("at", F.lit(0)), lengths).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in ("gram", "items")})
@@ -128,7 +151,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, whole: bool, n: int = N, broadcast_windows: int = BROADCAST_WINDOWS, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     columns = docs.columns
-    hits = _hits(docs, grams(benchmark, item_col, item_text_col, n), id_col, text_col, broadcast_windows).filter(F.size("spans") > 0).select("__id", "__text", "spans")
+    hits = _hits(docs, grams(benchmark, item_col, item_text_col, n), id_col, text_col, broadcast_windows).filter(F.size("spans") > 0)
+    hits = small(cut(hits.select("__id", "__text", "spans")))  # texts with hits are few, as a rule; then no text is shuffled
     keyed = docs.select("*", *row_key(id_col, text_col))
     if whole:
         return keyed.join(hits, ["__id", "__text"], "left_anti").select(*columns)
