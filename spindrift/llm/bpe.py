@@ -79,7 +79,8 @@ def words(text: Column, specials: list[str]) -> Column:
 
 
 def distinct_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    return docs.select(F.explode(words(text_of(text_col), vocabulary.specials)).alias("word")).distinct()
+    # outer: an inner explode would split each text twice, once for a filter on the number of its words that Spark infers
+    return docs.select(F.explode_outer(words(text_of(text_col), vocabulary.specials)).alias("word")).filter("word IS NOT NULL").distinct()
 
 
 def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -101,6 +102,8 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
             ids = np.fromiter((i for x in lists for i in x), width, int(sizes.sum()))
             packed = [batch["hash"].to_numpy().tobytes(), sizes.tobytes(), ids.tobytes()]
             yield pa.record_batch([pa.array([len(lists)]), pa.array([len(ids)]), *[pa.array([x], pa.binary()) for x in packed]], names=["n", "n_ids", "hashes", "sizes", "ids"])
+        del own
+        _tokenizer.cache_clear()  # the worker goes on to other tasks, which have no use for it
 
     distinct = distinct_words(docs, vocabulary, text_col)
     return cut(distinct.select("word", F.xxhash64("word").alias("hash")).mapInArrow(encode, "n long, n_ids long, hashes binary, sizes binary, ids binary"))
@@ -108,22 +111,30 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
 
 def _packed(table: DataFrame, vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Hashes in order, where the ids of each begin and end, the ids, and the words whose hash isn't theirs alone."""
-    rows = table.select("hashes", "sizes", "ids").collect()
-    hashes = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
-    sizes = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).astype(np.int64)
-    ids = np.frombuffer(b"".join(r[2] for r in rows), vocabulary.width)
-    del rows
-    order = np.argsort(hashes, kind="stable")
-    hashes, begin = hashes[order], (np.cumsum(sizes) - sizes)[order]
+    # A partition at a time, and each array freed once the next is made: the driver holds the table about twice at most.
+    parts: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
+    for row in table.select("hashes", "sizes", "ids").toLocalIterator():
+        for held, got in zip(parts, row, strict=True):
+            held.append(bytes(got))
+    hashes, sizes = np.frombuffer(b"".join(parts[0]), np.uint64), np.frombuffer(b"".join(parts[1]), np.uint32).astype(np.int32)
+    parts[0].clear()
+    parts[1].clear()
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    hashes = hashes[order]
+    begin = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
     sizes = sizes[order]
-    ids = _gather(ids, begin, sizes)
+    del order
+    flat = np.frombuffer(b"".join(parts[2]), vocabulary.width)
+    parts[2].clear()
+    ids = _gather(flat, begin, sizes)
+    del flat, begin
     shared = hashes[1:][hashes[1:] == hashes[:-1]].view(np.int64).tolist()
     odd = {}
     if shared:
         own = _tokenizer(vocabulary.source)
         for r in distinct_words(docs, vocabulary, text_col).filter(F.xxhash64("word").isin(shared)).collect():
             odd[r.word] = np.array(own.encode(r.word, add_special_tokens=False).ids, vocabulary.width)
-    return hashes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32), ids, odd
+    return hashes, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.uint32), ids, odd
 
 
 def _gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int = 1 << 17) -> np.ndarray:

@@ -60,7 +60,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     ]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """At most so many rows in an Arrow batch, as texts are long; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:

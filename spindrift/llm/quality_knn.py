@@ -29,7 +29,7 @@ TERMS = 2048
 RANK = 48
 NEIGHBOURS = 15
 #: Rows of a block in a matrix product.
-BLOCK = 512
+BLOCK = 256
 
 _runs = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
 
@@ -82,8 +82,8 @@ class Space:
 
     def __init__(self, texts: list[str], labels: list[int], rank: int = RANK):
         x = np.zeros((len(texts), TERMS), np.float32)
-        for at in range(0, len(texts), BLOCK // 4):  # the words of all texts at once would take far more than their counts
-            x[at : at + BLOCK // 4] = term_counts(texts[at : at + BLOCK // 4])
+        for at in range(0, len(texts), BLOCK // 2):  # the words of all texts at once would take far more than their counts
+            x[at : at + BLOCK // 2] = term_counts(texts[at : at + BLOCK // 2])
         self.weight = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         for at in range(0, len(texts), BLOCK):
             x[at : at + BLOCK] = self._weighed(x[at : at + BLOCK])
