@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_of
+from .common import cut, row_key, small, text_of
 
 #: A line on this many sites or more is boilerplate.
 MIN_SITES = 3
@@ -24,6 +24,9 @@ SLACK = 0.4
 #: log2 of the registers of a sketch: a standard error of about 3 %.
 REGISTERS = 10
 
+#: Places of removed lines up to which their lists are broadcast with the texts they are of.
+BROADCAST_PLACES = 2_000_000
+
 _LINE = ["__hash", "__size"]
 
 
@@ -32,8 +35,11 @@ def _split(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """__id, __text, id, site, place, __hash, __size of every line that is long enough."""
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(_split(text_of(text_col))).alias("place", "line"))
+    """__id, __text, id, site, place, __hash, __size of every line that is long enough.
+
+    The exploding is outer: from an inner one Spark infers a filter that splits each text once more.
+    """
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode_outer(_split(text_of(text_col))).alias("place", "line"))
     return rows.filter(F.length(F.trim("line")) >= min_chars).select("__id", "__text", "id", "site", "place", F.xxhash64("line").alias("__hash"), F.octet_length("line").alias("__size"))
 
 
@@ -57,10 +63,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     what its home keeps. Lines are compared byte for byte, by a 64-bit hash and their length.
     """
     columns = docs.columns
-    common = boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars)
+    common = small(boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars))
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     away = ~(F.col("id").eqNullSafe(F.col("home.id")) & (F.col("__text") == F.col("home.__text")) & (F.col("place") == F.col("home.place")))
     gone = lines.join(common, _LINE).filter(away).groupBy("__id", "__text").agg(F.collect_set("place").alias("__gone"))
+    gone = cut(gone)
+    places = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
+    gone = small(gone) if places <= BROADCAST_PLACES else gone
     joined = docs.select("*", *row_key(id_col, text_col)).join(gone, ["__id", "__text"], "left")
     kept = F.array_join(F.filter(_split(text_of(text_col)), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     return joined.select(
