@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, line_dedup, simhash
-from spindrift.llm.common import cut, read, shared_folder
+from spindrift.llm.common import cut, read, shared_folder, small
 from spindrift.llm.queries import bpe_digest, quality_scores, tokenizer_path
 
 #: Documents with a lower score go.
@@ -34,13 +34,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document that names it; rows that repeat its id and text stay once."""
-    names = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = cut(names.groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n")))
-    once = docs.join(kept.filter("__n = 1"), docs["doc_id"].eqNullSafe(F.col("__doc")), "left_semi")
-    if kept.filter("__n > 1").isEmpty():
-        return once
-    again = docs.join(kept.filter("__n > 1"), docs["doc_id"].eqNullSafe(F.col("__doc")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    named = cut(simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.count_if(own).alias("__n")))
+    gone, again = named.filter("__n = 0"), named.filter("__n > 1")
+    same = docs["doc_id"].eqNullSafe(F.col("__doc"))
+    kept = docs.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

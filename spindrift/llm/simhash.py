@@ -226,5 +226,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words).select(F.col(id_col).alias("id"), "fp"))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     nodes = distinct.select(F.col("fp").alias("node"), F.col("least").alias("label"))
-    named = components(nodes, links(distinct.select("fp"), distance)).select(F.col("node").alias("fp"), F.col("label").alias("component_id"))
+    # Written first, so that the last join has shuffles on both sides, which adaptive execution can split at frequent fingerprints.
+    named = cut(components(nodes, links(distinct.select("fp"), distance)).select(F.col("node").alias("fp"), F.col("label").alias("component_id")))
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
