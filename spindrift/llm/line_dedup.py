@@ -50,7 +50,8 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = lines.groupBy(*_LINE).agg(F.hll_sketch_agg("site", REGISTERS).alias("sketch"), F.min(home).alias("home"))
     likely = cut(spread.withColumn("sites", F.hll_sketch_estimate("sketch")).filter(F.col("sites") >= min_sites * (1 - SLACK)).drop("sketch"))
     certain, near = likely.filter(F.col("sites") > min_sites * (1 + SLACK)), likely.filter(F.col("sites") <= min_sites * (1 + SLACK))
-    counted = lines.join(near.select(*_LINE), _LINE, "left_semi").groupBy(*_LINE, "site").count().groupBy(*_LINE).agg(F.count("*").alias("exact")).filter(F.col("exact") >= min_sites)
+    # With the near lines broadcast, a frequent line's sites are counted in each task before they are shuffled.
+    counted = lines.join(small(near.select(*_LINE)), _LINE, "left_semi").groupBy(*_LINE, "site").count().groupBy(*_LINE).agg(F.count("*").alias("exact")).filter(F.col("exact") >= min_sites)
     return cut(certain.select(*_LINE, "home").unionByName(near.join(counted, _LINE).select(*_LINE, "home")))
 
 
