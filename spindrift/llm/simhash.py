@@ -39,6 +39,9 @@ FANOUT = 16
 #: Members of a root in one task's half; larger roots are dealt into chunks of about this many.
 CHUNK = 512
 
+#: Queries of a search at once.
+QUERIES = 256
+
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -133,23 +136,25 @@ def _roots(m: int, distance: int) -> list[np.uint64]:
     return [np.uint64(sum(block[i] for i in chosen)) for chosen in itertools.combinations(range(m), m - distance)]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links (a, b) one (member, least member of its part) for each member that isn't the least."""
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    up = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def _forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first member of its part) for each of the codes that isn't the first itself.
 
-    half = len(a)
-    for x, y in zip(flat[:half].tolist(), flat[half:].tolist(), strict=True):
-        x, y = top(x), top(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    return [(int(names[i]), int(names[top(i)])) for i in range(len(names)) if up[i] != i]
+    The pairs found by a block of queries lower the labels at once and are
+    dropped, so a dense group takes memory by its members, not by its pairs.
+    """
+    index, label = GrayIndex(codes), np.arange(len(codes))
+    while True:
+        low = label.copy()
+        for at in range(0, len(codes), QUERIES):
+            q, hit = index.search(codes[at : at + QUERIES], distance)
+            np.minimum.at(low, q + at, low[hit])
+            np.minimum.at(low, hit, low[q + at])
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        if np.array_equal(low, label):
+            moved = np.flatnonzero(label != np.arange(len(codes)))
+            return codes[moved], codes[label[moved]]
+        label = low
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -176,18 +181,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             cuts = [0, *cuts.tolist()] + ([len(held)] if batch is None else [])  # the last group may go on in the next batch
             codes = held["fp"].to_numpy(np.int64).view(np.uint64)
-            a, b = [], []
+            src, dst = [], []
             for x, y in itertools.pairwise(cuts):
                 if y - x > 1:
-                    group = codes[x:y]
-                    q, hit = GrayIndex(group).search(group, distance)
-                    low = q < hit
-                    a.append(group[q[low]])
-                    b.append(group[hit[low]])
+                    member, first = _forest(codes[x:y], distance)
+                    src.append(member)
+                    dst.append(first)
             held = held.iloc[cuts[-1] :] if batch is not None else None
-            if a and sum(map(len, a)):
-                found = _forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
-                yield pd.DataFrame(found, columns=["src", "dst"]).astype(np.int64)
+            if sum(map(len, src)):
+                yield pd.DataFrame({"src": np.concatenate(src).view(np.int64), "dst": np.concatenate(dst).view(np.int64)})
 
     return tasks.mapInPandas(search, "src long, dst long").distinct()
 
