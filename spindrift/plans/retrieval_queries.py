@@ -68,7 +68,7 @@ def similar_items(spark, d):
 
 @query()
 def ann_lsh(spark, d):
-    return retrieval.ann_lsh(W.chunk_vecs(spark, d), W.vec_queries(spark, d), 10, id_col="chunk_id")
+    return retrieval.ann_lsh(W.chunk_vecs(spark, d), W.all_vec_queries(spark, d), 10, id_col="chunk_id")
 
 
 @query(f"WITH {HITS} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, {RANKED} FROM matched JOIN wanted USING (query_id) WHERE score = n_terms) WHERE rank <= 10")

@@ -36,6 +36,12 @@ def vec_queries(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     return e.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def all_vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a query, so that queries grow with the table."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark items as queries, with the documents that hold them. Items are few: they are broadcast and probed by their longest line."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

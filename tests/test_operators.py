@@ -53,6 +53,22 @@ def test_lsh_recall(spark, sf_dir):
     assert len(exact & near) / len(exact) > 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lsh_recall_of_the_registered_query(spark, sf):
+    from spindrift.plans import views as W
+    from spindrift.plans.retrieval_queries import ann_lsh
+
+    d = f"/root/testdata/{sf}"
+    rows = W.table(spark, d, "embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r["vec_id"] for r in rows])
+    exact = {(int(q), int(i)) for q, v in zip(ids, x, strict=True) if q % 20 == 0 for i in ids[np.argsort(-(x @ v), kind="stable")[:10]]}
+    near = {(r["query_id"], r["id"]) for r in ann_lsh(spark, d).collect()}
+    assert len(exact) == 10 * sum(ids % 20 == 0)
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_a_batch_is_bounded(spark):
     with pytest.raises(ValueError):
         retrieval.bounded(spark.range(5), 4)
