@@ -73,6 +73,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROMPTS = "SELECT doc_id AS id, substr(text, 1, 60) AS title, text AS prompt_text, [lang] AS domain, [source] AS task_type, CASE WHEN doc_id % 10 = 0 THEN 'inactive' ELSE 'active' END AS status, source, n_chars FROM documents"
 CHUNKS = "SELECT vec_id AS chunk_id, vec_id // 5 AS id, CAST(embedding AS DOUBLE[]) AS embedding, CAST(label AS VARCHAR) AS domain FROM embeddings"
 VEC_QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id < 10"
+ALL_VEC_QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 20 = 0"
 GOLDEN = "SELECT item_id AS query_id, b.text AS query, doc_id AS gold_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 WORD_QUERIES = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark"
 FEEDBACK = "SELECT doc_id % 7 AS prompt_id, doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'success' WHEN quality = 1 AND toxic = 1 THEN 'partial' WHEN quality = 0 AND toxic = 0 THEN 'failure' ELSE 'skipped' END AS outcome, (doc_id % 100) / 100 AS quality_score FROM labels"

@@ -39,6 +39,17 @@ def test_dense_topk_is_exact(spark):
         assert [r["id"] for r in got if r["query_id"] == q] == np.argsort(-(unit @ unit[row]), kind="stable")[:5].tolist()
 
 
+def test_dense_topk_works_through_blocks_of_queries(spark, sf_dir, monkeypatch):
+    from spindrift.plans import views as W
+
+    vectors, queries = W.chunk_vecs(spark, sf_dir), W.all_vec_queries(spark, sf_dir)
+    want = sorted(map(tuple, retrieval.dense_topk(vectors, queries, 5, "chunk_id").collect()))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 10)
+    got = sorted(map(tuple, retrieval.dense_topk(vectors, queries, 5, "chunk_id").collect()))
+    assert len({q for q, *_ in got}) == 25
+    assert [(q, i, r) for q, i, _, r in got] == [(q, i, r) for q, i, _, r in want]
+
+
 def test_dense_topk_without_queries(spark):
     vectors = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
     assert retrieval.dense_topk(vectors, vectors.limit(0).withColumnRenamed("id", "query_id"), 5).count() == 0

@@ -26,3 +26,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_batches_take_every_twentieth_vector(spark, sf_dir):
+    from spindrift.plans.retrieval_queries import _dense
+
+    wanted = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
+    whole = [n for n in QUERIES if n.endswith("_all") and n != "rank_all"]
+    assert len(whole) == 12 and all(" < 10" not in ORACLE_SQL[n] and "vec_id % 20 = 0" in ORACLE_SQL[n] for n in whole)
+    assert {r["query_id"] for r in _dense(spark, sf_dir, 1, True).collect()} == wanted
+    for name in ("dense_topk_all", "find_batch_all"):
+        assert wanted <= {r["query_id"] for r in QUERIES[name](spark, sf_dir).select("query_id").distinct().collect()}
