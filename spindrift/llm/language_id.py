@@ -13,9 +13,9 @@ n characters has a cross-entropy of mean mu and deviation sigma / sqrt(n), both
 known from the training runs; a text ``REJECT_Z`` deviations and ``REJECT_SLACK``
 nats above is marked rejected.
 
-The model has a row for each distinct run, which the scripts in use bound, not
-the corpus; its rows are counted before they are collected, and while they
-exceed ``MAX_RUNS`` the order is lowered by one.
+The model has a row for each distinct run, counted before they are collected. Up to
+``MAX_RUNS`` the tables are broadcast; above, the same tables of the same order stay
+on the cluster, and the distinct runs of the texts are joined with them.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, small, text_of
 
 ORDER = 4
 MAX_RUNS = 8_000_000
@@ -204,42 +204,165 @@ class Models:
         return mean, size
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_runs: int = MAX_RUNS) -> Models | None:
-    """Models from all rows with a language; None if there are none."""
-    while True:
-        counts = cut(count_runs(docs, lang_col, text_col, order))
-        n = counts.count()
-        if n <= max_runs or order == 2:
-            break
-        order -= 1
+def _last(run: Column, k: int, order: int) -> Column:
+    """The last k units of a packed run of that order."""
+    return run if k == order else run.bitwiseAND(F.lit((1 << (16 * k)) - 1))
+
+
+class SharedModels:
+    """What Models has, as one table an order (run, logp by language) and one of its contexts (context, back), on the cluster."""
+
+    def __init__(self, counts: DataFrame, order: int):
+        self.order = order
+        self.langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        self.codes = F.array(*[F.lit(i) for i in range(len(self.langs))])
+        named = F.array_position(F.array(*[F.lit(x) for x in self.langs]), F.col("lang")).cast("int") - 1
+        tables = {order: counts.select(named.alias("code"), "run", F.col("n").cast("double").alias("n"))}
+        for k in range(order - 1, 0, -1):  # how many different units stand before it
+            tables[k] = cut(tables[k + 1].groupBy("code", _last(F.col("run"), k, order).alias("run")).agg(F.count("*").cast("double").alias("n")))
+        self.units = max(1, tables[1].select("run").distinct().count())
+        self.keys, self.contexts = {}, {}
+        lower = None
+        for k in range(1, order + 1):
+            t = tables[k].withColumn("context", F.shiftrightunsigned("run", 16))
+            n1, n2 = t.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+            discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+            sums = t.groupBy("context", "code").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            sums = sums.withColumn("gamma", F.lit(discount) * F.col("kinds") / F.col("total"))
+            contexts = self._by_lang(sums, "context", total=0.0, gamma=1.0)
+            self.contexts[k] = cut(contexts.withColumn("back", F.transform("gamma", lambda g: F.log(g).cast("float"))))
+            rows = self._by_lang(t, "run", n=0.0).withColumn("context", F.shiftrightunsigned("run", 16)).join(small(self.contexts[k]), "context")
+            if lower is None:
+                rows = rows.withColumn("below", F.transform(self.codes, lambda _: F.lit(1.0 / (self.units + 1))))
+            else:
+                rows = rows.withColumn("suffix", _last(F.col("run"), k - 1, order)).join(small(lower.select(F.col("run").alias("suffix"), F.col("p").alias("below"))), "suffix")
+            own = lambda i: F.when(F.get("n", i) > 0, F.greatest(F.get("n", i) - discount, F.lit(0.0)) / F.get("total", i)).otherwise(0.0)  # noqa: E731, B023
+            p = F.transform(self.codes, lambda i: own(i) + F.get("gamma", i) * F.get("below", i))  # noqa: B023
+            lower = cut(rows.select("run", "n", p.alias("p")).withColumn("logp", F.transform("p", lambda x: F.log(x).cast("float"))))
+            self.keys[k] = lower
+        # What a training run costs under its own language, for the calibration.
+        seen = lower.select(F.posexplode(F.arrays_zip("n", "logp")).alias("code", "x")).filter("x.n > 0")
+        n, cost = F.col("x.n"), -F.col("x.logp").cast("double")
+        found = {r["code"]: r for r in seen.groupBy("code").agg(F.sum(n).alias("w"), F.sum(n * cost).alias("s"), F.sum(n * cost * cost).alias("q")).collect()}
+        w, s, q = (np.array([found[i][c] for i in range(len(self.langs))]) for c in "wsq")
+        self.mean = s / w
+        self.dev = np.sqrt(np.maximum(0, q / w - self.mean**2))
+
+    def _by_lang(self, rows: DataFrame, key: str, **columns: float) -> DataFrame:
+        """key and, for each column, an array by language; the value given stands for languages without a row."""
+        held = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct(*columns)))).alias("m"))
+        at = lambda c, v: F.transform(self.codes, lambda i: F.coalesce(F.try_element_at("m", i)[c], F.lit(v))).alias(c)
+        return held.select(key, *[at(c, v) for c, v in columns.items()])
+
+    def cost(self, wanted: DataFrame) -> DataFrame:
+        """run, cost: minus log p of each run's last unit after the others, an array by language. wanted: distinct runs."""
+        less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+        out = wanted.withColumns({"cost": F.transform(self.codes, lambda _: F.lit(0.0).cast("float")), "seen": F.lit(False)})
+        for k in range(self.order, 0, -1):
+            own = _last(F.col("run"), k, self.order)
+            out = out.withColumns({"own": own, "context": F.shiftrightunsigned(own, 16)})
+            out = out.join(small(self.keys[k].select(F.col("run").alias("own"), "logp")), "own", "left")
+            out = out.join(small(self.contexts[k].select("context", "back")), "context", "left")
+            cost = F.when(F.col("seen"), F.col("cost")).when(F.col("logp").isNotNull(), less("cost", "logp")).when(F.col("back").isNotNull(), less("cost", "back")).otherwise(F.col("cost"))
+            out = out.select("run", cost.alias("cost"), (F.col("seen") | F.col("logp").isNotNull()).alias("seen"))
+        never = float(np.float32(np.log(self.units + 1)))  # a unit never seen
+        return out.select("run", F.when(F.col("seen"), F.col("cost")).otherwise(F.transform("cost", lambda x: x + F.lit(never).cast("float"))).alias("cost"))
+
+    def score(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """text_md5, mean (cost by language), size (characters): a row for each different text with a letter."""
+        order = self.order
+
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = batch[[any(map(str.isalpha, t)) for t in batch["text"]]]
+                for at in range(0, len(batch), 64):
+                    part = batch.iloc[at : at + 64]
+                    run, owner = _runs_of(part["text"].tolist(), order)
+                    by = np.lexsort((run, owner))
+                    run, owner = run[by], owner[by]
+                    first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])]))
+                    n = np.diff(np.concatenate([first, [len(run)]]))
+                    yield pd.DataFrame({"text_md5": part["text_md5"].to_numpy()[owner[first]], "run": run[first].view(np.int64), "n": n})
+
+        text = F.col(text_col).cast("string")
+        texts = docs.select(F.md5(text.cast("binary")).alias("text_md5"), text.alias("text")).filter("text IS NOT NULL").dropDuplicates(["text_md5"])
+        held = texts.mapInPandas(spread, "text_md5 string, run long, n long")
+        costs = self.cost(held.select("run").distinct())
+        sums = [F.sum(F.col("n") * F.get("cost", F.lit(i)).cast("double")) for i in range(len(self.langs))]
+        total = held.join(costs, "run").groupBy("text_md5").agg(F.sum("n").cast("double").alias("size"), F.array(*sums).alias("total"))
+        return total.select("text_md5", F.transform("total", lambda x: x / F.col("size")).alias("mean"), "size")
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_runs: int = MAX_RUNS) -> Models | SharedModels | None:
+    """Models from all rows with a language, on the cluster if they have more than max_runs runs; None if there are no runs."""
+    counts = cut(count_runs(docs, lang_col, text_col, order))
+    n = counts.count()
+    if n > max_runs:
+        return SharedModels(counts, order)
     return Models(counts.toPandas(), order) if n else None
 
 
-def predict(docs: DataFrame, models: Models | None, text_col: str = "text", out: str = "language") -> DataFrame:
+def _verdict(own: Models | SharedModels, mean: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The language's number, score, cross-entropy and rejection of texts of that mean cost by language and size."""
+    pick = mean.argmin(axis=1)
+    low = mean[np.arange(len(pick)), pick]
+    share = 1 / np.exp(-(mean - low[:, None]) * np.sqrt(size)[:, None]).sum(axis=1)
+    over = low > own.mean[pick] + REJECT_SLACK + REJECT_Z * own.dev[pick] / np.sqrt(np.maximum(size, 1))
+    return pick, share, low, over
+
+
+_KIND = "struct<lang: string, score: double, cross_entropy: double, rejected: boolean>"
+
+
+def _structs(own: Models | SharedModels | None, has: np.ndarray, mean: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The structs of all rows; mean and size are of the rows that ``has`` marks, in order."""
+    lang, best, entropy, rejected = ["und"] * len(has), np.zeros(len(has)), np.zeros(len(has)), np.ones(len(has), bool)
+    if own is not None and has.any():
+        pick, best[has], entropy[has], rejected[has] = _verdict(own, mean, size)
+        for row, i in enumerate(np.flatnonzero(has).tolist()):
+            lang[i] = own.langs[pick[row]]
+    return pa.StructArray.from_arrays([pa.array(lang), pa.array(best), pa.array(entropy), pa.array(rejected)], names=["lang", "score", "cross_entropy", "rejected"])
+
+
+class _Calibration:
+    """The part of SharedModels that tasks need."""
+
+    def __init__(self, models: SharedModels):
+        self.langs, self.mean, self.dev = models.langs, models.mean, models.dev
+
+
+def _predict_shared(docs: DataFrame, models: SharedModels, text_col: str, out: str) -> DataFrame:
+    """predict by joins: texts meet their scores by their hash."""
+    own = _Calibration(models)
+
+    @F.arrow_udf(_KIND)
+    def struct(means: pa.Array, sizes: pa.Array) -> pa.Array:
+        has = np.asarray(sizes.is_valid())
+        mean = np.array([m for m in means.to_pylist() if m is not None], np.float64).reshape(-1, len(own.langs))
+        return _structs(own, has, mean, np.array([x for x in sizes.to_pylist() if x is not None], np.float64))
+
+    scores = models.score(docs, text_col).select(F.col("text_md5").alias("__md5"), F.col("mean").alias("__mean"), F.col("size").alias("__size"))
+    found = docs.withColumn("__md5", F.md5(F.col(text_col).cast("string").cast("binary"))).join(scores, "__md5", "left")
+    return found.select(*[c for c in docs.columns if c != out], struct("__mean", "__size").alias(out))
+
+
+def predict(docs: DataFrame, models: Models | SharedModels | None, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with a struct of lang, score (0 to 1), cross_entropy and rejected; a column of that name is replaced.
 
     Null texts and texts without a letter, and all texts where nothing was
     learned, are "und" with score 0. Languages that tie go to the first by name.
     score is the share of the chosen language in the likelihoods, tempered to ``n ** 0.5`` characters.
     """
+    if isinstance(models, SharedModels):
+        return _predict_shared(docs, models, text_col, out)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = "struct<lang: string, score: double, cross_entropy: double, rejected: boolean>"
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(_KIND)
     def score(texts: pa.Array) -> pa.Array:
         own = shared.value
         held = [t or "" for t in texts.to_pylist()]
         has = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in held], bool)
-        lang, best, entropy, rejected = ["und"] * len(held), np.zeros(len(held)), np.zeros(len(held)), np.ones(len(held), bool)
-        if own is not None and has.any():
-            mean, size = own.score([t for t, h in zip(held, has, strict=True) if h])
-            pick = mean.argmin(axis=1)
-            low = mean[np.arange(len(pick)), pick]
-            share = 1 / np.exp(-(mean - low[:, None]) * np.sqrt(size)[:, None]).sum(axis=1)
-            over = low > own.mean[pick] + REJECT_SLACK + REJECT_Z * own.dev[pick] / np.sqrt(np.maximum(size, 1))
-            for row, i in enumerate(np.flatnonzero(has).tolist()):
-                lang[i] = own.langs[pick[row]]
-            best[has], entropy[has], rejected[has] = share, low, over
-        return pa.StructArray.from_arrays([pa.array(lang), pa.array(best), pa.array(entropy), pa.array(rejected)], names=["lang", "score", "cross_entropy", "rejected"])
+        mean, size = own.score([t for t, h in zip(held, has, strict=True) if h]) if own is not None else (None, None)
+        return _structs(own, has, mean, size)
 
     return docs.select(*[c for c in docs.columns if c != out], score(F.col(text_col).cast("string")).alias(out))

@@ -344,6 +344,21 @@ def test_language_of_awkward_rows(spark, docs):
     assert language_id.predict(docs, None).filter("language.lang <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("source", ["awkward", "sf0.001"])
+def test_language_models_past_the_broadcast_bound_agree(spark, docs, source):
+    rows = docs if source == "awkward" else queries.read(spark, "/root/testdata/sf0.001", "documents")
+    train = rows if source == "awkward" else rows.filter("doc_id % 3 <> 1")
+    near, far = language_id.fit(train), language_id.fit(train, max_runs=0)
+    assert far.order == near.order == language_id.ORDER and far.langs == near.langs
+    assert far.mean == pytest.approx(near.mean, abs=1e-5) and far.dev == pytest.approx(near.dev, abs=1e-5)
+    key = lambda r: (str(r["doc_id"]), r["lang"], round(r["cross_entropy"], 3))
+    want, got = (sorted(language_id.predict(rows, m).select("doc_id", "language.*").collect(), key=key) for m in (near, far))
+    assert len(got) == len(want)
+    for a, b in zip(want, got, strict=True):
+        assert (a["doc_id"], a["lang"], a["rejected"]) == (b["doc_id"], b["lang"], b["rejected"])
+        assert (b["score"], b["cross_entropy"]) == pytest.approx((a["score"], a["cross_entropy"]), abs=1e-4)
+
+
 def test_language_models_are_distributions(spark):
     df = spark.createDataFrame([("de", "das ist ein haus und noch ein haus"), ("en", "this is a house and another house")], "lang string, text string")
     models = language_id.fit(df)
