@@ -465,7 +465,7 @@ def beam_chains(spark, d):
     scored = W.table(spark, d, "part").select((F.col("p_size") % 5).alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 2000).alias("score"))
     steps = W.steps(spark, d)
     pairs = steps.select("skill_id", F.col("id").alias("prev")).join(steps, "skill_id").filter("prev < id").groupBy("prev", "id").agg((F.count("*") / 10).alias("fit"))
-    return chains.beam_search(scored, pairs, longest=3)
+    return chains.beam_search(scored, pairs)
 
 
 @query("SELECT e.event_id, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) <= 60000000, false) AS requeried, o.o_custkey IS NOT NULL AS used, levenshtein(event_type, o_orderstatus) AS edit_distance FROM events e LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_custkey) o ON o_custkey = user_id")

@@ -37,3 +37,35 @@ def test_batches_take_every_twentieth_vector(spark, sf_dir):
     assert {r["query_id"] for r in _dense(spark, sf_dir, 1, True).collect()} == wanted
     for name in ("dense_topk_all", "find_batch_all"):
         assert wanted <= {r["query_id"] for r in QUERIES[name](spark, sf_dir).select("query_id").distinct().collect()}
+
+
+def test_beam_chains_are_up_to_five_long(spark, sf_dir):
+    from spindrift.operators.chains import BEAM, LONGEST
+
+    part = {r["p_partkey"]: (r["p_size"] % 5, r["p_retailprice"] / 2000) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    orders = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect():
+        orders.setdefault(r["l_orderkey"], set()).add(r["l_partkey"])
+    fit = {}
+    for ids in orders.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    fit[a, b] = fit.get((a, b), 0) + 1
+    after = {}
+    for (a, b), n in fit.items():
+        after.setdefault(a, []).append((b, n / 10))
+    want = {}
+    for q in range(5):
+        best = lambda rows: sorted(rows, key=lambda x: (-round(x[1], 9), x[0]))[:BEAM]
+        beam = best([((i,), s) for i, (own, s) in part.items() if own == q])
+        found = list(beam)
+        for _ in range(LONGEST - 1):
+            beam = best([(p + (b,), s + part[b][1] + f) for p, s in beam for b, f in after.get(p[-1], []) if part.get(b, (None,))[0] == q and b not in p])
+            found += beam
+        want[q] = [round(s, 6) for _, s in best(found)]
+    got = {}
+    for r in QUERIES["beam_chains"](spark, sf_dir).collect():
+        got.setdefault(r["query_id"], []).append((round(r["score"], 6), len(r["path"])))
+    assert {q: sorted((s for s, _ in v), reverse=True) for q, v in got.items()} == want
+    assert LONGEST == 5 and max(n for v in got.values() for _, n in v) > 3
