@@ -393,16 +393,28 @@ def guard_checks(spark, d):
 # --- mutations --------------------------------------------------------------------------------
 
 
-@query(f"""WITH {ST}, c AS (SELECT 'tag' || (skill_id % 50) AS tag, id, skill_id FROM steps WHERE skill_id % 100 < 50), f AS (SELECT tag, list(id ORDER BY skill_id, id) AS ids, list_sort(list(DISTINCT p_brand)) AS domain FROM c JOIN part ON p_partkey = id GROUP BY tag)
-SELECT tag, CASE WHEN CAST(substr(tag, 4) AS INT) % 2 = 0 THEN 4 ELSE 1 END AS version, array_to_string(ids, ',') AS steps, array_to_string(domain, ',') AS domain, substr(sha256(array_to_string(ids, ',')), 1, 16) AS content_hash FROM f""")
-def promote_chain(spark, d):
+_PROMOTE = f"""WITH {ST}, c AS (SELECT 'tag' || (skill_id % 50) AS tag, id, skill_id FROM steps WHERE skill_id % 100 < 50), f AS (SELECT tag, list(id ORDER BY skill_id, id) AS ids, list_sort(list(DISTINCT p_brand)) AS domain FROM c JOIN part ON p_partkey = id GROUP BY tag)
+SELECT tag, CASE WHEN CAST(substr(tag, 4) AS INT) % 2 = 0 THEN 4 ELSE 1 END AS version, array_to_string(ids, ',') AS steps, array_to_string(domain, ',') AS domain, substr(sha256(array_to_string(ids, ',')), 1, 16) AS content_hash FROM f"""
+
+
+def _promote(spark: SparkSession, d: str, steps: DataFrame) -> DataFrame:
     part = W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand").alias("domain"))
-    chain = W.steps(spark, d).filter("skill_id % 100 < 50").select(F.concat(F.lit("tag"), F.col("skill_id") % 50).alias("tag"), F.struct("skill_id", "id").alias("ord"), "id").join(part.select("id"), "id", "left_semi")
+    chain = steps.select(F.concat(F.lit("tag"), F.col("skill_id") % 50).alias("tag"), F.struct("skill_id", "id").alias("ord"), "id").join(part.select("id"), "id", "left_semi")
     versions = spark.range(50).filter("id % 2 = 0").select(F.concat(F.lit("tag"), F.col("id")).alias("tag"), F.lit(3).alias("version"))
     out = lifecycle.promote(chain, part, versions)
     return out.select("tag", "version", F.array_join("steps", ",").alias("steps"), F.array_join("domain", ",").alias("domain"), "content_hash")
 
 
+@query(_PROMOTE)
+def promote_chain(spark, d):
+    return _promote(spark, d, W.steps(spark, d).filter("skill_id % 100 < 50"))
+
+
+@query(_PROMOTE.replace(" WHERE skill_id % 100 < 50", ""))
+def promote_chain_all(spark, d):
+    return _promote(spark, d, W.steps(spark, d))
+
+
 @query(f"WITH {ST}, a AS (SELECT skill_id, list(id ORDER BY id) AS s FROM steps GROUP BY skill_id) SELECT skill_id, array_to_string(list_concat(list_concat(s[1:1], [0]), s[2:]), ',') AS added, array_to_string(s[2:], ',') AS removed FROM a")
 def edit_steps(spark, d):
     own = W.steps(spark, d).groupBy("skill_id").agg(F.array_sort(F.collect_list("id")).alias("s"))
@@ -434,6 +446,13 @@ def set_ops(spark, d):
     return c.filter("k <= 20").union(o.filter("k BETWEEN 10 AND 40")).distinct().exceptAll(c.filter("k % 7 = 0").distinct())
 
 
+@query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0")
+def set_ops_all(spark, d):
+    c = W.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    o = W.table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    return c.union(o).distinct().subtract(c.filter("k % 7 = 0"))
+
+
 @query("SELECT doc_id, quality, toxic, CASE WHEN promoted THEN 'improved' WHEN n = 0 THEN 'no examples' WHEN gain < 0.05 THEN 'below margin' ELSE 'fences changed' END AS reason, promoted FROM (SELECT *, doc_id % 3 AS n, round((doc_id % 11) / 100, 9) AS gain, doc_id % 3 > 0 AND round((doc_id % 11) / 100, 9) >= 0.05 AND quality = 1 AS promoted FROM labels)")
 def ab_gate(spark, d):
     rows = W.table(spark, d, "labels")

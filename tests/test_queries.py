@@ -32,7 +32,7 @@ def test_batches_take_every_twentieth_vector(spark, sf_dir):
     from spindrift.plans.retrieval_queries import _dense
 
     wanted = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
-    whole = [n for n in QUERIES if n.endswith("_all") and n != "rank_all"]
+    whole = [n for n in QUERIES if n.endswith("_all") and "dense" in ORACLE_SQL[n]]
     assert len(whole) == 12 and all(" < 10" not in ORACLE_SQL[n] and "vec_id % 20 = 0" in ORACLE_SQL[n] for n in whole)
     assert {r["query_id"] for r in _dense(spark, sf_dir, 1, True).collect()} == wanted
     for name in ("dense_topk_all", "find_batch_all"):
@@ -69,3 +69,12 @@ def test_beam_chains_are_up_to_five_long(spark, sf_dir):
         got.setdefault(r["query_id"], []).append((round(r["score"], 6), len(r["path"])))
     assert {q: sorted((s for s, _ in v), reverse=True) for q, v in got.items()} == want
     assert LONGEST == 5 and max(n for v in got.values() for _, n in v) > 3
+
+
+def test_set_ops_and_promotion_take_whole_tables(spark, sf_dir):
+    keys = {r[0] for t, c in (("customer", "c_custkey"), ("orders", "o_custkey")) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(c).collect()}
+    customers = {r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect()}
+    assert {r["k"] for r in QUERIES["set_ops_all"](spark, sf_dir).collect()} == {k for k in keys if k % 7 or k not in customers}
+    parts = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+    steps = {(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect() if r[1] in parts}
+    assert sum(len(r["steps"].split(",")) for r in QUERIES["promote_chain_all"](spark, sf_dir).collect()) == len(steps)
