@@ -22,9 +22,18 @@ def _values(columns: str, *rows: tuple) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
 
 
+def _acronyms(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, X.expand_acronyms("text").alias("text"))
+
+
 @query(_values("id, text", (0, "GTM (go-to-market) plan"), (1, "AI/ML (artificial intelligence and machine learning) and ML (machine learning)"), (2, "AIML stays, API (application programming interface)."), (3, "")))
 def acronyms(spark, d):
-    return _rows(spark, "GTM plan", "AI/ML and ML", "AIML stays, API.", "").select("id", X.expand_acronyms("text").alias("text"))
+    return _acronyms(_rows(spark, "GTM plan", "AI/ML and ML", "AIML stays, API.", ""), "id")
+
+
+@query()
+def acronyms_all(spark, d):
+    return _acronyms(W.table(spark, d, "documents"), "doc_id")
 
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(lower(trim(c_mktsegment || ' & ' || c_name || '#')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g') AS slug FROM customer")
@@ -41,30 +50,66 @@ def truncate(spark, d):
 SLOTS = ["Plan for [PRODUCT NAME] at [PRICE/COST] in {{region}} {{region}}", "[paste report] then [YOUR] and [X]", "nothing here", "[Paste_notes here] {{ab}}"]
 
 
+def _slots(rows: DataFrame, *keys: str) -> DataFrame:
+    one = lambda s: F.concat(s["name"], F.lit(":"), s["slot_type"])
+    return rows.select(*keys, F.array_join(F.transform(X.slots("text"), one), ",").alias("slots"))
+
+
 @query(_values("id, slots", (0, "PRODUCT NAME:fill,PRICE/COST:choice,region:fill"), (1, "paste report:paste"), (2, ""), (3, "Paste_notes here:paste,ab:fill")))
 def slots(spark, d):
-    one = lambda s: F.concat(s["name"], F.lit(":"), s["slot_type"])
-    return _rows(spark, *SLOTS).select("id", F.array_join(F.transform(X.slots("text"), one), ",").alias("slots"))
+    return _slots(_rows(spark, *SLOTS), "id")
 
 
-@query(_values("id, text, unfilled", (0, "Plan for Rocket at [PRICE/COST] in EU EU", "PRICE/COST"), (1, "[paste report] then [YOUR] and [X]", "paste report"), (2, "nothing here", ""), (3, "[Paste_notes here] {{ab}}", "Paste_notes here,ab")))
-def slot_fill(spark, d):
+@query()
+def slots_all(spark, d):
+    return _slots(W.table(spark, d, "documents"), "doc_id")
+
+
+def _slot_fill(rows: DataFrame, *keys: str) -> DataFrame:
     context = F.create_map(F.lit("product_name"), F.lit("Rocket"), F.lit("Region"), F.lit("EU"), F.lit("b"), F.lit(""))
     out = X.fill_slots("text", context)
-    return _rows(spark, *SLOTS).select("id", out["text"].alias("text"), F.array_join(out["unfilled"], ",").alias("unfilled"))
+    return rows.select(*keys, out["text"].alias("text"), F.array_join(out["unfilled"], ",").alias("unfilled"))
+
+
+@query(_values("id, text, unfilled", (0, "Plan for Rocket at [PRICE/COST] in EU EU", "PRICE/COST"), (1, "[paste report] then [YOUR] and [X]", "paste report"), (2, "nothing here", ""), (3, "[Paste_notes here] {{ab}}", "Paste_notes here,ab")))
+def slot_fill(spark, d):
+    return _slot_fill(_rows(spark, *SLOTS), "id")
+
+
+@query()
+def slot_fill_all(spark, d):
+    return _slot_fill(W.table(spark, d, "documents"), "doc_id")
+
+
+def _placeholders(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.array_join(X.placeholders("text"), ",").alias("found"))
 
 
 @query(_values("id, found", (0, "[PRODUCT NAME],[PRICE/COST]"), (1, "[paste report],[YOUR],[X]"), (2, ""), (3, "[Paste_notes here]")))
 def placeholders(spark, d):
-    return _rows(spark, *SLOTS).select("id", F.array_join(X.placeholders("text"), ",").alias("found"))
+    return _placeholders(_rows(spark, *SLOTS), "id")
+
+
+@query()
+def placeholders_all(spark, d):
+    return _placeholders(W.table(spark, d, "documents"), "doc_id")
 
 
 MESSAGES = ["fix src/app.py to return parse_args(x) == 3", "help me plan a launch for the spring", "hello there", "thanks!", "make it shorter", ""]
 
 
+def _density(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.round(X.spec_density("text"), 6).alias("density"), X.word_count("text").alias("words"))
+
+
 @query(_values("id, density, words", (0, 0.428571, 7), (1, 0.0, 8), (2, 0.0, 2), (3, 0.0, 1), (4, 0.0, 3), (5, 0.0, 0)))
 def density(spark, d):
-    return _rows(spark, *MESSAGES).select("id", F.round(X.spec_density("text"), 6).alias("density"), X.word_count("text").alias("words"))
+    return _density(_rows(spark, *MESSAGES), "id")
+
+
+@query()
+def density_all(spark, d):
+    return _density(W.table(spark, d, "documents"), "doc_id")
 
 
 PREVIOUS = "SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations"
@@ -81,9 +126,18 @@ def jaccard(spark, d):
     return _previous(spark, d).select("conv_id", "turn", F.round(X.jaccard("text", "prev"), 6).alias("jaccard"), X.situation_overlaps("text", "prev").alias("overlaps"))
 
 
+def _gate_rules(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, rules.heuristic_gate("text")["reason"].alias("reason"))
+
+
 @query(_values("id, reason", (0, None), (1, None), (2, "casual greeting"), (3, "conversational followup"), (4, "too brief, no action signal"), (5, "too brief, no action signal")))
 def gate_rules(spark, d):
-    return _rows(spark, *MESSAGES).select("id", rules.heuristic_gate("text")["reason"].alias("reason"))
+    return _gate_rules(_rows(spark, *MESSAGES), "id")
+
+
+@query()
+def gate_rules_all(spark, d):
+    return _gate_rules(W.messages(spark, d), "conv_id", "turn")
 
 
 @query(
@@ -152,12 +206,20 @@ def backfill_status(spark, d):
     return W.table(spark, d, "labels").select("doc_id", rules.backfill_status(conf).alias("status"))
 
 
-@query(_values("id, wants, kept", (0, True, "image gen basics|plan"), (1, True, "image gen basics|plan"), (2, False, "plan")))
-def image_filter(spark, d):
-    q = _rows(spark, "generate a bright product image", "video editing tips", "plan a launch")
+def _image_filter(rows: DataFrame, *keys: str) -> DataFrame:
     titles = F.array(F.lit("image gen basics"), F.lit("plan"))
     kept = F.filter(titles, lambda t: X.wants_image("text") | ~F.lower(t).startswith(vocabulary.IMAGE_TITLE))
-    return q.select("id", X.wants_image("text").alias("wants"), F.array_join(kept, "|").alias("kept"))
+    return rows.select(*keys, X.wants_image("text").alias("wants"), F.array_join(kept, "|").alias("kept"))
+
+
+@query(_values("id, wants, kept", (0, True, "image gen basics|plan"), (1, True, "image gen basics|plan"), (2, False, "plan")))
+def image_filter(spark, d):
+    return _image_filter(_rows(spark, "generate a bright product image", "video editing tips", "plan a launch"), "id")
+
+
+@query()
+def image_filter_all(spark, d):
+    return _image_filter(W.messages(spark, d), "conv_id", "turn")
 
 
 @query(_values("id, ts, source, message", (0, "2024-03-01 10:00:00", "api", "started"), (1, "2024-03-01 10:05:30", "unknown", "slow query"), (2, "1970-01-01 11:00:01", "db", "down"), (3, None, "unknown", "no time at all")))

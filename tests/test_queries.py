@@ -1,7 +1,10 @@
 """Every query against its SQL on the smallest tables; the others must run."""
 
+import re
+
 import pytest
 
+from spindrift.functions import vocabulary
 from spindrift.plans.catalog import ORACLE_SQL, QUERIES
 
 from .oracle import spark_rows, sql_rows, views
@@ -78,3 +81,27 @@ def test_set_ops_and_promotion_take_whole_tables(spark, sf_dir):
     parts = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
     steps = {(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect() if r[1] in parts}
     assert sum(len(r["steps"].split(",")) for r in QUERIES["promote_chain_all"](spark, sf_dir).collect()) == len(steps)
+
+
+def test_text_rules_take_whole_tables(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    turns = {(r["conv_id"], r["turn"]): r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    marks = {k: list(dict.fromkeys(re.findall(r"\[[^\[\]\n]{1,120}\]", t))) for k, t in texts.items()}
+    held = {n: QUERIES[f"{n}_all"](spark, sf_dir).collect() for n in ("acronyms", "slots", "slot_fill", "placeholders", "density", "gate_rules", "image_filter")}
+    for n in ("acronyms", "slots", "slot_fill", "placeholders", "density"):
+        assert sorted(r["doc_id"] for r in held[n]) == sorted(texts)
+    for n in ("gate_rules", "image_filter"):
+        assert sorted((r["conv_id"], r["turn"]) for r in held[n]) == sorted(turns)
+    assert {r["doc_id"]: r["found"] for r in held["placeholders"]} == {k: ",".join(m) for k, m in marks.items()}
+    for r in held["density"]:
+        words = len([w for w in re.split(r"[ \t\n\x0b\f\r]+", texts[r["doc_id"]]) if w])
+        found = len(re.findall(vocabulary.SPEC_TOKEN, texts[r["doc_id"]], re.ASCII))
+        assert (r["words"], r["density"]) == (words, pytest.approx(found / words if words else 0, abs=1e-6))
+    names = "|".join(re.escape(a) for a in sorted(vocabulary.ACRONYMS, key=len, reverse=True))
+    for r in held["acronyms"]:
+        long = sum(len(x) + 3 for a in re.findall(rf"(?<!\w)(?:{names})(?!\w)", texts[r["doc_id"]]) for x in [vocabulary.ACRONYMS[a]])
+        assert len(r["text"] or "") == len(texts[r["doc_id"]]) + long
+    for r in held["image_filter"]:
+        wants = bool(re.search(vocabulary.IMAGE_QUERY, turns[r["conv_id"], r["turn"]]))
+        assert (r["wants"], r["kept"]) == (wants, "image gen basics|plan" if wants else "plan")
+    assert len({r["reason"] for r in held["gate_rules"]}) > 1
