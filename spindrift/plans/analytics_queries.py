@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assets, chains, evaluation, lifecycle, maintenance, rules
+from ..operators import assets, chains, chunking, evaluation, lifecycle, maintenance, rules
 from ..sources import events as logs
 from ..streaming import events as streams
 from . import views as W
@@ -519,12 +519,19 @@ def embed_missing(spark, d):
     return maintenance.embed_missing(p, "hash-64").select("id", "embedding", "embedding_version")
 
 
+def _chunk_vectors(p: DataFrame) -> DataFrame:
+    """id, chunk_id, embedding: a vector for each chunk of the whole text."""
+    from ..functions import plugins
+
+    cut = chunking.chunks(p, "id", "prompt_text")
+    return cut.select("id", (F.col("id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), plugins.embed(64)("chunk_text").alias("embedding"))
+
+
 @query()
 def engine_find(spark, d):
     from ..functions import plugins
     from .engine import Engine
 
     p = W.prompts(spark, d)
-    vectors = p.select("id", F.col("id").alias("chunk_id"), plugins.embed(64)(F.left("prompt_text", F.lit(4000))).alias("embedding"))
-    engine = Engine(p, vectors, embedder=plugins.embed(64))
+    engine = Engine(p, _chunk_vectors(p), embedder=plugins.embed(64))
     return engine.find(W.word_queries(spark, d))

@@ -315,7 +315,7 @@ def find_batch(spark, d, whole=False):
 def embed_plugin(spark, d):
     from ..functions.plugins import embed
 
-    return W.table(spark, d, "documents").select("doc_id", embed(64)(F.left("text", F.lit(4000))).alias("embedding"))
+    return W.table(spark, d, "documents").select("doc_id", embed(64)("text").alias("embedding"))
 
 
 @query()

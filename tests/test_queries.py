@@ -105,3 +105,19 @@ def test_text_rules_take_whole_tables(spark, sf_dir):
         wants = bool(re.search(vocabulary.IMAGE_QUERY, turns[r["conv_id"], r["turn"]]))
         assert (r["wants"], r["kept"]) == (wants, "image gen basics|plan" if wants else "plan")
     assert len({r["reason"] for r in held["gate_rules"]}) > 1
+
+
+def test_whole_texts_are_embedded(spark, sf_dir):
+    from spindrift.functions.plugins import hash_embedder
+    from spindrift.plans import analytics_queries
+    from spindrift.plans import views as W
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 4000
+    for r in QUERIES["embed_plugin"](spark, sf_dir).collect():
+        assert r["embedding"] == pytest.approx(hash_embedder(64)([texts[r["doc_id"]] or ""])[0].tolist(), abs=1e-6)
+    rows = analytics_queries._chunk_vectors(W.prompts(spark, sf_dir)).collect()
+    assert len({r["chunk_id"] for r in rows}) == len(rows)
+    assert {r["id"] for r in rows} == {i for i, t in texts.items() if t and t.strip()}
+    long = [r for r in rows if len(texts[r["id"]]) > 4000 and sum(x["id"] == r["id"] for x in rows) == 1]
+    assert long and all(r["embedding"] == pytest.approx(hash_embedder(64)([texts[r["id"]]])[0].tolist(), abs=1e-6) for r in long)
