@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_of
+from .common import cut, row_key, small, text_of
 
 #: Bytes of the word table (hashes, offsets and ids) up to which it is broadcast.
 BROADCAST_BYTES = 128 << 20
@@ -78,6 +78,10 @@ def words(text: Column, specials: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(specials)), F.lit(0))
 
 
+def _hash(word: Column) -> Column:
+    return F.xxhash64(word)
+
+
 def distinct_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     # outer: an inner explode would split each text twice, once for a filter on the number of its words that Spark infers
     return docs.select(F.explode_outer(words(text_of(text_col), vocabulary.specials)).alias("word")).filter("word IS NOT NULL").distinct()
@@ -106,7 +110,7 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
         _tokenizer.cache_clear()  # the worker goes on to other tasks, which have no use for it
 
     distinct = distinct_words(docs, vocabulary, text_col)
-    return cut(distinct.select("word", F.xxhash64("word").alias("hash")).mapInArrow(encode, "n long, n_ids long, hashes binary, sizes binary, ids binary"))
+    return cut(distinct.select("word", _hash(F.col("word")).alias("hash")).mapInArrow(encode, "n long, n_ids long, hashes binary, sizes binary, ids binary"))
 
 
 def _packed(table: DataFrame, vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -159,7 +163,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
 
     Null and empty texts have no ids. A special token's string in a text is that
     token. Rows that repeat are encoded alike. The shuffled way tells rows apart
-    by id and text.
+    by id and text. Texts are encoded whole, however long, and an empty table gives no rows.
     """
     vocabulary = Vocabulary(path)
     table = word_table(docs, vocabulary, text_col)
@@ -208,10 +212,10 @@ def _encode_shuffled(docs: DataFrame, pieces: Column, table: DataFrame, vocabula
     """The same by joins alone, on the words' hashes.
 
     Both sides are dealt by the join itself, so frequent words are skew that
-    adaptive execution splits. Two words of one hash, which at a billion words
-    is one chance in forty, would be mixed up and are an error instead.
+    adaptive execution splits. Two words may share a hash, which at a billion words
+    is one chance in forty: the words of such hashes are encoded again and joined by hash and word.
     """
-    width = vocabulary.width
+    source, width = docs.sparkSession.sparkContext.broadcast(vocabulary.source), vocabulary.width
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,12 +224,26 @@ def _encode_shuffled(docs: DataFrame, pieces: Column, table: DataFrame, vocabula
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, width).astype(np.int32)))
                 yield pa.record_batch([pa.array(np.frombuffer(hashes, np.int64)), lists], names=["hash", "ids"])
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _tokenizer(source.value)
+        for batch in batches:
+            lists = [e.ids for e in own.encode_batch_fast(batch["word"].to_pylist(), add_special_tokens=False)]
+            yield pa.record_batch([batch["hash"], batch["word"], pa.array(lists, pa.list_(pa.int32()))], names=["hash", "word", "ids"])
+
     single = cut(table.mapInArrow(unpack, "hash long, ids array<int>").groupBy("hash").agg(F.first("ids").alias("ids"), F.count("*").alias("n")))
-    if not single.filter("n > 1").isEmpty():
-        raise ValueError("two words share a 64-bit hash; raise broadcast_bytes, which tells them apart")
+    shared = cut(single.filter("n > 1").select("hash"))
     key = row_key(id_col, text_col)
-    rows = docs.select(*key, F.posexplode(pieces).alias("at", "word")).select("__id", "__text", "at", F.xxhash64("word").alias("hash"))
-    joined = rows.join(single.select("hash", "ids"), "hash").groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("parts"))
+    rows = docs.select(*key, F.posexplode(pieces).alias("at", "word")).withColumn("hash", _hash(F.col("word")))
+    known = single.filter("n = 1").select("hash", F.lit("").alias("odd"), "ids")
+    if shared.isEmpty():
+        rows = rows.withColumn("odd", F.lit(""))
+    else:
+        words_of = distinct_words(docs, vocabulary, text_col).select("word", _hash(F.col("word")).alias("hash")).join(small(shared), "hash", "left_semi")
+        told = words_of.select("hash", "word").mapInArrow(again, "hash long, word string, ids array<int>")
+        known = known.unionByName(told.select("hash", F.col("word").alias("odd"), "ids"))
+        marked = shared.withColumn("__shared", F.lit(True))
+        rows = rows.join(small(marked), "hash", "left").withColumn("odd", F.when(F.col("__shared"), F.col("word")).otherwise(F.lit("")))
+    joined = rows.select("__id", "__text", "at", "hash", "odd").join(known, ["hash", "odd"]).groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("parts"))
     ids = F.coalesce(F.flatten(F.transform("parts", lambda x: x["ids"])), F.array().cast("array<int>"))
     return docs.select("*", *key).join(joined, ["__id", "__text"], "left").select(*docs.columns, ids.alias(out))
 

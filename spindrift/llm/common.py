@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spindrift-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
     return context.getCheckpointDir()
 
 
+@contextmanager
+def stage_folder(spark: SparkSession, name: str):
+    """A fresh shared folder to write stages to, and a function that removes what a path in it holds."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove(path: str) -> None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+    try:
+        yield folder, remove
+    except BaseException:
+        remove(folder)
+        raise
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder and read from there, with lineage cut."""
     shared_folder(df.sparkSession)
@@ -60,8 +82,9 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     ]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """At most so many rows in an Arrow batch, as texts are long; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20) -> None:
+    """At most so many rows and bytes in an Arrow batch, as texts are long. This sets the session's limits; smaller ones stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        value = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < value <= most:
+            spark.conf.set(name, str(most))

@@ -6,8 +6,9 @@ by window in one pass: the hashes of a text's windows are exploded and probed
 against the table in the same stage, a hit is verified word by word against the
 benchmark's window, and only hits and one head row for each text are shuffled.
 
-The table is broadcast while it has at most ``broadcast_windows`` rows, which is
-counted first; beyond that the same join runs as a shuffled one.
+The table is broadcast while it has at most ``broadcast_windows`` rows and
+``BROADCAST_BYTES`` of words and item ids, which is counted first; beyond that the
+same join runs as a shuffled one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import cut, row_key, small, text_of
 
 N = 10
 BROADCAST_WINDOWS = 2_000_000
+BROADCAST_BYTES = 256 << 20
 
 #: The words of the contract after A-Z have been lower-cased; on raw text A-Z are added.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,38 +84,41 @@ def _placed(scanned: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
 
 
 def _hits(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
-    """Per distinct row of docs: __id, __text, id, copies, n_words, spans (from, length) of hits, items."""
+    """__id, __text, id, copies, n_words, spans (from, length) of hits, items: per distinct row of docs and task that reads it."""
     table = cut(table)
     lengths = sorted(r[0] for r in table.select(F.size("gram")).distinct().collect())  # n values at most
     own = _windowed(table.withColumn("w", F.col("gram")), lengths)
     hash_of = F.coalesce(*[F.when(F.size("gram") == k, F.get(f"__w{k}", F.lit(0))) for k in lengths], F.lit(None).cast("bigint"))
     table = own.select(hash_of.alias("hash"), "gram", "items")
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), words(text_of(text_col)).alias("w"))
+    # Copies of a row are put together within a task of the scan alone, so a frequent row comes out of as many tasks.
+    rows = docs.select(*row_key(id_col, text_col), F.spark_partition_id().alias("__task"), F.col(id_col).alias("id"), words(text_of(text_col)).alias("w"))
     # The exploding is outer, though no array is empty: from an inner one Spark infers a filter on the array's size, which
     # would compute the array a second time. Place 0 is the head row of a text; then all windows of the first length, of the second, ...
     rows = _windowed(rows, lengths)
     hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[F.col(f"__w{k}") for k in lengths])
     first = F.col("at") == 0
-    if table.count() <= broadcast_windows:
+    hit = F.struct("start", "span")
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + 8 * F.size("items") + 64), F.lit(0))).first()
+    if n <= broadcast_windows and size <= BROADCAST_BYTES:
         head = table.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("gram", "items")])
         scanned = rows.select("*", F.posexplode_outer(hashes).alias("at", "hash")).join(F.broadcast(table.unionByName(head)), "hash")
-        held = _placed(scanned.filter(first == F.col("gram").isNull()), lengths, "gram", "items")
-    else:
-        # Windows are shuffled without their words; the words join their hits again, which are few.
-        slim = rows.select("__id", "__text", F.posexplode_outer(hashes).alias("at", "hash")).filter(~first)
-        found = slim.join(table.select("hash").distinct(), "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
-        hits = _placed(rows.join(found, ["__id", "__text"]).select("__id", "__text", "id", "w", F.inline("hits")), lengths, "hash").join(table, "hash").drop("hash")
-        heads = _placed(rows.withColumn("at", F.lit(0)), lengths).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in ("gram", "items")})
-        held = heads.unionByName(hits)
-    held = held.filter(first | (F.col("window") == F.col("gram")))
-    hit = F.when(~first, F.struct("start", "span"))
-    return held.groupBy("__id", "__text").agg(
-        F.first("id").alias("id"),
-        F.count(F.when(first, 1)).alias("copies"),
-        F.first("n_words").cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(hit)).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(~first, F.col("items"))))).alias("items"),
-    )
+        held = _placed(scanned.filter(first == F.col("gram").isNull()), lengths, "__task", "gram", "items").filter(first | (F.col("window") == F.col("gram")))
+        return held.groupBy("__id", "__text", "__task").agg(
+            F.first("id").alias("id"),
+            F.count_if(first).alias("copies"),
+            F.first("n_words").cast("long").alias("n_words"),
+            F.sort_array(F.collect_set(F.when(~first, hit))).alias("spans"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(~first, F.col("items"))))).alias("items"),
+        ).drop("__task")
+    # Windows are shuffled without their words; the words join their hits again, which are few. Rows come by one each.
+    slim = rows.select("__id", "__text", F.posexplode_outer(hashes).alias("at", "hash")).filter(~first)
+    found = slim.join(table.select("hash").distinct(), "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
+    words_of = rows.select("__id", "__text", "id", "w").join(small(cut(found)), ["__id", "__text"]).dropDuplicates(["__id", "__text"])
+    hits = _placed(words_of.select("__id", "__text", "id", "w", F.inline("hits")), lengths, "hash").join(table, "hash").filter(F.col("window") == F.col("gram"))
+    spans = hits.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(hit)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    heads = rows.select("__id", "__text", "id", F.lit(1).cast("bigint").alias("copies"), F.size("w").cast("long").alias("n_words"))
+    none = [F.coalesce(c, F.array().cast(spans.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return heads.join(spans, ["__id", "__text"], "left").select("__id", "__text", "id", "copies", "n_words", *none)
 
 
 def _covered(spans: Column) -> Column:
@@ -132,7 +137,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Null and empty texts have no words and no hits, and so do all texts where the
     benchmark is empty or has no words. Rows that repeat id and text come back as
-    often as they came; an id with several texts has a row for each.
+    often as they came; an id with several texts has a row for each. Texts are
+    scanned whole, however long; other columns don't matter.
     """
     found = _hits(docs, grams(benchmark, item_col, item_text_col, n), id_col, text_col, broadcast_windows)
     rows = found.withColumn("n_hit", _covered(F.col("spans"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
@@ -152,7 +158,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, whole: bool, n: int = N, broadcast_windows: int = BROADCAST_WINDOWS, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     columns = docs.columns
     hits = _hits(docs, grams(benchmark, item_col, item_text_col, n), id_col, text_col, broadcast_windows).filter(F.size("spans") > 0)
-    hits = small(cut(hits.select("__id", "__text", "spans")))  # texts with hits are few, as a rule; then no text is shuffled
+    hits = small(cut(hits.select("__id", "__text", "spans").dropDuplicates(["__id", "__text"])))  # texts with hits are few, as a rule; then no text is shuffled
     keyed = docs.select("*", *row_key(id_col, text_col))
     if whole:
         return keyed.join(hits, ["__id", "__text"], "left_anti").select(*columns)

@@ -1,12 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each under its root-to-leaf tag path. For
-every path the text's length and its punctuation are added up and divided by
-the number of nodes; both ratios are smoothed over neighbouring paths in page
-order and fused, with the share of text outside links and with what the path
-itself says: a path through an article or a main part is content, one through
-navigation, forms or marked side matter isn't. Paths at the threshold or above are
-content, and their nodes come out in page order.
+A page is read once into blocks of text, each under its root-to-leaf path of
+block-level tags (inline tags such as links and emphasis are part of the block
+they stand in). For every path the length of its text and its punctuation are
+added up and divided by the number of its blocks. Both ratios are smoothed over
+the blocks in page order and fused:
+
+    fused = log(1 + text ratio) * (1 + log(1 + punctuation ratio)) * (1 - link share ** 2) * marks
+
+where marks are what the path itself says: side matter (by tag, class, id or
+role) and text outside the page's article or main part weigh less. A path is
+content at ``THRESHOLD`` of the page's mean or above; a path inside an article or
+main part has ``INSIDE`` of that mean added, times its share outside links, so
+short lines of an article stay and lists of links in it go.
+
+Time and memory are linear in the page: tags are found by scanning forward, open
+elements are held with an index by tag, and a path is a number that its parent
+path and its tag give.
 """
 
 from __future__ import annotations
@@ -22,138 +32,250 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: A path is content at this share of the mean fused ratio of its page.
-THRESHOLD = 0.25
-#: Added to the fused ratio of a path inside the page's article or main part; no path there falls below the threshold.
-INSIDE = 1.0
-_SMOOTH = np.array([0.25, 0.5, 0.25])
-
-_token = re.compile(
-    r"(?P<comment><!--.*?(?:-->|\Z))"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|(?P<mark><[!?][^>]*(?:>|\Z))"
-    # Quoted values may hold "<" and ">". Bounds on such a value and on the number of parts keep unclosed quotes from being
-    # read to the end of the page from every tag; what is longer is read without regard to quotes.
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'){0,400}+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_attribute = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+THRESHOLD = 0.5
+#: What is added to a path inside the page's article or main part, as a share of the mean.
+INSIDE = 0.6
+#: Factors of side matter, and of what lies outside the article or main part of a page that has one.
+SIDE, OUTSIDE = 0.05, 0.2
+#: Weights of a block and its neighbours in page order.
+SMOOTH = (0.25, 0.5, 0.25)
+
+_name = re.compile(r"[a-zA-Z][^\s/<>]*")
+_part = re.compile(r"[^>=]*(?:=\s*([\"'])?)?")
+_attribute = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*$", re.I)
+_bare = re.compile(r"[^\s>]*")
+_split = re.compile(r"[\s_\-]+")
 _punctuation = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-#: Elements whose text is never part of an article.
-_ASIDE = frozenset("head title nav aside footer form button select option dialog menu object canvas audio video".split())
+#: Elements whose inside isn't markup, and is no text of the page either.
+_RAW = frozenset("script style noscript template textarea iframe svg xmp".split())
+_raw_end = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in _RAW}
+#: Elements whose text can't be an article's.
+_NEVER = frozenset("head title nav form button select option dialog menu object canvas audio video".split())
+#: Elements that are side matter as a rule; a header is, outside an article.
+_ASIDE = frozenset("aside footer".split())
 #: Names in class, id or role that mark side matter.
 _SIDE = frozenset("ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay login signup search skip pagination pager complementary contentinfo form".split())
+#: Those of them that count on an article, main, body or html element too.
+_SIDE_ANYWHERE = frozenset("comment comments reply ad ads advert sponsored promo related".split())
 _MAIN = frozenset("main article content post entry story".split())
 #: What a start tag of these closes, if it is open and not further out than the stops.
-_ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr"}), "th": ("td th", {"tr"}), "option": ("option", {"select"})}
-_P_STOPS = frozenset("article aside body button caption div footer form header html main nav object section table td th".split())
+_ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+_ENDS = {tag: (ends.split(), stops.split()) for tag, (ends, stops) in _ENDS.items()}
+_P_ENDS = (["p"], "article aside body button caption div footer form header html main nav object section table td th".split())
+
+
+class Block:
+    """Text between block-level tags: its path's number, its pieces, and how much of it stands in links."""
+
+    __slots__ = ("path", "pieces", "linked")
+
+    def __init__(self, path: int):
+        self.path, self.pieces, self.linked = path, [], 0
+
+
+class _Reader:
+    """Reads a page forward; ``paths`` holds for each path its flags (side, main)."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.number: dict[tuple, int] = {(): 0}
+        self.paths: list[tuple[bool, bool]] = [(False, False)]
+        self.blocks: list[Block] = [Block(0)]
+        # Open elements: tag, path, (never, side, main), and by tag their places; the places of block-level ones; open links.
+        self.stack: list[tuple[str, int, tuple[bool, bool, bool]]] = [("", 0, (False, False, False))]
+        self.open: dict[str, list[int]] = {}
+        self.levels: list[int] = [0]
+        self.links = 0
 
+    def read(self) -> _Reader:
+        page, at, size, last = self.page, 0, len(self.page), self.page.rfind(">")
+        self.unclosed: set[str] = set()
+        while at < size:
+            start = page.find("<", at)
+            if start < 0:
+                start = size
+            if start > at:
+                self._text(page[at:start])
+            if start == size:
+                break
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            closes = page.startswith("/", start + 1)
+            found = _name.match(page, start + 1 + closes)
+            if found is None:
+                if page.startswith(("<!", "<?", "</"), start):
+                    at = page.find(">", start) + 1 if start < last else size
+                else:
+                    self._text("<")
+                    at = start + 1
+                continue
+            if start > last:  # a tag that the page's end cuts off
+                break
+            names, empty, at = self._attributes(found.end(), last)
+            tag = found[0].lower()
+            if closes:
+                self._end(tag)
+            else:
+                self._start(tag, names, empty)
+                if tag in _RAW:
+                    end = _raw_end[tag].search(page, at)
+                    at = end.end() if end else size
+                    self._end(tag)
+        return self
 
-class _Node:
-    __slots__ = ("tag", "path", "side", "main", "link")
+    def _attributes(self, at: int, last: int) -> tuple[set[str], bool, int]:
+        """Names in class, id and role; whether the tag closes itself; the place after its end."""
+        page, names = self.page, set()
+        if page[at] == ">":
+            return names, False, at + 1
+        while True:
+            m = _part.match(page, at)
+            quote, value = m[1], m.end()
+            if m.end() > m.start() and (quote or page[value - 1 : value].isspace() or page[value - 1] == "="):
+                if quote and quote not in self.unclosed:
+                    end = page.find(quote, value)
+                    if end >= 0:
+                        after = end + 1
+                    else:  # read on without regard to a quote that nothing closes
+                        self.unclosed.add(quote)
+                        end = after = _bare.match(page, value).end()
+                else:
+                    end = after = _bare.match(page, value).end()
+                if _attribute.search(page, max(at, value - 64), page.rindex("=", at, value)):
+                    names.update(_split.split(page[value:end].lower()))
+                at = after
+                continue
+            if value >= len(page):
+                return names, False, len(page)
+            return names, page[value - 1] == "/", value + 1
 
-    def __init__(self, tag: str, path: str, side: bool, main: bool, link: bool):
-        self.tag, self.path, self.side, self.main, self.link = tag, path, side, main, link
+    def _text(self, piece: str) -> None:
+        never = self.stack[-1][2][0]
+        if not never:
+            block = self.blocks[-1]
+            block.pieces.append(piece)
+            if self.links:
+                block.linked += len("".join(html.unescape(piece).split()))
 
+    def _block(self) -> None:
+        if self.blocks[-1].pieces:
+            self.blocks.append(Block(self.stack[self.levels[-1]][1]))
+        else:
+            self.blocks[-1].path = self.stack[self.levels[-1]][1]
 
-def _names(rest: str) -> set[str]:
-    found = set()
-    for m in _attribute.finditer(rest):
-        found.update(re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower()))
-    return found
+    def _pop(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag not in _INLINE:
+                self.levels.pop()
+            elif tag == "a":
+                self.links -= 1
 
+    def _end(self, tag: str) -> None:
+        places = self.open.get(tag)
+        if tag in _INLINE:
+            if places and places[-1] > self.levels[-1]:  # an inline end doesn't close the block it is in
+                self._pop(places[-1])
+            return
+        if places:
+            self._pop(places[-1])
+        self._block()
 
-def nodes(page: str) -> list[tuple[int, _Node, str]]:
-    """(block, element, text) of each text node in page order; a block is what no block-level tag interrupts."""
-    stack = [_Node("", "", False, False, False)]
-    out, block = [], 0
-    for m in _token.finditer(page):
-        text = m["text"]
-        if text is not None:
-            out.append((block, stack[-1], text))
-            continue
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue
-        tag, closes, rest = tag.lower(), m["close"] or m["close2"], m["rest"] or m["rest2"] or ""
+    def _start(self, tag: str, names: set[str], empty: bool) -> None:
         if tag == "br":
-            out.append((block, stack[-1], " "))
-            continue
-        if tag not in _INLINE:
-            block += 1
-        if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in _INLINE and stack[i].tag not in _INLINE:
-                    break  # an inline end doesn't close the block it is in
-            continue
+            self._text(" ")
+            return
+        if tag not in _INLINE and tag not in _VOID:
+            ends, stops = _ENDS.get(tag, _P_ENDS)
+            inside = [p[-1] for e in ends if (p := self.open.get(e))]
+            if inside:
+                limit = max((p[-1] for s in stops if (p := self.open.get(s))), default=0)
+                if max(inside) > limit:
+                    self._pop(min(i for i in inside if i > limit))
         if tag in _VOID:
-            continue
-        if tag not in _INLINE:
-            ends, stops = _ENDS.get(tag, ("p", _P_STOPS))
-            ends = ends.split()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if tag not in ("tr", "td", "th", "dt", "dd"):
-                        break
-                elif stack[i].tag in stops:
-                    break
-        top = stack[-1]
-        names = _names(rest) if "=" in rest else set()
+            if tag not in ("img", "wbr"):
+                self._block()
+            return
+        never, side, main = self.stack[-1][2]
         own = tag in ("article", "main", "body", "html")
-        side = top.side or tag in _ASIDE or (tag == "header" and not top.main) or bool(names & _SIDE and not (own and not names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}))
-        main = not side and (top.main or tag in ("article", "main") or "main" in names or bool(names & _MAIN and tag in ("div", "section", "td")))
-        if not rest.rstrip().endswith("/") or tag in _INLINE or tag in ("p", "div"):
-            stack.append(_Node(tag, f"{top.path}/{tag}", side, main, top.link or tag == "a"))
-    return out
-
-
-def extract(page: str | None) -> str:
-    """The page's main text: blocks of content, white space single, joined by a blank."""
-    found = [(b, n, html.unescape(t)) for b, n, t in nodes(page or "") if not n.side]
-    paths: dict[tuple[str, bool], list[float]] = {}
-    for _, n, t in found:
-        size = len("".join(t.split()))
-        if size:
-            sums = paths.setdefault((n.path, n.main), [0, 0, 0, 0])
-            sums[0] += size
-            sums[1] += len(_punctuation.findall(t))
-            sums[2] += 1
-            sums[3] += size * n.link
-    if not paths:
+        side = side or tag in _ASIDE or (tag == "header" and not main) or bool(names & (_SIDE_ANYWHERE if own else _SIDE))
+        main = not side and (main or tag in ("article", "main") or "main" in names or bool(names & _MAIN and tag in ("div", "section", "td")))
+        never = never or tag in _NEVER
+        path = self.stack[-1][1]
+        if tag not in _INLINE:
+            path = self.number.setdefault((path, tag, side, main), len(self.number))
+            if path == len(self.paths):
+                self.paths.append((side, main))
+        if empty and tag not in _INLINE and tag not in ("p", "div"):
+            self._block()
+            return
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in _INLINE:
+            self.links += tag == "a"
+        else:
+            self.levels.append(len(self.stack))
+        self.stack.append((tag, path, (never, side, main)))
+        if tag not in _INLINE:
+            self._block()
+
+
+def _smoothed(values: np.ndarray, path: np.ndarray, count: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+    """By path the mean of its blocks' smoothed values; each block has its path's value at first."""
+    reach = len(weights) // 2
+    blurred = np.convolve(np.pad(values[path], reach, mode="edge"), weights, mode="valid")
+    return np.bincount(path, blurred, len(values)) / count
+
+
+def extract(page: str | None, smooth: tuple[float, ...] = SMOOTH, punctuation: float = 1.0, threshold: float = THRESHOLD) -> str:
+    """The page's main text: blocks of content, white space single, joined by a blank.
+
+    punctuation is the weight of the punctuation ratio; smooth must have an odd length.
+    """
+    reader = _Reader(page or "").read()
+    kept = []
+    for b in reader.blocks:
+        raw = html.unescape("".join(b.pieces)) if any("&" in p for p in b.pieces) else "".join(b.pieces)
+        text = " ".join(raw.split())
+        if text:
+            kept.append((b.path, text, b.linked))
+    if not kept:
         return ""
-    length, marks, count, linked = np.array(list(paths.values()), float).T
-    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), _SMOOTH, mode="valid")
-    ratio = smooth(length / count) * (1 + smooth(marks / count)) * (1 - np.minimum(linked / length, 1)) ** 2
-    inside = np.array([main for _, main in paths])
-    fused = ratio / max(float((ratio * length).sum() / length.sum()), 1e-9)
-    if inside.any():  # outside an article, only what it lacks altogether could count
-        fused = np.where(inside, np.maximum(fused, THRESHOLD) + INSIDE, 0)
-    content = {key for key, x in zip(paths, fused, strict=True) if x >= THRESHOLD}
-    blocks: dict[int, list[str]] = {}
-    for b, n, t in found:
-        if (n.path, n.main) in content or not t.strip():
-            blocks.setdefault(b, []).append(t)
-    return " ".join(x for parts in blocks.values() if (x := " ".join("".join(parts).split())))
+    names, path = np.unique([p for p, _, _ in kept], return_inverse=True)
+    n = len(names)
+    size = np.array([len(t) - t.count(" ") for _, t, _ in kept], float)
+    count = np.bincount(path, minlength=n)
+    length = np.bincount(path, size, n)
+    marks = np.bincount(path, [len(_punctuation.findall(t)) for _, t, _ in kept], n)
+    linked = np.minimum(np.bincount(path, [x for _, _, x in kept], n) / length, 1)
+    side, main = np.array([reader.paths[i] for i in names]).T
+    text_ratio, mark_ratio = (_smoothed(x / count, path, count, smooth) for x in (length, marks))
+    unlinked = 1 - linked**2
+    fused = np.log1p(text_ratio) * (1 + punctuation * np.log1p(mark_ratio)) * unlinked
+    fused = fused * np.where(side, SIDE, 1) * np.where(main.any() & ~main & ~side, OUTSIDE, 1)
+    weight = fused * length
+    mean = (fused * weight).sum() / weight.sum() if weight.sum() > 0 else 0.0  # by fused text, so that much side matter doesn't lower it
+    content = (fused + main * INSIDE * mean * unlinked >= threshold * mean) & (fused > 0)
+    return " ".join(t for (_, t, _), i in zip(kept, path, strict=True) if content[i])
 
 
 def main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text as a column; a column of that name is replaced.
 
     Null, empty and broken pages are read as far as they go: unclosed comments and
-    scripts reach to the end, unclosed elements end with what encloses them. A
-    page without content has the empty text.
+    scripts reach to the end, a tag that the end cuts off is dropped, unclosed
+    elements end with what encloses them. A quote that nothing closes is no quote. A
+    page without content, or of links alone, has the empty text. A header inside an article or
+    main part belongs to it. Equal pages have equal texts; very long and very deep pages are read whole.
     """
 
     @F.arrow_udf("string")
     def read(batch: pa.Array) -> pa.Array:
-        return pa.array([extract(x) for x in batch.to_pylist()], pa.string())
+        return pa.array([extract(x.as_py()) for x in batch], pa.string())
 
     return pages.select(*[c for c in pages.columns if c != out], read(text_of(html_col)).alias(out))

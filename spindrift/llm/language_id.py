@@ -13,9 +13,10 @@ n characters has a cross-entropy of mean mu and deviation sigma / sqrt(n), both
 known from the training runs; a text ``REJECT_Z`` deviations and ``REJECT_SLACK``
 nats above is marked rejected.
 
-The model has a row for each distinct run, counted before they are collected. Up to
-``MAX_RUNS`` the tables are broadcast; above, the same tables of the same order stay
-on the cluster, and the distinct runs of the texts are joined with them.
+The model has a row for each distinct run and a cell in it for each language, counted
+before they are collected. Up to ``MAX_CELLS`` cells the tables are broadcast; above,
+the same tables of the same order stay on the cluster, and the distinct runs of the
+texts are joined with them. Each language and order has a discount of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, small, text_of
 
 ORDER = 4
-MAX_RUNS = 8_000_000
+#: Distinct runs of a language, times languages, that are collected and broadcast at most: about 40 bytes each.
+MAX_CELLS = 8_000_000
 REJECT_Z = 6.0
 REJECT_SLACK = 0.5
 _BLANK = np.uint16(32)
@@ -118,6 +120,11 @@ def count_runs(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return rows.mapInPandas(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
+def _discount(once: int, twice: int) -> float:
+    """Kneser-Ney's absolute discount from how many runs were counted once and twice."""
+    return min(0.9, max(0.1, once / (once + 2 * twice) if once + twice else 0.5))
+
+
 class Models:
     """Log-probabilities of all languages, an order after the other, from the highest."""
 
@@ -141,8 +148,7 @@ class Models:
         lower = None  # (keys, p by language) of the order below, with back-offs applied
         made = []
         for k, (run, code, n) in zip(range(1, order + 1), tables[::-1], strict=True):
-            n1, n2 = (n == 1).sum(), (n == 2).sum()
-            discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+            discount = np.array([_discount(a, b) for a, b in zip(*(np.bincount(code[n == x], minlength=len(self.langs)) for x in (1, 2)), strict=True)])
             contexts, at = np.unique(run >> np.uint64(16), return_inverse=True)
             total, kinds = np.zeros((len(contexts), len(self.langs))), np.zeros((len(contexts), len(self.langs)))
             np.add.at(total, (at, code), n)
@@ -151,7 +157,7 @@ class Models:
             keys, place = np.unique(run, return_inverse=True)
             p = np.zeros((len(keys), len(self.langs)))
             of = np.searchsorted(contexts, keys >> np.uint64(16))
-            p[place, code] = np.maximum(n - discount, 0) / total[at, code]
+            p[place, code] = np.maximum(n - discount[code], 0) / total[at, code]
             if lower is None:
                 below = np.full(p.shape, 1.0 / (self.units + 1))
             else:
@@ -225,10 +231,10 @@ class SharedModels:
         lower = None
         for k in range(1, order + 1):
             t = tables[k].withColumn("context", F.shiftrightunsigned("run", 16))
-            n1, n2 = t.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-            discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+            few = {r["code"]: _discount(r["a"], r["b"]) for r in t.groupBy("code").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect()}
+            discount = F.array(*[F.lit(few.get(i, 0.5)) for i in range(len(self.langs))])
             sums = t.groupBy("context", "code").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-            sums = sums.withColumn("gamma", F.lit(discount) * F.col("kinds") / F.col("total"))
+            sums = sums.withColumn("gamma", F.get(discount, F.col("code")) * F.col("kinds") / F.col("total"))
             contexts = self._by_lang(sums, "context", total=0.0, gamma=1.0)
             self.contexts[k] = cut(contexts.withColumn("back", F.transform("gamma", lambda g: F.log(g).cast("float"))))
             rows = self._by_lang(t, "run", n=0.0).withColumn("context", F.shiftrightunsigned("run", 16)).join(small(self.contexts[k]), "context")
@@ -236,7 +242,7 @@ class SharedModels:
                 rows = rows.withColumn("below", F.transform(self.codes, lambda _: F.lit(1.0 / (self.units + 1))))
             else:
                 rows = rows.withColumn("suffix", _last(F.col("run"), k - 1, order)).join(small(lower.select(F.col("run").alias("suffix"), F.col("p").alias("below"))), "suffix")
-            own = lambda i: F.when(F.get("n", i) > 0, F.greatest(F.get("n", i) - discount, F.lit(0.0)) / F.get("total", i)).otherwise(0.0)  # noqa: E731, B023
+            own = lambda i: F.when(F.get("n", i) > 0, F.greatest(F.get("n", i) - F.get(discount, i), F.lit(0.0)) / F.get("total", i)).otherwise(0.0)  # noqa: E731, B023
             p = F.transform(self.codes, lambda i: own(i) + F.get("gamma", i) * F.get("below", i))  # noqa: B023
             lower = cut(rows.select("run", "n", p.alias("p")).withColumn("logp", F.transform("p", lambda x: F.log(x).cast("float"))))
             self.keys[k] = lower
@@ -293,11 +299,11 @@ class SharedModels:
         return total.select("text_md5", F.transform("total", lambda x: x / F.col("size")).alias("mean"), "size")
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_runs: int = MAX_RUNS) -> Models | SharedModels | None:
-    """Models from all rows with a language, on the cluster if they have more than max_runs runs; None if there are no runs."""
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_cells: int = MAX_CELLS) -> Models | SharedModels | None:
+    """Models from all rows with a language, on the cluster if their tables have more than max_cells cells; None if there are no runs."""
     counts = cut(count_runs(docs, lang_col, text_col, order))
-    n = counts.count()
-    if n > max_runs:
+    n, langs = counts.agg(F.count("*"), F.count_distinct("lang")).first()
+    if n * langs > max_cells:
         return SharedModels(counts, order)
     return Models(counts.toPandas(), order) if n else None
 

@@ -5,7 +5,9 @@ truncated singular value decomposition on the driver. Its vectors, ``SAMPLE`` x
 ``RANK`` floats, are broadcast. Every document is folded into the space and its
 exact cosine with every labelled vector is computed, a block of documents
 against all of them in one matrix product; the ``NEIGHBOURS`` nearest vote with
-weights that fall with distance.
+weights that fall with distance. Cosines are taken in double precision and to
+nine digits, and of labelled vectors that tie the first in the sample is nearer,
+so a text's neighbours don't depend on the texts it is scored with.
 
 Terms are hashed: the shape of each word with its marks, pairs of shapes in
 sequence, words said twice running, and short words as they are.
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_of
+from .common import cut, fold, text_of
 
 #: Labelled texts that are sampled to fit: the bound of all that reaches the driver or is broadcast.
 SAMPLE = 6000
+#: Bytes of their texts; longer samples end before the text that exceeds it.
+SAMPLE_BYTES = 96 << 20
 TERMS = 2048
 RANK = 48
 NEIGHBOURS = 15
@@ -87,9 +91,9 @@ class Space:
         self.weight = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         for at in range(0, len(texts), BLOCK):
             x[at : at + BLOCK] = self._weighed(x[at : at + BLOCK])
-        self.project = self._right_vectors(x, rank)
+        self.project = self._right_vectors(x, rank).astype(np.float64)
         self.labels = np.array(labels, np.float32)
-        self.vectors = self._unit(x @ self.project)
+        self.vectors = self._unit(np.concatenate([x[at : at + BLOCK].astype(np.float64) @ self.project for at in range(0, len(x), BLOCK)]))
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
 
     @staticmethod
@@ -113,10 +117,11 @@ class Space:
         out = np.full(len(texts), self.prior)
         k = min(neighbours, len(self.labels))
         for at in range(0, len(texts), BLOCK):
-            vectors = self._unit(self._weighed(term_counts(texts[at : at + BLOCK])) @ self.project)
-            near = vectors @ self.vectors.T
-            top = np.argpartition(near, -k, axis=1)[:, -k:]
-            weight = np.exp(20 * (np.take_along_axis(near, top, axis=1).astype(np.float64) - 1))
+            vectors = self._unit(self._weighed(term_counts(texts[at : at + BLOCK])).astype(np.float64) @ self.project)
+            near = np.rint(vectors @ self.vectors.T * 1e9).astype(np.int64)
+            order = near * len(self.labels) - np.arange(len(self.labels))  # no two alike
+            top = np.sort(np.argpartition(order, -k, axis=1)[:, -k:], axis=1)
+            weight = np.exp(20 * (np.take_along_axis(near, top, axis=1) / 1e9 - 1))
             voted = ((weight * self.labels[top]).sum(axis=1) + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6)
             blank = ~vectors.any(axis=1)
             out[at : at + BLOCK] = np.where(blank, self.prior, voted)
@@ -124,10 +129,14 @@ class Space:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """Texts and labels of at most ``size`` labelled rows of the learning folds: those whose id hashes lowest."""
-    chosen = labels.filter(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__key"), F.col(label_col).cast("int").alias("__label")).orderBy(F.xxhash64(F.col("__key"), F.lit(7)), "__key").limit(size)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__key")).select(text_of(text_col).alias("text"), "__label", "__key").orderBy("__key", "text").limit(size)
-    return [(r["text"], r["__label"]) for r in rows.collect()]
+    """Texts and labels of at most ``size`` labelled rows of the learning folds: those whose id hashes lowest, up to SAMPLE_BYTES of text."""
+    chosen = labels.filter(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__key"), F.col(label_col).cast("int").alias("__label")).orderBy(F.xxhash64(F.col("__key"), F.lit(7)), "__key", "__label").limit(size)
+    rows = cut(docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__key")).select(text_of(text_col).alias("text"), "__label", "__key", F.xxhash64(F.col("__key"), F.lit(7)).alias("__order")))
+    order = ["__order", "__key", "text", "__label"]
+    # Sizes first, then the texts that they leave room for.
+    sizes = rows.select("__order", "__key", F.octet_length("text").alias("size")).orderBy("__order", "__key", "size").limit(size).collect()
+    room = sum(1 for total in np.cumsum([r["size"] for r in sizes]) if total <= SAMPLE_BYTES)
+    return [(r["text"], r["__label"]) for r in sorted(rows.orderBy(*order).limit(room).collect(), key=lambda r: (r["__key"], r["text"], r["__label"]))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> Space | None:
@@ -140,7 +149,8 @@ def score(docs: DataFrame, space: Space | None, text_col: str = "text", out: str
     """docs with the score (0 to 1, higher: label 1 likelier) as a column; a column of that name is replaced.
 
     Null, empty and blank texts have the sample's share of label 1, and where
-    nothing was learned every score is 0.5. Equal texts have equal scores.
+    nothing was learned every score is 0.5. Equal texts have equal scores. Whole
+    texts are counted, however long, and other columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(space)
 

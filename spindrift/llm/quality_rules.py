@@ -1,9 +1,10 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio (DataFrame functions only).
 
-Two multinomials over hashed n-grams of word shapes, one of a trusted
-target and one of the raw corpus, are counted over all documents. A document's
-score is the mean of log p_target - log p_raw over its n-grams, and it is kept
-at ``threshold`` or more: the same text has the same verdict in every run.
+Two multinomials over hashed n-grams (words as they are and pairs of words in
+sequence), one of a trusted target and one of the raw corpus, are counted over
+all documents. A document's score is the mean of log p_target - log p_raw over
+its n-grams, so its length doesn't count, and it is kept at ``threshold`` or
+more: the same text has the same verdict in every run.
 
 The trusted target is a condition on the row itself (strict base rules unless
 another is given), so the corpus is read twice and no text is ever shuffled.
@@ -12,18 +13,16 @@ The models are one table of ``BUCKETS`` rows, which bounds what is broadcast.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, cut, row_key, text_of
 
-BUCKETS = 1 << 16
-#: Added to each count of a bucket.
-SMOOTHING = 0.5
+BUCKETS = 1 << 18
+#: Occurrences of raw corpus that a bucket of the target is smoothed by, so rare n-grams say little.
+SMOOTHING = 10.0
 #: Least mean log-likelihood ratio of a kept document.
-THRESHOLD = -0.3
+THRESHOLD = -0.1
 _REPEAT = 8
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -71,42 +70,46 @@ def trusted(text_col: str = "text") -> Column:
     return (F.col("n_words") >= 20) & (50 * F.col("n_symbols") <= F.col("n_words")) & (F.col("n_dup_lines") == 0) & (4 * F.size(F.array_distinct("__w")) >= F.col("n_words")) & (8 * capitals <= F.length(text))
 
 
-def _shape(word: Column) -> Column:
-    """What an n-gram keeps of a word: its last two characters, and whether it is all in capitals."""
-    shout = (F.length(word) > 1) & (word == F.upper(word)) & (word != F.lower(word))
-    return F.concat(F.when(shout, F.lit("^")).otherwise(F.lit("")), F.right(word, F.lit(2)))
-
-
 def _grams(rows: DataFrame, *columns: str | Column) -> DataFrame:
-    """columns, at and bucket for every bigram of a text's words (__w); one row with null ones for a text without words.
+    """columns, at, one and two for every word of a text (__w): the buckets of the word and of it with the next; null ones for a text without words.
 
-    A bigram is the shapes of a word and the next one (none after the last), or of a word and "=" if the next is the same.
+    The last word has no second bucket.
     """
     word, after = F.col("__word"), F.get("__w", F.col("at") + 1)
-    second = F.when(after.isNull(), F.lit("")).when(after == word, F.lit("=")).otherwise(_shape(after))
-    return rows.select("__w", *columns, F.posexplode_outer("__w").alias("at", "__word")).select(*columns, "at", F.pmod(F.xxhash64(_shape(word), second), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    spread = rows.select("__w", *columns, F.posexplode_outer("__w").alias("at", "__word"))
+    return spread.select(*columns, "at", F.when(word.isNotNull(), bucket(word)).alias("one"), F.when(after.isNotNull(), bucket(word, after)).alias("two"))
 
 
 def models(rows: DataFrame) -> DataFrame:
     """bucket, llr: from rows with __w and __trusted; BUCKETS rows at most."""
-    counts = cut(_grams(rows, "__trusted").filter("at IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("__trusted"), 1)).alias("target")))
+    grams = _grams(rows, "__trusted").select("__trusted", F.explode(F.array("one", "two")).alias("bucket")).filter("bucket IS NOT NULL")
+    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("__trusted").alias("target")))
     total = counts.agg(F.sum("raw"), F.sum("target")).first()
-    base = math.log(((total[0] or 0) + SMOOTHING * BUCKETS) / ((total[1] or 0) + SMOOTHING * BUCKETS))
-    return counts.select("bucket", (F.log((F.col("target") + SMOOTHING) / (F.col("raw") + SMOOTHING)) + F.lit(base)).alias("llr"))
+    share = (total[1] or 0) / (total[0] or 1)
+    if not share:
+        return counts.select("bucket", F.lit(0.0).alias("llr"))
+    return counts.select("bucket", F.log((F.col("target") + SMOOTHING * share) / (share * (F.col("raw") + SMOOTHING))).alias("llr"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """id, base counts, base_failed, score, kept: one row for every row of docs.
 
     Null and empty texts have no words and fail the base rules; a text without
-    words has score 0. If no row is trusted, the models differ by smoothing
-    alone. Rows that repeat come back as often as they came.
+    words has score 0. If no row is trusted, all scores are 0. Rows that repeat come back as often as they came; equal texts have
+    equal scores (to nine digits). A very long text is one row of its words at a
+    time, whatever other columns there are.
     """
     rows = base_counts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumn("__trusted", F.coalesce(target if target is not None else trusted(), F.lit(False)))
-    llr = F.broadcast(models(rows))
+    llr = cut(models(rows))
     key = row_key("id", "text")
-    scored = _grams(rows.withColumns({"__id": key[0], "__text": key[1]}), "__id", "__text", "id", *_BASE, "base_failed").join(llr, "bucket", "left")
+    # Copies of a row are put together within a task of the scan alone, so a frequent row comes out of as many tasks.
+    keyed = rows.withColumns({"__id": key[0], "__text": key[1], "__task": F.spark_partition_id()})
+    scored = _grams(keyed, "__id", "__text", "__task", "id", *_BASE, "base_failed")
+    for gram in ("one", "two"):
+        scored = scored.join(F.broadcast(llr.select(F.col("bucket").alias(gram), F.col("llr").alias(f"__{gram}"))), gram, "left")
     firsts = [F.first(c).alias(c) for c in ("id", *_BASE, "base_failed")]
-    one = scored.groupBy("__id", "__text").agg(*firsts, F.count(F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, 1)).alias("copies"), F.avg("llr").alias("score"))
-    out = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    mean = (F.sum("__one") + F.coalesce(F.sum("__two"), F.lit(0.0))) / (F.count("__one") + F.count("__two"))
+    one = scored.groupBy("__id", "__text", "__task").agg(*firsts, F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("copies"), mean.alias("score"))
+    out = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     return out.select(F.col("id").alias(id_col), *_BASE, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))

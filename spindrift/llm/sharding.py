@@ -6,10 +6,12 @@ records it wins, and one that is taken away only those it held, whatever the
 number of shards; weights change shares in proportion.
 
 All is an expression on the row: placing needs no shuffle. Slots (numbers
-without gaps inside a shard) take one shuffle of three small columns: rows are
-dealt into ``BUCKETS`` hash buckets a shard, numbered inside the bucket, and
-shifted by the sizes of the buckets before, a table of shards x BUCKETS rows at
-most, which is why it may be broadcast.
+without gaps inside a shard) take one shuffle of small columns, which are written
+first, so that texts are read once: rows are dealt into hash buckets, numbered
+inside the bucket, and shifted by the sizes of the buckets before. A row's bucket
+comes from its columns and the task that read it, so rows that repeat without end
+don't meet in one bucket. There are enough buckets to keep each near
+``BUCKET_ROWS`` rows; the table of their sizes is broadcast while small.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, small, text_of
 
-#: Hash buckets a shard for numbering; the offsets broadcast have shards x BUCKETS rows at most.
-BUCKETS = 1024
+#: Hash buckets a shard for numbering, at least; and the rows of a bucket from which on there are more.
+BUCKETS, BUCKET_ROWS = 256, 500_000
 
 
 def _scores(key: Column, weights: Sequence[float]) -> list[Column]:
@@ -61,12 +63,16 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown: Sequen
         F.crc32(binary).alias("text_crc32"),
         place(F.col(id_col), weights).alias("shard"),
         place(F.col(id_col), grown).alias("grown_shard"),
-    ).withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_col), "size", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+        F.spark_partition_id().alias("__task"),
+    )
+    rows = cut(rows.withColumn("__hash", F.xxhash64(F.col(id_col), "size", "text_crc32", "__task")).drop("__task"))
+    buckets = max(BUCKETS, rows.count() // (len(weights) * BUCKET_ROWS))
+    rows = rows.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    offsets = cut(sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from")))
     inside = Window.partitionBy("shard", "__bucket").orderBy(F.col(id_col), "size", "text_crc32")
     numbered = rows.withColumn("__at", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "__bucket"]).select(
+    return numbered.join(small(offsets), ["shard", "__bucket"]).select(
         F.col(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__from") + F.col("__at")).alias("slot"), "grown_shard"
     )

@@ -11,8 +11,11 @@
    parent's don't. A search adds up, from the root down, the differences in the
    factored bits and drops a node with all its members once they exceed the distance.
 4. Roots with more than ``CHUNK`` members are dealt into chunks, and each pair of
-   chunks is a task of its own, so no task holds a large group. Copies share one
-   fingerprint and so one member.
+   chunks is a task of its own, so no task holds a large group. That copies a member
+   once for each chunk, so a root of more than ``DENSE`` chunks is first put under finer
+   roots, the same choice of blocks among the bits that it leaves open, wherever
+   counting them shows that this makes less than half as many rows; at most ``LEVELS``
+   times. Copies share one fingerprint and so one member.
 5. A task returns a spanning forest of its links, not all pairs; minimum labels
    with pointer jumping join the forests in checkpointed rounds on the cluster.
 """
@@ -22,15 +25,16 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, small, text_of
 
 DISTANCE = 4
 WORDS = 4
@@ -38,6 +42,8 @@ WORDS = 4
 FANOUT = 16
 #: Members of a root in one task's half; larger roots are dealt into chunks of about this many.
 CHUNK = 512
+#: Chunks of a root from which on finer roots are tried, blocks of a finer choice, and how often roots may be refined.
+DENSE, FINER, LEVELS = 8, 6, 3
 
 #: Queries of a search at once.
 QUERIES = 256
@@ -129,11 +135,16 @@ def blocks_for(n: int, distance: int = DISTANCE) -> int:
     return next((m for m in range(distance + 1, 2 * distance + 1) if n <= 256 << (64 * (m - distance) // m)), 2 * distance)
 
 
-def _roots(m: int, distance: int) -> list[np.uint64]:
-    """The masks of all choices of m - distance out of m blocks."""
-    edges = [64 * i // m for i in range(m + 1)]
-    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(m)]
-    return [np.uint64(sum(block[i] for i in chosen)) for chosen in itertools.combinations(range(m), m - distance)]
+def _roots(m: int, distance: int, fixed: int = 0) -> list[int]:
+    """The masks of all choices of m - distance out of m blocks of the bits outside ``fixed``, with fixed itself."""
+    free = [1 << i for i in range(64) if not fixed >> i & 1]
+    edges = [len(free) * i // m for i in range(m + 1)]
+    block = [sum(free[edges[i] : edges[i + 1]]) for i in range(m)]
+    return [fixed | sum(block[i] for i in chosen) for chosen in itertools.combinations(range(m), m - distance)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def _forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,18 +168,48 @@ def _forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         label = low
 
 
+def _chunks(n: str) -> Column:
+    return F.ceil(F.col(n) / CHUNK).cast("long")
+
+
+def _under(masks: list[int], first: int) -> Column:
+    """Structs of root (numbered from first) and value for a fingerprint under each mask."""
+    return F.array(*[F.struct(F.lit(first + i).alias("root"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("value")) for i, mask in enumerate(masks)])
+
+
+def _pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """root, value, i, j, fp: a member of chunk c meets every chunk d as the pair (least, greatest) of c and d."""
+    dealt = rows.join(sizes, ["root", "value"]).withColumn("k", _chunks("n")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")))
+    spread = dealt.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return spread.select("root", "value", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp")
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """src, dst: links among distinct fingerprints (column fp) whose parts are those of all links."""
     n = distinct.count()
-    masks = [int(x.view(np.int64)) for x in np.array(_roots(blocks_for(n, distance), distance))]
-    root = F.explode(F.array(*[F.struct(F.lit(i).alias("root"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for i, mask in enumerate(masks)])).alias("r")
-    rows = distinct.select("fp", root).select("fp", "r.root", "r.value")
-    sizes = rows.groupBy("root", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    # Chunk pairs: a member of chunk c meets every chunk d as the pair (least, greatest) of c and d.
-    dealt = rows.join(sizes, ["root", "value"]).withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    pairs = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("root", "value", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp")
+    masks, first, pairs = _roots(blocks_for(n, distance), distance), 0, []
+    rows = distinct.select("fp", F.explode(_under(masks, first)).alias("r")).select("fp", "r.root", "r.value")
+    for level in range(LEVELS):
+        sizes = cut(rows.groupBy("root", "value").agg(F.count("*").alias("n")).filter("n > 1"))
+        dense = sizes.filter(_chunks("n") > DENSE)
+        if level == LEVELS - 1 or dense.isEmpty():
+            pairs.append(_pairs(rows, sizes))
+            break
+        finer = [_roots(FINER, distance, mask) for mask in masks]
+        flat, after = [m for own in finer for m in own], first + len(masks)
+        # The finer roots of root r are a slice of all of them; only dense roots' members come here.
+        own = F.slice(F.array(*[F.lit(_signed(m)) for m in flat]), (F.col("root") - first) * len(finer[0]) + 1, F.lit(len(finer[0])))
+        numbered = F.transform(own, lambda mask, i: F.struct((F.lit(after) + (F.col("root") - first) * len(finer[0]) + i).cast("int").alias("root"), F.col("fp").bitwiseAND(mask).alias("value")))
+        split = rows.join(small(dense), ["root", "value"]).select("root", "value", "n", "fp", F.explode(numbered).alias("r"))
+        cost = split.groupBy("root", "value", "n", "r").agg(F.count("*").alias("m")).groupBy("root", "value", "n").agg(F.sum(F.col("m") * _chunks("m")).alias("cost"))
+        pays = cut(cost.filter(2 * F.col("cost") < F.col("n") * _chunks("n")).select("root", "value"))
+        pairs.append(_pairs(rows, sizes.join(small(pays), ["root", "value"], "left_anti")))
+        if pays.isEmpty():
+            break
+        rows = cut(split.join(small(pays), ["root", "value"], "left_semi").select("fp", "r.root", "r.value"))
+        masks, first = flat, after
     keys = ["root", "value", "i", "j"]
-    tasks = pairs.repartition(*keys).sortWithinPartitions(*keys)
+    tasks = reduce(DataFrame.unionByName, pairs).repartition(*keys).sortWithinPartitions(*keys)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -223,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have fingerprint zero and are linked like any
     other. Rows of one text share a component. A null id belongs to its
     component but doesn't name it; a component of null ids alone has a null name.
-    Rows that repeat an id each come back. Empty tables give no rows.
+    Rows that repeat an id each come back. Empty tables give no rows. Whole texts
+    are read, however long, and other columns don't matter.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words).select(F.col(id_col).alias("id"), "fp"))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
