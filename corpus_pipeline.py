@@ -3,18 +3,21 @@
 Each stage gets the rows that its predecessor wrote and returns rows with the
 columns of documents; the last returns the tokenised digest. run() writes each
 stage's rows to the checkpoint folder and reads them again, which cuts lineage
-and lets a stage be retried from what is on shared storage.
+and lets a stage be retried from what is on shared storage; what a stage wrote is
+removed once the next one has been written.
+
+All stages take null texts and ids, empty and very long texts, rows that repeat,
+empty tables and columns beyond those of documents, which they hand on as they
+are. A null text stays null where its row stays.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, line_dedup, simhash
-from spindrift.llm.common import cut, read, shared_folder, small
+from spindrift.llm.common import cut, read, small, stage_folder
 from spindrift.llm.queries import bpe_digest, quality_scores, tokenizer_path
 
 #: Documents with a lower score go.
@@ -22,18 +25,29 @@ QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that their labelled neighbours vote for."""
+    """Documents that their labelled neighbours vote for.
+
+    Null, empty and blank texts have no neighbours and the share of good labels as
+    their score, so they stay while at least QUALITY of the labels are good. Equal texts are treated alike.
+    """
     return quality_scores(docs, spark, sf_dir, "__score").filter(F.col("__score") >= QUALITY).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that many sites share, but for one place of each; n_chars follows."""
+    """Texts without lines that many sites share, but for one place of each; n_chars follows.
+
+    No row goes: a text whose lines all go is empty. A null text stays, with its n_chars; a null source is a site of its own.
+    """
     cleaned = line_dedup.dedup(docs).select(*docs.columns)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document that names it; rows that repeat its id and text stay once."""
+    """Of each group of near-duplicates the document that names it; rows that repeat its id and text stay once.
+
+    Null, empty and blank texts are one group. Rows are told apart by doc_id, and rows without one are one document:
+    all rows of a document that names a group stay, once for each text, whatever group its other texts are in.
+    """
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     named = cut(simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.count_if(own).alias("__n")))
     gone, again = named.filter("__n = 0"), named.filter("__n > 1")
@@ -46,12 +60,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none, and all copies are treated alike."""
     return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; a null text is an empty one, with no tokens."""
     return bpe_digest(docs, tokenizer_path(spark))
 
 
@@ -66,10 +80,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    with stage_folder(spark, "pipeline") as (folder, remove):
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(f"{folder}/{k - 1}")
     return docs
 
 
