@@ -28,8 +28,9 @@ TERM = r"[A-Za-z0-9_][\p{L}\p{N}_./-]*"
 
 
 def raw_terms(text: Column | str) -> Column:
-    """Lower-cased literal terms in order, repeats included."""
-    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
+    """Lower-cased literal terms in order, repeats included. Terms hold no blanks, so all are lowered at once."""
+    found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(TERM), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.array_join(found, " ")), " "), "")
 
 
 def exact_terms(query: Column | str) -> Column:
@@ -43,18 +44,8 @@ def doc_terms(text: Column | str) -> Column:
     return F.array_distinct(raw_terms(text))
 
 
-def stem(token: Column) -> Column:
-    """A light English stem: plural, -ed and -ing endings go where enough of the word stays."""
-    s = F.regexp_replace(token, r"(?<=\p{L}{2})(?:sses|ss)\z", "ss")
-    s = F.regexp_replace(s, r"(?<=\p{L}{2})ies\z", "y")
-    s = F.regexp_replace(s, r"(?<=\p{L}{2}[^su])s\z", "")
-    return F.regexp_replace(s, r"(?<=\p{L}{3})(?:ing|ed|ly)\z", "")
-
-
-def lexemes(text: Column | str) -> Column:
-    """Stemmed lexemes in order, repeats included."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.transform(tokens, stem)
+#: A token of stemmed search: a run of letters and digits.
+LEXEME = re.compile(r"[^\W_]+")
 
 
 def slugify(name: Column | str) -> Column:

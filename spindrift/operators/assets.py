@@ -77,9 +77,13 @@ def persistent_alerts(samples: DataFrame, threshold: float, window: str = "5 min
 
 
 def baseline(samples: DataFrame, days: int = 7) -> DataFrame:
-    """samples (day, value) with the average and the 95th percentile over the days before and itself."""
-    w = Window.orderBy("day").rowsBetween(-(days - 1), 0)
-    return samples.withColumns({"avg_over": F.avg("value").over(w), "p95_over": F.percentile("value", F.lit(0.95)).over(w)})
+    """samples (day, value) with the average and the 95th percentile over the days before and itself; days without a sample count as days, not as samples.
+
+    Each sample is handed to the days that it counts for, so days are worked out apart from each other.
+    """
+    reach = samples.select("day", "value", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("k")).select(F.date_add("day", F.col("k")).alias("day"), F.col("value").alias("other"))
+    over = reach.groupBy("day").agg(F.avg("other").alias("avg_over"), F.percentile("other", F.lit(0.95)).alias("p95_over"))
+    return samples.join(over, "day")
 
 
 def top_slow(rows: DataFrame, total: Column, calls: Column, k: int = 10) -> DataFrame:
@@ -88,8 +92,56 @@ def top_slow(rows: DataFrame, total: Column, calls: Column, k: int = 10) -> Data
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """ts, source, message of raw lines; without a time the line is kept with a null one."""
+    """lines with ts, source and message in place of raw; without a time the line is kept with a null one."""
     raw = F.col("raw")
     tag = F.nullif(F.regexp_extract(F.regexp_replace(raw, r"^\[?\d[^\]\s]*(?: \d{2}:\d{2}:\d{2})?\]?\s*", ""), r"\[([^\]]+)\]", 1), F.lit(""))
     message = F.trim(F.regexp_replace(F.regexp_replace(raw, r"^\[?\d[^\]\s]*(?: \d{2}:\d{2}:\d{2})?\]?\s*", ""), r"\[[^\]]+\]\s*", ""))
-    return lines.select(X.parse_timestamp(raw).alias("ts"), F.coalesce(tag, F.lit("unknown")).alias("source"), message.alias("message"))
+    return lines.select(*[c for c in lines.columns if c != "raw"], X.parse_timestamp(raw).alias("ts"), F.coalesce(tag, F.lit("unknown")).alias("source"), message.alias("message"))
+
+
+def _first(rows: DataFrame, k: int | None, order: Column, key: str) -> DataFrame:
+    out = rows.orderBy(order, key)
+    return out if k is None else out.limit(k)
+
+
+def _hit_share(hits: str = "hits", reads: str = "reads") -> Column:
+    return F.try_divide(F.col(hits).cast("double"), F.col(hits) + F.col(reads))
+
+
+def low_cache(statements: DataFrame, k: int = 20, least_reads: int = 100, share: float = 0.90) -> DataFrame:
+    """Statements (query, calls, total, hits, reads) that read much past the cache, most reads first."""
+    rows = statements.withColumns({"cache_hit_pct": F.round(_hit_share() * 100, 1), "mean": F.round(F.try_divide("total", "calls"), 2)})
+    return _first(rows.filter((F.col("reads") > least_reads) & (_hit_share() < share)).select("query", "calls", "reads", "hits", "cache_hit_pct", "mean"), k, F.desc("reads"), "query")
+
+
+def full_scans(tables: DataFrame, k: int = 20, least_scans: int = 50, least_rows: int = 10_000) -> DataFrame:
+    """Large tables (table, seq_scan, seq_read, idx_scan, live) that are often read whole, most rows read first."""
+    pct = F.when(F.col("idx_scan") > 0, F.round(F.col("seq_scan") * 100 / (F.col("seq_scan") + F.col("idx_scan")), 1)).otherwise(100.0)
+    rows = tables.filter((F.col("seq_scan") > least_scans) & (F.col("live") > least_rows)).withColumn("seq_scan_pct", pct)
+    return _first(rows.select("table", "seq_scan", "seq_read", "idx_scan", "live", "seq_scan_pct"), k, F.desc("seq_read"), "table")
+
+
+def missing_indexes(tables: DataFrame, k: int = 15, least_scans: int = 100, least_read: int = 100_000) -> DataFrame:
+    """Tables read whole again and again while an index is used for less than a tenth of that."""
+    rare = F.col("idx_scan").isNull() | (F.col("idx_scan") < F.col("seq_scan") * 0.1)
+    rows = tables.filter((F.col("seq_scan") > least_scans) & (F.col("seq_read") > least_read) & rare)
+    return _first(rows.select("table", "seq_scan", "seq_read", "idx_scan", "live", F.round(F.try_divide(F.col("seq_read").cast("double"), "seq_scan"), 0).alias("rows_per_scan")), k, F.desc("seq_read"), "table")
+
+
+def unused_indexes(indexes: DataFrame, k: int = 20, most_scans: int = 10) -> DataFrame:
+    """Indexes (index, table, idx_scan, size) hardly used, the largest first; those of primary and unique keys stay."""
+    rows = indexes.filter((F.col("idx_scan") < most_scans) & ~F.col("index").endswith("_pkey") & ~F.col("index").endswith("_unique"))
+    return _first(rows.select("index", "table", "idx_scan", "size"), k, F.desc("size"), "index")
+
+
+def bloat(tables: DataFrame, k: int = 20, least_dead: int = 1000) -> DataFrame:
+    """Tables (table, live, dead) with many dead rows."""
+    pct = F.when(F.col("live") > 0, F.round(F.col("dead") * 100 / F.col("live"), 1)).otherwise(0.0)
+    return _first(tables.filter(F.col("dead") > least_dead).select("table", "live", "dead", pct.alias("dead_pct")), k, F.desc("dead"), "table")
+
+
+def long_running(sessions: DataFrame, as_of: Column, minutes: int = 5) -> DataFrame:
+    """Sessions (pid, state, query, started) that aren't idle and run for longer, the longest first, with their seconds."""
+    seconds = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
+    rows = sessions.withColumn("seconds", seconds).filter((F.col("seconds") > minutes * 60) & (F.col("state") != "idle"))
+    return _first(rows.select("pid", "state", "query", "seconds"), None, F.desc("seconds"), "pid")

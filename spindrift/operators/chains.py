@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import retrieval
 
 BEAM, LONGEST = 10, 5
 STAGE_FLOOR = -3.0
@@ -60,12 +61,6 @@ def serving_outcome(served: DataFrame, used: DataFrame, rewards: DataFrame, seco
     return rows.select("episode_id", "ts", F.col("final_text").isNotNull().alias("used"), F.coalesce(distance > 0, F.lit(False)).alias("edited"), distance.alias("edit_distance"), "requeried", F.coalesce("reward", F.lit(0.0)).alias("reward"))
 
 
-def precision_at(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, precision: the share of the first k hits that are gold. hits: query_id, id, rank; gold: query_id, gold_id."""
-    good = gold.select("query_id", F.col("gold_id").alias("id"), F.lit(1).alias("good")).distinct()
-    return hits.filter(F.col("rank") <= k).join(good, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("good") / k).alias("precision"))
-
-
 def cluster_labels(vectors: DataFrame, labels: DataFrame, k: int = 8, seed: int = 7) -> DataFrame:
     """id, cluster, label: k-means clusters, each with the label of its labelled member nearest the centre. vectors: id, embedding; labels: id, label."""
     from pyspark.ml.clustering import KMeans
@@ -79,3 +74,57 @@ def cluster_labels(vectors: DataFrame, labels: DataFrame, k: int = 8, seed: int
     far = F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     near = placed.join(labels, "id").groupBy("cluster").agg(F.min_by("label", F.struct(far, "id")).alias("label"))
     return placed.select("id", "cluster").join(F.broadcast(near), "cluster", "left").select("id", "cluster", "label")
+
+
+#: Weights and thresholds of the specified scores.
+PROMPT_WEIGHTS = {"dense_sim": 0.35, "lexical_sim": 0.25, "metadata_match": 0.15, "stage_fit": 0.10, "quality_prior": 0.10, "freshness": 0.05}
+CHAIN_WEIGHTS = {"avg_prompt_score": 0.45, "workflow_coverage": 0.25, "transition_coherence": 0.15, "non_redundancy": 0.10, "confidence_margin": 0.05}
+T_SINGLE, T_CHAIN, DELTA = 0.76, 0.72, 0.06
+
+
+def weighted_score(weights: dict[str, float], penalty: Column | float = 0.0) -> Column:
+    """The weighted sum of the columns named, less a penalty; a null column counts as 0."""
+    total = sum((w * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    return total - (F.lit(penalty) if isinstance(penalty, float) else penalty)
+
+
+def best_chains(chains: DataFrame) -> DataFrame:
+    """The best chain of each query (query_id, chain_id, chain_score, workflow_coverage, quality_prior, redundancy, last_updated): ties by coverage, prior, less redundancy, then the latest."""
+    order = [F.desc("chain_score"), F.desc("workflow_coverage"), F.desc("quality_prior"), F.asc("redundancy"), F.desc("last_updated"), F.asc("chain_id")]
+    return chains.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def select_mode(single: Column, chain: Column, t_single: float = T_SINGLE, t_chain: float = T_CHAIN, delta: float = DELTA) -> Column:
+    """single, chain or clarify from the best scores of each; a missing one never wins."""
+    s, c = F.coalesce(single, F.lit(float("-inf"))), F.coalesce(chain, F.lit(float("-inf")))
+    return F.when((s >= t_single) & ~(c - s >= delta), "single").when(c >= t_chain, "chain").otherwise("clarify")
+
+
+def copies(items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, copy_of: for each item the least id among those whose text is the same but for case and white space."""
+    key = X.content_hash(X.normalize(text_col))
+    first = items.groupBy(key.alias("__h")).agg(F.min(id_col).alias("copy_of"))
+    return items.select(F.col(id_col).alias("id"), key.alias("__h")).join(first, "__h").select("id", "copy_of")
+
+
+def expand_neighbours(pool: DataFrame, vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataFrame:
+    """query_id, id, via: candidates, and the items of a cosine of the threshold or more to one of them (the k nearest of each), each once; via is null for the pool's own.
+
+    pool: query_id, id, which is small beside vectors: id, embedding. Its distinct items are searched for exactly.
+    """
+    own = pool.select("query_id", "id", F.lit(None).cast(pool.schema["id"].dataType).alias("via"))
+    asked = vectors.join(retrieval.bounded(pool.select("id").distinct()), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    near = retrieval.dense_topk(vectors, asked, k, skip_self=True).filter(F.col("score") >= threshold).select(F.col("query_id").alias("via"), "id")
+    more = pool.select("query_id", F.col("id").alias("via")).join(near, "via").join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return own.unionByName(more.groupBy("query_id", "id").agg(F.min("via").alias("via")))
+
+
+def dedupe_pool(pool: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """pool (query_id, id, arrival, content_hash, embedding) without rows that an earlier one of their query equals in hash, or meets in cosine.
+
+    A pool is capped for each query, so its rows are compared within the query.
+    """
+    a = pool.select("query_id", F.col("arrival").alias("__a"), F.col("content_hash").alias("__h"), F.col("embedding").alias("__v"))
+    earlier = (F.col("__a") < F.col("arrival")) & ((F.col("__h") == F.col("content_hash")) | (retrieval.cosine("__v", "embedding") >= threshold))
+    gone = pool.join(a, "query_id").filter(earlier).select("query_id", "arrival").distinct()
+    return pool.join(gone, ["query_id", "arrival"], "left_anti")

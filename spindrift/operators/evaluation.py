@@ -33,11 +33,55 @@ def ndcg(ranks: DataFrame, k: int = 10) -> DataFrame:
     return ranks.agg(F.avg(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("ndcg"))
 
 
-def upper_median(values: Column) -> Column:
-    """Of the sorted values the one at n // 2, counted from zero."""
-    return F.element_at(F.sort_array(F.collect_list(values)), (F.floor(F.count(values) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """Of the sorted values the one at n // 2, counted from zero: the lower median from the other end, so equal values are counted, not gathered."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def confusion(rows: DataFrame, want: str, got: str) -> DataFrame:
     w, g = F.col(want), F.col(got)
     return rows.agg(F.count_if(w & g).alias("tp"), F.count_if(~w & ~g).alias("tn"), F.count_if(~w & g).alias("fp"), F.count_if(w & ~g).alias("fn"))
+
+
+def precision(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, precision: the share of the first k hits that are gold. hits: query_id, id, rank; gold: query_id, gold_id."""
+    good = gold.select("query_id", F.col("gold_id").alias("id"), F.lit(1).alias("good")).distinct()
+    return hits.filter(F.col("rank") <= k).join(good, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("good") / k).alias("precision"))
+
+
+def sequence_accuracy(got: DataFrame, want: DataFrame) -> DataFrame:
+    """One row: n, the share of wanted sequences met exactly, and the mean share of places met. Both: query_id, place, id."""
+    both = want.select("query_id", "place", F.col("id").alias("w")).join(got.select("query_id", "place", F.col("id").alias("g")), ["query_id", "place"], "full")
+    one = both.groupBy("query_id").agg(F.count("w").alias("n"), F.count_if(F.col("w") == F.col("g")).alias("met"), F.count_if(~F.col("w").eqNullSafe(F.col("g"))).alias("off")).filter("n > 0")
+    return one.agg(F.count("*").alias("n"), F.avg((F.col("off") == 0).cast("double")).alias("exact"), F.avg(F.col("met") / F.col("n")).alias("places"))
+
+
+def abstain_quality(decided: DataFrame) -> DataFrame:
+    """One row of precision, recall and rate of abstaining. decided: abstained, answerable (booleans)."""
+    a, y = F.col("abstained"), F.col("answerable")
+    right = F.count_if(a & ~y)
+    return decided.agg(F.try_divide(right, F.count_if(a)).alias("precision"), F.try_divide(right, F.count_if(~y)).alias("recall"), F.avg(a.cast("double")).alias("rate"))
+
+
+def latency(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """by, n, p50, p95 of a column."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(column, F.lit(0.5)).alias("p50"), F.percentile(column, F.lit(0.95)).alias("p95"))
+
+
+def population(table: DataFrame, vector: str = "embedding", key: str | None = None) -> DataFrame:
+    """One row: rows, rows with a vector, rows without, and with a key how many rows repeat one."""
+    repeated = [(F.count(key) - F.count_distinct(key)).alias("repeated")] if key else []
+    return table.agg(F.count("*").alias("n"), F.count(vector).alias("embedded"), (F.count("*") - F.count(vector)).alias("missing"), *repeated)
+
+
+def self_retrieval(ranks: DataFrame, ks: tuple[int, ...] = (1, 10)) -> DataFrame:
+    """One row: how many probes (query_id, rank of their own item or null) found it first, and within each k."""
+    return ranks.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(F.col("rank") <= k, F.lit(False))).alias(f"within_{k}") for k in ks])
+
+
+def text_report(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """place, line: a readable report, a heading for each query and a line for each result. found: query_id, rank, title, score; queries: query_id, query."""
+    heads = queries.select("query_id", F.lit(0).alias("rank"), F.concat(F.lit("== "), F.col("query"), F.lit(" ==")).alias("line"))
+    body = found.select("query_id", "rank", F.format_string("%3d. %.4f  %s", F.col("rank").cast("int"), F.col("score").cast("double"), "title").alias("line"))
+    none = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(1).alias("rank"), F.lit("  (no results)").alias("line"))
+    return heads.unionByName(body).unionByName(none)

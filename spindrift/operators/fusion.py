@@ -40,6 +40,16 @@ def extend_pool(pool: DataFrame, more: DataFrame) -> DataFrame:
     return pool.select(*_KEY, "arrival").unionByName(fresh.select(*_KEY, (F.coalesce("last", F.lit(0)) + place).alias("arrival")))
 
 
+def expanded_pool(pool: DataFrame, search, queries: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
+    """pool (query_id, id, arrival) widened: what a second search finds for each query with its expansion, then boosted ids, unseen ones alone.
+
+    search(queries) gives query_id, id, arrival for queries (query_id, query); queries: query_id, query, expansion; boosts: query_id, id, rank.
+    """
+    wide = queries.filter(F.length(F.trim(F.coalesce("expansion", F.lit("")))) > 0).select("query_id", F.trim(F.concat_ws(" ", "query", "expansion")).alias("query"))
+    out = extend_pool(pool, search(wide).select(*_KEY, F.col("arrival").alias("rank")))
+    return out if boosts is None else extend_pool(out, boosts)
+
+
 def merge_hints(*hints: str) -> Column:
     """Arrays one after the other, each value at its first place."""
     return F.array_distinct(F.concat(*[F.coalesce(F.col(h), F.array().cast("array<string>")) for h in hints]))

@@ -97,3 +97,75 @@ def promote(chain: DataFrame, prompts: DataFrame, versions: DataFrame) -> DataFr
     last = versions.groupBy("tag").agg(F.max("version").alias("last"))
     ids = F.transform("s", lambda x: x["id"])
     return made.join(last, "tag", "left").select("tag", (F.coalesce("last", F.lit(0)) + 1).alias("version"), ids.alias("steps"), "domain", X.content_hash(F.concat_ws(",", F.transform(ids, lambda x: x.cast("string")))).alias("content_hash"))
+
+
+def pending(prompts: DataFrame, status_col: str = "backfill_status", at: str = "last_updated") -> DataFrame:
+    """Prompts still to be classified, the newest first."""
+    return prompts.filter(F.coalesce(status_col, F.lit("pending")) == "pending").orderBy(F.desc_nulls_last(at), "id")
+
+
+def classified(prompts: DataFrame, status_col: str = "backfill_status", at: str = "last_classified", statuses: tuple[str, ...] = ("classified", "synced")) -> DataFrame:
+    """Prompts to be written back: of those statuses, with a time of classification."""
+    return prompts.filter(F.col(status_col).isin(*statuses) & F.col(at).isNotNull())
+
+
+def by_title(prompts: DataFrame, title: str) -> DataFrame:
+    return prompts.filter(F.col("title") == title)
+
+
+def list_skills(skills: DataFrame, status: str | None = "active") -> DataFrame:
+    """Skills (tag, version, status, created_at, ...) of a status, or of any, newest first."""
+    rows = skills if status is None else skills.filter(F.col("status") == status)
+    return rows.orderBy(F.desc_nulls_last("created_at"), "tag", "version")
+
+
+#: What a skill's status may change to.
+TRANSITIONS = {"draft": ["active", "inactive"], "active": ["inactive"], "inactive": ["active"]}
+
+
+def set_status(skills: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(skills with the statuses wanted, refused requests with the status they met). wanted: tag, version, status; one request a skill."""
+    ask = wanted.select("tag", "version", F.col("status").alias("__to"))
+    allowed = F.array(*[F.lit(f"{a}>{b}") for a, bs in TRANSITIONS.items() for b in bs])
+    joined = skills.join(ask, ["tag", "version"], "left").withColumn("__ok", F.array_contains(allowed, F.concat_ws(">", "status", "__to")))
+    done = joined.select(*[F.when(F.col("__ok"), F.col("__to")).otherwise(F.col("status")).alias(c) if c == "status" else F.col(c) for c in skills.columns])
+    return done, joined.filter(F.col("__to").isNotNull() & ~F.col("__ok")).select("tag", "version", "status", F.col("__to").alias("wanted"))
+
+
+def ordered_steps(steps: Column) -> Column:
+    """Steps (array of structs with step_order) in order; a step without one has its place in the array."""
+    numbered = F.transform(steps, lambda s, i: s.withField("step_order", F.coalesce(s["step_order"], i + 1)))
+    return F.array_sort(numbered, lambda a, b: F.when(a["step_order"] < b["step_order"], -1).when(a["step_order"] > b["step_order"], 1).otherwise(0))
+
+
+def open_sessions(routed: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """session_id, skill_id, trace_id, status, current_step, expires_at: a fresh session for each routed skill (session_id, skill_id, trace_id)."""
+    return routed.filter(F.col("skill_id").isNotNull()).select("session_id", "skill_id", "trace_id", F.lit("active").alias("status"), F.lit(0).alias("current_step"), (as_of + F.expr(f"INTERVAL {hours} HOURS")).alias("expires_at"))
+
+
+def log_runs(skills: DataFrame, log: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log with the fresh runs, skills with total_runs, last_run_at and success_rate counted from it). Runs: skill_id, status, started_at."""
+    whole = log.unionByName(fresh)
+    own = whole.groupBy("skill_id").agg(F.count("*").alias("n"), F.max("started_at").alias("last"), F.avg((F.col("status") == "success").cast("double")).alias("r"))
+    fields = {"total_runs": F.coalesce("n", "total_runs"), "last_run_at": F.coalesce("last", "last_run_at"), "success_rate": F.coalesce("r", "success_rate")}
+    return whole, skills.join(own, "skill_id", "left").select(*[fields[c].alias(c) if c in fields else F.col(c) for c in skills.columns])
+
+
+def repair_paths(table: DataFrame, there: DataFrame) -> DataFrame:
+    """table (title, file_path) with repaired, true where a missing path was replaced by its name without quotes and brackets, which is there. there: path."""
+    paths = there.select(F.col("path").alias("__p"))
+    stem, folder = F.regexp_extract("file_path", r"([^/]*)\.[^./]*\z", 1), F.regexp_extract("file_path", r"\A(.*/)?", 0)
+    clean = F.trim(F.regexp_replace(F.regexp_replace(stem, "[()\"\u201c\u201d\u2018\u2019']", ""), r"\s+", " "))
+    rows = table.withColumn("__try", F.concat(folder, clean, F.lit(".md")))
+    rows = rows.join(paths.withColumn("__own", F.lit(True)), F.col("file_path") == F.col("__p"), "left").drop("__p")
+    rows = rows.join(paths.withColumn("__other", F.lit(True)), F.col("__try") == F.col("__p"), "left").drop("__p")
+    mends = F.col("__own").isNull() & F.col("__other").isNotNull()
+    return rows.select(*[F.when(mends, F.col("__try")).otherwise(F.col(c)).alias(c) if c == "file_path" else F.col(c) for c in table.columns], mends.alias("repaired"))
+
+
+def refresh_own(old: DataFrame, new: DataFrame, key: str = "title") -> DataFrame:
+    """old (key, text, content_hash, embedding) after new rows (key, text): the vector goes where the hash is distinct, and stays where it isn't."""
+    n = new.select(key, F.col("text").alias("__text"), X.content_hash("text").alias("__hash"))
+    joined = old.join(n, key, "full")
+    same = F.col("__hash").isNull() | F.col("__hash").eqNullSafe(F.col("content_hash"))
+    return joined.select(key, F.coalesce("__text", "text").alias("text"), F.coalesce("__hash", "content_hash").alias("content_hash"), F.when(same, F.col("embedding")).alias("embedding"))

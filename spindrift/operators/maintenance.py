@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,14 @@ def embed_missing(prompts: DataFrame, version: str, embedder: Callable | None =
     return fresh.unionByName(prompts.filter(~todo).withColumn("embedding", F.col("embedding").cast("array<float>")))
 
 
+def embed_skills(skills: DataFrame, version: str, embedder: Callable | None = None, size: int = 64, again: bool = False) -> DataFrame:
+    """skills (name, summary, status, routing_embedding, embedding_version, ...) with vectors of name and summary for active ones that lack one."""
+    todo = (F.col("status") == "active") & (F.lit(again) | F.col("routing_embedding").isNull())
+    source = F.left(X.expand_acronyms(F.concat_ws("\n", "name", "summary")), F.lit(V.MAX_DOC_CHARS))
+    fresh = skills.filter(todo).withColumns({"routing_embedding": plugins.embed(size, embedder)(source), "embedding_version": F.lit(version)})
+    return fresh.unionByName(skills.filter(~F.coalesce(todo, F.lit(False))).withColumn("routing_embedding", F.col("routing_embedding").cast("array<float>")))
+
+
 def backfill_chunks(prompts: DataFrame, version: str, embedder: Callable | None = None, size: int = 64) -> DataFrame:
     """The chunk table, rebuilt: chunks with vectors, each distinct text embedded once. prompts: id, title, prompt_text."""
     cut = chunking.chunks(prompts, "id", "prompt_text").join(prompts.select("id", "title"), "id")
@@ -53,7 +62,6 @@ def by_id_or_tag(skills: DataFrame, key: str) -> DataFrame:
 
 def add_summaries(prompts: DataFrame, summarise: Callable[[list[str]], list[str]]) -> DataFrame:
     """prompts with a summary from a plug-in where there is none."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

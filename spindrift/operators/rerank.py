@@ -42,6 +42,31 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series] =
     return pairs.withColumn(out, run(F.left("query", F.lit(V.MAX_QUERY_CHARS)), "document"))
 
 
+def remote_scorer(remote: Callable[[list[tuple[str, str]]], list[float]], fallback: Callable[[pd.DataFrame], pd.Series] = overlap_scorer, batch: int = 20) -> Callable[[pd.DataFrame], pd.Series]:
+    """A scorer that asks a service for a batch of pairs at a time; an error or a wrong count of scores sends its whole Arrow batch to the fallback, and those after it too.
+
+    The state is the task's: a new task asks the service again.
+    """
+    down = False
+
+    def run(pairs: pd.DataFrame) -> pd.Series:
+        nonlocal down
+        if not down:
+            rows, scores = list(zip(pairs["query"], pairs["document"], strict=True)), []
+            try:
+                for at in range(0, len(rows), batch):
+                    got = remote(rows[at : at + batch])
+                    if len(got) != len(rows[at : at + batch]):
+                        raise ValueError("a wrong number of scores came back")
+                    scores += got
+                return pd.Series(scores, dtype=float)
+            except Exception:  # noqa: BLE001  whatever the service does, the batch is to be scored
+                down = True
+        return fallback(pairs)
+
+    return run
+
+
 def length_penalty(chars: Column | str) -> Column:
     over = F.greatest(F.lit(0.0), (X.col(chars) - V.LENGTH_FROM) / V.LENGTH_FROM)
     return V.LENGTH_STRENGTH * F.pow(over, F.lit(V.LENGTH_CURVE))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,3 +120,43 @@ def context_fields(raw: Column) -> Column:
     """A struct of the context fields from a map with snake or camel keys; blanks are null."""
     pick = lambda keys: F.coalesce(*[F.nullif(F.trim(F.try_element_at(raw, F.lit(k))), F.lit("")) for k in keys])
     return F.struct(*[pick(keys).alias(name) for name, keys in CONTEXT_KEYS.items()])
+
+
+def classify(rows: DataFrame, model, valid: dict[str, list[str]], retries: int = 3, batch: int = 16) -> DataFrame:
+    """rows (id, text) with the fields of ``valid``, confidence and status from a plug-in, asked for a batch of texts at a time.
+
+    model(texts) gives a dict of fields and confidence for each text. A batch that raises or comes back with
+    another number is asked again, ``retries`` times in all, and then failed. Values are repaired (see repair_taxonomy);
+    a row with none left in a field is failed too.
+    """
+    kind = ", ".join([*(f"{f}: array<string>" for f in valid), "confidence: map<string,double>", "ok: boolean"])
+
+    @F.pandas_udf(f"struct<{kind}>")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for at in range(0, len(texts), batch):
+            own = texts.iloc[at : at + batch].fillna("").tolist()
+            for _ in range(retries):
+                try:
+                    got = model(own)
+                    if len(got) != len(own):
+                        raise ValueError("a wrong number of results came back")
+                    out += [{**{f: list(g.get(f) or []) for f in valid}, "confidence": {k: float(v) for k, v in (g.get("confidence") or {}).items()}, "ok": True} for g in got]
+                    break
+                except Exception:  # noqa: BLE001  whatever the model does, its batch is failed, not the job
+                    continue
+            else:
+                out += [{**{f: [] for f in valid}, "confidence": {}, "ok": False}] * len(own)
+        return pd.DataFrame(out, columns=[*valid, "confidence", "ok"])
+
+    raw = rows.withColumn("__c", ask("text")).select(*rows.columns, *[F.col(f"__c.{f}").alias(f) for f in valid], F.col("__c.confidence").alias("confidence"), F.col("__c.ok").alias("__ok"))
+    fixed = repair_taxonomy(raw, valid)
+    whole = F.col("__ok")
+    for f in valid:
+        whole = whole & (F.size(f) > 0)
+    return fixed.withColumn("status", F.when(whole, backfill_status(F.col("confidence"))).otherwise("failed")).drop("__ok")
+
+
+def classify_stats(classified: DataFrame) -> DataFrame:
+    """One row: total, successful, failed, low_confidence."""
+    return classified.agg(F.count("*").alias("total"), F.count_if(F.col("status") != "failed").alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "low_confidence").alias("low_confidence"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assets, chains, chunking, evaluation, lifecycle, maintenance, rules
+from ..session import shared_path
 from ..sources import events as logs
 from ..streaming import events as streams
 from . import views as W
@@ -23,12 +22,6 @@ def _r(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
     return F.round(c, digits).alias(name or c)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, or below the warehouse where it is unset."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 # --- catalog tables ---------------------------------------------------------------------------
 
 
@@ -164,7 +157,7 @@ def distinct_models(spark, d):
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 4000) AS n_atomic, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS INT) + 1] AS median, max(n_chars) AS longest FROM documents GROUP BY lang")
 def chunk_stats(spark, d):
-    return W.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 4000).alias("n_atomic"), evaluation.upper_median(F.col("n_chars")).alias("median"), F.max("n_chars").alias("longest"))
+    return W.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 4000).alias("n_atomic"), evaluation.upper_median("n_chars").alias("median"), F.max("n_chars").alias("longest"))
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS tn, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn FROM labels")
@@ -232,31 +225,38 @@ def recommend(spark, d):
     return assets.recommend_price(_pnl(spark, d), group=["brand"])
 
 
-COLS = "[('users','id','int',false),('users','Email','text',true),('orders','id','int',false),('orders','user_id','int',true),('orders','user_id','int',true),('orders','item_id','text',true),('logs','at','when',false)]"
-KEYS = "[('orders','user_id','users','id'),('orders','item_id','items','id'),('logs','at','users','id')]"
+#: Parts as columns of a catalog: brands as tables, with ids, ill-formed names, repeated and unknown ones; every third of them a key.
+COLUMNS = """cols AS (SELECT lower(p_brand) AS t, CASE WHEN p_partkey % 29 = 0 AND p_brand <> 'Brand#11' THEN 'id' WHEN p_partkey % 13 = 0 THEN p_name ELSE 'c' || p_size END AS c, CASE p_partkey % 5 WHEN 0 THEN 'Text' WHEN 1 THEN 'when' ELSE 'int' END AS k, p_partkey % 4 = 0 AS n FROM part),
+keys AS (SELECT DISTINCT lower(p_brand) AS t, 'c' || p_size AS c, CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE 'brand#11' END AS rt, CASE WHEN p_partkey % 3 = 0 THEN 'id' ELSE 'c' || (p_partkey % 50) END AS rc FROM part WHERE p_partkey % 3 <> 1)"""
 
 
-def _catalog(spark):
-    cols = [("users", "id", "int", False), ("users", "Email", "text", True), ("orders", "id", "int", False), ("orders", "user_id", "int", True), ("orders", "user_id", "int", True), ("orders", "item_id", "text", True), ("logs", "at", "when", False)]
-    keys = [("orders", "user_id", "users", "id"), ("orders", "item_id", "items", "id"), ("logs", "at", "users", "id")]
-    return spark.createDataFrame(cols, "table string, column string, type string, nullable boolean"), spark.createDataFrame(keys, "table string, column string, ref_table string, ref_column string")
+def _catalog(spark, d) -> tuple[DataFrame, DataFrame]:
+    n, brand = F.col("p_partkey"), F.lower("p_brand")
+    part = W.table(spark, d, "part")
+    name = F.when((n % 29 == 0) & (F.col("p_brand") != "Brand#11"), "id").when(n % 13 == 0, F.col("p_name")).otherwise(F.concat(F.lit("c"), "p_size"))
+    cols = part.select(brand.alias("table"), name.alias("column"), F.when(n % 5 == 0, "Text").when(n % 5 == 1, "when").otherwise("int").alias("type"), (n % 4 == 0).alias("nullable"))
+    ref = F.when(n % 3 == 0, "id").otherwise(F.concat(F.lit("c"), n % 50))
+    keys = part.filter("p_partkey % 3 <> 1").select(brand.alias("table"), F.concat(F.lit("c"), "p_size").alias("column"), F.when(n % 2 == 0, brand).otherwise("brand#11").alias("ref_table"), ref.alias("ref_column")).distinct()
+    return cols, keys
 
 
-@query("""SELECT * FROM (VALUES ('users','Email','naming'), ('orders','user_id','duplicate'), ('logs','at','unknown type'), ('logs','id','missing id'), ('orders','item_id','orphan reference'), ('logs','at','reference type')) t("table", "column", issue)""")
+@query(f"""WITH {COLUMNS}, bad AS (SELECT t, c, 'naming' AS i FROM cols WHERE NOT regexp_matches(c, '^[a-z][a-z0-9_]*$') UNION SELECT t, c, 'duplicate' FROM cols GROUP BY t, c HAVING count(*) > 1 UNION SELECT t, c, 'unknown type' FROM cols WHERE lower(k) NOT IN ('int', 'text', 'boolean', 'timestamp')
+UNION SELECT t, 'id', 'missing id' FROM cols GROUP BY t HAVING count(*) FILTER (c = 'id') = 0 UNION SELECT keys.t, keys.c, 'orphan reference' FROM keys LEFT JOIN cols r ON r.t = rt AND r.c = rc WHERE r.k IS NULL UNION SELECT keys.t, keys.c, 'reference type' FROM keys JOIN cols r ON r.t = rt AND r.c = rc JOIN cols o ON o.t = keys.t AND o.c = keys.c WHERE r.k <> o.k)
+SELECT t AS "table", c AS "column", i AS issue FROM bad""")
 def schema_check(spark, d):
-    return assets.validate_schema(*_catalog(spark), ["int", "text", "boolean", "timestamp"]).distinct()
+    return assets.validate_schema(*_catalog(spark, d), ["int", "text", "boolean", "timestamp"]).distinct()
 
 
-@query("""SELECT * FROM (VALUES ('orders','item_id','items')) t("table", "column", ref_table)""")
+@query(f'WITH {COLUMNS} SELECT t AS "table", c AS "column", rt AS ref_table, rc AS ref_column FROM keys WHERE NOT EXISTS (SELECT 1 FROM cols WHERE cols.t = rt AND cols.c = rc)')
 def fk_orphans(spark, d):
-    cols, keys = _catalog(spark)
+    cols, keys = _catalog(spark, d)
     there = cols.select(F.col("table").alias("ref_table"), F.col("column").alias("ref_column")).distinct()
-    return keys.join(there, ["ref_table", "ref_column"], "left_anti").select("table", "column", "ref_table")
+    return keys.join(there, ["ref_table", "ref_column"], "left_anti").select("table", "column", "ref_table", "ref_column")
 
 
-@query("""SELECT * FROM (VALUES ('users', 50.0::DOUBLE), ('orders', 75.0::DOUBLE), ('logs', 0.0::DOUBLE)) t("table", nullable_pct)""")
+@query(f'WITH {COLUMNS} SELECT t AS "table", round(avg(CAST(n AS INT)) * 100, 1) AS nullable_pct FROM cols GROUP BY t')
 def nullable_share(spark, d):
-    return assets.nullable_share(_catalog(spark)[0])
+    return assets.nullable_share(_catalog(spark, d)[0])
 
 
 @query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, round(min(value), 6) AS low FROM events GROUP BY ALL HAVING min(value) > 20")
@@ -347,7 +347,7 @@ def stream_dedupe(spark, d):
     return _drain(streams.deduplicated(e.union(e), "40 days"), "dedupe", "append").select("event_id", "user_id")
 
 
-@query()
+@query("SELECT s.event_id AS serving_id, r.value FROM events s JOIN events r ON s.user_id = r.user_id AND s.event_type = 'view' AND r.event_type = 'purchase' AND r.ts BETWEEN s.ts AND s.ts + INTERVAL 1 HOUR")
 def stream_join(spark, d):
     serving = _events(spark, d, True).filter("event_type = 'view'").select(F.col("user_id").alias("episode_id"), "ts", F.col("event_id").alias("serving_id"))
     rewards = _events(spark, d, True).filter("event_type = 'purchase'").select(F.col("user_id").alias("episode_id"), "ts", "value")
@@ -393,7 +393,7 @@ def guard_checks(spark, d):
 # --- mutations --------------------------------------------------------------------------------
 
 
-_PROMOTE = f"""WITH {ST}, c AS (SELECT 'tag' || (skill_id % 50) AS tag, id, skill_id FROM steps WHERE skill_id % 100 < 50), f AS (SELECT tag, list(id ORDER BY skill_id, id) AS ids, list_sort(list(DISTINCT p_brand)) AS domain FROM c JOIN part ON p_partkey = id GROUP BY tag)
+_PROMOTE = f"""WITH {ST}, c AS (SELECT 'tag' || (skill_id % 50) AS tag, id, skill_id FROM steps), f AS (SELECT tag, list(id ORDER BY skill_id, id) AS ids, list_sort(list(DISTINCT p_brand)) AS domain FROM c JOIN part ON p_partkey = id GROUP BY tag)
 SELECT tag, CASE WHEN CAST(substr(tag, 4) AS INT) % 2 = 0 THEN 4 ELSE 1 END AS version, array_to_string(ids, ',') AS steps, array_to_string(domain, ',') AS domain, substr(sha256(array_to_string(ids, ',')), 1, 16) AS content_hash FROM f"""
 
 
@@ -407,11 +407,6 @@ def _promote(spark: SparkSession, d: str, steps: DataFrame) -> DataFrame:
 
 @query(_PROMOTE)
 def promote_chain(spark, d):
-    return _promote(spark, d, W.steps(spark, d).filter("skill_id % 100 < 50"))
-
-
-@query(_PROMOTE.replace(" WHERE skill_id % 100 < 50", ""))
-def promote_chain_all(spark, d):
     return _promote(spark, d, W.steps(spark, d))
 
 
@@ -439,15 +434,8 @@ def width_audit(spark, d):
     return W.table(spark, d, "embeddings").groupBy(width.alias("width")).agg(F.count("*").alias("n")).withColumn("action", F.when(F.col("width") == 64, "ok").otherwise("resize"))
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE c_custkey <= 20 UNION SELECT o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 40 EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0")
-def set_ops(spark, d):
-    c = W.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    o = W.table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
-    return c.filter("k <= 20").union(o.filter("k BETWEEN 10 AND 40")).distinct().exceptAll(c.filter("k % 7 = 0").distinct())
-
-
 @query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0")
-def set_ops_all(spark, d):
+def set_ops(spark, d):
     c = W.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     o = W.table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return c.union(o).distinct().subtract(c.filter("k % 7 = 0"))
@@ -495,11 +483,16 @@ def serving_outcome(spark, d):
     return out.join(e.select("episode_id", "ts", "event_id"), ["episode_id", "ts"]).select("event_id", "requeried", "used", "edit_distance")
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1, 'slots left'), (2, 'length'), (3, 'length,empty')) t(id, problems)")
+_FILL = "SELECT doc_id, 'Plan [ITEM NAME] ' || left(text, 200) AS a, CASE doc_id % 5 WHEN 0 THEN 'Plan the launch ' || left(text, 200) WHEN 1 THEN 'Plan [ITEM NAME] ' || left(text, 200) WHEN 2 THEN left(text, 40) WHEN 3 THEN ' ' ELSE 'Plan it ' || left(text, 200) || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' END AS b FROM documents"
+_FENCED_PARTS = "regexp_extract_all({0}, '(?ms)^```.*?\\n.*?\\n```[ \\t]*$')"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(b, '[ITEM NAME]') THEN 'slots left' END, CASE WHEN {_FENCED_PARTS.format('a')} <> {_FENCED_PARTS.format('b')} THEN 'fences changed' END, CASE WHEN abs(length(b) - length(a)) > 0.4 * length(a) THEN 'length' END, CASE WHEN trim(b, ' ') = '' THEN 'empty' END], lambda x: x IS NOT NULL), ',') AS problems FROM ({_FILL})")
 def fill_check(spark, d):
-    rows = [(0, "Plan [ITEM NAME] now", "Plan the launch now"), (1, "Plan [ITEM NAME] now", "Plan [ITEM NAME] now"), (2, "Plan [ITEM NAME] now", "P"), (3, "Plan [ITEM NAME]", "")]
-    t = spark.createDataFrame(rows, "id int, template string, filled string")
-    return t.select("id", F.array_join(chains.fill_problems("template", "filled"), ",").alias("problems"))
+    n, cut = F.col("doc_id") % 5, F.left("text", F.lit(200))
+    filled = F.when(n == 0, F.concat(F.lit("Plan the launch "), cut)).when(n == 1, F.concat(F.lit("Plan [ITEM NAME] "), cut)).when(n == 2, F.left("text", F.lit(40))).when(n == 3, " ").otherwise(F.concat(F.lit("Plan it "), cut, F.lit("\n```\nx\n```")))
+    rows = W.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Plan [ITEM NAME] "), cut).alias("template"), filled.alias("filled"))
+    return rows.select("doc_id", F.array_join(chains.fill_problems("template", "filled"), ",").alias("problems"))
 
 
 @query()

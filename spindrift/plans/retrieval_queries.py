@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, fusion, rerank, retrieval
+from ..operators import chains, evaluation, fusion, rerank, retrieval
 from . import views as W
 from .registry import query
 
@@ -20,43 +20,21 @@ RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r
 OR_HITS = f"{HITS}, lexical AS (SELECT query_id, id, score, rank FROM (SELECT *, {RANKED} FROM matched) WHERE rank <= 50)"
 # documents as chunks of parents: the vector of a document is that of its number, modulo the vectors
 PAIRS = "dense50 AS (SELECT query_id, id, score, rank FROM dense WHERE rank <= 50)"
-LEX_VEC = "lexv AS (SELECT query_id, id, score, rank FROM lexical WHERE query_id < 10)"
+LEX_VEC = "lexv AS (SELECT query_id, id, score, rank FROM lexical)"
 
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.eligible(W.prompts(spark, d))
 
 
-def _dense(spark: SparkSession, d: str, k: int = 50, whole: bool = False) -> DataFrame:
-    queries = W.all_vec_queries(spark, d) if whole else W.vec_queries(spark, d)
-    return retrieval.dense_topk(W.chunk_vecs(spark, d), queries, k, "chunk_id")
+def _dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    return retrieval.dense_topk(W.chunk_vecs(spark, d), W.vec_queries(spark, d), k, "chunk_id")
 
 
 def _lexical(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     return retrieval.exact_search(_active(spark, d), W.word_queries(spark, d), False, k, "id", "prompt_text")
 
 
-def _fusable(spark: SparkSession, d: str, k: int = 50, whole: bool = False) -> DataFrame:
-    """Lexical candidates to fuse: of the first ten queries, or of all."""
-    lexical = _lexical(spark, d, k)
-    return lexical if whole else lexical.filter("query_id < 10")
-
-
-def batch_query(sql: str):
-    """Registers fn over the SQL's ten queries, and as NAME_all over every twentieth vector and all lexical queries."""
-    whole = sql.replace(W.VEC_QUERIES, W.ALL_VEC_QUERIES).replace(LEX_VEC, LEX_VEC.replace(" WHERE query_id < 10", "")).replace("WHERE query_id = 0 AND ", "WHERE ")
-
-    def register(fn):
-        def every(spark: SparkSession, d: str) -> DataFrame:
-            return fn(spark, d, whole=True)
-
-        every.__name__ = f"{fn.__name__}_all"
-        query(whole)(every)
-        return query(sql)(fn)
-
-    return register
-
-
 def _round(c: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(c)
 
@@ -66,20 +44,20 @@ def scan_filter_any(spark, d):
     return retrieval.eligible(W.prompts(spark, d), domain=["fr", "de"], intent=[], colour=["red"]).select("id", "title", "source")
 
 
-@batch_query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE query_id = 0 AND rank <= 50")
-def dense_topk(spark, d, whole=False):
-    return retrieval.dense_topk(W.chunk_vecs(spark, d), W.all_vec_queries(spark, d) if whole else W.vec_queries(spark, d, 1), 50, "chunk_id").select("query_id", "id", _round("score"), "rank")
+@query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 50")
+def dense_topk(spark, d):
+    return _dense(spark, d).select("query_id", "id", _round("score"), "rank")
 
 
-@batch_query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
-def dense_topk_batch(spark, d, whole=False):
-    return _dense(spark, d, 10, whole=whole).select("query_id", "id", _round("score"), "rank")
+@query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
+def dense_topk_batch(spark, d):
+    return _dense(spark, d, 10).select("query_id", "id", _round("score"), "rank")
 
 
-@batch_query(f"""WITH {DENSE}, best AS (SELECT query_id, chunk_id // 5 AS id, score, chunk_id, row_number() OVER (PARTITION BY query_id, chunk_id // 5 ORDER BY score DESC, chunk_id) AS n FROM (SELECT query_id, id AS chunk_id, score, rank FROM dense WHERE rank <= 50)),
+@query(f"""WITH {DENSE}, best AS (SELECT query_id, chunk_id // 5 AS id, score, chunk_id, row_number() OVER (PARTITION BY query_id, chunk_id // 5 ORDER BY score DESC, chunk_id) AS n FROM (SELECT query_id, id AS chunk_id, score, rank FROM dense WHERE rank <= 50)),
 r AS (SELECT query_id, id, chunk_id, score, {RANKED} FROM best WHERE n = 1) SELECT query_id, id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
-def chunk_rollup(spark, d, whole=False):
-    chunks = _dense(spark, d, whole=whole).select("query_id", F.floor(F.col("id") / 5).alias("id"), F.col("id").alias("chunk_id"), "score")
+def chunk_rollup(spark, d):
+    chunks = _dense(spark, d).select("query_id", F.floor(F.col("id") / 5).alias("id"), F.col("id").alias("chunk_id"), "score")
     return retrieval.rollup(chunks, 10).select("query_id", "id", "chunk_id", _round("score"), "rank")
 
 
@@ -90,7 +68,12 @@ def similar_items(spark, d):
 
 @query()
 def ann_lsh(spark, d):
-    return retrieval.ann_lsh(W.chunk_vecs(spark, d), W.all_vec_queries(spark, d), 10, id_col="chunk_id")
+    return retrieval.ann_lsh(W.chunk_vecs(spark, d), W.vec_queries(spark, d), 10, id_col="chunk_id")
+
+
+@query()
+def ann_cells(spark, d):
+    return retrieval.ann_cells(W.chunk_vecs(spark, d), W.vec_queries(spark, d), 10, id_col="chunk_id")
 
 
 @query(f"WITH {HITS} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, {RANKED} FROM matched JOIN wanted USING (query_id) WHERE score = n_terms) WHERE rank <= 10")
@@ -121,9 +104,7 @@ t AS (SELECT m.query_id, id, score, CASE WHEN score = n THEN 1 WHEN n_top = leas
 b AS (SELECT query_id, min(tier) AS best FROM t GROUP BY query_id)
 SELECT query_id, id, tier, score, rank FROM (SELECT t.*, row_number() OVER (PARTITION BY t.query_id ORDER BY score DESC, id) AS rank FROM t JOIN b ON b.query_id = t.query_id AND best = tier) WHERE rank <= 10""")
 def keyword_tiers(spark, d):
-    p = W.prompts(spark, d)
-    keyed = retrieval.key_terms(p, W.word_queries(spark, d), F.col("status") == "active", id_col="id", text_col="prompt_text")
-    return retrieval.keyword_tiers(_active(spark, d), keyed, 10, "id", "prompt_text")
+    return retrieval.keyword_search(W.prompts(spark, d), W.word_queries(spark, d), F.col("status") == "active", k=10, id_col="id", text_col="prompt_text")
 
 
 @query()
@@ -140,10 +121,10 @@ def skill_boost(spark, d):
 FUSE = f"{DENSE}, {OR_HITS}, {PAIRS}, {LEX_VEC}"
 
 
-@batch_query(f"""WITH {FUSE}, f AS (SELECT query_id, id, coalesce(0.5 / (50 + d.rank), 0) + coalesce(0.5 / (50 + l.rank), 0) AS score, d.rank AS dense_rank, l.rank AS sparse_rank FROM dense50 d FULL JOIN lexv l USING (query_id, id))
+@query(f"""WITH {FUSE}, f AS (SELECT query_id, id, coalesce(0.5 / (50 + d.rank), 0) + coalesce(0.5 / (50 + l.rank), 0) AS score, d.rank AS dense_rank, l.rank AS sparse_rank FROM dense50 d FULL JOIN lexv l USING (query_id, id))
 SELECT query_id, id, round(score, 8) AS score, dense_rank, sparse_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM f) WHERE rank <= 10""")
-def rrf_fuse(spark, d, whole=False):
-    fused = fusion.rrf(_dense(spark, d, whole=whole), _fusable(spark, d, whole=whole), 20)
+def rrf_fuse(spark, d):
+    fused = fusion.rrf(_dense(spark, d), _lexical(spark, d), 20)
     exact = retrieval.top(fused.drop("rank").withColumn("score", F.round("score", 12)), 10)
     return exact.select("query_id", "id", _round("score", 8), "dense_rank", "sparse_rank", "rank")
 
@@ -151,21 +132,21 @@ def rrf_fuse(spark, d, whole=False):
 UNION = f"{FUSE}, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_rank NULLS LAST, sparse_rank NULLS LAST, id) AS arrival FROM (SELECT query_id, id, d.rank AS dense_rank, l.rank AS sparse_rank FROM (SELECT * FROM dense50 WHERE rank <= 20) d FULL JOIN lexv l USING (query_id, id)))"
 
 
-@batch_query(f"WITH {UNION} SELECT * FROM pool WHERE arrival <= 40")
-def union_cap(spark, d, whole=False):
-    return fusion.union_capped(_dense(spark, d, 20, whole=whole), _fusable(spark, d, whole=whole)).select("query_id", "id", "dense_rank", "sparse_rank", "arrival")
+@query(f"WITH {UNION} SELECT * FROM pool WHERE arrival <= 40")
+def union_cap(spark, d):
+    return fusion.union_capped(_dense(spark, d, 20), _lexical(spark, d)).select("query_id", "id", "dense_rank", "sparse_rank", "arrival")
 
 
-@batch_query(f"WITH {FUSE} SELECT query_id, id, d.rank AS dense_rank, l.rank AS sparse_rank FROM (SELECT * FROM dense50 WHERE rank <= 10) d FULL JOIN (SELECT * FROM lexv WHERE rank <= 10) l USING (query_id, id)")
-def union_plain(spark, d, whole=False):
-    return fusion.union_capped(_dense(spark, d, 10, whole=whole), _fusable(spark, d, 10, whole=whole), None).select("query_id", "id", "dense_rank", "sparse_rank")
+@query(f"WITH {FUSE} SELECT query_id, id, d.rank AS dense_rank, l.rank AS sparse_rank FROM (SELECT * FROM dense50 WHERE rank <= 10) d FULL JOIN (SELECT * FROM lexv WHERE rank <= 10) l USING (query_id, id)")
+def union_plain(spark, d):
+    return fusion.union_capped(_dense(spark, d, 10), _lexical(spark, d, 10), None).select("query_id", "id", "dense_rank", "sparse_rank")
 
 
-@batch_query(f"""WITH {UNION}, p AS (SELECT query_id, id, arrival FROM pool WHERE arrival <= 40), more AS (SELECT query_id, id, rank FROM dense50 WHERE rank > 15), fresh AS (SELECT * FROM more ANTI JOIN p USING (query_id, id))
+@query(f"""WITH {UNION}, p AS (SELECT query_id, id, arrival FROM pool WHERE arrival <= 40), more AS (SELECT query_id, id, rank FROM dense50 WHERE rank > 15), fresh AS (SELECT * FROM more ANTI JOIN p USING (query_id, id))
 SELECT query_id, id, arrival FROM p UNION ALL SELECT query_id, id, last + row_number() OVER (PARTITION BY query_id ORDER BY rank, id) FROM fresh JOIN (SELECT query_id, max(arrival) AS last FROM p GROUP BY query_id) USING (query_id)""")
-def pool_extend(spark, d, whole=False):
-    pool = fusion.union_capped(_dense(spark, d, 20, whole=whole), _fusable(spark, d, whole=whole)).select("query_id", "id", "arrival")
-    return fusion.extend_pool(pool, _dense(spark, d, whole=whole).filter("rank > 15"))
+def pool_extend(spark, d):
+    pool = fusion.union_capped(_dense(spark, d, 20), _lexical(spark, d)).select("query_id", "id", "arrival")
+    return fusion.extend_pool(pool, _dense(spark, d).filter("rank > 15"))
 
 
 SHAPE = "1 / (1 + exp(-greatest(-30, least(30, (doc_id % 13) - 6)))) - 0.02 * pow(greatest(0, (n_chars - 2200) / 2200), 0.5)"
@@ -177,17 +158,30 @@ def score_shape(spark, d):
     return docs.select("doc_id", F.round(rerank.shaped_score((F.col("doc_id") % 13 - 6).cast("double"), "n_chars"), 6).alias("score"))
 
 
-@query()
+_BAG = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''))"
+_HEAD = "'Title: ' || title || chr(10) || 'Domain: ' || domain[1] || chr(10) || 'Task type: ' || task_type[1]"
+_DOCUMENT = f"{_HEAD} || chr(10) || left(prompt_text, CAST(greatest(0, 4000 - length({_HEAD}) - 1) AS INT))"
+RERANK = f"""WITH {OR_HITS}, pairs AS (SELECT query_id, l.id, n_chars, {_BAG.format('query')} AS a, {_BAG.format(_DOCUMENT)} AS b FROM lexical l JOIN word_queries USING (query_id) JOIN prompts p ON p.id = l.id),
+s AS (SELECT query_id, id, 1 / (1 + exp(-(CASE WHEN len(a) = 0 THEN -3 ELSE 6.0::DOUBLE * len(list_intersect(a, b)) / len(a) - 3 END))) - 0.02 * pow(greatest(0, (n_chars - 2200) / 2200), 0.5) AS score FROM pairs)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT query_id, id, score, {RANKED} FROM s) WHERE rank <= 10"""
+
+
+@query(RERANK)
 def rerank_stub(spark, d):
     pairs = _lexical(spark, d).join(F.broadcast(W.word_queries(spark, d)), "query_id").join(W.prompts(spark, d).withColumn("summary", F.lit(None).cast("string")), "id")
     scored = rerank.score_pairs(pairs.withColumn("document", rerank.rerank_document(domain="domain", task_type="task_type")))
-    return retrieval.top(scored.select("query_id", "id", rerank.shaped_score("raw", "n_chars").alias("score")), 10)
+    best = retrieval.top(scored.select("query_id", "id", rerank.shaped_score("raw", "n_chars").alias("score")), 10)
+    return best.withColumn("score", F.round("score", 6))
+
 
+_DOC_HEAD = "'Title: ' || title || CASE WHEN contains(prompt_text, 'Of the') THEN '' ELSE chr(10) || 'Summary: Of the' END || chr(10) || 'Domain: ' || domain[1] || chr(10) || 'Task type: ' || task_type[1]"
 
-@query(f"WITH {P} SELECT id, 'Title: ' || title || chr(10) || CASE WHEN contains(prompt_text, 'Of the') THEN '' ELSE 'Summary: Of the' || chr(10) END || 'Domain: ' || domain[1] || chr(10) || 'Task type: ' || task_type[1] AS head FROM prompts WHERE length(title) > 0")
+
+@query(f"WITH {P}, h AS (SELECT id, prompt_text, {_DOC_HEAD} AS head FROM prompts WHERE length(title) > 0) SELECT id, head || chr(10) || CASE WHEN id % 3 = 0 THEN 'chunk ' || id ELSE left(prompt_text, CAST(greatest(0, 4000 - length(head) - 1) AS INT)) END AS document FROM h")
 def rerank_doc(spark, d):
-    p = W.prompts(spark, d).filter(F.length("title") > 0).withColumn("summary", F.lit("Of the")).withColumn("none", F.lit(""))
-    return p.select("id", rerank.rerank_document(domain="domain", task_type="task_type", chunk="none").alias("head")).select("id", F.regexp_replace("head", r"\n\z", "").alias("head"))
+    """Head, then the matched chunk whole where there is one (every third), else the text within the budget."""
+    p = W.prompts(spark, d).filter(F.length("title") > 0).withColumn("summary", F.lit("Of the")).withColumn("matched", F.when(F.col("id") % 3 == 0, F.concat(F.lit("chunk "), "id")))
+    return p.select("id", rerank.rerank_document(domain="domain", task_type="task_type", chunk="matched").alias("document"))
 
 
 @query(f"""WITH {P} SELECT id, round(CASE WHEN domain[1] = 'en' THEN 0.06::DOUBLE WHEN domain[1] = 'fr' THEN 0.03 ELSE 0 END + CASE WHEN regexp_matches(lower(title), 'the|de') THEN 0.02 ELSE 0 END + CASE WHEN id IN (3, 4) THEN -0.1::DOUBLE ELSE 0 END, 6) AS context_adjustment,
@@ -231,25 +225,25 @@ def winner_decision(spark, d):
     return rerank.winner(cands, covered, floor=0.9).withColumn("score", F.round("score", 4))
 
 
-@batch_query(f"WITH {DENSE} SELECT query_id, round((max(score) - avg(score)) / stddev_pop(score), 5) AS z, round(max(score) - max(score) FILTER (rank = 2), 6) AS margin FROM dense WHERE rank <= 30 GROUP BY query_id")
-def z_margin(spark, d, whole=False):
-    return rerank.z_margin(_dense(spark, d, whole=whole)).select("query_id", _round("z", 5), _round("margin"))
+@query(f"WITH {DENSE} SELECT query_id, round((max(score) - avg(score)) / stddev_pop(score), 5) AS z, round(max(score) - max(score) FILTER (rank = 2), 6) AS margin FROM dense WHERE rank <= 30 GROUP BY query_id")
+def z_margin(spark, d):
+    return rerank.z_margin(_dense(spark, d)).select("query_id", _round("z", 5), _round("margin"))
 
 
-@batch_query(f"WITH {DENSE} SELECT query_id, id // 5 AS id, round(max(score) + least(0.1, 0.05 * (count(*) - 1)), 6) AS score FROM dense WHERE rank <= 50 GROUP BY ALL")
-def rollup_bonus(spark, d, whole=False):
-    return rerank.rollup_bonus(_dense(spark, d, whole=whole).withColumn("id", F.floor(F.col("id") / 5))).select("query_id", "id", _round("score"))
+@query(f"WITH {DENSE} SELECT query_id, id // 5 AS id, round(max(score) + least(0.1, 0.05 * (count(*) - 1)), 6) AS score FROM dense WHERE rank <= 50 GROUP BY ALL")
+def rollup_bonus(spark, d):
+    return rerank.rollup_bonus(_dense(spark, d).withColumn("id", F.floor(F.col("id") / 5))).select("query_id", "id", _round("score"))
 
 
-@batch_query(f"WITH {DENSE} SELECT query_id, id, round(0.7 * score + 0.3 / rank, 6) AS score, 0.7 * score + 0.3 / rank >= 0.65 AS accepted FROM dense WHERE rank <= 10")
-def weighted_score(spark, d, whole=False):
-    s = 0.7 * F.col("score") + 0.3 / F.col("rank")
-    return _dense(spark, d, 10, whole=whole).select("query_id", "id", F.round(s, 6).alias("score"), (s >= 0.65).alias("accepted"))
+@query(f"WITH {DENSE} SELECT query_id, id, round(0.7 * score + 0.3 / rank, 6) AS score, 0.7 * score + 0.3 / rank >= 0.65 AS accepted FROM dense WHERE rank <= 10")
+def weighted_score(spark, d):
+    s = chains.weighted_score({"score": 0.7, "place": 0.3})
+    return _dense(spark, d, 10).withColumn("place", 1 / F.col("rank")).select("query_id", "id", F.round(s, 6).alias("score"), (s >= 0.65).alias("accepted"))
 
 
-@batch_query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score FROM dense WHERE rank = 1")
-def proximity_top1(spark, d, whole=False):
-    return _dense(spark, d, 1, whole=whole).select("query_id", "id", _round("score"))
+@query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score FROM dense WHERE rank = 1")
+def proximity_top1(spark, d):
+    return _dense(spark, d, 1).select("query_id", "id", _round("score"))
 
 
 @query(f"WITH {P} SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(n_chars / 1000.0, 6) AS score FROM prompts WHERE status = 'active')) WHERE rank <= 25")
@@ -296,19 +290,19 @@ def ndcg_10(spark, d):
     return evaluation.ndcg(evaluation.gold_ranks(gold, _lexical(spark, d, 10))).select(_round("ndcg"))
 
 
-def flagship(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Dense and lexical top-k for a batch of queries, their capped union, shaped scores and the decision."""
-    pool = fusion.union_capped(_dense(spark, d, 20, whole), _fusable(spark, d, whole=whole))
+    pool = fusion.union_capped(_dense(spark, d, 20), _lexical(spark, d))
     scored = pool.join(W.prompts(spark, d).select("id", "n_chars"), "id").withColumn("score", rerank.shaped_score(4 * F.coalesce("dense_sim", F.lit(0.0)) + F.coalesce(F.col("sparse_sim").cast("double"), F.lit(0.0)) / 4, "n_chars"))
     return rerank.winner(scored.select("query_id", "id", F.lit("prompt").alias("kind"), F.lit(0).alias("n_steps"), "score", "arrival"))
 
 
-@batch_query(f"""WITH {UNION}, s AS (SELECT query_id, p.id, arrival, 1 / (1 + exp(-greatest(-30, least(30, 4 * coalesce(x.score, 0) + coalesce(y.score, 0) / 4)))) - 0.02 * pow(greatest(0, (n_chars - 2200) / 2200), 0.5) AS score
+@query(f"""WITH {UNION}, s AS (SELECT query_id, p.id, arrival, 1 / (1 + exp(-greatest(-30, least(30, 4 * coalesce(x.score, 0) + coalesce(y.score, 0) / 4)))) - 0.02 * pow(greatest(0, (n_chars - 2200) / 2200), 0.5) AS score
 FROM pool p JOIN documents ON doc_id = p.id LEFT JOIN (SELECT query_id AS q, id AS i, score FROM dense50 WHERE rank <= 20) x ON x.q = query_id AND x.i = p.id LEFT JOIN (SELECT query_id AS q, id AS i, score FROM lexv) y ON y.q = query_id AND y.i = p.id WHERE arrival <= 40),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, arrival) AS n FROM s)
 SELECT query_id, CASE WHEN score >= 0.8 THEN 'single' ELSE 'none' END AS mode, CASE WHEN score >= 0.8 THEN id END AS served_id, round(score, 6) AS score FROM b WHERE n = 1""")
-def find_batch(spark, d, whole=False):
-    return flagship(spark, d, whole).withColumn("score", F.round("score", 6))
+def find_batch(spark, d):
+    return flagship(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -316,13 +310,3 @@ def embed_plugin(spark, d):
     from ..functions.plugins import embed
 
     return W.table(spark, d, "documents").select("doc_id", embed(64)("text").alias("embedding"))
-
-
-@query()
-def classify_plugin(spark, d):
-    from ..operators import rules
-
-    docs = W.table(spark, d, "documents")
-    return docs.select("doc_id", rules.infer_domain("text").alias("domain"), rules.infer_intent("text").alias("intent"))
-
-

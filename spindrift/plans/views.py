@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import bounded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,23 +32,29 @@ def chunk_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 5).alias("id"), "embedding", F.col("label").cast("string").alias("domain"))
 
 
-def vec_queries(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """The first vectors as queries: an id range, pushed down to the scan."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-def all_vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector as a query, so that queries grow with the table."""
     e = table(spark, sf_dir, "embeddings")
     return e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark items as queries, with the documents that hold them. Items are few: they are broadcast and probed by their longest line."""
+    """benchmark items as queries, with the documents that hold them.
+
+    A text that holds an item has the item's inner words (between blanks) as words of its own: documents and items
+    meet by the longest of them, which few documents have, and are compared then. Items without inner words are compared with all documents.
+    """
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gold_id"), "text")
-    return d.join(F.broadcast(b), F.col("text").contains(F.col("query"))).select("query_id", "query", "gold_id")
+    cut = F.split("query", " ", -1)
+    inner = F.array_sort(F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("size"), w.alias("word"))))
+    keyed = b.withColumn("word", F.get(inner, F.lit(0))["word"])
+    words = d.select("gold_id", "text", F.explode_outer(F.array_distinct(F.split("text", " ", -1))).alias("word"))
+    held = words.join(bounded(keyed.filter("word IS NOT NULL")), "word").filter(F.col("text").contains(F.col("query")))
+    short = keyed.filter("word IS NULL")
+    rest = d.join(short, F.col("text").contains(F.col("query"))) if not short.isEmpty() else None
+    found = held.select("query_id", "query", "gold_id")
+    return found if rest is None else found.unionByName(rest.select("query_id", "query", "gold_id"))
 
 
 def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +80,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROMPTS = "SELECT doc_id AS id, substr(text, 1, 60) AS title, text AS prompt_text, [lang] AS domain, [source] AS task_type, CASE WHEN doc_id % 10 = 0 THEN 'inactive' ELSE 'active' END AS status, source, n_chars FROM documents"
 CHUNKS = "SELECT vec_id AS chunk_id, vec_id // 5 AS id, CAST(embedding AS DOUBLE[]) AS embedding, CAST(label AS VARCHAR) AS domain FROM embeddings"
-VEC_QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id < 10"
-ALL_VEC_QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 20 = 0"
+VEC_QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 20 = 0"
 GOLDEN = "SELECT item_id AS query_id, b.text AS query, doc_id AS gold_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 WORD_QUERIES = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark"
 FEEDBACK = "SELECT doc_id % 7 AS prompt_id, doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'success' WHEN quality = 1 AND toxic = 1 THEN 'partial' WHEN quality = 0 AND toxic = 0 THEN 'failure' ELSE 'skipped' END AS outcome, (doc_id % 100) / 100 AS quality_score FROM labels"

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "spindrift", **conf: str) -> SparkSession:
@@ -19,3 +24,31 @@ def session(master: str | None = None, name: str = "spindrift", **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python needs it; not called for where they have it on their path, as with spark-submit --py-files."""
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset and all runs on this machine, the warehouse."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read from there: used twice, they are worked out once."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_root(df.sparkSession)}/checkpoints")
+    return df.checkpoint(eager=True)

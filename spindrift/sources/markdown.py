@@ -66,7 +66,8 @@ def valid_only(rows: DataFrame, valid: dict[str, list[str]]) -> DataFrame:
 
 def sections(raw: Column | str, names: list[str]) -> Column:
     """A struct of the texts under second-level headings that begin with the names."""
-    return F.struct(*[F.trim(F.regexp_extract(X.col(raw), rf"(?ims)^##[ \t]+{n}[^\n]*\n(.*?)(?=^##[ \t]|\z)", 1)).alias(n.lower()) for n in names])
+    inside = lambda n: F.regexp_extract(X.col(raw), rf"(?ims)^##[ \t]+{n}[^\n]*\n(.*?)(?=^##[ \t]|\z)", 1)
+    return F.struct(*[F.regexp_replace(inside(n), r"\A\s+|\s+\z", "").alias(n.lower()) for n in names])
 
 
 def skill_steps(raw: Column | str) -> Column:

@@ -57,15 +57,17 @@ def step_sessions(events: DataFrame, ttl_ms: int = 24 * 3600 * 1000, late: str =
             status = "expired" if status == "active" else status
             held.remove()
         else:
-            for row in pd.concat(list(batches)).sort_values(["ts", "step_order"]).itertuples():
+            rows = pd.concat(list(batches)).sort_values(["ts", "step_order"])
+            for row in rows.itertuples():
                 if status != "active":
                     break
                 if row.action == "step":
                     step, context = max(step, int(row.step_order)), bounded(f"{context}\n{row.output or ''}".strip())
                 else:
                     status = {"complete": "completed", "abort": "aborted"}.get(row.action, status)
-                last = row.ts
-                held.setTimeoutTimestamp(max(int(pd.Timestamp(last).timestamp() * 1000) + ttl_ms, held.getCurrentWatermarkMs() + 1))
+            # Whatever the events changed, the state is to leave some day.
+            last = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
+            held.setTimeoutTimestamp(max(last + ttl_ms, held.getCurrentWatermarkMs() + 1))
             held.update((status, step, context))
         yield pd.DataFrame({"session_id": [key[0]], "status": [status], "current_step": [step], "context": [context]})
 

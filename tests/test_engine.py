@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import plugins
-from spindrift.operators import chains, maintenance
+from spindrift.operators import chains, evaluation, maintenance
 from spindrift.plans.engine import Engine
 
 PROMPTS = [
@@ -71,4 +71,4 @@ def test_beam_search_is_best_first(spark):
 def test_precision(spark):
     hits = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "query_id long, id long, rank int")
     gold = spark.createDataFrame([(0, 2), (0, 9)], "query_id long, gold_id long")
-    assert chains.precision_at(hits, gold, 2).first()["precision"] == 0.5
+    assert evaluation.precision(hits, gold, 2).first()["precision"] == 0.5

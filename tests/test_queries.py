@@ -32,13 +32,10 @@ def test_entry(spark):
 
 
 def test_batches_take_every_twentieth_vector(spark, sf_dir):
-    from spindrift.plans.retrieval_queries import _dense
-
     wanted = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
-    whole = [n for n in QUERIES if n.endswith("_all") and "dense" in ORACLE_SQL[n]]
-    assert len(whole) == 12 and all(" < 10" not in ORACLE_SQL[n] and "vec_id % 20 = 0" in ORACLE_SQL[n] for n in whole)
-    assert {r["query_id"] for r in _dense(spark, sf_dir, 1, True).collect()} == wanted
-    for name in ("dense_topk_all", "find_batch_all"):
+    dense = [n for n, sql in ORACLE_SQL.items() if "dense AS (" in sql]
+    assert len(dense) >= 12 and all("vec_id % 20 = 0" in ORACLE_SQL[n] and "query_id < 10" not in ORACLE_SQL[n] for n in dense)
+    for name in ("dense_topk", "find_batch", "ann_lsh", "ann_cells"):
         assert wanted <= {r["query_id"] for r in QUERIES[name](spark, sf_dir).select("query_id").distinct().collect()}
 
 
@@ -77,10 +74,10 @@ def test_beam_chains_are_up_to_five_long(spark, sf_dir):
 def test_set_ops_and_promotion_take_whole_tables(spark, sf_dir):
     keys = {r[0] for t, c in (("customer", "c_custkey"), ("orders", "o_custkey")) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(c).collect()}
     customers = {r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect()}
-    assert {r["k"] for r in QUERIES["set_ops_all"](spark, sf_dir).collect()} == {k for k in keys if k % 7 or k not in customers}
+    assert {r["k"] for r in QUERIES["set_ops"](spark, sf_dir).collect()} == {k for k in keys if k % 7 or k not in customers}
     parts = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
     steps = {(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect() if r[1] in parts}
-    assert sum(len(r["steps"].split(",")) for r in QUERIES["promote_chain_all"](spark, sf_dir).collect()) == len(steps)
+    assert sum(len(r["steps"].split(",")) for r in QUERIES["promote_chain"](spark, sf_dir).collect()) == len(steps)
 
 
 def test_text_rules_take_whole_tables(spark, sf_dir):
@@ -121,3 +118,74 @@ def test_whole_texts_are_embedded(spark, sf_dir):
     assert {r["id"] for r in rows} == {i for i, t in texts.items() if t and t.strip()}
     long = [r for r in rows if len(texts[r["id"]]) > 4000 and sum(x["id"] == r["id"] for x in rows) == 1]
     assert long and all(r["embedding"] == pytest.approx(hash_embedder(64)([texts[r["id"]]])[0].tolist(), abs=1e-6) for r in long)
+
+
+def test_lexemes_against_plain_counts(spark, sf_dir):
+    from spindrift.functions import stemmer
+
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = r["text"] or ""
+        for field, weight in ((text[:60], 1.0), (text, 0.1)):
+            for token in re.findall(r"[^\W_]+", field.lower()):
+                if token not in stemmer.STOPWORDS:
+                    n, docs = want.setdefault((stemmer.stem(token), weight), [0, set()])
+                    want[stemmer.stem(token), weight][0] = n + 1
+                    docs.add(r["doc_id"])
+    assert {(r["lexeme"], r["weight"]): (r["n"], r["docs"]) for r in QUERIES["analyze_text"](spark, sf_dir).collect()} == {k: (n, len(d)) for k, (n, d) in want.items()}
+
+
+def test_similarity_is_difflib_s(spark, sf_dir):
+    import difflib
+
+    rows = {(r["conv_id"], r["turn"]): r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    norm = lambda s: " ".join(s.lower().split())
+    for r in QUERIES["similarity_ratio"](spark, sf_dir).collect():
+        before = rows[r["conv_id"], max(t for c, t in rows if c == r["conv_id"] and t < r["turn"])]
+        ratio = difflib.SequenceMatcher(None, norm(before), norm(rows[r["conv_id"], r["turn"]])).ratio()
+        assert (r["ratio"], r["hit"]) == (pytest.approx(ratio), ratio >= 0.85)
+
+
+def test_session_states_against_a_plain_replay(spark, sf_dir):
+    want = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").collect(), key=lambda r: (r["ts"], r["event_id"] % 7)):
+        status, step, context = want.get(r["user_id"], ("active", 0, ""))
+        if status == "active":
+            kind = {"purchase": "completed", "logout": "aborted"}.get(r["event_type"])
+            if kind:
+                status = kind
+            else:
+                step = max(step, r["event_id"] % 7)
+                lines = f"{context}\n{r['event_type']}".strip().splitlines()
+                context = "\n".join(lines[-8:] if len(lines) > 10 else lines)[-2000:]
+        want[r["user_id"]] = (status, step, context)
+    last = {}
+    for r in QUERIES["session_state"](spark, sf_dir).collect():
+        last[r["session_id"]] = (r["status"], r["current_step"], r["context"])
+    assert last == want
+
+
+def test_embed_missing_covers_all_texts(spark, sf_dir):
+    from spindrift.functions.plugins import hash_embedder
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    names = "|".join(re.escape(a) for a in sorted(vocabulary.ACRONYMS, key=len, reverse=True))
+    grown = lambda t: re.sub(rf"(?<!\w)(?:{names})(?!\w)", lambda m: f"{m[0]} ({vocabulary.ACRONYMS[m[0]]})", t)
+    got = {r["id"]: r["embedding"] for r in QUERIES["embed_missing"](spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        want = hash_embedder(64)([grown(f"{t[:60]}\n{t}")[:4000]])[0].tolist() if t.strip() else None
+        assert got[i] == (want if want is None else pytest.approx(want, abs=1e-6))
+
+
+def test_skill_candidates_are_both_channels(spark, sf_dir):
+    got = QUERIES["skill_candidates"](spark, sf_dir).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: r["arrival"])
+        assert [r["arrival"] for r in rows] == list(range(1, len(rows) + 1))
+        sparse = [r["sparse_rank"] for r in rows if r["sparse_rank"]]
+        assert sparse == list(range(1, len(sparse) + 1)) and all(r["dense_rank"] for r in rows[len(sparse) :])
+        assert sorted(r["dense_rank"] for r in rows if r["dense_rank"]) == list(range(1, 1 + sum(bool(r["dense_rank"]) for r in rows)))

@@ -30,3 +30,16 @@ def test_duplicates_across_files(spark, tmp_path):
     logs.emit(one, str(tmp_path / "spool"))
     stream = logs.stream_spool(spark, str(tmp_path / "spool"), "event_id long, ts timestamp, value double", 1)
     assert S.run_available(S.deduplicated(stream), "own_dedupe", str(tmp_path / "state")).count() == 5
+
+
+def test_a_late_event_leaves_no_state_behind(spark, tmp_path):
+    """Files in turn: a session that completes, a late event of it, and one of another a week later, by which the first has left."""
+    kind = "event_id long, session_id long, ts timestamp, action string, step_order int, output string"
+    days = [("2024-01-01 10:00:00", 1, "complete"), ("2024-01-01 10:05:00", 1, "step"), ("2024-01-09 10:00:00", 2, "step"), ("2024-01-10 10:00:00", 2, "step")]
+    for i, (ts, session, action) in enumerate(days):
+        row = spark.createDataFrame([(i, session, ts, action, 1, "x")], "event_id long, session_id long, ts string, action string, step_order int, output string")
+        row.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = S.step_sessions(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
