@@ -32,6 +32,12 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are cores: a small table in one row group. A larger table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset and all runs on this machine, the warehouse."""
     context = spark.sparkContext
