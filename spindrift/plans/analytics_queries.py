@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assets, chains, chunking, evaluation, lifecycle, maintenance, rules
-from ..session import shared_path
+from ..session import remove_path, shared_path
 from ..sources import events as logs
 from ..streaming import events as streams
 from . import views as W
@@ -311,6 +311,7 @@ def _drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     write = "overwrite" if mode == "complete" else "append"
     done = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     done.foreachBatch(lambda rows, _: rows.write.mode(write).parquet(out)).start().awaitTermination()
+    remove_path(spark, f"{out}-state")  # all there is has been read
     return spark.read.parquet(out)
 
 

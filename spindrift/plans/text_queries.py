@@ -300,11 +300,11 @@ def parse_ts(spark, d):
 _SHOWN = "CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN -o_totalprice * 100 WHEN 2 THEN o_totalprice / 1000 ELSE 0 END"
 
 
-@query(f"SELECT o_orderkey, CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs(v) >= 1e6 THEN printf('%.2fM', abs(v) / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.1fK', abs(v) / 1e3) ELSE format('{{:,}}', CAST(round(abs(v)) AS BIGINT)) END AS shown FROM (SELECT o_orderkey, round({_SHOWN}, 1) AS v FROM orders)")
+@query(f"SELECT o_orderkey, CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs(v) >= 1e6 THEN printf('%.2fM', abs(v) / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.1fK', abs(v) / 1e3) ELSE format('{{:,}}', CAST(round(abs(v)) AS BIGINT)) END AS shown FROM (SELECT o_orderkey, round({_SHOWN}, 1) + 0.07 AS v FROM orders)")
 def format_num(spark, d):
     n, price = F.col("o_orderkey") % 4, F.col("o_totalprice")
     v = F.when(n == 0, price).when(n == 1, -price * 100).when(n == 2, price / 1000).otherwise(0.0)
-    return W.table(spark, d, "orders").select("o_orderkey", F.round(v, 1).alias("v")).select("o_orderkey", X.format_value("v").alias("shown"))
+    return W.table(spark, d, "orders").select("o_orderkey", (F.round(v, 1) + 0.07).alias("v")).select("o_orderkey", X.format_value("v").alias("shown"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ',k' || (event_id % 7) WHEN 1 THEN '' END AS items FROM events")
