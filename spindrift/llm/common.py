@@ -9,12 +9,16 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Words as the contracts for near-duplicates and rules cut them: runs without ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of texts is spread over the cores if its files make fewer partitions than there are cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table in ("documents", "pages") else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
