@@ -118,11 +118,17 @@ class Space:
         k = min(neighbours, len(self.labels))
         for at in range(0, len(texts), BLOCK):
             vectors = self._unit(self._weighed(term_counts(texts[at : at + BLOCK])).astype(np.float64) @ self.project)
-            near = np.rint(vectors @ self.vectors.T * 1e9).astype(np.int64)
-            order = near * len(self.labels) - np.arange(len(self.labels))  # no two alike
-            top = np.sort(np.argpartition(order, -k, axis=1)[:, -k:], axis=1)
-            weight = np.exp(20 * (np.take_along_axis(near, top, axis=1) / 1e9 - 1))
-            voted = ((weight * self.labels[top]).sum(axis=1) + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6)
+            near = vectors @ self.vectors.T
+            # All that may be among the k nearest once cosines are rounded; these few are put in order.
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            row, label = np.nonzero(near >= (least - 2e-9)[:, None])
+            cosine = np.rint(near[row, label] * 1e9)
+            order = np.lexsort((label, -cosine, row))
+            row, label, cosine = row[order], label[order], cosine[order]
+            first = np.searchsorted(row, np.arange(len(vectors)))
+            top = first[:, None] + np.arange(k)  # each row has k or more
+            weight = np.exp(20 * (cosine[top] / 1e9 - 1))
+            voted = ((weight * self.labels[label[top]]).sum(axis=1) + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6)
             blank = ~vectors.any(axis=1)
             out[at : at + BLOCK] = np.where(blank, self.prior, voted)
         return np.clip(out, 0, 1)
