@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, line_dedup, quality_knn, quality_rules, sharding, simhash, toxicity
+from . import bpe, decontaminate, html_text, language_id, line_dedup, phrases, quality_knn, quality_rules, resampling, sharding, simhash, spelling, toxicity
 from .common import fold, read, small_batches
 
 
@@ -85,12 +85,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_knn, op3_line_dedup, op4_simhash, op5_bpe, op6_language_id, op7_html_text, op8_decontaminate, op9_quality_rules, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_knn, op3_line_dedup, op4_simhash, op5_bpe, op6_language_id, op7_html_text, op8_decontaminate, op9_quality_rules, op10_sharding, op11_resampling, op12_spelling, op13_phrases, pipeline)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
