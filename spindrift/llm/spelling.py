@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from operator import ne
 from zlib import crc32
 
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, small_batches, text_of
 
-#: Rows of a shard on average; words that share a half from which on it is halved again (more than one place can have letters); distinct words that a task counts before it sends them on.
-SHARD_ROWS, HOT, HELD = 50_000, 200, 200_000
+#: Rows of a shard on average; words that share a half beyond which they are halved again for other shards, or in the shard; distinct words that a task counts before it sends them on.
+SHARD_ROWS, HOT, FEW, HELD = 50_000, 1000, 16, 200_000
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -79,8 +80,7 @@ def _halved(rows: DataFrame) -> DataFrame:
 def one_edit(a: str, b: str) -> bool:
     """Whether b, as long as a or one longer, is a with one letter replaced or put in."""
     if len(a) == len(b):
-        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), None)
-        return k is not None and a[k + 1 :] == b[k + 1 :]
+        return sum(map(ne, a, b)) == 1
     k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
     return a[k:] == b[k + 1 :]
 
@@ -96,16 +96,45 @@ def _here(a: str, b: str, path: str) -> bool:
     return True
 
 
+class _Sharing:
+    """Words that share a half: (rest, word, n) of each, looked up by a half of the rest where they are more than a few."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str, int]] = []
+        self.by_half: dict | None = None
+
+    def like(self, rest: str, gap: int) -> Iterator[tuple[str, str, int]]:
+        """Those whose rest could be one edit from this one, which is longer by gap; each once."""
+        if len(self.rows) <= FEW:
+            yield from self.rows
+            return
+        half = (len(rest) - gap) // 2
+        if self.by_half is None:
+            self.by_half = defaultdict(list)
+            for row in self.rows:
+                self.by_half["P", row[0][:half]].append(row)
+                self.by_half["S", row[0][half:]].append(row)
+        first = rest[:half]
+        yield from self.by_half.get(("P", first), ())
+        for row in self.by_half.get(("S", rest[half + gap :]), ()):
+            if row[0][:half] != first:
+                yield row
+
+
 def _scan(table: pa.Table) -> pa.Table:
     """word, near, best_n, best of the words of one shard: how many words of it are one edit away, and the most frequent (then smallest) of them."""
     import ahocorasick
 
     rows = list(zip(*(table[c].to_pylist() for c in ("parent", "path", "side", "text", "gap", "word", "n"))))
-    having: dict = defaultdict(list)
-    for parent, path, side, text, gap, word, n in rows:
+    having: dict = defaultdict(_Sharing)
+    for parent, _, side, text, gap, word, n in rows:
         if not gap:
             half = len(text) // 2
-            having[parent, side, text[:half] if side == "P" else text[half:]].append((text, word, n))
+            first, second = text[:half], text[half:]
+            if side == "P":
+                having[parent, side, first].rows.append((second, word, n))
+            else:
+                having[parent, side, second].rows.append((first, word, n))
     automaton = ahocorasick.Automaton()
     for _, _, half in having:
         automaton.add_word(half, half)
@@ -121,14 +150,15 @@ def _scan(table: pa.Table) -> pa.Table:
             have[1:] = min((have[1], have[2]), (-n, near))
 
     for parent, path, side, text, gap, word, n in rows:
-        own = len(text) - gap
-        size = own // 2 if side == "P" else own - own // 2
-        for end, half in automaton.iter(text):
-            at = end - len(half) + 1
-            if len(half) != size or at != (0 if side == "P" else len(text) - size):
+        half = (len(text) - gap) // 2
+        size, rest = (half, text[half:]) if side == "P" else (len(text) - gap - half, text[: half + gap])
+        # The segment has to be as long as that half and to lie at the text's start, or its end.
+        ends_at = size - 1 if side == "P" else len(text) - 1
+        for end, segment in automaton.iter(text):
+            if end != ends_at or len(segment) != size or (parent, side, segment) not in having:
                 continue
-            for other, near, m in having.get((parent, side, half), ()):
-                if len(other) == own and one_edit(other, text) and _here(near, word, path + side):
+            for other, near, m in having[parent, side, segment].like(rest, gap):
+                if len(other) + gap == len(rest) and one_edit(other, rest) and _here(near, word, path + side):
                     add(word, m, near)
                     if gap:
                         add(near, n, word)
