@@ -92,3 +92,19 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20) ->
         value = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
         if not 0 < value <= most:
             spark.conf.set(name, str(most))
+
+
+#: For DuckDB, which has no crc32: a row with the table of its 256 steps, and the value (unsigned) of a text's UTF-8 bytes beside that row.
+SQL_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS tab
+)"""
+
+
+def sql_crc(text: str) -> str:
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substring(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c // 256, tab[1 + xor(c, b) % 256]), 4294967295), 4294967295)"
+
+
+def sql_lower(text: str) -> str:
+    """A-Z in lower case and nothing else."""
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -105,4 +105,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_knn, op3_line_dedup, op4_simhash, op5_bpe, op6_language_id, op7_html_text, op8_decontaminate, op9_quality_rules, op10_sharding, op11_resampling, op12_spelling, op13_phrases, pipeline)}
 
-ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op11_resampling": resampling.SQL, "op12_spelling": spelling.SQL}

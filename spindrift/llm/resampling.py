@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, text_of
+from .common import SQL_CRC_TABLE, cut, small_batches, sql_crc, sql_lower, text_of
 
 BUCKETS = 10_000
 #: Rows of a sorted run and of a block of it at most; rows a range is meant to have; ranges and sampled keys at most.
@@ -132,7 +132,7 @@ def _bounds(eligible: DataFrame, n: int) -> list[tuple]:
     """Keys at which runs are cut, in order, one fewer than there are ranges."""
     parts = int(eligible.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(RANGES, max(parts, n // RANGE_ROWS), max(1, n // 100))
-    sample = eligible.select("score", "id", "run").orderBy(F.xxhash64("id", "score", "run"), "score", "run").limit(min(SAMPLE, 64 * ranges))
+    sample = eligible.select("score", "id", "run").orderBy(F.rand(7)).limit(min(SAMPLE, 64 * ranges))
     keys = sorted(_key(*row) for row in sample.collect())
     return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
 
@@ -258,3 +258,26 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least: int =
     """
     gain = gains(counts(docs, text_col), counts(target, target_col))
     return draw(scores(docs, gain, seed, id_col, text_col), percent, least).withColumnRenamed("id", id_col)
+
+
+SQL = f"""WITH {SQL_CRC_TABLE},
+texts AS (SELECT TRUE AS corpus, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT FALSE, NULL, coalesce(text, '') FROM benchmark),
+worded AS (SELECT row_number() OVER () AS r, corpus, id, regexp_extract_all({sql_lower('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+features AS (
+  SELECT r, corpus, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded
+),
+named AS (SELECT f, {sql_crc('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features), crc_table),
+placed AS (SELECT r, corpus, bucket FROM features JOIN named USING (f)),
+totals AS (SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM placed GROUP BY 1),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM totals)::DOUBLE + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM totals)::DOUBLE + 10000))))::BIGINT AS gain FROM totals
+),
+means AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight, count(*) AS n FROM placed JOIN gains USING (bucket) WHERE corpus GROUP BY r),
+scored AS (
+  SELECT id, coalesce(n, 0) AS n_features, len(w) AS n_words, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('7:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN means USING (r) WHERE corpus
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, id) AS k, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT id AS doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM ranked
+"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_batches, text_of
+from .common import SQL_CRC_TABLE, cut, small, small_batches, sql_crc, sql_lower, text_of
 
 #: Rows of a shard on average; words that share a half beyond which they are halved again for other shards, or in the shard; distinct words that a task counts before it sends them on.
 SHARD_ROWS, HOT, FEW, HELD = 50_000, 1000, 16, 200_000
@@ -223,3 +223,36 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     )
     joined = cut(joined)
     return joined.join(roots(joined), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+SQL = f"""WITH RECURSIVE {SQL_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({sql_lower("coalesce(text, '')")}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {sql_crc("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM counted, crc_table),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+),
+-- Words one edit apart have the same pieces around one place; what stands there is a letter of both, or of one.
+cuts AS (
+  SELECT word, n, unnest(range(length(word) + 1)) AS place FROM words
+),
+pieces AS (
+  SELECT word, n, place, substring(word, 1, place) AS a, substring(word, place + 2) AS b FROM cuts WHERE place < length(word)
+),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS m FROM pieces x JOIN pieces y USING (a, b) WHERE x.word <> y.word
+  UNION SELECT p.word, w.word, w.n FROM pieces p JOIN words w ON w.word = p.a || p.b
+  UNION SELECT w.word, p.word, p.n FROM pieces p JOIN words w ON w.word = p.a || p.b
+),
+best AS (SELECT word, near, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS k FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND k = 1
+),
+steps AS (
+  SELECT word, word AS reached, form AS onward FROM formed
+  UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.onward
+)
+SELECT word, form, reached AS root, n, n_near, form_n FROM formed JOIN (SELECT word, reached FROM steps WHERE onward IS NULL) USING (word)
+"""
