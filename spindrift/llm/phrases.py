@@ -7,7 +7,7 @@ union as the sets do of theirs: texts that would compress each other well are al
 
 With edited copies (``compare``), a text's end is replaced by the start of the
 next text by id. Texts move once: they are dealt into ranges of ids, at bounds
-from a sample of ``SAMPLE`` ids, and each range also gets the first text after it,
+from a sample of about ``SAMPLE`` ids, and each range also gets the first text after it,
 so a task walks its texts in order, one pair at a time. The edited text keeps the
 parse of what it has in common with the text.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, text_of
 
-#: Hashes in a fingerprint; sampled ids for the bounds and ranges of ids at most.
+#: Hashes in a fingerprint; sampled ids for the bounds, about; ranges of ids at most.
 SIZE, SAMPLE, RANGES = 64, 50_000, 2048
 _SEED, _DIGITS = 42, 8
 _TYPES = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
@@ -86,7 +86,8 @@ def _pair(text: str, after: str, size: int) -> tuple[str, str, str]:
 
 def _bounds(docs: DataFrame, ranges: int) -> list:
     """Ids that begin a range, in order."""
-    ids = docs.select("id").filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, 32 * ranges))
+    ids = docs.select("id").filter("id IS NOT NULL")
+    ids = ids.filter(F.rand(7) * ids.count() < min(SAMPLE, 32 * ranges))
     ids = sorted(r[0] for r in ids.collect())
     return sorted({ids[k * len(ids) // ranges] for k in range(1, ranges)}) if ids else []
 

@@ -14,7 +14,7 @@ each range of scores its first rank and the last range that is needed. A task
 then merges one range's pieces of all runs by a tournament tree, gives ranks and
 stops at the exact draw count; ranges behind it are neither shuffled nor merged.
 
-Bounds come from a sample of ``SAMPLE`` keys. They decide how even the ranges are
+Bounds come from a sample of about ``SAMPLE`` keys. They decide how even the ranges are
 and nothing else. The reading task's number ends each key, so rows that repeat
 without end are dealt over ranges too.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import SQL_CRC_TABLE, cut, small_batches, sql_crc, sql_lower, text_of
 
 BUCKETS = 10_000
-#: Rows of a sorted run and of a block of it at most; rows a range is meant to have; ranges and sampled keys at most.
+#: Rows of a sorted run and of a block of it at most; rows a range is meant to have; ranges at most; sampled keys, about.
 RUN_ROWS, BLOCK_ROWS, RANGE_ROWS, RANGES, SAMPLE = 1 << 20, 4096, 100_000, 4096, 100_000
 
 # Bytes of ASCII letters in lower case and digits stay, other ASCII separates words, bytes of longer characters stay.
@@ -132,7 +132,7 @@ def _bounds(eligible: DataFrame, n: int) -> list[tuple]:
     """Keys at which runs are cut, in order, one fewer than there are ranges."""
     parts = int(eligible.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(RANGES, max(parts, n // RANGE_ROWS), max(1, n // 100))
-    sample = eligible.select("score", "id", "run").orderBy(F.rand(7)).limit(min(SAMPLE, 64 * ranges))
+    sample = eligible.select("score", "id", "run").filter(F.rand(7) * n < min(SAMPLE, 64 * ranges))
     keys = sorted(_key(*row) for row in sample.collect())
     return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
 
