@@ -202,13 +202,29 @@ def fill_slots(text: Column | str, context: Column, substring_fallback: bool = T
     return F.aggregate(slots(text), F.struct(text.alias("text"), F.array().cast("array<string>").alias("unfilled")), step)
 
 
-def fences(markdown: Column | str) -> Column:
-    """Fenced blocks in order."""
-    return F.regexp_extract_all(F.coalesce(col(markdown), F.lit("")), F.lit(r"(?ms)^```.*?\n.*?\n```[ \t]*$"), F.lit(0))
+#: A leading block of front matter, and a fenced block, which may begin and end inside a line.
+FRONT_MATTER, FENCE = r"(?s)\A---\n.*?\n---\n?", r"(?s)```.*?\n.*?\n```"
+
+
+def segments(markdown: Column | str) -> Column:
+    """Structs (kind, text) of front matter, prose and fences in order; their texts put together are the whole text."""
+    text = F.coalesce(col(markdown), F.lit(""))
+    front = F.regexp_extract(text, FRONT_MATTER, 0)
+    rest = F.substring(text, F.char_length(front) + 1, F.char_length(text))
+    named = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    fenced = F.regexp_extract_all(rest, F.lit(FENCE), F.lit(0))
+    parts = F.zip_with(F.split(rest, FENCE, -1), fenced, lambda prose, fence: F.array(named("prose", F.coalesce(prose, F.lit(""))), named("fence", F.coalesce(fence, F.lit("")))))
+    return F.filter(F.concat(F.array(named("frontmatter", front)), F.flatten(parts)), lambda s: s["text"] != "")
+
+
+def protected(markdown: Column | str) -> Column:
+    """The texts that no rewriting may touch, in order: front matter and fences."""
+    return F.transform(F.filter(segments(markdown), lambda s: s["kind"] != "prose"), lambda s: s["text"])
 
 
 def same_fences(before: Column | str, after: Column | str) -> Column:
-    return fences(before) == fences(after)
+    """Whether front matter and fences are the same, byte for byte and in order."""
+    return protected(before) == protected(after)
 
 
 def sigmoid(x: Column) -> Column:

@@ -40,7 +40,12 @@ def quality_prior(feedback: DataFrame, key: str = "prompt_id") -> DataFrame:
     """key, n, avg_outcome, success_rate, prior: outcomes shrunk towards one half as by five more ratings; skipped ones don't count."""
     value = F.when(F.col("outcome") == "success", 1.0).when(F.col("outcome") == "partial", 0.5).when(F.col("outcome") == "failure", 0.0)
     own = feedback.filter(F.col("outcome") != "skipped").groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("avg_outcome"), F.avg((F.col("outcome") == "success").cast("double")).alias("success_rate"))
-    return own.withColumn("prior", (F.col("n") * F.col("avg_outcome") + V.PRIOR_WEIGHT * V.PRIOR_MEAN) / (F.col("n") + V.PRIOR_WEIGHT))
+    return own.withColumn("prior", prior(F.col("n"), F.col("n") * F.col("avg_outcome")))
+
+
+def prior(n: Column, total: Column) -> Column:
+    """The mean of n ratings of that total, shrunk towards one half as by five more ratings."""
+    return (total + V.PRIOR_WEIGHT * V.PRIOR_MEAN) / (n + V.PRIOR_WEIGHT)
 
 
 def success_rate(items: DataFrame, feedback: DataFrame) -> DataFrame:

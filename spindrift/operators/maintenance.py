@@ -33,11 +33,12 @@ def embed_skills(skills: DataFrame, version: str, embedder: Callable | None = No
 
 
 def backfill_chunks(prompts: DataFrame, version: str, embedder: Callable | None = None, size: int = 64) -> DataFrame:
-    """The chunk table, rebuilt: chunks with vectors, each distinct text embedded once. prompts: id, title, prompt_text."""
-    cut = chunking.chunks(prompts, "id", "prompt_text").join(prompts.select("id", "title"), "id")
-    cut = cut.withColumn("embed_text", chunking.embed_text(F.col("title"), F.col("label"), F.col("chunk_text"))).withColumn("key", X.content_hash("embed_text"))
+    """The chunk table, rebuilt: chunks with vectors, each distinct text embedded once, whole. prompts: id, title, prompt_text and, if there is one, summary."""
+    summary = F.col("summary") if "summary" in prompts.columns else F.lit(None).cast("string")
+    cut = chunking.chunks(prompts, "id", "prompt_text").join(prompts.select("id", "title", summary.alias("summary")), "id")
+    cut = cut.withColumn("embed_text", chunking.embed_text(F.col("title"), F.col("label"), F.col("chunk_text"), F.col("summary"))).withColumn("key", X.content_hash("embed_text"))
     once = cut.select("key", "embed_text").dropDuplicates(["key"]).select("key", plugins.embed(size, embedder)("embed_text").alias("embedding"))
-    return cut.join(once, "key").withColumn("embedding_version", F.lit(version)).drop("embed_text", "title")
+    return cut.join(once, "key").withColumn("embedding_version", F.lit(version)).drop("embed_text", "title", "summary")
 
 
 def check_version(table: DataFrame, version: str) -> None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, evaluation, fusion, rerank, retrieval
+from ..operators import chains, evaluation, fusion, rerank, retrieval, tree_index
+from ..session import remove_path, settled, shared_path
 from . import views as W
 from .registry import query
 
@@ -76,6 +77,17 @@ def ann_cells(spark, d):
     return retrieval.ann_cells(W.chunk_vecs(spark, d), W.vec_queries(spark, d), 10, id_col="chunk_id")
 
 
+@query()
+def ann_tree(spark, d):
+    """A stored tree index over nine tenths of the vectors, the rest filed afterwards, then searched."""
+    v, path = W.chunk_vecs(spark, d), shared_path(spark, "tree")
+    tree = tree_index.build(v.filter("chunk_id % 10 <> 3"), path, "chunk_id")
+    tree_index.insert(v.filter("chunk_id % 10 = 3"), path, "chunk_id", tree=tree)
+    found = settled(tree_index.search(spark, path, W.vec_queries(spark, d), 10, tree=tree))
+    remove_path(spark, path)
+    return found
+
+
 @query(f"WITH {HITS} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, {RANKED} FROM matched JOIN wanted USING (query_id) WHERE score = n_terms) WHERE rank <= 10")
 def exact_and(spark, d):
     return retrieval.exact_search(_active(spark, d), W.word_queries(spark, d), True, 10, "id", "prompt_text")
@@ -168,7 +180,7 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT query_id, id, s
 
 @query(RERANK)
 def rerank_stub(spark, d):
-    pairs = _lexical(spark, d).join(F.broadcast(W.word_queries(spark, d)), "query_id").join(W.prompts(spark, d).withColumn("summary", F.lit(None).cast("string")), "id")
+    pairs = _lexical(spark, d).join(retrieval.bounded(W.word_queries(spark, d)), "query_id").join(W.prompts(spark, d).withColumn("summary", F.lit(None).cast("string")), "id")
     scored = rerank.score_pairs(pairs.withColumn("document", rerank.rerank_document(domain="domain", task_type="task_type")))
     best = retrieval.top(scored.select("query_id", "id", rerank.shaped_score("raw", "n_chars").alias("score")), 10)
     return best.withColumn("score", F.round("score", 6))

@@ -335,18 +335,35 @@ def math_shape(spark, d):
     return W.table(spark, d, "embeddings").select("vec_id", F.round(X.sigmoid(F.col("embedding")[0].cast("double") * 100), 5).alias("squashed"), F.round(norm, 5).alias("norm"))
 
 
-_FENCED = "text || chr(10) || '```py' || chr(10) || 'x = ' || (doc_id % 7) || chr(10) || '```' || chr(10)"
-_REWRITTEN = "CASE doc_id % 4 WHEN 0 THEN 'New words.' || chr(10) || '```py' || chr(10) || 'x = ' || (doc_id % 7) || chr(10) || '```' WHEN 1 THEN 'No code.' WHEN 2 THEN '```py' || chr(10) || 'x = 3' || chr(10) || '```' ELSE text || chr(10) || '```py' || chr(10) || 'x = ' || (doc_id % 7) || chr(10) || '```  ' END"
-_FENCES = "regexp_extract_all({0}, '(?ms)^```.*?\\n.*?\\n```[ \\t]*$')"
+#: Documents with front matter and two fences, one of which begins inside a line, and what a rewriting makes of them.
+_BEFORE = "'---' || chr(10) || 'title: ' || (doc_id % 5) || chr(10) || '---' || chr(10) || text || ' ```py' || chr(10) || 'x = ' || (doc_id % 7) || chr(10) || '``` and' || chr(10) || '```' || chr(10) || 'y' || chr(10) || '```' || chr(10) || 'end'"
+_AFTER = """CASE doc_id % 6 WHEN 0 THEN replace(b, text, 'New words.') WHEN 1 THEN replace(b, 'title: ', 'title: T') WHEN 2 THEN replace(b, 'x = ', 'x = 1') WHEN 3 THEN b || chr(10) || '```' || chr(10) || 'z' || chr(10) || '```' WHEN 4 THEN replace(b, '---' || chr(10), '') ELSE b || ' more' END"""
+_REST = "substr({0}, length(regexp_extract({0}, '^---\\n(?s:.*?)\\n---\\n?')) + 1)"
+_PROTECTED = f"list_filter(list_concat([regexp_extract({{0}}, '^---\\n(?s:.*?)\\n---\\n?')], regexp_extract_all({_REST}, '(?s)```.*?\\n.*?\\n```')), lambda s: s <> '')"
 
 
-@query(f"SELECT doc_id, {_FENCES.format('a')} = {_FENCES.format('b')} AS same FROM (SELECT doc_id, {_FENCED} AS a, {_REWRITTEN} AS b FROM documents)")
+def _rewritten(spark, d) -> DataFrame:
+    n = F.col("doc_id")
+    before = F.concat(F.lit("---\ntitle: "), n % 5, F.lit("\n---\n"), "text", F.lit(" ```py\nx = "), n % 7, F.lit("\n``` and\n```\ny\n```\nend"))
+    rows = W.table(spark, d, "documents").select("doc_id", "text", before.alias("before"))
+    b, put = F.col("before"), lambda old, new: F.replace(F.col("before"), F.lit(old), F.lit(new))
+    after = F.when(n % 6 == 0, F.replace(b, F.col("text"), F.lit("New words."))).when(n % 6 == 1, put("title: ", "title: T")).when(n % 6 == 2, put("x = ", "x = 1"))
+    return rows.select("doc_id", "before", after.when(n % 6 == 3, F.concat(b, F.lit("\n```\nz\n```"))).when(n % 6 == 4, put("---\n", "")).otherwise(F.concat(b, F.lit(" more"))).alias("after"))
+
+
+@query(f"SELECT doc_id, {_PROTECTED.format('b')} = {_PROTECTED.format('a')} AS same FROM (SELECT doc_id, b, {_AFTER} AS a FROM (SELECT doc_id, text, {_BEFORE} AS b FROM documents))")
 def fence_check(spark, d):
-    code = F.concat(F.lit("```py\nx = "), F.col("doc_id") % 7, F.lit("\n```"))
-    n = F.col("doc_id") % 4
-    after = F.when(n == 0, F.concat(F.lit("New words.\n"), code)).when(n == 1, "No code.").when(n == 2, "```py\nx = 3\n```").otherwise(F.concat("text", F.lit("\n"), code, F.lit("  ")))
-    rows = W.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), code, F.lit("\n")).alias("before"), after.alias("after"))
-    return rows.select("doc_id", X.same_fences("before", "after").alias("same"))
+    return _rewritten(spark, d).select("doc_id", X.same_fences("before", "after").alias("same"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_BEFORE} AS b FROM documents), a AS (SELECT doc_id, b, {_AFTER.replace("text,", "x,")} AS a FROM (SELECT doc_id, text AS x, {_BEFORE} AS b FROM documents)),
+p AS (SELECT doc_id, a, regexp_extract(a, '^---\\n(?s:.*?)\\n---\\n?') AS front, regexp_split_to_array({_REST.format('a')}, '(?s)```.*?\\n.*?\\n```') AS prose, regexp_extract_all({_REST.format('a')}, '(?s)```.*?\\n.*?\\n```') AS fences FROM a)
+SELECT doc_id, CASE WHEN front <> '' THEN 'frontmatter,' ELSE '' END || array_to_string(flatten(list_transform(range(1, len(prose) + 1), lambda i: list_concat(CASE WHEN prose[i] <> '' THEN ['prose'] ELSE [] END, CASE WHEN i <= len(fences) THEN ['fence'] ELSE [] END))), ',') AS kinds, TRUE AS whole FROM p""")
+def fence_segments(spark, d):
+    """Kinds of segments in order, and that their texts put together are the text."""
+    parts = _rewritten(spark, d).select("doc_id", "after", X.segments("after").alias("s"))
+    whole = F.array_join(F.transform("s", lambda x: x["text"]), "") == F.col("after")
+    return parts.select("doc_id", F.array_join(F.transform("s", lambda x: x["kind"]), ",").alias("kinds"), whole.alias("whole"))
 
 
 @query("SELECT conv_id, left(array_to_string(list(text ORDER BY turn)[-3:], ' ') || ' sure', 1000) AS expansion FROM conversations GROUP BY conv_id")
@@ -411,6 +428,16 @@ def analyze_text(spark, d):
     return retrieval.lexeme_postings(W.prompts(spark, d), {"title": "A", "prompt_text": "D"}).groupBy("lexeme", "weight").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
 
 
+@query("""SELECT doc_id AS title, fault FROM (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['no body', 'repeated key: domain'] WHEN 1 THEN ['front matter without an end'] WHEN 2 THEN ['repeated key: domain', 'repeated key: task_type'] ELSE [] END) AS fault FROM documents WHERE trim(text, E' \\n') <> '')""")
+def markdown_faults(spark, d):
+    """Files that break the rules, each in its own way; the others have no row here, and these don't stop the reading of any."""
+    n = F.col("doc_id")
+    twice = F.concat(F.lit("---\ndomain: a\nDomain: b\n---\n"), F.when(n % 4 == 0, "").otherwise(F.col("text")))
+    raw = F.when(n % 4 == 0, twice).when(n % 4 == 1, F.concat(F.lit("---\ndomain: a\n"), "text")).when(n % 4 == 2, F.concat(F.lit("---\ntask type: x\ndomain: a\ntask_type: y\ndomain: z\n---\n"), "text")).otherwise(F.concat(F.lit("---\ndomain: a\n---\n"), "text"))
+    files = W.table(spark, d, "documents").filter(F.trim(F.col("text"), F.lit(" \n")) != "").select(n.alias("title"), raw.alias("raw"))
+    return markdown.faults(files)
+
+
 @query("SELECT doc_id AS title, trim(text, ' ') AS prompt_text, 'finance,AI,' || lang AS domain, CASE WHEN doc_id % 2 = 0 THEN 'analyze' ELSE source END AS task_type, CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'active' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'public' ELSE 'private' END AS source, substr(sha256(trim(text, ' ')), 1, 16) AS content_hash FROM documents WHERE trim(text, ' ') <> ''")
 def parse_frontmatter(spark, d):
     n = F.col("doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..operators.retrieval import bounded
 from ..session import spread
 
@@ -55,8 +56,9 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.split("query", " ", -1)
     inner = F.array_sort(F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("size"), w.alias("word"))))
     keyed = b.withColumn("word", F.get(inner, F.lit(0))["word"])
-    words = d.select("gold_id", "text", F.explode_outer(F.array_distinct(F.split("text", " ", -1))).alias("word"))
-    held = words.join(bounded(keyed.filter("word IS NOT NULL")), "word").filter(F.col("text").contains(F.col("query")))
+    words = d.select("gold_id", F.explode_outer(F.array_distinct(F.split("text", " ", -1))).alias("word"))
+    pairs = words.join(bounded(keyed.filter("word IS NOT NULL")), "word").select("query_id", "query", "gold_id")
+    held = d.join(bounded(pairs), "gold_id").filter(F.col("text").contains(F.col("query")))
     short = keyed.filter("word IS NULL")
     rest = d.join(short, F.col("text").contains(F.col("query"))) if not short.isEmpty() else None
     found = held.select("query_id", "query", "gold_id")
@@ -91,7 +93,7 @@ GOLDEN = "SELECT item_id AS query_id, b.text AS query, doc_id AS gold_id FROM be
 WORD_QUERIES = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark"
 FEEDBACK = "SELECT doc_id % 7 AS prompt_id, doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'success' WHEN quality = 1 AND toxic = 1 THEN 'partial' WHEN quality = 0 AND toxic = 0 THEN 'failure' ELSE 'skipped' END AS outcome, (doc_id % 100) / 100 AS quality_score FROM labels"
 STEPS = "SELECT DISTINCT l_orderkey AS skill_id, l_partkey AS id FROM lineitem"
-NOISE_SQL = "['a','an','the','and','or','but','if','then','else','of','in','on','at','to','for','from','with','without','by','as','is','are','was','were','be','been','being','do','does','did','have','has','had','can','could','should','would','will','my','me','i','you','your','it','its','this','that','these','those','there','here','what','how','why','when']"
+NOISE_SQL = str(sorted(V.NOISE_WORDS))
 TERMS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9_][\p{{L}}\p{{N}}_./-]*'), lambda x: lower(x))"
 
 

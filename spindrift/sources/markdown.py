@@ -20,11 +20,23 @@ def read_files(spark: SparkSession, path: str, suffix: str = "*.md") -> DataFram
 
 
 def front_matter(raw: Column | str) -> Column:
-    """Front matter as a map from lower-cased keys; a list below a key, or in brackets, is joined by commas. No front matter: an empty map."""
+    """Front matter as a map from lower-cased keys; a list below a key, or in brackets, is joined by commas; of a repeated key the last entry counts. No front matter: an empty map."""
     block = F.regexp_replace(F.regexp_extract(X.col(raw), _FRONT, 1), r"\n[ \t]*-[ \t]+", ",")
     keys = F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(1)), lambda k: F.regexp_replace(F.lower(k), " ", "_"))
     values = F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(2)), lambda v: F.regexp_replace(v, r"^[,\[\"']+|[\]\"']+\z", ""))
-    return F.map_from_entries(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"] != ""))
+    last = lambda k, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), k)
+    return F.map_from_entries(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e, i: (e["k"] != "") & last(e["k"], i)))
+
+
+def faults(files: DataFrame) -> DataFrame:
+    """title, fault: files that ``parse`` leaves out or reads with loss: no body, front matter that nothing closes, a key that is there twice."""
+    block = F.regexp_replace(F.regexp_extract("raw", _FRONT, 1), r"\n[ \t]*-[ \t]+", ",")
+    keys = F.filter(F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(1)), lambda k: F.regexp_replace(F.lower(k), " ", "_")), lambda k: k != "")
+    twice = F.array_sort(F.array_distinct(F.filter(keys, lambda k, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), k))))
+    open_front = F.col("raw").rlike(r"\A---\r?\n") & ~F.col("raw").rlike(_FRONT)
+    found = F.array_compact(F.array(F.when(F.length(body(F.coalesce("raw", F.lit("")))) == 0, "no body"), F.when(open_front, "front matter without an end")))
+    said = F.concat(F.coalesce(found, F.array().cast("array<string>")), F.coalesce(F.transform(twice, lambda k: F.concat(F.lit("repeated key: "), k)), F.array().cast("array<string>")))
+    return files.select("title", F.explode(said).alias("fault"))
 
 
 def body(raw: Column | str) -> Column:
