@@ -1,6 +1,6 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A text is parsed into phrases, each the shortest piece that isn't in the
+A text's bytes are parsed into phrases, each the shortest piece that isn't in the
 dictionary yet. The phrase set is hashed and its ``SIZE`` least hashes are the
 fingerprint. Two fingerprints share as large a part of the least hashes of their
 union as the sets do of theirs: texts that would compress each other well are alike.
@@ -15,13 +15,11 @@ parse of what it has in common with the text.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,35 +27,67 @@ from .common import small_batches, text_of
 
 #: Hashes in a fingerprint; sampled ids for the bounds, about; ranges of ids at most.
 SIZE, SAMPLE, RANGES = 64, 50_000, 2048
-_SEED, _DIGITS = 42, 8
+_FACTOR, _MASK, _DIGITS = 1_000_003, (1 << 40) - 1, 8
 _TYPES = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
 
 
-def parse(text: str, known: set[str], start: str = "") -> str:
-    """Adds the phrases of start + text to known, where start is a phrase begun already; returns the phrase begun at the end."""
-    text = start + text
-    begin = 0
-    for end in range(len(start) + 1, len(text) + 1):
-        piece = text[begin:end]
-        if piece not in known:
-            known.add(piece)
-            begin = end
-    return text[begin:]
+class Phrases:
+    """The dictionary of phrases as a tree: a phrase is a node, its number times 256 plus a byte names a child."""
 
+    def __init__(self) -> None:
+        self.children: dict[int, int] = {}
+        self.hashes: list[int] = [1]  # by node; that of no phrase first
+        self.at = 0  # the phrase begun, as its node's number times 256
 
-def hashes(known: Iterable[str]) -> set[int]:
-    return {xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass"), _SEED) for p in known}
+    def read(self, text: bytes) -> list[int]:
+        """Goes on with the text; returns the names of the phrases that are new."""
+        children, hashes, node, new = self.children, self.hashes, self.at, []
+        child, top = children.get, len(hashes) << 8
+        for byte in text:
+            name = node + byte
+            node = child(name)
+            if node is None:
+                hashes.append((hashes[name >> 8] * _FACTOR ^ byte) & _MASK)
+                children[name] = top
+                new.append(name)
+                top += 256
+                node = 0
+        self.at = node
+        return new
 
+    def forget(self, names: list[int], at: int) -> None:
+        """Takes the last phrases back, and goes back to the phrase begun at that time."""
+        for name in names:
+            del self.children[name]
+        del self.hashes[len(self.hashes) - len(names) :]
+        self.at = at
 
-def signature(values: Iterable[int], size: int = SIZE) -> str:
-    """The least hashes in order, eight hex digits each; no phrases: the empty string."""
-    return "".join(f"{x:08x}" for x in sorted(values)[:size])
+
+def least(hashes: list[int], size: int = SIZE, low: np.ndarray | None = None) -> np.ndarray:
+    """The ``size`` least different 32-bit values that phrases' hashes are mixed to, in order, together with low."""
+    x = np.array(hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    x = x if low is None else np.concatenate([low, x])
+    if len(x) > 2 * size:
+        few = np.unique(np.partition(x, size + 8)[: size + 8])
+        if len(few) >= size:
+            return few[:size]
+    return np.unique(x)[:size]
+
+
+def signature(values: np.ndarray) -> str:
+    """Hex digits of the values in order, eight each; no phrases: the empty string."""
+    return values.astype(">u4").tobytes().hex()
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def fingerprint(text: str, size: int = SIZE) -> str:
-    known: set[str] = set()
-    parse(text, known)
-    return signature(hashes(known), size)
+    known = Phrases()
+    known.read(_bytes(text))
+    return signature(least(known.hashes[1:], size))
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
@@ -65,23 +95,35 @@ def likeness(a: str, b: str, size: int = SIZE) -> float:
     if a == b:
         return 1.0
     one, two = ({x[k : k + _DIGITS] for k in range(0, len(x), _DIGITS)} for x in (a, b))
-    least = sorted(one | two)[:size]
-    return sum(x in one and x in two for x in least) / len(least)
+    low = sorted(one | two)[:size]
+    return sum(x in one and x in two for x in low) / len(low)
 
 
 def _pair(text: str, after: str, size: int) -> tuple[str, str, str]:
     """SHA-256 of the edited text, the text's fingerprint and the edited one's."""
     q = len(text) // 4
-    keep, end, start = text[: len(text) - q], text[len(text) - q :], after[:q]
-    known: set[str] = set()
-    open_at = parse(keep, known)
-    shared = hashes(known)
-    whole, edited = set(known), known
-    parse(end, whole, open_at)
-    parse(start, edited, open_at)
-    have, got = shared | hashes(whole - edited), shared | hashes(edited - whole)
-    both = hashes(whole & edited)
-    return hashlib.sha256((keep + start).encode("utf-8", "surrogatepass")).hexdigest(), signature(have | both, size), signature(got | both, size)
+    keep, end, start = (_bytes(x) for x in (text[: len(text) - q], text[len(text) - q :], after[:q]))
+    known = Phrases()
+    shared = known.read(keep)
+    low, begun = least(known.hashes[1:], size), known.at
+    ends = known.read(end)
+    whole = least(known.hashes[len(shared) + 1 :], size, low)
+    known.forget(ends, begun)
+    known.read(start)
+    edited = least(known.hashes[len(shared) + 1 :], size, low)
+    return hashlib.sha256(keep + start).hexdigest(), signature(whole), signature(edited)
+
+
+def _place(key: Column, bounds: list) -> Column:
+    """How many of the bounds, which are in order, the key has reached: by a coarse look, then a fine one."""
+    if not bounds:
+        return F.lit(0)
+    step = int(len(bounds) ** 0.5) + 1
+    reached = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    array = lambda values: F.array(*[F.lit(v) for v in values])
+    coarse = reached(array(bounds[::step]))
+    fine = F.transform(F.array(coarse), lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + reached(F.slice(array(bounds), (c - 1) * step + 1, step))))
+    return F.when(key.isNull(), 0).otherwise(F.get(fine, F.lit(0)))
 
 
 def _bounds(docs: DataFrame, ranges: int) -> list:
@@ -110,12 +152,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     ranges = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _bounds(rows, ranges)
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, x) for x in ids.tolist()], dtype="int32")
-
-    # Null ids are in range 0; they don't reach pandas, which would make floating numbers of a column that has them.
-    at = F.when(F.col("id").isNull(), F.lit(0)).otherwise(place(F.coalesce("id", F.lit(bounds[0]).cast(kind)))) if bounds else F.lit(0)
+    at = _place(F.col("id"), bounds)
     order = F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), F.xxhash64("text").alias("h"))
     firsts = sorted(rows.select(at.alias("range"), order.alias("o")).groupBy("range").agg(F.min("o").alias("o")).collect())
     if not firsts:
