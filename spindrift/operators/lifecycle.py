@@ -70,6 +70,40 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "title") -> DataFrame:
     return o.join(n, key, "full").select(key, F.coalesce("ot", "nt").alias("tag"), text.alias("text"), status.alias("status"))
 
 
+#: The published namespace of version-5 ids made from addresses, in hex.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def named_id(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The version-5 id of a name: the same in every run and on every machine."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.substring(F.lit("89ab"), (F.conv(part(17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def upsert_named(old: DataFrame, new: DataFrame, key: str, kind: str, source: str = "public") -> DataFrame:
+    """key, id, version, source, content_hash, change: the table after new rows of one source, with what became of each row.
+
+    old: key, id, version, source, content_hash; new: key, text, keys all different. A key
+    that is there keeps its id and goes up a version (updated, or same where its text's hash is the
+    same); a new one has the id of "kind:key" and version 1 (inserted); a row of that source without a
+    new one is pruned, and has a null version; rows of other sources are kept.
+    """
+    o = old.select(F.col(key), F.col("id").alias("oi"), F.col("version").alias("ov"), F.col("source").alias("os"), F.col("content_hash").alias("oh"), F.lit(True).alias("__old"))
+    n = new.select(F.col(key), X.content_hash("text").alias("nh"), F.lit(True).alias("__new"))
+    fresh = F.col("__old").isNull()
+    change = F.when(fresh, "inserted").when(F.col("__new") & F.col("nh").eqNullSafe(F.col("oh")), "same").when(F.col("__new"), "updated").when(F.col("os") == source, "pruned").otherwise("kept")
+    return o.join(n, key, "full").select(
+        key,
+        F.coalesce("oi", named_id(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")))).alias("id"),
+        F.when(fresh, F.lit(1).cast("long")).when(F.col("__new"), F.col("ov") + 1).when(change != "pruned", F.col("ov")).cast("long").alias("version"),
+        F.when(F.col("__new"), source).otherwise(F.col("os")).alias("source"),
+        F.when(F.col("__new"), F.col("nh")).otherwise(F.col("oh")).alias("content_hash"),
+        change.alias("change"),
+    )
+
+
 def prune(table: DataFrame, kept: DataFrame, key: str, scope: Column) -> tuple[DataFrame, DataFrame]:
     """(what stays, what went): rows in the scope whose key isn't kept go."""
     gone = table.filter(scope).join(kept.select(key), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assets, chains, chunking, evaluation, lifecycle, maintenance, rules
+from ..operators import assets, chains, chunking, evaluation, lifecycle, maintenance, rules, search_vectors
 from ..session import remove_path, shared_path
 from ..sources import events as logs
 from ..streaming import events as streams
@@ -419,8 +419,9 @@ def edit_steps(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS name, substr(sha256(CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END), 1, 16) AS content_hash FROM customer")
 def partial_update(spark, d):
-    patch = F.when(F.col("c_custkey") % 3 == 0, "new")
-    return W.table(spark, d, "customer").select("c_custkey", F.coalesce(patch, "c_name").alias("name")).withColumn("content_hash", X.content_hash("name"))
+    rows = W.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")).withColumn("content_hash", X.content_hash("name"))
+    changes = rows.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("name")).unionByName(rows.filter("c_custkey % 3 = 1").select("c_custkey", F.lit(None).cast("string").alias("name")))
+    return search_vectors.update_rows(rows, changes, None, {"name": "A"}, "name", key="c_custkey")
 
 
 @query(f"WITH {P} SELECT id, 'inactive' AS status FROM prompts WHERE status = 'active' AND id NOT IN (SELECT doc_id FROM labels)")
