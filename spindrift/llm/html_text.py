@@ -4,15 +4,22 @@ A page is read once into blocks of text, each under its root-to-leaf path of
 block-level tags (inline tags such as links and emphasis are part of the block
 they stand in). For every path the length of its text and its punctuation are
 added up and divided by the number of its blocks. Both ratios are smoothed over
-the blocks in page order and fused:
+the blocks in page order and fused with the path's whole text:
 
-    fused = log(1 + text ratio) * (1 + log(1 + punctuation ratio)) * (1 - link share ** 2) * marks
+    fused = sqrt(text ratio * (1 + punctuation ratio) * text) * (1 - link share ** 2) * marks
 
-where marks are what the path itself says: side matter (by tag, class, id or
-role) and text outside the page's article or main part weigh less. A path is
-content at ``THRESHOLD`` of the page's mean or above; a path inside an article or
-main part has ``INSIDE`` of that mean added, times its share outside links, so
-short lines of an article stay and lists of links in it go.
+so a path of many long sentences outweighs one that says little, or says it once.
+Marks are what the path itself says, a factor and no more: side matter (by tag,
+class, id or role) and text outside the page's article or main part weigh less.
+A path is content at ``THRESHOLD`` of the page's best path or above.
+
+Content paths lead to the content node: the lowest element that holds ``MOST`` of
+their text, or the article or main part around it. Of that node's other blocks
+those stay that come with running text, with nothing but such elements between
+them and the node (headings, lists, quotations, tables), and aren't mostly links. A
+block in a division of its own has to be on a content path, and outside the node
+among more than a ``FEW`` of such text, so adverts, notices and comment threads go
+whatever they are called, as long as the article outweighs them.
 
 Time and memory are linear in the page: tags are found by scanning forward, open
 elements are held with an index by tag, and a path is a number that its parent
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: A path is content at this share of the mean fused ratio of its page.
+#: A path is content at this share of the best fused ratio of its page.
 THRESHOLD = 0.5
-#: What is added to a path inside the page's article or main part, as a share of the mean.
-INSIDE = 0.6
+#: Share of the text on content paths that the content node holds; and that the element around a block outside it has to hold.
+MOST, FEW = 0.8, 0.1
 #: Factors of side matter, and of what lies outside the article or main part of a page that has one.
-SIDE, OUTSIDE = 0.05, 0.2
+SIDE, OUTSIDE = 0.02, 0.3
 #: Weights of a block and its neighbours in page order.
 SMOOTH = (0.25, 0.5, 0.25)
 
@@ -61,6 +69,8 @@ _SIDE = frozenset("ad ads adv advert adverts advertisement advertising advertori
 #: Those of them that count on an article, main, body or html element too.
 _SIDE_ANYWHERE = frozenset("comment comments reply ad ads advert sponsored promo related".split())
 _MAIN = frozenset("main article content post entry story".split())
+#: Elements that come with running text.
+_ALONG = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header section ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th address details summary".split())
 #: What a start tag of these closes, if it is open and not further out than the stops.
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _ENDS = {tag: (ends.split(), stops.split()) for tag, (ends, stops) in _ENDS.items()}
@@ -68,12 +78,20 @@ _P_ENDS = (["p"], "article aside body button caption div footer form header html
 
 
 class Block:
-    """Text between block-level tags: its path's number, its pieces, and how much of it stands in links."""
+    """Text between block-level tags: the element it stands in, its pieces, and how much of it stands in links."""
+
+    __slots__ = ("element", "linked", "pieces")
+
+    def __init__(self, element: int):
+        self.element, self.pieces, self.linked = element, [], 0
+
 
-    __slots__ = ("path", "pieces", "linked")
+class Element(NamedTuple):
+    """A block-level element: the one around it, its tag and its path's number."""
 
-    def __init__(self, path: int):
-        self.path, self.pieces, self.linked = path, [], 0
+    around: int
+    tag: str
+    path: int
 
 
 class _Reader:
@@ -84,7 +102,8 @@ class _Reader:
         self.number: dict[tuple, int] = {(): 0}
         self.paths: list[tuple[bool, bool]] = [(False, False)]
         self.blocks: list[Block] = [Block(0)]
-        # Open elements: tag, path, (never, side, main), and by tag their places; the places of block-level ones; open links.
+        self.elements: list[Element] = [Element(0, "", 0)]
+        # Open elements: tag, block-level element, (never, side, main), and by tag their places; the places of block-level ones; open links.
         self.stack: list[tuple[str, int, tuple[bool, bool, bool]]] = [("", 0, (False, False, False))]
         self.open: dict[str, list[int]] = {}
         self.levels: list[int] = [0]
@@ -166,7 +185,7 @@ class _Reader:
         if self.blocks[-1].pieces:
             self.blocks.append(Block(self.stack[self.levels[-1]][1]))
         else:
-            self.blocks[-1].path = self.stack[self.levels[-1]][1]
+            self.blocks[-1].element = self.stack[self.levels[-1]][1]
 
     def _pop(self, place: int) -> None:
         while len(self.stack) > place:
@@ -207,11 +226,13 @@ class _Reader:
         side = side or tag in _ASIDE or (tag == "header" and not main) or bool(names & (_SIDE_ANYWHERE if own else _SIDE))
         main = not side and (main or tag in ("article", "main") or "main" in names or bool(names & _MAIN and tag in ("div", "section", "td")))
         never = never or tag in _NEVER
-        path = self.stack[-1][1]
+        element = self.stack[-1][1]
         if tag not in _INLINE:
-            path = self.number.setdefault((path, tag, side, main), len(self.number))
+            path = self.number.setdefault((self.elements[element].path, tag, side, main), len(self.number))
             if path == len(self.paths):
                 self.paths.append((side, main))
+            self.elements.append(Element(element, tag, path))
+            element = len(self.elements) - 1
         if empty and tag not in _INLINE and tag not in ("p", "div"):
             self._block()
             return
@@ -220,7 +241,7 @@ class _Reader:
             self.links += tag == "a"
         else:
             self.levels.append(len(self.stack))
-        self.stack.append((tag, path, (never, side, main)))
+        self.stack.append((tag, element, (never, side, main)))
         if tag not in _INLINE:
             self._block()
 
@@ -232,10 +253,26 @@ def _smoothed(values: np.ndarray, path: np.ndarray, count: np.ndarray, weights:
     return np.bincount(path, blurred, len(values)) / count
 
 
-def extract(page: str | None, smooth: tuple[float, ...] = SMOOTH, punctuation: float = 1.0, threshold: float = THRESHOLD) -> str:
+def _content_node(elements: list[Element], paths: list[tuple[bool, bool]], at: np.ndarray, text: np.ndarray) -> tuple[int, np.ndarray]:
+    """The lowest element that holds MOST of the text of the blocks on content paths (their elements, their lengths), or the article or main part around it; and by element how much each holds."""
+    held = np.zeros(len(elements))
+    np.add.at(held, at, text)
+    own = held > 0
+    for e in range(len(elements) - 1, 0, -1):  # an element comes after the one around it
+        held[elements[e].around] += held[e]
+    node = 0
+    for e in range(1, len(elements)):
+        if elements[e].around == node and held[e] >= MOST * held[0] and not (own[e] and held[e] == text[at == e].sum()):
+            node = e
+    while node and paths[elements[elements[node].around].path][1]:
+        node = elements[node].around
+    return node, held
+
+
+def extract(page: str | None, smooth: tuple[float, ...] = SMOOTH, punctuation: float = 1.0, threshold: float = THRESHOLD, ratios: bool = True) -> str:
     """The page's main text: blocks of content, white space single, joined by a blank.
 
-    punctuation is the weight of the punctuation ratio; smooth must have an odd length.
+    punctuation is the weight of the punctuation ratio; smooth must have an odd length. Without ratios all paths are alike but for their links and marks.
     """
     reader = _Reader(page or "").read()
     kept = []
@@ -243,25 +280,35 @@ def extract(page: str | None, smooth: tuple[float, ...] = SMOOTH, punctuation: f
         raw = html.unescape("".join(b.pieces)) if any("&" in p for p in b.pieces) else "".join(b.pieces)
         text = " ".join(raw.split())
         if text:
-            kept.append((b.path, text, b.linked))
+            kept.append((b.element, text, b.linked))
     if not kept:
         return ""
-    names, path = np.unique([p for p, _, _ in kept], return_inverse=True)
+    elements = reader.elements
+    at = np.array([e for e, _, _ in kept])
+    names, path = np.unique([elements[e].path for e in at], return_inverse=True)
     n = len(names)
     size = np.array([len(t) - t.count(" ") for _, t, _ in kept], float)
+    links = np.minimum(np.array([x for _, _, x in kept]) / size, 1)
     count = np.bincount(path, minlength=n)
     length = np.bincount(path, size, n)
     marks = np.bincount(path, [len(_punctuation.findall(t)) for _, t, _ in kept], n)
-    linked = np.minimum(np.bincount(path, [x for _, _, x in kept], n) / length, 1)
+    linked = np.bincount(path, links * size, n) / length
     side, main = np.array([reader.paths[i] for i in names]).T
     text_ratio, mark_ratio = (_smoothed(x / count, path, count, smooth) for x in (length, marks))
-    unlinked = 1 - linked**2
-    fused = np.log1p(text_ratio) * (1 + punctuation * np.log1p(mark_ratio)) * unlinked
-    fused = fused * np.where(side, SIDE, 1) * np.where(main.any() & ~main & ~side, OUTSIDE, 1)
-    weight = fused * length
-    mean = (fused * weight).sum() / weight.sum() if weight.sum() > 0 else 0.0  # by fused text, so that much side matter doesn't lower it
-    content = (fused + main * INSIDE * mean * unlinked >= threshold * mean) & (fused > 0)
-    return " ".join(t for (_, t, _), i in zip(kept, path, strict=True) if content[i])
+    fused = np.sqrt(text_ratio * (1 + punctuation * mark_ratio) * length) if ratios else np.ones(n)
+    fused = fused * (1 - linked**2) * np.where(side, SIDE, 1) * np.where(main.any() & ~main & ~side, OUTSIDE, 1)
+    content = (fused >= threshold * fused.max()) & (fused > 0)
+    chosen = content[path]
+    if not chosen.any():
+        return ""
+    node, held = _content_node(elements, reader.paths, at[chosen], size[chosen])
+    inside, along = ([e == node for e in range(len(elements))] for _ in range(2))
+    for e in range(node + 1, len(elements)):
+        inside[e] = inside[elements[e].around]
+        along[e] = along[elements[e].around] and elements[e].tag in _ALONG
+    chosen &= np.array([inside[e] or held[elements[e].around] >= FEW * held[0] for e in at])
+    chosen |= np.array([along[e] for e in at]) & (links <= 0.5) & ~side[path]
+    return " ".join(t for (_, t, _), good in zip(kept, chosen, strict=True) if good)
 
 
 def main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -602,7 +602,7 @@ class Plain(html.parser.HTMLParser):
 
     def __init__(self, page):
         super().__init__()
-        self.stack, self.blocks, self.fresh, self.links = [], [], True, 0
+        self.stack, self.blocks, self.fresh, self.links, self.serial = [], [], True, 0, 0
         self.feed(page)
 
     def handle_starttag(self, tag, attrs):
@@ -610,7 +610,8 @@ class Plain(html.parser.HTMLParser):
             self.links += tag == "a"
         else:
             names = set(re.split(r"[\s_-]+", " ".join(v for k, v in attrs if k in ("class", "id", "role")).lower()))
-            self.stack.append((tag, bool(names & {"sidebar", "ad", "comments"})))
+            self.serial += 1
+            self.stack.append((tag, bool(names & {"sidebar", "ad", "comments"}), self.serial))
             self.fresh = True
 
     def handle_endtag(self, tag):
@@ -630,11 +631,12 @@ class Plain(html.parser.HTMLParser):
 
 def plain_ratios(page):
     """The definition in the docstring, path by path with no arrays."""
-    blocks = [(p, " ".join(t.split()), n) for p, t, n in Plain(page).blocks if t.strip()]
+    found = [(e, " ".join(t.split()), n) for e, t, n in Plain(page).blocks if t.strip()]
+    blocks = [(tuple(x[:2] for x in e), t, n) for e, t, n in found]
     paths = list(dict.fromkeys(p for p, _, _ in blocks))
     of = {p: [(t, n) for q, t, n in blocks if q == p] for p in paths}
     size = lambda t: len(t.replace(" ", ""))
-    length = {p: sum(size(t) for t, _ in of[p]) / len(of[p]) for p in paths}
+    whole = {p: sum(size(t) for t, _ in of[p]) for p in paths}
     marks = {p: sum(len(re.findall(r"[.,;:!?]", t)) for t, _ in of[p]) / len(of[p]) for p in paths}
 
     def smooth(values):
@@ -643,16 +645,24 @@ def plain_ratios(page):
         got = [0.25 * row[i] + 0.5 * row[i + 1] + 0.25 * row[i + 2] for i in range(len(blocks))]
         return {p: sum(x for x, (q, _, _) in zip(got, blocks) if q == p) / len(of[p]) for p in paths}
 
-    length_s, marks_s, fused = smooth(length), smooth(marks), {}
-    inside = {p: any(t in ("article", "main") for t, _ in p) and not any(s for _, s in p) for p in paths}
-    share = {p: sum(n for _, n in of[p]) / sum(size(t) for t, _ in of[p]) for p in paths}
+    length_s, marks_s, fused = smooth({p: whole[p] / len(of[p]) for p in paths}), smooth(marks), {}
+    aside = lambda p: any(x[1] for x in p)
+    inside = lambda p: any(x[0] in ("article", "main") for x in p) and not aside(p)
     for p in paths:
-        side = any(s for _, s in p)
-        fused[p] = np.log1p(length_s[p]) * (1 + np.log1p(marks_s[p])) * (1 - share[p] ** 2) * (0.05 if side else 0.2 if any(inside.values()) and not inside[p] else 1)
-    mass = {p: fused[p] * sum(size(t) for t, _ in of[p]) for p in paths}
-    mean = sum(fused[p] * mass[p] for p in paths) / sum(mass.values())
-    good = {p for p in paths if fused[p] and fused[p] + 0.6 * mean * inside[p] * (1 - share[p] ** 2) >= 0.5 * mean}
-    return " ".join(t for p, t, _ in blocks if p in good)
+        share = sum(n for _, n in of[p]) / whole[p]
+        outside = any(map(inside, paths)) and not inside(p)
+        fused[p] = (length_s[p] * (1 + marks_s[p]) * whole[p]) ** 0.5 * (1 - share**2) * (0.02 if aside(p) else 0.3 if outside else 1)
+    good = {p for p in paths if fused[p] > 0 and fused[p] >= 0.5 * max(fused.values())}
+    chosen = [p in good for p, _, _ in blocks]
+    text = sum(size(t) for (_, t, _), c in zip(found, chosen) if c)
+    chains = {e[:k] for (e, _, _), c in zip(found, chosen) if c for k in range(len(e))}
+    holds = {c: sum(size(t) for (e, t, _), g in zip(found, chosen) if g and e[: len(c)] == c) for c in chains}
+    node = max((c for c in chains if holds[c] >= 0.8 * text), key=len)
+    while node and inside(node[:-1]):
+        node = node[:-1]
+    along = lambda e: e[: len(node)] == node and all(x[0] in ("p", "h2", "section", "ul", "li") for x in e[len(node) :]) and not aside(e)
+    chosen = [c and (e[: len(node)] == node or holds[e[:-1]] >= 0.1 * text) for (e, _, _), c in zip(found, chosen)]
+    return " ".join(t for (e, t, n), c in zip(found, chosen) if c or (along(e) and n <= size(t) / 2))
 
 
 def _page(rng, article):
@@ -674,12 +684,31 @@ def test_pages_against_plain_ratios(article):
 def test_ratios_decide():
     """Smoothing, punctuation and the threshold each change what comes out."""
     rng = np.random.default_rng(9)
-    pages = [_page(rng, False) for _ in range(100)]
+    pages = [_page(rng, False) for _ in range(400)]
     plain = [html_text.extract(p) for p in pages]
-    for other in ({"smooth": (0.0, 1.0, 0.0)}, {"punctuation": 0.0}, {"threshold": 0.9}):
+    for other in ({"smooth": (0.0, 1.0, 0.0)}, {"punctuation": 0.0}, {"threshold": 0.9}, {"ratios": False}):
         assert sum(html_text.extract(p, **other) != x for p, x in zip(pages, plain)) > 5
 
 
+def test_ratios_decide_on_the_given_pages(spark):
+    """Names of parts taken away (article, nav, footer ... are divisions, without class, id and role): adverts and footers go by the ratios alone, and without ratios they stay."""
+    pages = [r["html"] for r in queries.read(spark, "/root/testdata/sf0.1", "pages").select("html").collect()]
+    bare = [re.sub(r"(</?)(article|main|header|footer|aside|nav|section)\b", r"\1div", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]*)", "", p)) for p in pages]
+    whole = [html_text.extract(p) for p in pages]
+    assert sum(html_text.extract(b) == w for b, w in zip(bare, whole)) >= 0.93 * len(pages)
+    assert sum(html_text.extract(b, ratios=False) == w for b, w in zip(bare[:300], whole)) == 0
+
+
+@pytest.mark.parametrize("name", ["c-thread", "x2", "zz"])
+def test_threads_and_boxes_go_whatever_they_are_called(name):
+    story = "".join(f"<p>{'A story that goes on, and on; with many words in it. ' * k}</p>" for k in (3, 1, 4, 2))
+    said = f"<div class='{name}'><p>I agree with this, thanks.</p><p>So do I. It is so.</p></div>"
+    box = f"<div class='{name}'>Buy nine words of something now, it is good.</div>"
+    want = html_text.extract(f"<article>{story}</article>")
+    assert html_text.extract(f"<article><h1>T</h1>{story}{said}</article>{box}") == f"T {want}"
+    assert html_text.extract(f"<div><h1>T</h1>{story}</div>{box}{said}") == f"T {want}"
+
+
 @pytest.mark.parametrize("page", ["<" * 50_000, "<a b='" * 20_000, "<p " * 100_000, "<div>" * 100_000 + "x", "<!--" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 20_000 + "<p>x" * 20_000, "<a href=x>y" * 50_000, "<td>" * 50_000, "<p a='" * 50_001 + ">", "<script>" * 50_000], ids=range(11))
 def test_hostile_pages_take_linear_time_and_memory(page):
     import time
