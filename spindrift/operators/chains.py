@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..streaming import refresh
 from . import retrieval
 
 BEAM, LONGEST = 10, 5
@@ -53,12 +54,30 @@ def fill_problems(template: Column | str, filled: Column | str, change: float =
 
 
 def serving_outcome(served: DataFrame, used: DataFrame, rewards: DataFrame, seconds: int = 60) -> DataFrame:
-    """served (episode_id, ts, text) with used, edited, edit_distance, requeried and reward. used: episode_id, final_text; rewards: episode_id, value."""
-    after = F.lead("ts").over(Window.partitionBy("episode_id").orderBy("ts"))
+    """served (episode_id, ts, text and columns of its own, which stay and decide between equal times) with used, edited, edit_distance, requeried and reward. used: episode_id, final_text; rewards: episode_id, value."""
+    own = [c for c in served.columns if c not in ("episode_id", "ts", "text")]
+    after = F.lead("ts").over(Window.partitionBy("episode_id").orderBy("ts", *own))
     again = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= seconds * 1_000_000
     rows = served.withColumn("requeried", F.coalesce(again, F.lit(False))).join(used, "episode_id", "left").join(rewards.groupBy("episode_id").agg(F.sum("value").alias("reward")), "episode_id", "left")
     distance = F.levenshtein("text", "final_text")
-    return rows.select("episode_id", "ts", F.col("final_text").isNotNull().alias("used"), F.coalesce(distance > 0, F.lit(False)).alias("edited"), distance.alias("edit_distance"), "requeried", F.coalesce("reward", F.lit(0.0)).alias("reward"))
+    return rows.select("episode_id", "ts", *own, F.col("final_text").isNotNull().alias("used"), F.coalesce(distance > 0, F.lit(False)).alias("edited"), distance.alias("edit_distance"), "requeried", F.coalesce("reward", F.lit(0.0)).alias("reward"))
+
+
+def pair_counts(steps: DataFrame) -> DataFrame:
+    """prev, id, n: in how many skills a prompt comes with a later one (by id). steps: skill_id, id, each once."""
+    return steps.select("skill_id", F.col("id").alias("prev")).join(steps.select("skill_id", "id"), "skill_id").filter("prev < id").groupBy("prev", "id").agg(F.count("*").alias("n"))
+
+
+def add_day(steps: DataFrame, path: str, day: int) -> None:
+    """Adds the pairs of a day's new skills to the pair cache at path, once for each day, also if it is run again. Days come in order."""
+    refresh.merge(pair_counts(steps), day, path, ["prev", "id"], ["n"])
+
+
+def successors(counts: DataFrame, k: int = 20) -> DataFrame:
+    """prev, id, fit: of each prompt the k that most often follow; fit is the share of the most frequent one's count. It bounds what a hub brings to a step of a beam."""
+    w = Window.partitionBy("prev")
+    ranked = counts.withColumns({"k": F.row_number().over(w.orderBy(F.desc("n"), "id")), "most": F.max("n").over(w)})
+    return ranked.filter(F.col("k") <= k).select("prev", "id", (F.col("n") / F.col("most")).alias("fit"))
 
 
 def cluster_labels(vectors: DataFrame, labels: DataFrame, k: int = 8, seed: int = 7) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..session import settled
+from .retrieval import bounded
 
 
 def rerank_document(title: str = "title", text: str = "prompt_text", summary: str = "summary", chunk: str | None = None, **taxonomy: str) -> Column:
@@ -67,6 +69,19 @@ def remote_scorer(remote: Callable[[list[tuple[str, str]]], list[float]], fallba
     return run
 
 
+def score_lists(pairs: DataFrame, remote: Callable[[list[tuple[str, str]]], list[float]], fallback: Callable[[pd.DataFrame], pd.Series] = overlap_scorer, batch: int = 20, by: str = "query_id", out: str = "raw") -> DataFrame:
+    """pairs with raw and scorer ("remote" or "fallback"): a query's whole list is scored by one of them.
+
+    A list of which the service failed to score a pair is scored again by the fallback, so that no list mixes two scales.
+    """
+    nothing = lambda rows: pd.Series([float("nan")] * len(rows))
+    asked = settled(score_pairs(pairs, remote_scorer(remote, nothing, batch), out).withColumn(out, F.nanvl(out, F.lit(None).cast("double"))))
+    broken = asked.filter(F.col(out).isNull()).select(by).distinct()
+    good = asked.join(bounded(broken), by, "left_anti").withColumn("scorer", F.lit("remote"))
+    again = score_pairs(asked.join(bounded(broken), by, "left_semi").drop(out), fallback, out).withColumn("scorer", F.lit("fallback"))
+    return good.unionByName(again)
+
+
 def length_penalty(chars: Column | str) -> Column:
     over = F.greatest(F.lit(0.0), (X.col(chars) - V.LENGTH_FROM) / V.LENGTH_FROM)
     return V.LENGTH_STRENGTH * F.pow(over, F.lit(V.LENGTH_CURVE))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from .retrieval import cosine
+from ..session import settled
+from .retrieval import bounded, dense_topk
 
 #: A description is close at this cosine, and the closest is taken if it leads the next by the gap; inferences count from this confidence.
 CLOSE, GAP, SURE = 0.75, 0.05, 0.7
@@ -45,10 +46,12 @@ def fill(slots: DataFrame, context: DataFrame, base: DataFrame, scopes: list[str
     exact = fresh.withColumn("__key", F.col("key")).withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(F.col("__key").alias("slot_key"), F.col("value").alias("__exact"))
     alias = fresh.select("key", "__scope", "value", F.explode("aliases").alias("__key")).withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(F.col("__key").alias("slot_key"), F.col("value").alias("__alias"))
     rows = slots.join(context.select("id", "slot_key", F.col("value").alias("__context")), ["id", "slot_key"], "left").join(exact, "slot_key", "left").join(alias, "slot_key", "left")
-    # Descriptions are few (one a slot key) against base rows that are few as well: compared for what the rungs above left open.
+    # What the rungs above left open is searched for among the base rows, by slot key; each row has a number, as a key may be there once in each scope.
     open_ = rows.filter(F.coalesce("__context", "__exact", "__alias").isNull() & (F.col("kind") != "artifact") & F.col("description").isNotNull())
-    near = open_.select("slot_key", "description").dropDuplicates(["slot_key"]).join(fresh.filter(F.col("embedding").isNotNull()).select("key", "value", "embedding"), cosine("description", "embedding") >= CLOSE)
-    near = near.withColumn("__s", cosine("description", "embedding"))
+    asked = settled(open_.select(F.xxhash64("slot_key").alias("query_id"), "slot_key", F.col("description").alias("embedding")).dropDuplicates(["slot_key"]))
+    known = settled(fresh.filter(F.col("embedding").isNotNull()).select(F.xxhash64("key", "scope", "value").alias("id"), "key", "value", "embedding"))
+    found = dense_topk(known, asked, 2).filter(F.col("score") >= CLOSE).select("query_id", "id", F.col("score").alias("__s"))
+    near = found.join(bounded(asked.select("query_id", "slot_key")), "query_id").join(known.select("id", "key", "value"), "id")
     w = Window.partitionBy("slot_key").orderBy(F.desc("__s"), "key")
     lead = near.withColumns({"__n": F.row_number().over(w), "__next": F.lead("__s").over(w)}).filter("__n = 1")
     close = lead.select("slot_key", F.when(F.col("__next").isNull() | (F.col("__s") - F.col("__next") >= GAP), F.col("value")).alias("__close"), (F.col("__next").isNotNull() & (F.col("__s") - F.col("__next") < GAP)).alias("__unsure"))

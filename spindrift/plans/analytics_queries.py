@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assets, chains, chunking, evaluation, lifecycle, maintenance, rules, search_vectors
-from ..session import remove_path, shared_path
+from ..session import remove_path, settled, shared_path
 from ..sources import events as logs
 from ..streaming import events as streams
+from ..streaming import refresh
 from . import views as W
 from .registry import query
 
@@ -463,9 +464,9 @@ def taxonomy_skew(spark, d):
     return chains.taxonomy_skew(W.prompts(spark, d), "domain").select("value", _r("share"))
 
 
-@query("SELECT query_id, stage, id, round(score, 4) AS score, n - 1 AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stage ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY query_id, stage) AS n FROM (SELECT p_size % 5 AS query_id, p_brand AS stage, p_partkey AS id, p_retailprice / 500 - 5 AS score FROM part)) WHERE k = 1 AND score > -3")
+@query("SELECT query_id, stage, id, round(score, 4) AS score, n - 1 AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stage ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY query_id, stage) AS n FROM (SELECT p_size % 5 AS query_id, p_brand AS stage, p_partkey AS id, p_retailprice / 5 - 201 AS score FROM part)) WHERE k = 1 AND score > -3")
 def stage_chain(spark, d):
-    rows = W.table(spark, d, "part").select((F.col("p_size") % 5).alias("query_id"), F.col("p_brand").alias("stage"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 500 - 5).alias("score"))
+    rows = W.table(spark, d, "part").select((F.col("p_size") % 5).alias("query_id"), F.col("p_brand").alias("stage"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 5 - 201).alias("score"))
     return chains.stage_best(rows).select("query_id", "stage", "id", _r("score", digits=4), "alternatives")
 
 
@@ -477,12 +478,36 @@ def beam_chains(spark, d):
     return chains.beam_search(scored, pairs)
 
 
-@query("SELECT e.event_id, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) <= 60000000, false) AS requeried, o.o_custkey IS NOT NULL AS used, levenshtein(event_type, o_orderstatus) AS edit_distance FROM events e LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_custkey) o ON o_custkey = user_id")
+_PAIRS = f"WITH {ST}, c AS (SELECT a.id AS prev, b.id AS id, count(*) AS n FROM steps a JOIN steps b ON a.skill_id = b.skill_id AND a.id < b.id GROUP BY ALL)"
+
+
+def _cached_pairs(spark, d) -> DataFrame:
+    """The pair cache after three days of new skills, the second of which is run twice."""
+    steps, path = W.steps(spark, d), shared_path(spark, "pairs")
+    for day in (0, 1, 1, 2):
+        chains.add_day(steps.filter(F.col("skill_id") % 3 == day), path, day)
+    held = settled(refresh.current(spark, path))
+    remove_path(spark, path)
+    return held
+
+
+@query(f"{_PAIRS} SELECT prev, id, round(n / max(n) OVER (PARTITION BY prev), 6) AS fit FROM c QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, id) <= 5")
+def pair_cache(spark, d):
+    return chains.successors(_cached_pairs(spark, d), 5).select("prev", "id", _r("fit"))
+
+
+@query()
+def cached_chains(spark, d):
+    scored = W.table(spark, d, "part").select((F.col("p_size") % 5).alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 2000).alias("score"))
+    return chains.beam_search(scored, settled(chains.successors(_cached_pairs(spark, d))))
+
+
+@query("SELECT e.event_id, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) <= 60000000, false) AS requeried, o.o_custkey IS NOT NULL AS used, levenshtein(event_type, o_orderstatus) AS edit_distance FROM events e LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_custkey) o ON o_custkey = user_id")
 def serving_outcome(spark, d):
     e = W.table(spark, d, "events").select(F.col("user_id").alias("episode_id"), "ts", F.col("event_type").alias("text"), "event_id")
     used = W.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("episode_id")).agg(F.min("o_orderstatus").alias("final_text"))
     out = chains.serving_outcome(e, used, e.select("episode_id", F.lit(1.0).alias("value")))
-    return out.join(e.select("episode_id", "ts", "event_id"), ["episode_id", "ts"]).select("event_id", "requeried", "used", "edit_distance")
+    return out.select("event_id", "requeried", "used", "edit_distance")
 
 
 _FILL = "SELECT doc_id, 'Plan [ITEM NAME] ' || left(text, 200) AS a, CASE doc_id % 5 WHEN 0 THEN 'Plan the launch ' || left(text, 200) WHEN 1 THEN 'Plan [ITEM NAME] ' || left(text, 200) WHEN 2 THEN left(text, 40) WHEN 3 THEN ' ' ELSE 'Plan it ' || left(text, 200) || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' END AS b FROM documents"

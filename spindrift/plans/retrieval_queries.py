@@ -62,9 +62,9 @@ def chunk_rollup(spark, d):
     return retrieval.rollup(chunks, 10).select("query_id", "id", "chunk_id", _round("score"), "rank")
 
 
-@query(f"WITH {VQ}, s AS (SELECT q.chunk_id AS query_id, c.chunk_id AS id, list_cosine_similarity(q.embedding, c.embedding) AS score FROM chunks q, chunks c WHERE q.chunk_id = 7 AND c.chunk_id <> 7) SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, {RANKED} FROM s) WHERE rank <= 10")
+@query(f"WITH {VQ}, s AS (SELECT q.chunk_id AS query_id, c.chunk_id AS id, list_cosine_similarity(q.embedding, c.embedding) AS score FROM chunks q, chunks c WHERE q.chunk_id % 20 = 0 AND c.chunk_id <> q.chunk_id) SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, {RANKED} FROM s) WHERE rank <= 10")
 def similar_items(spark, d):
-    return retrieval.similar_items(W.chunk_vecs(spark, d), 7, 10, "chunk_id").select("query_id", "id", _round("score"), "rank")
+    return retrieval.similar_items(W.chunk_vecs(spark, d), F.col("chunk_id") % 20 == 0, 10, "chunk_id").select("query_id", "id", _round("score"), "rank")
 
 
 @query()

@@ -385,7 +385,7 @@ def _overlap(pairs) -> list[float]:
 def remote_rerank(spark, d):
     """The offline scorer behind the interface of a service."""
     pairs = _lexical(spark, d).join(retrieval.bounded(W.word_queries(spark, d)), "query_id").join(W.prompts(spark, d).withColumn("summary", F.lit(None).cast("string")), "id")
-    scored = rerank.score_pairs(pairs.withColumn("document", rerank.rerank_document(domain="domain", task_type="task_type")), rerank.remote_scorer(_overlap))
+    scored = rerank.score_lists(pairs.withColumn("document", rerank.rerank_document(domain="domain", task_type="task_type")), _overlap)
     best = retrieval.top(scored.select("query_id", "id", rerank.shaped_score("raw", "n_chars").alias("score")), 10)
     return best.withColumn("score", F.round("score", 6))
 

@@ -202,14 +202,27 @@ _SIM = "CASE WHEN turn % 13 = 0 THEN NULL ELSE ((conv_id * 7 + turn * 3) % 100)
 _EASED = "0.58::DOUBLE - CASE WHEN turn % 2 = 0 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN conv_id % 10 >= 6 THEN 0.03::DOUBLE ELSE 0 END"
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN look IS NOT NULL OR sim IS NULL THEN false ELSE g.search END AS search, CASE WHEN look IS NOT NULL THEN look WHEN sim IS NULL THEN 'similarity unavailable' ELSE g.reason END AS reason
-FROM (SELECT *, {_FIRST_LOOK} AS look, {_band_sql('sim', 'words', 'dens', 'eased')} AS g FROM (SELECT *, {_SIM} AS sim, {_EASED} AS eased, {_words_sql('text')} AS words, {_density_sql('text')} AS dens FROM ({SHORT})))""")
-def gate_full(spark, d):
+def _full_sql(source: str) -> str:
+    return f"""SELECT conv_id, turn, CASE WHEN look IS NOT NULL OR sim IS NULL THEN false ELSE g.search END AS search, CASE WHEN look IS NOT NULL THEN look WHEN sim IS NULL THEN 'similarity unavailable' ELSE g.reason END AS reason
+FROM (SELECT *, {_FIRST_LOOK} AS look, {_band_sql('sim', 'words', 'dens', 'eased')} AS g FROM (SELECT *, {_SIM} AS sim, {_EASED} AS eased, {_words_sql('text')} AS words, {_density_sql('text')} AS dens FROM {source}))"""
+
+
+def _full_gate(messages: DataFrame) -> DataFrame:
     n, turn = F.col("conv_id"), F.col("turn")
     sim = F.when(turn % 13 != 0, ((n * 7 + turn * 3) % 100) / 100)
     none = F.array(F.struct(F.lit("x").alias("situation"), F.lit(0.0).alias("relevance"), F.lit(0.0).alias("score")))
     gate = rules.full_gate("text", sim, F.lit(False), turn % 2 == 0, (n % 10) / 10, none)
-    return _short(spark, d).select("conv_id", "turn", gate.alias("g")).select("conv_id", "turn", "g.search", "g.reason")
+    return messages.select("conv_id", "turn", gate.alias("g")).select("conv_id", "turn", "g.search", "g.reason")
+
+
+@query(_full_sql(f"({SHORT})"))
+def gate_full(spark, d):
+    return _full_gate(_short(spark, d))
+
+
+@query(_full_sql("conversations"))
+def gate_full_all(spark, d):
+    return _full_gate(W.messages(spark, d))
 
 
 def _scores_sql(table: dict[str, list[str]]) -> str:
