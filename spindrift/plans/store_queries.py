@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators import lifecycle, retrieval, search_vectors
 from ..session import remove_path, settled, shared_path
-from ..sources import snapshots
+from ..sources import snapshots, vault
 from . import views as W
 from .registry import query
 from .retrieval_queries import P
@@ -97,3 +97,38 @@ def upsert_snapshot(spark, d):
     out = settled(snapshots.read(spark, path))
     remove_path(spark, path)
     return out
+
+
+def _file(path, content) -> list:
+    return [path.alias("path"), F.lit(None).cast("timestamp").alias("modified"), content.cast("binary").alias("content")]
+
+
+@query("SELECT lang AS department, lang || '/doc-' || doc_id || '.md' AS path, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE '' END AS domain, substr(sha256(trim(text, ' ')), 1, 16) AS content_hash, CASE WHEN doc_id % 6 = 0 THEN 'repeated key: domain' END AS fault FROM documents WHERE doc_id % 5 <> 0 AND trim(text, ' ') <> '' UNION ALL SELECT NULL, lang || '/doc-' || doc_id || '.md', NULL, NULL, NULL, CASE WHEN doc_id % 10 = 0 THEN 'no body' ELSE 'not text' END FROM documents WHERE doc_id % 5 = 0")
+def vault_prompts(spark, d):
+    """Documents as files of a vault, every fifth of them broken, with what was wrong."""
+    n, t = F.col("doc_id"), F.col("text")
+    front = F.when(n % 6 == 0, "---\ndomain: xx\ndomain: En, zz\n---\n").when(n % 2 == 0, "---\ndomain: En, zz\n---\n").otherwise("")
+    content = F.when(n % 10 == 0, F.lit("---\nk: v\n---\n").cast("binary")).when(n % 5 == 0, F.unhex(F.lit("fffe41"))).otherwise(F.concat(front, t).cast("binary"))
+    files = W.table(spark, d, "documents").filter((n % 5 == 0) | (F.trim(t) != "")).select(*_file(F.concat("lang", F.lit("/doc-"), n, F.lit(".md")), content))
+    rows, faults = vault.prompts(files, {"domain": ["en"]})
+    both = rows.select("department", "path", "title", F.array_join("domain", ",").alias("domain"), "content_hash").join(faults, "path", "full")
+    return both.select("department", "path", "title", "domain", "content_hash", "fault")
+
+
+_FILES = """f AS (SELECT source AS folder, doc_id, text, doc_id % 6 = 0 AS listed, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.yml' ELSE '.txt' END AS path FROM documents WHERE source <> 'src3')"""
+
+
+@query(f"""WITH {_FILES} SELECT folder, path, CASE WHEN listed THEN 'template' WHEN doc_id % 4 = 0 THEN 'prompt' WHEN doc_id % 4 = 1 THEN 'code' ELSE 'config' END AS type, CASE WHEN listed THEN 'own' WHEN doc_id % 4 = 1 THEN 'python' WHEN doc_id % 4 = 2 THEN 'yaml' END AS language, listed, substr(sha256(CASE WHEN doc_id % 4 = 0 THEN trim(text, ' ') ELSE text END), 1, 16) AS content_hash, NULL AS fault FROM f
+UNION ALL SELECT DISTINCT NULL, folder || '/gone.md', NULL, NULL, NULL::BOOLEAN, NULL, 'listed, not there' FROM f UNION ALL SELECT DISTINCT NULL, source, NULL, NULL, NULL, NULL, 'no index' FROM documents WHERE source = 'src3'""")
+def skill_files(spark, d):
+    """Documents as files of skills, a folder for each source, whose index lists some of them and one that isn't there."""
+    n = F.col("doc_id")
+    name = F.concat(F.lit("d"), n, F.when(n % 4 == 0, ".md").when(n % 4 == 1, ".py").when(n % 4 == 2, ".yml").otherwise(".txt"))
+    docs = W.table(spark, d, "documents").select("source", "text", name.alias("name"), n.alias("doc_id"))
+    entry = F.when(n % 6 == 0, F.concat(F.lit("  - path: "), "name", F.lit("\n    type: template\n    language: own\n")))
+    index = docs.filter("source <> 'src3'").groupBy("source").agg(F.concat(F.lit("---\nname: S\nfiles:\n  - path: gone.md\n"), F.array_join(F.collect_list(entry), ""), F.lit("---\n## Overview\nx\n")).alias("text"))
+    files = docs.select(*_file(F.concat_ws("/", "source", "name"), F.col("text"))).unionByName(index.select(*_file(F.concat("source", F.lit("/index.md")), F.col("text"))))
+    _, rows, faults = vault.skills(files)
+    told = rows.select("folder", "path", "type", "language", "listed", content_hash("content").alias("content_hash"), F.lit(None).cast("string").alias("fault"))
+    none = {"folder": "string", "type": "string", "language": "string", "listed": "boolean", "content_hash": "string"}
+    return told.unionByName(faults.select("path", "fault", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))

@@ -424,6 +424,14 @@ def chunk_paragraphs(spark, d):
     return chunking.chunks(marked, "doc_id", "text").select("id", "chunk_index", "char_start", "char_end", "is_atomic")
 
 
+@query(f"WITH {_PARAGRAPHS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end, text[CAST(a AS INT) + 1:CAST(b AS INT)] AS chunk_text FROM once WHERE again = 1")
+def chunk_lateral(spark, d):
+    """The chunker as a table function in SQL."""
+    chunking.register_chunks(spark)
+    W.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[.] ", ".\n\n").alias("text")).createOrReplaceTempView("marked_documents")
+    return spark.sql("SELECT id, c.chunk_index, c.char_start, c.char_end, c.chunk_text FROM marked_documents, LATERAL chunks(text) c")
+
+
 @query(f"SELECT role, round(avg(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END), 6) AS mean_score FROM (SELECT c.role, {_BAG.format('c.text')} AS a, {_BAG.format('p.prev')} AS b FROM ({PREVIOUS}) p JOIN conversations c USING (conv_id, turn) WHERE p.prev IS NOT NULL) GROUP BY role")
 def metric_mean(spark, d):
     pairs = _previous(spark, d).filter("prev IS NOT NULL")

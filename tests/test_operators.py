@@ -319,3 +319,39 @@ def test_stems():
 def test_vocabulary_is_whole():
     assert len(vocabulary.ACRONYMS) > 80
     assert vocabulary.DOMAINS == sorted(vocabulary.DOMAINS, key=str.lower)
+
+
+def test_chunks_as_a_table_function(spark):
+    """In SQL the same as the operator, over texts with all kinds of openings; null and blank texts have no rows."""
+    rng = np.random.default_rng(5)
+    parts = ["# Head\n", "word " * 60, "\n\n", "---\n", "```\ncode\n\n# x\n```\n", "| a |\n| b |\n", "**Bold**\n", "<tag>\n", "end.\n", "é東 "]
+    rows = [(k, "".join(rng.choice(parts, rng.integers(0, 60)))) for k in range(60)] + [(90, None), (91, "  \n")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    chunking.register_chunks(spark)
+    docs.createOrReplaceTempView("chunk_docs_here")
+    got = spark.sql("SELECT d.id, c.* FROM chunk_docs_here d, LATERAL chunks(d.text) c").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, chunking.chunks(docs).collect()), key=str) and len(got) > 60
+
+
+def test_embedded_text_of_a_chunk(spark):
+    """Breadcrumb, summary and the whole chunk, with blank lines between; what isn't there leaves no line."""
+    rows = [("T", "L", " s \n", "x" * 9000), ("T", None, None, "b"), ("T", "", "  ", "b"), (None, "L", None, "b")]
+    df = spark.createDataFrame(rows, "title string, label string, summary string, text string")
+    got = [r["e"] for r in df.select(chunking.embed_text(F.col("title"), F.col("label"), F.col("text"), F.col("summary")).alias("e")).collect()]
+    assert got == ["T > L\n\ns\n\n" + "x" * 9000, "T\n\nb", "T\n\nb", " > L\n\nb"]
+
+
+def test_a_list_has_one_scorer(spark):
+    """A pair that the service can't score sends its query's whole list to the fallback, in whatever batch its others were."""
+    rows = [(q, i, "plan the launch", f"document {q} {i} plan") for q in range(4) for i in range(30)]
+    pairs = spark.createDataFrame(rows, "query_id long, id long, query string, document string").repartition(5)
+
+    def remote(batch):
+        if any(" 2 " in d for _, d in batch):
+            raise OSError("down")
+        return [7.0] * len(batch)
+
+    got = rerank.score_lists(pairs, remote).collect()
+    by_query = {q: {(r["scorer"], r["raw"] == 7.0) for r in got if r["query_id"] == q} for q in range(4)}
+    assert len(got) == 120 and all(len(kinds) == 1 for kinds in by_query.values()) and by_query[2] == {("fallback", False)}
+    assert not any(r["raw"] is None or math.isnan(r["raw"]) for r in got)

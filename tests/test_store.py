@@ -181,3 +181,52 @@ def test_repeated_keys_and_faults(spark):
     files = spark.createDataFrame(raw, "title string, raw string")
     assert {r["title"]: r["domain"] for r in markdown.parse(files).collect()} == {"twice": ["b"], "open": [], "good": []}
     assert {(r["title"], r["fault"]) for r in markdown.faults(files).collect()} == {("twice", "repeated key: domain"), ("open", "front matter without an end"), ("empty", "no body"), ("none", "no body")}
+
+
+def test_a_vault_of_folders(spark, tmp_path):
+    from spindrift.sources import vault
+
+    def put(path, content):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(content if isinstance(content, bytes) else content.encode())
+
+    put("finance/cash plan-b.md", "---\ndomain: finance, odd\n---\nPlan cash: 50% + more.")
+    put("finance/notes.txt", "no markdown")
+    put("finance/deep/x.md", "too deep")
+    put("ops/empty.md", "---\ndomain: a\n---\n")
+    put("ops/Clippings-x.md", "skipped")
+    put("ops/bytes.md", b"\xff\xfe\x00")
+    put("ops/twice.md", "---\ndomain: ops\ndomain: finance\n---\nBody.")
+    put("skills/s/index.md", "not a department")
+    files = vault.scan(spark, str(tmp_path))
+    rows, faults = vault.prompts(files, {"domain": ["finance", "ops"]})
+    got = {r["path"]: r for r in rows.collect()}
+    assert set(got) == {"finance/cash plan-b.md", "ops/twice.md"}
+    first = got["finance/cash plan-b.md"]
+    assert (first["department"], first["title"], first["tag"], first["domain"], first["prompt_text"]) == ("finance", "Cash Plan B", "cash-plan-b", ["finance"], "Plan cash: 50% + more.")
+    assert got["ops/twice.md"]["domain"] == ["finance"]
+    assert {(r["path"], r["fault"]) for r in faults.collect()} == {("ops/empty.md", "no body"), ("ops/bytes.md", "not text"), ("ops/twice.md", "repeated key: domain")}
+
+
+def test_skill_folders(spark, tmp_path):
+    from spindrift.sources import vault
+
+    index = "---\nname: Launch\nsummary: Do it\ndomain: [ops]\nfiles:\n  - path: b.py\n    type: code\n    language: python\n    description: runs\n  - path: gone.md\n  - path: sub/a.md\ntag: go\n---\n## Overview\nWhat it is.\n## When to Use\nNow.\n### Detail\n## Other\nx\n## How to Use\nSo.\n"
+    for path, content in {"go-live/index.md": index, "go-live/b.py": "x = 1\n", "go-live/sub/a.md": "---\nk: v\n---\nInside.", "go-live/z.yml": "a: 1", "go-live/a.md": "Text.", "go-live/sub/unlisted.md": "no", "bare/x.md": "no index", "plain/index.md": "no front matter"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(content)
+    skills, files, faults = vault.skills(vault.scan(spark, str(tmp_path)))
+    got = {r["folder"]: r for r in skills.collect()}
+    assert set(got) == {"go-live", "plain"}
+    go = got["go-live"]
+    assert (go["tag"], go["name"], go["overview"], go["when_to_use"], go["how_to_use"], go["domain"]) == ("go", "Launch", "What it is.", "Now.\n### Detail", "So.", ["ops"])
+    assert (got["plain"]["tag"], got["plain"]["name"], got["plain"]["status"]) == ("plain", "Plain", "active")
+    assert [(r["path"], r["type"], r["language"], r["description"], r["content"], r["listed"]) for r in files.orderBy(F.col("place").asc_nulls_last(), "path").collect()] == [
+        ("b.py", "code", "python", "runs", "x = 1\n", True), ("sub/a.md", "prompt", None, "", "Inside.", True), ("a.md", "prompt", None, "", "Text.", False), ("z.yml", "config", "yaml", "", "a: 1", False),
+    ]
+    assert {(r["path"], r["fault"]) for r in faults.collect()} == {("bare", "no index"), ("go-live/gone.md", "listed, not there")}
+    held = spark.createDataFrame([("go", "Old", "Do it", ["ops"], None, None), ("kept", "K", "S", None, None, None), ("plain", "Plain", "said", ["x"], [], [])], "tag string, name string, summary string, domain array<string>, intent array<string>, task_type array<string>")
+    after = {r["tag"]: r for r in vault.import_skills(skills, held).collect()}
+    assert {t: r["action"] for t, r in after.items()} == {"go": "updated", "kept": "kept", "plain": "same"}
+    assert (after["go"]["name"], after["plain"]["summary"], after["plain"]["domain"]) == ("Launch", "said", ["x"])
