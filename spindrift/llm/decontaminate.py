@@ -7,8 +7,9 @@ against the table in the same stage, a hit is verified word by word against the
 benchmark's window, and only hits and one head row for each text are shuffled.
 
 The table is broadcast while it has at most ``broadcast_windows`` rows and
-``BROADCAST_BYTES`` of words and item ids, which is counted first; beyond that the
-same join runs as a shuffled one.
+``BROADCAST_BYTES`` of words, which is counted first; beyond that the
+same join runs as a shuffled one. A hit carries its window's number; which items hold the window
+is looked up afterwards, once for each text and window, as thousands of items may share one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import cut, row_key, small, text_of
 N = 10
 BROADCAST_WINDOWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
+#: Items of texts with hits, in all, up to which they are joined with the texts by broadcast.
+BROADCAST_ITEMS = 1_000_000
 
 #: The words of the contract after A-Z have been lower-cased; on raw text A-Z are added.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,11 +68,19 @@ def _windowed(rows: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """gram (its words), items (ids of the items that hold it): the windows of all items."""
+    """gram (its words), item: which item holds which window, each once."""
     items = benchmark.select(F.col(id_col).alias("item"), words(text_of(text_col)).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
     spans = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))
-    return items.select("item", F.explode(spans).alias("gram")).groupBy("gram").agg(F.collect_set("item").alias("items"))
+    return items.select("item", F.explode(spans).alias("gram")).distinct()
+
+
+def numbered(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, number) of the different windows and (number, item) of rows as ``grams`` gives them. Hits carry numbers; the items of a window are looked up once for a text."""
+    held = cut(held)
+    windows = cut(held.select("gram").distinct())
+    windows = windows.select("gram", F.monotonically_increasing_id().alias("number"))  # of what has been written, so a number stays
+    return windows, held.join(windows, "gram").select("number", "item")
 
 
 def _placed(scanned: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
@@ -84,12 +95,11 @@ def _placed(scanned: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
 
 
 def _hits(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
-    """__id, __text, id, copies, n_words, spans (from, length) of hits, items: per distinct row of docs and task that reads it."""
-    table = cut(table)
+    """__id, __text, id, copies, n_words, spans (from, length) of hits, numbers of their windows: per distinct row of docs and task that reads it. table: gram, number."""
     lengths = sorted(r[0] for r in table.select(F.size("gram")).distinct().collect())  # n values at most
     own = _windowed(table.withColumn("w", F.col("gram")), lengths)
     hash_of = F.coalesce(*[F.when(F.size("gram") == k, F.get(f"__w{k}", F.lit(0))) for k in lengths], F.lit(None).cast("bigint"))
-    table = own.select(hash_of.alias("hash"), "gram", "items")
+    table = own.select(hash_of.alias("hash"), "gram", "number")
     # Copies of a row are put together within a task of the scan alone, so a frequent row comes out of as many tasks.
     rows = docs.select(*row_key(id_col, text_col), F.spark_partition_id().alias("__task"), F.col(id_col).alias("id"), words(text_of(text_col)).alias("w"))
     # The exploding is outer, though no array is empty: from an inner one Spark infers a filter on the array's size, which
@@ -98,26 +108,26 @@ def _hits(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, broadca
     hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[F.col(f"__w{k}") for k in lengths])
     first = F.col("at") == 0
     hit = F.struct("start", "span")
-    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + 8 * F.size("items") + 64), F.lit(0))).first()
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + 64), F.lit(0))).first()
     if n <= broadcast_windows and size <= BROADCAST_BYTES:
-        head = table.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("gram", "items")])
+        head = table.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("gram", "number")])
         scanned = rows.select("*", F.posexplode_outer(hashes).alias("at", "hash")).join(F.broadcast(table.unionByName(head)), "hash")
-        held = _placed(scanned.filter(first == F.col("gram").isNull()), lengths, "__task", "gram", "items").filter(first | (F.col("window") == F.col("gram")))
+        held = _placed(scanned.filter(first == F.col("gram").isNull()), lengths, "__task", "gram", "number").filter(first | (F.col("window") == F.col("gram")))
         return held.groupBy("__id", "__text", "__task").agg(
             F.first("id").alias("id"),
             F.count_if(first).alias("copies"),
             F.first("n_words").cast("long").alias("n_words"),
             F.sort_array(F.collect_set(F.when(~first, hit))).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(~first, F.col("items"))))).alias("items"),
+            F.collect_set(F.when(~first, F.col("number"))).alias("numbers"),
         ).drop("__task")
     # Windows are shuffled without their words; the words join their hits again, which are few. Rows come by one each.
     slim = rows.select("__id", "__text", F.posexplode_outer(hashes).alias("at", "hash")).filter(~first)
     found = slim.join(table.select("hash").distinct(), "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
     words_of = rows.select("__id", "__text", "id", "w").join(small(cut(found)), ["__id", "__text"]).dropDuplicates(["__id", "__text"])
     hits = _placed(words_of.select("__id", "__text", "id", "w", F.inline("hits")), lengths, "hash").join(table, "hash").filter(F.col("window") == F.col("gram"))
-    spans = hits.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(hit)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    spans = hits.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(hit)).alias("spans"), F.collect_set("number").alias("numbers"))
     heads = rows.select("__id", "__text", "id", F.lit(1).cast("bigint").alias("copies"), F.size("w").cast("long").alias("n_words"))
-    none = [F.coalesce(c, F.array().cast(spans.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    none = [F.coalesce(c, F.array().cast(spans.schema[c].dataType)).alias(c) for c in ("spans", "numbers")]
     return heads.join(spans, ["__id", "__text"], "left").select("__id", "__text", "id", "copies", "n_words", *none)
 
 
@@ -140,7 +150,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     often as they came; an id with several texts has a row for each. Texts are
     scanned whole, however long; other columns don't matter.
     """
-    found = _hits(docs, grams(benchmark, item_col, item_text_col, n), id_col, text_col, broadcast_windows)
+    windows, items = numbered(grams(benchmark, item_col, item_text_col, n))
+    found = cut(_hits(docs, windows, id_col, text_col, broadcast_windows))
+    hit = found.filter(F.size("numbers") > 0).select("__id", "__text", F.explode("numbers").alias("number")).distinct()
+    named = cut(hit.join(small(cut(items)), "number").groupBy("__id", "__text").agg(F.collect_set("item").alias("items")))
+    few = (named.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_ITEMS  # texts with hits are few, as a rule
+    found = found.join(F.broadcast(named) if few else named, ["__id", "__text"], "left")
+    found = found.withColumn("items", F.coalesce("items", F.array().cast(named.schema["items"].dataType)))
     rows = found.withColumn("n_hit", _covered(F.col("spans"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -157,7 +173,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, whole: bool, n: int = N, broadcast_windows: int = BROADCAST_WINDOWS, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     columns = docs.columns
-    hits = _hits(docs, grams(benchmark, item_col, item_text_col, n), id_col, text_col, broadcast_windows).filter(F.size("spans") > 0)
+    hits = _hits(docs, numbered(grams(benchmark, item_col, item_text_col, n))[0], id_col, text_col, broadcast_windows).filter(F.size("spans") > 0)
     hits = small(cut(hits.select("__id", "__text", "spans").dropDuplicates(["__id", "__text"])))  # texts with hits are few, as a rule; then no text is shuffled
     keyed = docs.select("*", *row_key(id_col, text_col))
     if whole:

@@ -217,6 +217,17 @@ def test_decontamination(spark, docs, bound):
     assert decontaminate.scan(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_a_window_of_thousands_of_items(spark):
+    """What hits carry doesn't grow with the items that share a window; a text names each of them once."""
+    items = spark.createDataFrame([(k, "n/a") for k in range(3000)] + [(9000, "n a other")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "n a; and n/a again" if k % 2 else "nothing") for k in range(200)], "doc_id long, text string")
+    windows, held = decontaminate.numbered(decontaminate.grams(items))
+    assert windows.count() == 2 and held.count() == 3001
+    assert "items" not in decontaminate._hits(docs, windows, "doc_id", "text", 10**6).columns
+    got = decontaminate.scan(docs, items).collect()
+    assert len(got) == 200 and all(sorted(r["items"]) == (list(range(3000)) if r["doc_id"] % 2 else []) and r["n_hit"] == (4 if r["doc_id"] % 2 else 0) for r in got)
+
+
 def test_removal(spark):
     docs = spark.createDataFrame([(1, "Keep this. One two THREE four, and keep that."), (2, "clean"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
