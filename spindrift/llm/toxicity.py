@@ -179,46 +179,73 @@ def grammar() -> Transducer:
     return targets().compose(negations()).compose(reports()).compose(threats())
 
 
-def _sketch(text: str) -> tuple[int, ...]:
-    return tuple(sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _word.findall(text.lower())})[:4])
+def _words(text: str) -> set[str]:
+    return set(_word.findall(text.lower()))
 
 
-def one_of_copies(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
-    """The texts without near copies of equal label."""
-    first = {(_sketch(t), y): i for i, (t, y) in reversed(list(enumerate(zip(texts, labels, strict=True))))}
-    return [texts[i] for i in sorted(first.values())], [labels[i] for i in sorted(first.values())]
+def _one_of_copies(words: list[set[str]], labels: list[int]) -> list[int]:
+    """The places of texts without near copies of equal label: those whose four least word hashes are the same."""
+    known = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for own in words for w in own}
+    first: dict[tuple, int] = {}
+    for i, (own, y) in enumerate(zip(words, labels, strict=True)):
+        first.setdefault((tuple(sorted({known[w] for w in own})[:4]), y), i)
+    return sorted(first.values())
 
 
 def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
-    """Entries (a word ends in "$", a beginning doesn't) and their weights: log odds of toxic against other texts."""
-    texts, labels = one_of_copies(texts, labels)
-    posting, clean = defaultdict(list), Counter()
-    toxic = [t for t, y in zip(texts, labels, strict=True) if y]
-    n_toxic, n_clean = len(toxic), len(texts) - len(toxic)
-    if not n_toxic or not n_clean:
-        return {}
+    """Entries (a word ends in "$", a beginning doesn't) and their weights: log odds of toxic against other texts. Of near copies one counts."""
+    words = [_words(t) for t in texts]
+    some = _one_of_copies(words, labels)
+    return _lexicon([words[i] for i in some], [labels[i] for i in some])
 
-    def entries(text: str) -> set[str]:
-        own = set(_word.findall(text.lower())) - {","}
-        return {w + "$" for w in own if len(w) > 2} | {w[:k] for w in own for k in STEMS if len(w) >= k}
 
-    for i, text in enumerate(toxic):
-        for e in entries(text):
-            posting[e].append(i)
+def _lexicon(words: list[set[str]], labels: list[int]) -> dict[str, float]:
+    n_toxic = sum(1 for y in labels if y)
+    n_clean = len(words) - n_toxic
+    if not n_toxic or not n_clean:
+        return {}
+    known: dict[str, list[str]] = {",": []}
+
+    def entries(word: str) -> list[str]:
+        found = known.get(word)
+        if found is None:
+            found = known[word] = ([word + "$"] if len(word) > 2 else []) + [word[:k] for k in STEMS if len(word) >= k]
+        return found
+
+    posting: dict[str, list[int]] = defaultdict(list)
+    for i, (own, y) in enumerate(zip(words, labels, strict=True)):
+        if y:
+            for e in {e for w in own for e in entries(w)}:
+                posting[e].append(i)
     # So many toxic texts by chance alone are too unlikely, among all candidates.
     support = max(SUPPORT, math.ceil(math.log(len(posting) / CHANCE + 1) / math.log((n_toxic + n_clean) / n_toxic)))
     posting = {e: p for e, p in posting.items() if len(p) >= support}
-    for text, y in zip(texts, labels, strict=True):
+    known = {",": []} | {w: [e for e in es if e in posting] for w, es in known.items()}
+    clean: Counter = Counter()
+    for own, y in zip(words, labels, strict=True):
         if not y:
-            clean.update(e for e in entries(text) if e in posting)
+            clean.update({e for w in own for e in (known[w] if w in known else [x for x in entries(w) if x in posting])})
     good = {e: set(p) for e, p in posting.items() if len(p) >= PRECISION * (len(p) + clean[e]) and len(p) / (n_toxic + 1) > 3 * clean[e] / (n_clean + 1)}
-    found = {}
-    while good:
-        # by what it explains and how purely; then the narrowest: words before beginnings, longer before shorter
-        best = max(good, key=lambda e: (len(good[e]) * (len(posting[e]) / (len(posting[e]) + clean[e])) ** 2, e.endswith("$"), len(e), e))
-        own = good.pop(best)
+
+    def rank(e: str) -> tuple:
+        """By what it explains and how purely; then the narrowest: words before beginnings, longer before shorter."""
+        return (len(good[e]) * (len(posting[e]) / (len(posting[e]) + clean[e])) ** 2, e.endswith("$"), len(e), e)
+
+    # What an entry explains only shrinks as others are taken, so the best of the old ranks is looked at again before it counts.
+    held = {e: rank(e) for e in good}
+    order, taken, found = sorted(held, key=held.get), set(), {}
+    while order:
+        best = order.pop()
+        good[best] -= taken
+        if not good[best]:
+            continue
+        now = rank(best)
+        if now != held[best]:
+            held[best] = now
+            bisect.insort(order, best, key=held.get)
+            continue
+        taken |= good[best]
         found[best] = math.log((len(posting[best]) + 0.5) / (n_toxic + 1)) - math.log((clean[best] + 0.5) / (n_clean + 1))
-        good = {e: left for e, p in good.items() if (left := p - own)}
     return found
 
 
@@ -340,11 +367,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: Col
 
 def fit_texts(texts: list[str], labels: list[int], relations: bool = True) -> Scorer:
     """A scorer from labelled texts. A listed insult that the sample has in as many other as toxic texts is left out."""
-    learned = learn_lexicon(texts, labels)
-    n_toxic = sum(labels)
+    words = [_words(t) for t in texts]
+    some = _one_of_copies(words, labels)
+    learned = _lexicon([words[i] for i in some], [labels[i] for i in some])
+    n_toxic, asked = sum(labels), set(INSULTS)
     seen = {1: Counter(), 0: Counter()}
-    for t, y in zip(*one_of_copies(texts, labels), strict=True):
-        seen[1 if y else 0].update(set(_word.findall(t.lower())))
+    for i in some:
+        seen[1 if labels[i] else 0].update(words[i] & asked)
     rate = lambda w, y, n: (seen[y][w] + 0.5) / (n + 1)
     listed = {w + "$": LISTED for w in INSULTS if seen[0][w] < SUPPORT or rate(w, 1, n_toxic) > 3 * rate(w, 0, len(texts) - n_toxic)}
     scorer = Scorer(listed | learned, relations=relations)
