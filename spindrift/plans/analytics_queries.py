@@ -125,7 +125,7 @@ def success_rate(spark, d):
 @query(f"WITH {P} SELECT count(*) AS n, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (n_chars > 1600) AS n_long, count(*) FILTER (domain[1] = 'en') AS n_en, round(100.0 * count(*) FILTER (status = 'active') / nullif(count(*), 0), 2) AS active_pct FROM prompts")
 def corpus_stats(spark, d):
     active = F.count_if(F.col("status") == "active")
-    return W.prompts(spark, d).agg(F.count("*").alias("n"), active.alias("n_active"), F.count_if(F.col("n_chars") > 1600).alias("n_long"), F.count_if(F.col("domain")[0] == "en").alias("n_en"), F.round(F.try_divide(100.0 * active, F.count("*")), 2).alias("active_pct"))
+    return W.prompts(spark, d, texts=False).agg(F.count("*").alias("n"), active.alias("n_active"), F.count_if(F.col("n_chars") > 1600).alias("n_long"), F.count_if(F.col("domain")[0] == "en").alias("n_en"), F.round(F.try_divide(100.0 * active, F.count("*")), 2).alias("active_pct"))
 
 
 @query(f"WITH {P} SELECT id, CASE WHEN len(domain) > 0 AND n_chars > 1600 THEN 0.8::DOUBLE WHEN len(domain) > 0 THEN 0.4 ELSE 0.1 END AS confidence, n_chars <= 1600 AS needs_classification FROM prompts")

@@ -12,9 +12,13 @@ from . import views as W
 from .analytics_queries import FB, _drain, _events, _r
 from .registry import query
 
-RULES = [alerts.Rule("high", F.col("value") > 20, 1800), alerts.Rule("low", F.col("value") < 15, 3600), alerts.Rule("spike", F.col("value") > 60)]
 STALE = 7200
 
+
+def _rules() -> list[alerts.Rule]:
+    return [alerts.Rule("high", F.col("value") > 20, 1800), alerts.Rule("low", F.col("value") < 15, 3600), alerts.Rule("spike", F.col("value") > 60)]
+
+
 #: What lies behind the last sample by less than an hour isn't decided yet, in a stream as in a batch.
 ALERTS = """WITH now AS (SELECT max(ts) - INTERVAL 1 HOUR AS moment FROM events),
 tried AS (SELECT event_type AS key, ts, max(value) AS value FROM events, now WHERE ts <= moment GROUP BY ALL),
@@ -38,7 +42,7 @@ def _samples(spark, d, streaming: bool = False) -> DataFrame:
 def alert_states(spark, d):
     rows = _samples(spark, d)
     now = rows.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("at")).first()["at"]
-    out = alerts.transitions(alerts.evaluated(rows.filter(F.col("ts") <= F.lit(now)), RULES), STALE, F.lit(now))
+    out = alerts.transitions(alerts.evaluated(rows.filter(F.col("ts") <= F.lit(now)), _rules()), STALE, F.lit(now))
     return out.select("rule", "key", F.col("ts").cast("timestamp_ntz").alias("ts"), "state")
 
 
@@ -47,7 +51,7 @@ def alert_stream(spark, d):
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = _drain(alerts.stream_transitions(_samples(spark, d, True), RULES, STALE), "alerts", "append")
+        out = _drain(alerts.stream_transitions(_samples(spark, d, True), _rules(), STALE), "alerts", "append")
     finally:
         if kept is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

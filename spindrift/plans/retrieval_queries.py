@@ -166,7 +166,7 @@ SHAPE = "1 / (1 + exp(-greatest(-30, least(30, (doc_id % 13) - 6)))) - 0.02 * po
 
 @query(f"SELECT doc_id, round({SHAPE}, 6) AS score FROM documents")
 def score_shape(spark, d):
-    docs = W.table(spark, d, "documents")
+    docs = W.table(spark, d, "documents", texts=False)
     return docs.select("doc_id", F.round(rerank.shaped_score((F.col("doc_id") % 13 - 6).cast("double"), "n_chars"), 6).alias("score"))
 
 

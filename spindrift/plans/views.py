@@ -14,14 +14,15 @@ from ..session import spread
 TEXTS = ("documents", "pages", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, texts: bool = True) -> DataFrame:
+    """A table; texts: whether its texts are read, so that it is worth spreading over the cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXTS else rows
+    return spread(rows) if texts and name in TEXTS else rows
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prompts(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     """documents as prompts: domain from the language, task type from the source, every tenth inactive."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", texts)
     return d.select(
         F.col("doc_id").alias("id"),
         F.substring("text", 1, 60).alias("title"),
