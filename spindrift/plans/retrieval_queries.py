@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, evaluation, fusion, rerank, retrieval, tree_index
+from ..operators import chains, evaluation, fusion, graph_index, rerank, retrieval, tree_index
 from ..session import remove_path, settled, shared_path
 from . import views as W
 from .registry import query
@@ -88,6 +88,16 @@ def ann_tree(spark, d):
     return found
 
 
+@query()
+def ann_graph(spark, d):
+    """A stored graph of near neighbours, searched over its links."""
+    path = shared_path(spark, "graph")
+    graph_index.build(W.chunk_vecs(spark, d), path, id_col="chunk_id")
+    found = settled(graph_index.search(spark, path, W.vec_queries(spark, d), 10))
+    remove_path(spark, path)
+    return found
+
+
 @query(f"WITH {HITS} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, {RANKED} FROM matched JOIN wanted USING (query_id) WHERE score = n_terms) WHERE rank <= 10")
 def exact_and(spark, d):
     return retrieval.exact_search(_active(spark, d), W.word_queries(spark, d), True, 10, "id", "prompt_text")

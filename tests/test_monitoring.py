@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import lifecycle, metrics, retrieval, tree_index
+from spindrift.operators import graph_index, lifecycle, metrics, retrieval, tree_index
 from spindrift.streaming import alerts, refresh
 
 KIND = "key string, ts timestamp, value double"
@@ -193,3 +193,43 @@ def test_tree_of_few_and_of_no_vectors(spark, tmp_path):
     assert tree_index.search(spark, path, asked.filter("query_id = 8"), 5).collect() == []
     with pytest.raises(ValueError):
         tree_index.fit(one.limit(0))
+
+
+def test_graph_finds_neighbours_by_few_scores(spark, tmp_path):
+    """Vectors in clusters: nine tenths of the true neighbours for a tenth of a scan's scores; links are nearly all true."""
+    rows, path = clustered(spark, 2000), str(tmp_path / "graph")
+    vectors = spark.createDataFrame([*rows, (9999, None)], "id long, embedding array<double>")
+    graph_index.build(vectors, path)
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2)
+    true = np.argsort(-cosine, axis=1)[:, :10]
+    graph = {r["id"]: set(r["links"]) for r in spark.read.parquet(f"{path}/graph").collect()}
+    assert set(graph) == set(range(2000)) and all(len(n) <= 2 * graph_index.LINKS and k not in n for k, n in graph.items())
+    assert np.mean([len(graph[k] & set(true[k])) / 10 for k in range(2000)]) > 0.9
+    asked = vectors.filter("id % 40 < 5 AND id < 400").withColumnRenamed("id", "query_id")
+    seen = graph_index.visited(spark, path, asked.unionByName(asked.limit(1).selectExpr("-1L AS query_id", "CAST(NULL AS array<double>) AS embedding")), width=24)
+    found = {(r["query_id"], r["id"]) for r in retrieval.top(seen, 11).collect()}
+    want = {(r["query_id"], r["id"]) for r in retrieval.dense_topk(vectors, asked, 11).collect()}
+    assert len(found & want) / len(want) >= 0.9
+    assert seen.count() == seen.select("query_id", "id").distinct().count() <= 0.12 * 2000 * asked.count()
+
+
+def test_recall_of_the_registered_graph(spark):
+    from spindrift.plans import views as W
+    from spindrift.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.1"
+    exact = {(r["query_id"], r["id"]) for r in retrieval.dense_topk(W.chunk_vecs(spark, d), W.vec_queries(spark, d), 10, "chunk_id").collect()}
+    got = {(r["query_id"], r["id"]) for r in QUERIES["ann_graph"](spark, d).collect()}
+    assert len(got) == len(exact) and len(got & exact) / len(exact) >= 0.9
+
+
+def test_graph_of_few_vectors(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "id long, embedding array<double>")
+    for name, rows in (("one", [(1, [1.0, 0.0])]), ("same", [(k, [0.6, 0.8]) for k in range(40)]), ("zero", [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])])):
+        graph_index.build(make(rows), str(tmp_path / name))
+        asked = make(rows[:1]).withColumnRenamed("id", "query_id")
+        got = graph_index.search(spark, str(tmp_path / name), asked, 5).collect()
+        assert len(got) == min(5, len(rows)) and spark.read.parquet(str(tmp_path / name / "graph")).count() == len(rows)
