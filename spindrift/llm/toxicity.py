@@ -179,8 +179,10 @@ def grammar() -> Transducer:
     return targets().compose(negations()).compose(reports()).compose(threats())
 
 
-def _words(text: str) -> set[str]:
-    return set(_word.findall(text.lower()))
+def _words(texts: list[str]) -> list[set[str]]:
+    """The different words of each text; texts share one object for a word."""
+    pool: dict[str, str] = {}
+    return [{pool.setdefault(w, w) for w in _word.findall(t.lower())} for t in texts]
 
 
 def _one_of_copies(words: list[set[str]], labels: list[int]) -> list[int]:
@@ -194,7 +196,7 @@ def _one_of_copies(words: list[set[str]], labels: list[int]) -> list[int]:
 
 def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
     """Entries (a word ends in "$", a beginning doesn't) and their weights: log odds of toxic against other texts. Of near copies one counts."""
-    words = [_words(t) for t in texts]
+    words = _words(texts)
     some = _one_of_copies(words, labels)
     return _lexicon([words[i] for i in some], [labels[i] for i in some])
 
@@ -204,27 +206,25 @@ def _lexicon(words: list[set[str]], labels: list[int]) -> dict[str, float]:
     n_clean = len(words) - n_toxic
     if not n_toxic or not n_clean:
         return {}
-    known: dict[str, list[str]] = {",": []}
-
     def entries(word: str) -> list[str]:
-        found = known.get(word)
-        if found is None:
-            found = known[word] = ([word + "$"] if len(word) > 2 else []) + [word[:k] for k in STEMS if len(word) >= k]
-        return found
+        return ([word + "$"] if len(word) > 2 else []) + [word[:k] for k in STEMS if len(word) >= k]
 
     posting: dict[str, list[int]] = defaultdict(list)
     for i, (own, y) in enumerate(zip(words, labels, strict=True)):
         if y:
-            for e in {e for w in own for e in entries(w)}:
+            for e in {e for w in own if w != "," for e in entries(w)}:
                 posting[e].append(i)
     # So many toxic texts by chance alone are too unlikely, among all candidates.
     support = max(SUPPORT, math.ceil(math.log(len(posting) / CHANCE + 1) / math.log((n_toxic + n_clean) / n_toxic)))
     posting = {e: p for e, p in posting.items() if len(p) >= support}
-    known = {",": []} | {w: [e for e in es if e in posting] for w, es in known.items()}
-    clean: Counter = Counter()
+    none: list[str] = []
+    known, clean = {",": none}, Counter()  # by word the entries that are left of it
     for own, y in zip(words, labels, strict=True):
         if not y:
-            clean.update({e for w in own for e in (known[w] if w in known else [x for x in entries(w) if x in posting])})
+            for w in own:
+                if w not in known:
+                    known[w] = [e for e in entries(w) if e in posting] or none
+            clean.update({e for w in own for e in known[w]})
     good = {e: set(p) for e, p in posting.items() if len(p) >= PRECISION * (len(p) + clean[e]) and len(p) / (n_toxic + 1) > 3 * clean[e] / (n_clean + 1)}
 
     def rank(e: str) -> tuple:
@@ -367,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: Col
 
 def fit_texts(texts: list[str], labels: list[int], relations: bool = True) -> Scorer:
     """A scorer from labelled texts. A listed insult that the sample has in as many other as toxic texts is left out."""
-    words = [_words(t) for t in texts]
+    words = _words(texts)
     some = _one_of_copies(words, labels)
     learned = _lexicon([words[i] for i in some], [labels[i] for i in some])
     n_toxic, asked = sum(labels), set(INSULTS)
