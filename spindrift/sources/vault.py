@@ -60,7 +60,8 @@ def prompts(files: DataFrame, valid: dict[str, list[str]] | None = None) -> tupl
 def _manifest(raw: Column) -> Column:
     """The files that front matter lists: structs (path, type, language, description) in order."""
     front = F.regexp_extract(raw, X.FRONT_MATTER, 0)
-    block = F.regexp_extract(front, r"(?m)^files:[ \t]*\n((?:[ \t]+.*\n)+)", 1)
+    # possessive: a loop that may give lines back calls itself for each, which a long list doesn't survive
+    block = F.regexp_extract(front, r"(?m)^files:[ \t]*\n((?:[ \t]+.*\n)++)", 1)
     entries = F.filter(F.split(block, r"(?m)^[ \t]*-[ \t]+"), lambda e: F.trim(e) != "")
     field = lambda e, name: F.nullif(F.regexp_replace(F.regexp_extract(e, rf"(?m)^[ \t]*{name}:[ \t]*(.*?)[ \t]*$", 1), r"\A[\"']|[\"']\z", ""), F.lit(""))
     described = F.transform(entries, lambda e: F.struct(field(e, "path").alias("path"), F.coalesce(field(e, "type"), F.lit("prompt")).alias("type"), field(e, "language").alias("language"), F.coalesce(field(e, "description"), F.lit("")).alias("description")))
