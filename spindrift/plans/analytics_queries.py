@@ -301,7 +301,7 @@ EV = "event_id long, ts timestamp_ntz, user_id long, event_type string, value do
 
 
 def _events(spark, d, streaming: bool = False) -> DataFrame:
-    rows = spark.readStream.schema(EV).option("pathGlobFilter", "events.parquet").parquet(d) if streaming else W.table(spark, d, "events")
+    rows = W.stream(spark, d, "events", EV) if streaming else W.table(spark, d, "events")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -16,3 +16,11 @@ def test_a_long_list_of_files_is_read(spark):
     _, files, faults = vault.skills(rows.select("path", F.lit(None).cast("timestamp").alias("modified"), F.col("t").cast("binary").alias("content")))
     assert [(r["path"], r["place"], r["type"], r["listed"]) for r in files.collect()] == [("f19999.py", 19_999, "code", True)]
     assert faults.filter("fault = 'listed, not there'").count() == 19_999
+
+
+def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    for name in ("labels", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_priors", "stream_tumble"):
+        got, want = (sorted(tuple(map(plain, r)) for r in QUERIES[name](spark, d).collect()) for d in (str(tmp_path), sf_dir))
+        assert got == want and got
