@@ -61,8 +61,9 @@ def validate_schema(columns: DataFrame, keys: DataFrame, types: list[str]) -> Da
     unknown = columns.filter(~F.lower("type").isin(types)).select("table", "column", F.lit("unknown type").alias("issue"))
     no_id = columns.groupBy("table").agg(F.count_if(F.col("column") == "id").alias("n")).filter("n = 0").select("table", F.lit("id").alias("column"), F.lit("missing id").alias("issue"))
     target = columns.select(F.col("table").alias("ref_table"), F.col("column").alias("ref_column"), F.col("type").alias("ref_type"))
-    checked = keys.join(columns.select("table", "column", "type"), ["table", "column"], "left").join(target, ["ref_table", "ref_column"], "left")
-    bad = checked.filter(F.col("ref_type").isNull() | (F.col("type") != F.col("ref_type"))).select("table", "column", F.when(F.col("ref_type").isNull(), "orphan reference").otherwise("reference type").alias("issue"))
+    # Types are few: each once for a column, or a repeated column meets a repeated one in all pairs.
+    checked = keys.join(columns.select("table", "column", "type").distinct(), ["table", "column"], "left").join(target.distinct(), ["ref_table", "ref_column"], "left")
+    bad = checked.filter(F.col("ref_type").isNull() | (F.col("type") != F.col("ref_type"))).select("table", "column", F.when(F.col("ref_type").isNull(), "orphan reference").otherwise("reference type").alias("issue")).distinct()
     return named.unionByName(twice).unionByName(unknown).unionByName(no_id).unionByName(bad)
 
 

@@ -24,3 +24,10 @@ def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
     for name in ("stream_priors", "stream_tumble"):
         got, want = (sorted(tuple(map(plain, r)) for r in QUERIES[name](spark, d).collect()) for d in (str(tmp_path), sf_dir))
         assert got == want and got
+
+
+def test_repeated_columns_are_checked_once(spark):
+    columns = spark.createDataFrame([("t", "c", "int", False), ("u", "id", "text", False), ("t", "id", "int", True)] * 50, "table string, column string, type string, nullable boolean")
+    keys = spark.createDataFrame([("t", "c", "u", "id"), ("t", "c", "u", "gone")], "table string, column string, ref_table string, ref_column string")
+    found = assets.validate_schema(columns, keys, ["int", "text"]).filter("issue LIKE '%reference%'").collect()
+    assert sorted(r["issue"] for r in found) == ["orphan reference", "reference type"]
