@@ -31,3 +31,8 @@ def test_repeated_columns_are_checked_once(spark):
     keys = spark.createDataFrame([("t", "c", "u", "id"), ("t", "c", "u", "gone")], "table string, column string, ref_table string, ref_column string")
     found = assets.validate_schema(columns, keys, ["int", "text"]).filter("issue LIKE '%reference%'").collect()
     assert sorted(r["issue"] for r in found) == ["orphan reference", "reference type"]
+
+
+def test_acronyms_end_at_letters_beyond_ascii(spark):
+    got = spark.createDataFrame([("ÓNRR, xNRR, NRRÓ NRR_",)], "t string").select(X.expand_acronyms("t")).first()[0]
+    assert got == "ÓNRR (net revenue retention), xNRR, NRR (net revenue retention)Ó NRR_"
