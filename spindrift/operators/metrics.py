@@ -2,16 +2,22 @@
 
 A day's samples become one sketch, which is small whatever the day held. Reports
 over the last days merge sketches and never read samples again; a late sample
-changes one day's sketch.
+changes one day's sketch. ``exact_over_days`` reads the samples again, for the quantile itself.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: Size of a sketch: all values up to so many, and a rank error near 1.7 / SIZE beyond (0.05 %).
 SIZE = 4096
+#: Ranks, as parts of 1 / size, within which a sketch's quantile surely lies: more than twice its error.
+MARGIN = 4
 
 
 def daily(samples: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
@@ -25,10 +31,47 @@ def over_days(sketches: DataFrame, keys: list[str], share: float = 0.95, days: i
 
     Each sketch goes to the days that it counts for; only days with samples have a row.
     """
-    reach = sketches.select(*keys, F.explode(F.sequence(F.col("day"), F.date_add("day", days - 1))).alias("day"), "sketch", "total", "n")
-    merged = reach.groupBy(*keys, "day").agg(F.kll_merge_agg_double("sketch").alias("sketch"), (F.sum("total") / F.sum("n")).alias("average"))
-    own = sketches.select(*keys, "day").distinct()
-    return merged.join(own, [*keys, "day"], "left_semi").select(*keys, "day", F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("quantile"), "average")
+    return _merged(sketches, keys, days).select(*keys, "day", F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("quantile"), "average")
+
+
+def _reach(days: int):
+    """The days that a day counts for."""
+    return F.explode(F.sequence(F.col("day"), F.date_add("day", days - 1))).alias("day")
+
+
+def _merged(sketches: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """keys, day, sketch, n, average of each day with the days before it."""
+    reach = sketches.select(*keys, _reach(days), "sketch", "total", "n")
+    merged = reach.groupBy(*keys, "day").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("average"))
+    return merged.join(sketches.select(*keys, "day").distinct(), [*keys, "day"], "left_semi")
+
+
+def exact_over_days(samples: DataFrame, keys: list[str], share: float = 0.95, days: int = 7, size: int = SIZE) -> DataFrame:
+    """keys, day, quantile, average as ``over_days`` gives them, but the quantile is exact: of the n values the one at rank ceil(share * n).
+
+    Sketches tell between which values that rank lies; what is below them is counted, and only what
+    is between is ranked. Days whose rank doesn't lie there after all are ranked whole. samples: keys, ts, value.
+    """
+    # a sketch of nothing but NaN is empty, and has no quantiles
+    quantile = lambda at: F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(min(max(at, 0.0), 1.0))))
+    at = F.greatest(F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(Decimal(str(share)))).cast("long"), F.lit(1)).alias("at")
+    merged = _merged(daily(samples, keys, size), keys, days)
+    bounds = settled(merged.select(*keys, "day", "average", at, quantile(share - MARGIN / size).alias("low"), quantile(share + MARGIN / size).alias("high")))
+    found = settled(_ranked(samples, bounds, keys, days))
+    missed = bounds.join(found, [*keys, "day"], "left_anti")
+    if not missed.isEmpty():
+        whole = missed.withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("nan"))})
+        found = found.unionByName(_ranked(samples, whole, keys, days))
+    return bounds.select(*keys, "day", "average").join(found, [*keys, "day"]).select(*keys, "day", "quantile", "average")
+
+
+def _ranked(samples: DataFrame, bounds: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """keys, day, quantile: the value at rank ``at``, if it is one from low to high. NaN is the highest value."""
+    rows = samples.filter(F.col("value").isNotNull()).select(*keys, F.to_date("ts").alias("day"), F.col("value").cast("double").alias("value")).select(*keys, _reach(days), "value")
+    near = rows.join(bounds.select(*keys, "day", "at", "low", "high"), [*keys, "day"]).filter("value <= high")
+    counts = near.groupBy(*keys, "day", "at", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("quantile")).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "day").orderBy(F.col("quantile").asc_nulls_first())))
+    return upto.filter("quantile IS NOT NULL AND upto >= at AND upto - n < at").select(*keys, "day", "quantile")
 
 
 def against(samples: DataFrame, baselines: DataFrame, keys: list[str], slow: float = 2.0, drop: float = 0.5) -> DataFrame:

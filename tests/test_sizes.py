@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import assets
+from spindrift.operators import assets, metrics
 from spindrift.plans.catalog import ORACLE_SQL, QUERIES
 from spindrift.sources import vault
 
-from .oracle import plain
+from .oracle import plain, spark_rows, sql_rows, views
 
 
 def test_a_long_list_of_files_is_read(spark):
@@ -36,3 +36,21 @@ def test_repeated_columns_are_checked_once(spark):
 def test_acronyms_end_at_letters_beyond_ascii(spark):
     got = spark.createDataFrame([("ÓNRR, xNRR, NRRÓ NRR_",)], "t string").select(X.expand_acronyms("t")).first()[0]
     assert got == "ÓNRR (net revenue retention), xNRR, NRR (net revenue retention)Ó NRR_"
+
+
+def test_quantiles_of_many_samples_are_exact(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    many = e.select((F.col("event_id") * 60).alias("event_id"), "ts", "user_id", "event_type", "value", "props", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i"))
+    many.select((F.col("event_id") + F.col("i")).alias("event_id"), "ts", "user_id", "event_type", (F.col("value") * (1 + F.col("i") / 977)).alias("value"), "props").write.parquet(f"{tmp_path}/events.parquet")
+    con = views(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("quantile_baseline", "unusual_samples"):
+        assert spark_rows(QUERIES[name](spark, str(tmp_path))) == sql_rows(con, ORACLE_SQL[name])
+
+
+def test_a_rank_outside_the_sketch_is_found(spark):
+    rows = spark.createDataFrame([("a", f"2024-01-{1 + i % 9:02d}", float("nan") if i % 3 == 0 else float(i * 7919 % 1009)) for i in range(900)], "key string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    got = {str(r["day"]): r["quantile"] for r in metrics.exact_over_days(rows, ["key"], 0.5, 3, 8).collect()}
+    for day in range(1, 10):
+        own = sorted((float("inf") if i % 3 == 0 else i * 7919 % 1009) for i in range(900) if max(1, day - 2) <= 1 + i % 9 <= day)
+        assert plain(got[f"2024-01-{day:02d}"]) == plain(own[-(-len(own) // 2) - 1]).replace("inf", "null")
