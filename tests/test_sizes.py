@@ -1,9 +1,12 @@
 """Tables in folders, long lists, repeated rows and many queries: what larger tables bring."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import assets, metrics
+from spindrift.operators import assets, metrics, retrieval
 from spindrift.plans.catalog import ORACLE_SQL, QUERIES
 from spindrift.sources import vault
 
@@ -54,3 +57,16 @@ def test_a_rank_outside_the_sketch_is_found(spark):
     for day in range(1, 10):
         own = sorted((float("inf") if i % 3 == 0 else i * 7919 % 1009) for i in range(900) if max(1, day - 2) <= 1 + i % 9 <= day)
         assert plain(got[f"2024-01-{day:02d}"]) == plain(own[-(-len(own) // 2) - 1]).replace("inf", "null")
+
+
+def test_scores_of_many_queries_are_held_a_few_at_a_time():
+    rng = np.random.default_rng(3)
+    matrix, x, names = rng.standard_normal((6000, 4)), rng.standard_normal((4096, 4)), np.arange(4096)
+    held = retrieval._Best(len(matrix), 2)
+    tracemalloc.start()
+    held.meet(np.arange(len(matrix)), names, matrix, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000 < matrix.shape[0] * len(names) * 8
+    (got,) = held.batches(np.arange(len(matrix)))
+    assert got["id"].to_pylist() == np.argsort(-(matrix @ x.T), axis=1, kind="stable")[:, :2].ravel().tolist()
