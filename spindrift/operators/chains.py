@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import settled
 from ..streaming import refresh
 from . import retrieval
 
@@ -131,6 +132,7 @@ def expand_neighbours(pool: DataFrame, vectors: DataFrame, threshold: float = 0.
 
     pool: query_id, id, which is small beside vectors: id, embedding. Its distinct items are searched for exactly.
     """
+    pool = settled(pool)
     own = pool.select("query_id", "id", F.lit(None).cast(pool.schema["id"].dataType).alias("via"))
     asked = vectors.join(retrieval.bounded(pool.select("id").distinct()), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
     near = retrieval.dense_topk(vectors, asked, k, skip_self=True).filter(F.col("score") >= threshold).select(F.col("query_id").alias("via"), "id")
@@ -143,6 +145,7 @@ def dedupe_pool(pool: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     A pool is capped for each query, so its rows are compared within the query.
     """
+    pool = settled(pool)
     a = pool.select("query_id", F.col("arrival").alias("__a"), F.col("content_hash").alias("__h"), F.col("embedding").alias("__v"))
     earlier = (F.col("__a") < F.col("arrival")) & ((F.col("__h") == F.col("content_hash")) | (retrieval.cosine("__v", "embedding") >= threshold))
     gone = pool.join(a, "query_id").filter(earlier).select("query_id", "arrival").distinct()
