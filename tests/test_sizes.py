@@ -70,3 +70,17 @@ def test_scores_of_many_queries_are_held_a_few_at_a_time():
     assert peak < 60_000_000 < matrix.shape[0] * len(names) * 8
     (got,) = held.batches(np.arange(len(matrix)))
     assert got["id"].to_pylist() == np.argsort(-(matrix @ x.T), axis=1, kind="stable")[:, :2].ravel().tolist()
+
+
+def test_queries_alike_are_searched_for_once_and_tasks_keep_their_best(spark, monkeypatch):
+    put = []
+    docs = spark.createDataFrame([(f"d{i:03d}", "river bank plans"[: 5 + i % 12], "the river " * (i % 5)) for i in range(300)], "id string, title string, text string").repartition(3)
+    asked = spark.createDataFrame([(i, ["river plans", "Rivers, planned", "bank"][i % 3]) for i in range(90)], "query_id long, query string")
+    fields = {"title": "A", "text": "D"}
+    real = retrieval._scored_in_place
+    monkeypatch.setattr(retrieval, "_scored_in_place", lambda *a: put.append(real(*a)) or put[-1])
+    got = sorted(map(tuple, retrieval.sparse_search(docs, asked, fields, 7).collect()))
+    assert len(got) == 90 * 7 and put[0].select("query_id").distinct().count() == 2
+    assert put[0].groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0] == 7
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 1)
+    assert got == sorted(map(tuple, retrieval.sparse_search(docs, asked, fields, 7).collect()))
