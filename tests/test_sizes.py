@@ -84,3 +84,19 @@ def test_queries_alike_are_searched_for_once_and_tasks_keep_their_best(spark, mo
     assert put[0].groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0] == 7
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 1)
     assert got == sorted(map(tuple, retrieval.sparse_search(docs, asked, fields, 7).collect()))
+
+
+def test_documents_that_hold_all_terms_of_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 12, 9)) if i % 17 else None) for i in range(400)], "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 13, 1 + i % 4)) if i % 9 else "the a") for i in range(60)], "query_id long, query string")
+    want = sorted(map(tuple, retrieval.exact_search(docs, asked, True, 6).collect()))
+    assert len(want) > 150 and want == sorted(map(tuple, retrieval.holding_all(docs, asked, 6).collect()))
+    monkeypatch.setattr(retrieval, "TERM_QUERIES", 7)
+    assert want == sorted(map(tuple, retrieval.holding_all(docs, asked, 6).collect()))
+    assert retrieval.holding_all(docs, asked.filter("query_id = 0"), 6).count() == 0
+
+
+def test_self_retrieval_makes_no_rows_of_single_terms(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(retrieval, "postings", None)
+    assert QUERIES["self_retrieval"](spark, sf_dir).count() == 1
