@@ -1,7 +1,7 @@
 """Stored search vectors: postings with places and weights, filed by lexeme, and kept in step with their rows.
 
 A table of search vectors is a folder of segments. Each has ``postings`` (lexeme,
-id, places, weights, n_lexemes: one row for each lexeme of a row, filed by ``bucket``, a hash of the
+id, places, weights, n_lexemes: one row for each lexeme of a row, and one with a null lexeme where there is none, filed by ``bucket``, a hash of the
 lexeme) and ``rows`` (the ids that it speaks for, those without any lexeme too). Of an id the newest
 segment counts, so a changed row is replaced by writing it again, and a deleted one by an
 id without postings. ``compact`` makes one segment of all.
@@ -40,8 +40,11 @@ def vectors(docs: DataFrame, fields: dict[str, str], config: str = "english", id
 
     @F.arrow_udf("struct<n: int, places: int, found: array<struct<lexeme: string, places: array<int>, weights: array<double>>>>")
     def cut(*columns: pa.Array) -> pa.Array:
-        own, stemmed = shared.value
         known: dict[str, str | None] = {}
+        return pa.concat_arrays([some(known, *(c.slice(at, R.TEXTS) for c in columns)) for at in range(0, max(1, len(columns[0])), R.TEXTS)])
+
+    def some(known: dict[str, str | None], *columns: pa.Array) -> pa.Array:
+        own, stemmed = shared.value
         totals, spans, out, ends = [], [], [], [0]
         for texts in zip(*(c.to_pylist() for c in columns), strict=True):
             place, n, held = 0, 0, {}
@@ -87,9 +90,10 @@ def segments(spark: SparkSession, path: str) -> list[int]:
 def _write(rows: DataFrame, path: str, number: int) -> None:
     """rows as ``vectors`` gives them. A bucket that is crowded in one segment is written by more than one task."""
     at = f"{path}/seg-{number:06d}"
-    rows = settled(rows.select(*_ROW))
-    rows.filter("lexeme IS NOT NULL").withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-    rows.select("id").distinct().write.mode("overwrite").parquet(f"{at}/rows")
+    rows.select(*_ROW).withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+    # the ids are read from what was written, so that rows are neither worked out twice nor written twice
+    kind = rows.schema["id"].dataType.simpleString()
+    rows.sparkSession.read.schema(f"id {kind}").parquet(f"{at}/postings").select("id").distinct().write.mode("overwrite").parquet(f"{at}/rows")
 
 
 def write(rows: DataFrame, path: str) -> None:
@@ -115,7 +119,7 @@ def read(spark: SparkSession, path: str, lexemes: list[str] | None = None) -> Da
     parts, newer = [], None
     for number in reversed(there):
         at = f"{path}/seg-{number:06d}"
-        own = spark.read.schema("id " + dict(spark.read.parquet(f"{at}/rows").dtypes)["id"] + ", lexeme string, places array<int>, weights array<double>, n_lexemes int, bucket int").parquet(f"{at}/postings")
+        own = spark.read.schema("id " + dict(spark.read.parquet(f"{at}/rows").dtypes)["id"] + ", lexeme string, places array<int>, weights array<double>, n_lexemes int, bucket int").parquet(f"{at}/postings").filter("lexeme IS NOT NULL")
         if buckets is not None:
             own = own.filter(F.col("bucket").isin(buckets) & F.col("lexeme").isin(lexemes))
         own = own.select(*_ROW)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import assets, metrics, retrieval
+from spindrift.operators import assets, metrics, retrieval, search_vectors
 from spindrift.plans.catalog import ORACLE_SQL, QUERIES
 from spindrift.sources import vault
 
@@ -100,3 +100,15 @@ def test_documents_that_hold_all_terms_of_many_queries(spark, monkeypatch):
 def test_self_retrieval_makes_no_rows_of_single_terms(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(retrieval, "postings", None)
     assert QUERIES["self_retrieval"](spark, sf_dir).count() == 1
+
+
+def test_a_segment_is_written_once_and_texts_come_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b a c"[: i % 8]) for i in range(50)], "id long, text string").repartition(2)
+    rows = search_vectors.vectors(docs, {"text": "A"}, "simple")
+    want = sorted(map(str, rows.collect()))
+    monkeypatch.setattr(retrieval, "TEXTS", 3)
+    assert want == sorted(map(str, search_vectors.vectors(docs, {"text": "A"}, "simple").collect()))
+    monkeypatch.setattr(search_vectors, "settled", None)
+    search_vectors.write(rows, str(tmp_path / "v"))
+    assert sorted(map(str, search_vectors.read(spark, str(tmp_path / "v")).collect())) == sorted(map(str, rows.filter("lexeme IS NOT NULL").drop("n_places").collect()))
+    assert spark.read.parquet(f"{tmp_path}/v/seg-000000/rows").count() == 50
