@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,40 +65,49 @@ def transitions(samples: DataFrame, stale: int, as_of: Column | None = None) ->
 
 _STATE = "since long, fired boolean, last long"
 _NONE = (-1, False, -1)
+#: A waiting sample, and the time (in microseconds) whose samples of a series wait in one piece; samples that are sorted at once; changes that are told at once.
+_SAMPLE = np.dtype([("us", "<i8"), ("value", "<f8"), ("breach", "?")])
+_HOUR, _ROWS, _TOLD = 3_600_000_000, 1 << 20, 1 << 16
 
 
-def advance(state: tuple[int, bool, int], samples: list[tuple[int, bool]], now: int, hold: int, stale: int) -> tuple[tuple[int, bool, int], list[tuple[int, str]]]:
-    """The state (since, fired, last; since below zero: inactive) after samples (time, breach) in order, and by now: with what changed, and when. All in microseconds."""
+def _once(parts: list[np.ndarray]) -> np.ndarray:
+    """Samples in order of time; of those of one time the greatest."""
+    rows = np.concatenate([np.empty(0, _SAMPLE), *parts])
+    rows = rows[np.lexsort((rows["breach"], rows["value"], rows["us"]))]
+    return rows[np.append(rows["us"][1:] != rows["us"][:-1], True)] if len(rows) else rows
+
+
+def advance(state: tuple[int, bool, int], us: np.ndarray, breach: np.ndarray, hold: int, stale: int) -> tuple[tuple[int, bool, int], dict[str, np.ndarray]]:
+    """The state (since, fired, last; since below zero: inactive) after samples (time, breach) in order, each time once: with when it came to be pending, firing, resolved. All in microseconds."""
     since, fired, last = state
-    out = []
-
-    def end(at: int) -> None:
-        nonlocal since, fired
-        if since >= 0 and fired:
-            out.append((at, "resolved"))
-        since, fired = -1, False
-
-    for ts, breach in samples:
-        if since >= 0 and ts - last > stale:
-            end(last + stale)
-        if not breach:
-            end(ts)
-        else:
-            if since < 0:
-                since = ts
-                if hold > 0:
-                    out.append((ts, "pending"))
-            if not fired and ts - since >= hold:
-                fired = True
-                out.append((ts, "firing"))
-        last = ts
-    if since >= 0 and now - last > stale:
-        end(last + stale)
-    return (since, fired, last), out
+    if not len(us):
+        return state, {}
+    on = since >= 0
+    quiet = np.diff(us, prepend=last if on else us[0]) > stale
+    # A run of breaches goes on until a sample that is none, or that comes after a silence.
+    stop = np.append(np.flatnonzero(~breach | quiet), len(us))
+    begin = np.flatnonzero(breach & (quiet | np.append(not on, ~breach[:-1])))
+    end = stop[np.searchsorted(stop, begin, "right")]
+    starts = us[begin]
+    if on:
+        begin, end, starts = np.append(0, begin), np.append(stop[0], end), np.append(since, starts)
+    reached = np.maximum(np.searchsorted(us, starts + hold), begin)
+    fires = reached < end
+    told = {"pending": starts[int(on) :] if hold > 0 else us[:0]}
+    if on and fired:
+        told["firing"], fires[0] = us[reached[1:][fires[1:]]], True
+    else:
+        told["firing"] = us[reached[fires]]
+    over = end < len(us)
+    before = np.where(end > 0, us[end - 1], last)
+    ended = np.where(quiet[np.minimum(end, len(us) - 1)], before + stale, us[np.minimum(end, len(us) - 1)])
+    told["resolved"] = ended[over & fires]
+    is_on = len(over) > 0 and not over[-1]
+    return (int(starts[-1]) if is_on else -1, bool(is_on and fires[-1]), int(us[-1])), told
 
 
 class _Alerts(StatefulProcessor):
-    """Holds samples back until the watermark has passed them, so that order of arrival doesn't matter."""
+    """Holds samples back until the watermark has passed them, so that order of arrival doesn't matter: packed, a piece for each hour."""
 
     def __init__(self, holds: dict[str, int], stale: int):
         self.holds, self.stale = holds, stale
@@ -105,39 +115,76 @@ class _Alerts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", _STATE)
-        self.waiting = handle.getMapState("waiting", "ts long", "value double, breach boolean")
+        self.waiting = handle.getMapState("waiting", "hour long", "samples binary")
+
+    def _held(self, hour: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.waiting.getValue((hour,))[0]), _SAMPLE)
+
+    def _file(self, parts: list[np.ndarray]) -> None:
+        rows = _once(parts)
+        hours = rows["us"] // _HOUR
+        cuts = [0, *(np.flatnonzero(np.diff(hours)) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                hour, own = int(hours[a]), rows[a:b]
+                if self.waiting.containsKey((hour,)):
+                    own = _once([self._held(hour), own])
+                self.waiting.updateValue((hour,), (own.tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        parts, size = [], 0
         for part in rows:
-            for ts, value, breach in zip(part["us"].tolist(), part["value"].tolist(), part["breach"].tolist()):
-                if ts <= passed:
-                    continue
-                held = self.waiting.getValue((ts,)) if self.waiting.containsKey((ts,)) else None
-                if held is None or (value, breach) > (held[0], held[1]):
-                    self.waiting.updateValue((ts,), (value, breach))
-                first = ts if first is None else min(first, ts)
+            some = np.empty(len(part), _SAMPLE)
+            for name in _SAMPLE.names:
+                some[name] = part[name].to_numpy()
+            some = some[some["us"] > passed]
+            if not len(some):
+                continue
+            first = int(some["us"].min()) if first is None else min(first, int(some["us"].min()))
+            parts.append(some)
+            size += len(some)
+            if size >= _ROWS:
+                self._file(parts)
+                parts, size = [], 0
+        self._file(parts)
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((ts[0], x[1]) for ts, x in self.waiting.iterator())
-        due = [x for x in held if x[0] <= now]
-        for ts, _ in due:
-            self.waiting.removeKey((ts,))
-        if len(due) < len(held):
-            self.handle.registerTimer(-(-held[len(due)][0] // 1000))
-        state = self.state.get() if self.state.exists() else _NONE
-        state, said = advance(tuple(state), due, now, self.holds[key[0]], self.stale)
+        state = tuple(self.state.get()) if self.state.exists() else _NONE
+        said: list[tuple[str, np.ndarray]] = []
+        for hour in sorted(k[0] for k in self.waiting.keys()):
+            rows = self._held(hour)
+            due = rows[rows["us"] <= now]
+            state, told = advance(state, due["us"], due["breach"], self.holds[key[0]], self.stale)
+            said += told.items()
+            if len(due) == len(rows):
+                self.waiting.removeKey((hour,))
+            else:
+                self.handle.registerTimer(-(-int(rows["us"][len(due)]) // 1000))
+                if len(due):
+                    self.waiting.updateValue((hour,), (rows[len(due) :].tobytes(),))
+                break
+            if sum(len(t) for _, t in said) > _TOLD:
+                yield self._told(key, said)
+                said = []
+        if state[0] >= 0 and now - state[2] > self.stale:
+            said += [("resolved", np.array([state[2] + self.stale]))] if state[1] else []
+            state = _NONE
         if state[0] < 0:
             self.state.clear()
         else:
             self.state.update(state)
             self.handle.registerTimer((state[2] + self.stale) // 1000 + 1)
-        if said:
-            yield pd.DataFrame({"rule": key[0], "key": key[1], "us": [t for t, _ in said], "state": [s for _, s in said]})
+        if any(len(t) for _, t in said):
+            yield self._told(key, said)
+
+    def _told(self, key: tuple, said: list[tuple[str, np.ndarray]]) -> pd.DataFrame:
+        us = np.concatenate([t for _, t in said]).astype(np.int64)
+        return pd.DataFrame({"rule": key[0], "key": key[1], "us": us, "state": np.repeat([s for s, _ in said], [len(t) for _, t in said])})
 
     def close(self) -> None:
         pass

@@ -1,14 +1,17 @@
 """Tables in folders, long lists, repeated rows and many queries: what larger tables bring."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.operators import assets, graph_index, metrics, retrieval, search_vectors
 from spindrift.plans.catalog import ORACLE_SQL, QUERIES
 from spindrift.sources import vault
+from spindrift.streaming import alerts
 
 from .oracle import plain, spark_rows, sql_rows, views
 
@@ -132,3 +135,44 @@ def test_a_graph_is_built_and_searched_by_segments(spark, monkeypatch, tmp_path)
     want = {(r["query_id"], r["id"]) for r in retrieval.dense_topk(vectors, asked, 10).collect()}
     assert len(found) == 1000 and len({(r["query_id"], r["id"]) for r in found} & want) >= 900
     assert [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == "v0007"] == ["v0007", *(f"v{i}" for i in range(1000, 1009))]
+
+
+class _Kept:
+    """A value and a map of a stateful processor, which count how often they are called."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None,
+            "get": lambda: self.value,
+            "update": lambda v: self.__dict__.update(value=v),
+            "clear": lambda: self.__dict__.update(value=None),
+            "containsKey": lambda k: k in self.map,
+            "getValue": lambda k: self.map[k],
+            "updateValue": lambda k, v: self.map.update({k: v}),
+            "removeKey": lambda k: self.map.pop(k),
+            "keys": lambda: list(self.map),
+            "iterator": lambda: list(self.map.items()),
+            "getValueState": lambda *_: self,
+            "getMapState": lambda *_: self,
+            "registerTimer": lambda *_: None,
+        }[name]
+
+
+def test_a_series_waits_in_few_pieces():
+    """20,000 samples of six hours, in disorder: state is called by the hour, not by the sample, and a watermark in between loses nothing."""
+    us = np.random.default_rng(2).permutation(20_000) * 1_080_000
+    value = (us // 1_080_000 % 1000).astype(float)
+    rows = pd.DataFrame({"us": us, "value": value, "breach": value >= 100})
+    kept, at = _Kept(), lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    series = alerts._Alerts({"r": 60_000_000}, 30_000_000)
+    series.init(kept)
+    list(series.handleInputRows(("r", "k"), (rows[i : i + 3000] for i in range(0, 20_000, 3000)), at(0)))
+    out = pd.concat([p for ms in (9_000_500, 30_000_000) for p in series.handleExpiredTimer(("r", "k"), at(ms), None)])
+    assert kept.calls < 200 and not kept.map and kept.value is None
+    ends = [min(n, 20_000) for n in range(1000, 20_001, 1000)]
+    want = [("pending", (n - 900) * 1_080_000) for n in ends] + [("firing", (n - 900 + 56) * 1_080_000) for n in ends] + [("resolved", n * 1_080_000) for n in ends[:-1]] + [("resolved", 19_999 * 1_080_000 + 30_000_000)]
+    assert sorted(zip(out["state"], out["us"])) == sorted(want)
