@@ -75,6 +75,23 @@ def test_scores_of_many_queries_are_held_a_few_at_a_time():
     assert got["id"].to_pylist() == np.argsort(-(matrix @ x.T), axis=1, kind="stable")[:, :2].ravel().tolist()
 
 
+def test_a_block_bounds_what_is_kept_of_the_next():
+    """The k-th best of a block holds for later ones before anything is sorted; scores that aren't numbers are no hits, and take no place."""
+    rng = np.random.default_rng(4)
+    matrix, x = rng.standard_normal((40, 8)), rng.standard_normal((90, 8))
+    held = retrieval._Best(40, 5)
+    for at in (0, 30, 60):
+        held.meet(np.arange(40), np.arange(at, at + 30), matrix / 10 ** (at // 30), x[at : at + 30])
+    assert held.size < 2 * 40 * 5
+    x[3] = np.nan
+    held = retrieval._Best(40, 5)
+    for at in range(0, 90, 4):
+        held.meet(np.arange(40), np.arange(at, min(90, at + 4)), matrix, x[at : at + 4])
+    (got,) = held.batches(np.arange(40))
+    scores = np.nan_to_num(matrix @ x.T, nan=-np.inf)
+    assert got["id"].to_pylist() == np.argsort(-scores, axis=1, kind="stable")[:, :5].ravel().tolist()
+
+
 def test_queries_alike_are_searched_for_once_and_tasks_keep_their_best(spark, monkeypatch):
     put = []
     docs = spark.createDataFrame([(f"d{i:03d}", "river bank plans"[: 5 + i % 12], "the river " * (i % 5)) for i in range(300)], "id string, title string, text string").repartition(3)
