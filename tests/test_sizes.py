@@ -92,6 +92,13 @@ def test_a_block_bounds_what_is_kept_of_the_next():
     assert got["id"].to_pylist() == np.argsort(-scores, axis=1, kind="stable")[:, :5].ravel().tolist()
 
 
+def test_a_pool_and_what_extends_it_come_from_one_search(spark, sf_dir, monkeypatch):
+    real, calls = retrieval._dense_block, []
+    monkeypatch.setattr(retrieval, "_dense_block", lambda *a: calls.append(a) or real(*a))
+    assert spark_rows(QUERIES["pool_extend"](spark, sf_dir)) == sql_rows(views(sf_dir), ORACLE_SQL["pool_extend"])
+    assert len(calls) == 1
+
+
 def test_queries_alike_are_searched_for_once_and_tasks_keep_their_best(spark, monkeypatch):
     put = []
     docs = spark.createDataFrame([(f"d{i:03d}", "river bank plans"[: 5 + i % 12], "the river " * (i % 5)) for i in range(300)], "id string, title string, text string").repartition(3)
