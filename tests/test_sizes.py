@@ -99,6 +99,22 @@ def test_a_pool_and_what_extends_it_come_from_one_search(spark, sf_dir, monkeypa
     assert len(calls) == 1
 
 
+def test_a_pool_is_worked_out_once_for_its_texts(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pool = spark.createDataFrame([(q, i, 5 * i) for q in range(3) for i in range(4)], "query_id long, id long, chunk_id long").mapInArrow(through, "query_id long, id long, chunk_id long")
+    prompts = spark.createDataFrame([(i, f"t{i}", f"p{i}") for i in range(3)], "id long, title string, prompt_text string")
+    chunks = spark.createDataFrame([(0, "c0"), (10, "c10"), (99, "c99")], "chunk_id long, chunk_text string")
+    got = {(r["query_id"], r["id"], r["title"], r["matched_chunk_text"]) for r in retrieval.fill_text(pool, prompts, chunks).collect()}
+    assert got == {(q, i, f"t{i}", {0: "c0", 2: "c10"}.get(i)) for q in range(3) for i in range(3)}
+    assert seen.value == 12
+
+
 def test_queries_alike_are_searched_for_once_and_tasks_keep_their_best(spark, monkeypatch):
     put = []
     docs = spark.createDataFrame([(f"d{i:03d}", "river bank plans"[: 5 + i % 12], "the river " * (i % 5)) for i in range(300)], "id string, title string, text string").repartition(3)
