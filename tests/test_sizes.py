@@ -92,6 +92,22 @@ def test_a_block_bounds_what_is_kept_of_the_next():
     assert got["id"].to_pylist() == np.argsort(-scores, axis=1, kind="stable")[:, :5].ravel().tolist()
 
 
+def test_copies_of_a_vector_go_by_their_ids_wherever_they_lie():
+    """A matrix product adds up a vector in a small block another way than its copy in a large one."""
+    rng = np.random.default_rng(6)
+    once = rng.standard_normal((61, 64))
+    once /= np.linalg.norm(once, axis=1, keepdims=True)
+    x, names, queries = np.tile(once, (9, 1)), np.arange(549), np.arange(61)
+    order = np.argsort(-(once @ once.T - 9 * np.eye(61)), axis=1)  # a query's other vectors; its own copies come before them
+    for cuts in ((0, 549), (0, 300, 307, 320, 549), (0, 3, 20, 470, 549)):
+        held = retrieval._Best(61, 20)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            held.meet(queries, names[a:b], once, x[a:b], lambda some, a=a, b=b: some[:, None] == names[None, a:b])
+        (got,) = held.batches(queries)
+        for q, ids in enumerate(got["id"].to_numpy().reshape(61, 20).tolist()):
+            assert ids == [*range(q + 61, 549, 61), *range(order[q, 0], 549, 61), *range(order[q, 1], 183, 61)]
+
+
 def test_a_pool_and_what_extends_it_come_from_one_search(spark, sf_dir, monkeypatch):
     real, calls = retrieval._dense_block, []
     monkeypatch.setattr(retrieval, "_dense_block", lambda *a: calls.append(a) or real(*a))
