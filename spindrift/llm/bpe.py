@@ -4,11 +4,13 @@ Texts are split into the tokenizer's words inside Spark, the distinct words are
 encoded once each on the cluster, and a text's ids are its words' ids joined
 back by position. Decoding joins ids to pieces (their bytes) and glues them.
 
-The word table grows more slowly than the corpus, but it grows. Its bytes are
-counted before it goes anywhere: up to ``BROADCAST_BYTES`` it is broadcast as
-sorted hashes with offsets into the ids, and texts are encoded where they are,
-without a shuffle; a larger table is joined by a shuffled join on the words.
-Both give the same ids. The id-to-piece table has one row for each id of the vocabulary.
+The word table grows more slowly than the corpus, but it grows. It is broadcast
+as sorted hashes with offsets into the ids, and texts are encoded where they are,
+without a shuffle. Its bytes are counted first: of a table above ``BROADCAST_BYTES``
+the words that occur oftenest are broadcast, as many as fit, and a batch of texts encodes those of its
+distinct words that aren't among them, which make up few places: a word of one place
+costs no more there than in the table. Both give the same ids.
+The id-to-piece table has one row for each id of the vocabulary.
 
 The tokenizer file is read on the driver from the path given and sent along, so
 executors need no copy of it. It must be byte-level BPE with the usual splitting pattern.
@@ -28,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small, text_of
+from .common import cut, text_of
 
-#: Bytes of the word table (hashes, offsets and ids) up to which it is broadcast.
+#: Bytes of the word table (hashes, offsets and ids) that are broadcast at most.
 BROADCAST_BYTES = 128 << 20
 
 # Unicode's White_Space, spelled out: in Java \s is ASCII alone.
@@ -83,14 +85,15 @@ def _hash(word: Column) -> Column:
 
 
 def distinct_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """word, n: how often each different word occurs."""
     # outer: an inner explode would split each text twice, once for a filter on the number of its words that Spark infers
-    return docs.select(F.explode_outer(words(text_of(text_col), vocabulary.specials)).alias("word")).filter("word IS NOT NULL").distinct()
+    return docs.select(F.explode_outer(words(text_of(text_col), vocabulary.specials)).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """The encoded distinct words of all texts, written to the checkpoint folder.
 
-    A row holds some thousands of words: n, n_ids, and packed the words' hashes
+    A row holds the words of a batch that occur about as often: class (the power of two), n, n_ids, and packed the words' hashes
     (8 bytes each), how many ids each has (4 bytes) and the ids (2 bytes, 4 if
     the vocabulary needs them). That takes a quarter of the space of a row for each word.
     """
@@ -99,22 +102,47 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(source.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = [e.ids for e in own.encode_batch_fast(batch["word"].to_pylist(), add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
-            ids = np.fromiter((i for x in lists for i in x), width, int(sizes.sum()))
-            packed = [batch["hash"].to_numpy().tobytes(), sizes.tobytes(), ids.tobytes()]
-            yield pa.record_batch([pa.array([len(lists)]), pa.array([len(ids)]), *[pa.array([x], pa.binary()) for x in packed]], names=["n", "n_ids", "hashes", "sizes", "ids"])
+            often = batch["class"].to_numpy()
+            for k in np.unique(often):
+                some = batch.filter(pa.array(often == k))
+                lists = [e.ids for e in own.encode_batch_fast(some["word"].to_pylist(), add_special_tokens=False)]
+                sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
+                ids = np.fromiter((i for x in lists for i in x), width, int(sizes.sum()))
+                packed = [some["hash"].to_numpy().tobytes(), sizes.tobytes(), ids.tobytes()]
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([len(lists)]), pa.array([len(ids)]), *[pa.array([x], pa.binary()) for x in packed]], names=["class", "n", "n_ids", "hashes", "sizes", "ids"])
         del own
-        _tokenizer.cache_clear()  # the worker goes on to other tasks, which have no use for it
+        _tokenizer.cache_clear()  # the worker goes on to other tasks, which may have no use for it
 
     distinct = distinct_words(docs, vocabulary, text_col)
-    return cut(distinct.select("word", _hash(F.col("word")).alias("hash")).mapInArrow(encode, "n long, n_ids long, hashes binary, sizes binary, ids binary"))
+    often = F.floor(F.log2("n")).cast("int")
+    return cut(distinct.select("word", _hash(F.col("word")).alias("hash"), often.alias("class")).mapInArrow(encode, "class int, n long, n_ids long, hashes binary, sizes binary, ids binary"))
 
 
-def _packed(table: DataFrame, vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Hashes in order, where the ids of each begin and end, the ids, and the words whose hash isn't theirs alone."""
+def _fitting(table: DataFrame, vocabulary: Vocabulary, most: int) -> tuple[int, bool]:
+    """The least class of words that are broadcast, so that these take so many bytes at most, and whether that is all of them."""
+    held = {r["class"]: 12 * r["n"] + np.dtype(vocabulary.width).itemsize * r["n_ids"] for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids")).collect()}
+    total = 0
+    for k in sorted(held, reverse=True):
+        total += held[k]
+        if total > most:
+            return k + 1, False
+    return 0, True
+
+
+def _shared_hashes(table: DataFrame) -> np.ndarray:
+    """Hashes that two words or more have."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes in batch["hashes"].to_pylist():
+                yield pa.record_batch([pa.array(np.frombuffer(hashes, np.int64))], names=["hash"])
+
+    found = table.select("hashes").mapInArrow(unpack, "hash long").groupBy("hash").count().filter("count > 1")
+    return np.array([r["hash"] for r in found.collect()], np.int64).view(np.uint64)
+
+
+def _packed(table: DataFrame, vocabulary: Vocabulary, shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, where the ids of each begin and end, and the ids; without those hashes that words share, looked for here unless they are given."""
     # A partition at a time, and each array freed once the next is made: the driver holds the table about twice at most.
     parts: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
     for row in table.select("hashes", "sizes", "ids").toLocalIterator():
@@ -125,20 +153,19 @@ def _packed(table: DataFrame, vocabulary: Vocabulary, docs: DataFrame, text_col:
     parts[1].clear()
     order = np.argsort(hashes, kind="stable").astype(np.int32)
     hashes = hashes[order]
+    if shared is None:
+        shared = hashes[1:][hashes[1:] == hashes[:-1]]
     begin = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
     sizes = sizes[order]
     del order
+    if len(shared):
+        single = ~np.isin(hashes, shared)
+        hashes, begin, sizes = hashes[single], begin[single], sizes[single]
     flat = np.frombuffer(b"".join(parts[2]), vocabulary.width)
     parts[2].clear()
     ids = _gather(flat, begin, sizes)
     del flat, begin
-    shared = hashes[1:][hashes[1:] == hashes[:-1]].view(np.int64).tolist()
-    odd = {}
-    if shared:
-        own = _tokenizer(vocabulary.source)
-        for r in distinct_words(docs, vocabulary, text_col).filter(F.xxhash64("word").isin(shared)).collect():
-            odd[r.word] = np.array(own.encode(r.word, add_special_tokens=False).ids, vocabulary.width)
-    return hashes, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.uint32), ids, odd
+    return hashes, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.uint32), ids
 
 
 def _gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int = 1 << 17) -> np.ndarray:
@@ -162,39 +189,42 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
     it, but made in the same pass: a second one would need Python workers of its own.
 
     Null and empty texts have no ids. A special token's string in a text is that
-    token. Rows that repeat are encoded alike. The shuffled way tells rows apart
-    by id and text. Texts are encoded whole, however long, and an empty table gives no rows.
+    token. Rows that repeat are encoded alike, whatever their ids. Texts are encoded whole, however long, and an empty table gives no rows.
     """
-    vocabulary = Vocabulary(path)
+    context, vocabulary = docs.sparkSession.sparkContext, Vocabulary(path)
     table = word_table(docs, vocabulary, text_col)
-    n, n_ids = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    least, whole = _fitting(table, vocabulary, broadcast_bytes)
+    shared = None if whole else _shared_hashes(table)
     keep = [c for c in docs.columns if c not in (out, decoded)]
     pieces = words(text_of(text_col), vocabulary.specials)
-    if 12 * n + np.dtype(vocabulary.width).itemsize * n_ids > broadcast_bytes:
-        coded = _encode_shuffled(docs.select(*keep), pieces, table, vocabulary, text_col, id_col, out)
-        return decode(coded, path, out, decoded) if decoded else coded
     piece_table = _piece_table(vocabulary) if decoded else None
-    packed = docs.sparkSession.sparkContext.broadcast((*_packed(table, vocabulary, docs, text_col), piece_table))
+    packed, source = context.broadcast((*_packed(table.filter(F.col("class") >= least), vocabulary, shared), piece_table)), context.broadcast(vocabulary.source)
 
     def join(lists: pa.Array) -> pa.Array:
-        hashes, starts, flat, odd, _ = packed.value
+        hashes, starts, flat, _ = packed.value
         if not len(lists.flatten()):
             return pa.array([[]] * len(lists), pa.list_(pa.int32()))
         coded = lists.flatten().dictionary_encode()
         own = coded.dictionary.to_pylist()
         found = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
         at = np.searchsorted(hashes, found)
-        if (hashes[np.minimum(at, len(hashes) - 1)] != found).any():
-            raise ValueError("a word of a text isn't in the word table: did the texts change in between?")
-        begin = starts[at].astype(np.int64)
-        length = starts[at + 1] - begin
-        extra = [(i, odd[w]) for i, w in enumerate(own) if w in odd] if odd else []
-        for i, ids in extra:
-            begin[i], length[i], flat = len(flat), len(ids), np.concatenate([flat, ids])
+        known = at < len(hashes)
+        known[known] = hashes[at[known]] == found[known]
+        begin = starts[at[known]].astype(np.int64)
+        length = np.empty(len(own), np.int64)
+        length[known] = starts[at[known] + 1] - begin
+        ids = _gather(flat, begin, length[known])
+        # words that the table doesn't have, or whose hash isn't theirs alone
+        if len(other := np.flatnonzero(~known)):
+            more = [e.ids for e in _tokenizer(source.value).encode_batch_fast([own[i] for i in other], add_special_tokens=False)]
+            length[other] = [len(x) for x in more]
+            ids = np.concatenate([ids, np.array([i for x in more for i in x], flat.dtype)])
+        order = np.concatenate([np.flatnonzero(known), other])
+        begin = np.empty(len(own), np.int64)
+        begin[order] = np.cumsum(length[order]) - length[order]
         index = coded.indices.to_numpy()
         ends = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
-        length = length[index]
-        ids = _gather(flat, begin[index], length).astype(np.int32)
+        ids, length = _gather(ids, begin[index], length[index]).astype(np.int32), length[index]
         return pa.ListArray.from_arrays(pa.array(_offsets(ends, length).astype(np.int32)), pa.array(ids))
 
     if not decoded:
@@ -208,46 +238,6 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
     return docs.select(*keep, both(pieces).alias("__bpe")).select(*keep, F.col("__bpe.ids").alias(out), F.col("__bpe.text").alias(decoded))
 
 
-def _encode_shuffled(docs: DataFrame, pieces: Column, table: DataFrame, vocabulary: Vocabulary, text_col: str, id_col: str, out: str) -> DataFrame:
-    """The same by joins alone, on the words' hashes.
-
-    Both sides are dealt by the join itself, so frequent words are skew that
-    adaptive execution splits. Two words may share a hash, which at a billion words
-    is one chance in forty: the words of such hashes are encoded again and joined by hash and word.
-    """
-    source, width = docs.sparkSession.sparkContext.broadcast(vocabulary.source), vocabulary.width
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for hashes, sizes, ids in zip(batch["hashes"].to_pylist(), batch["sizes"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, width).astype(np.int32)))
-                yield pa.record_batch([pa.array(np.frombuffer(hashes, np.int64)), lists], names=["hash", "ids"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(source.value)
-        for batch in batches:
-            lists = [e.ids for e in own.encode_batch_fast(batch["word"].to_pylist(), add_special_tokens=False)]
-            yield pa.record_batch([batch["hash"], batch["word"], pa.array(lists, pa.list_(pa.int32()))], names=["hash", "word", "ids"])
-
-    single = cut(table.mapInArrow(unpack, "hash long, ids array<int>").groupBy("hash").agg(F.first("ids").alias("ids"), F.count("*").alias("n")))
-    shared = cut(single.filter("n > 1").select("hash"))
-    key = row_key(id_col, text_col)
-    rows = docs.select(*key, F.posexplode(pieces).alias("at", "word")).withColumn("hash", _hash(F.col("word")))
-    known = single.filter("n = 1").select("hash", F.lit("").alias("odd"), "ids")
-    if shared.isEmpty():
-        rows = rows.withColumn("odd", F.lit(""))
-    else:
-        words_of = distinct_words(docs, vocabulary, text_col).select("word", _hash(F.col("word")).alias("hash")).join(small(shared), "hash", "left_semi")
-        told = words_of.select("hash", "word").mapInArrow(again, "hash long, word string, ids array<int>")
-        known = known.unionByName(told.select("hash", F.col("word").alias("odd"), "ids"))
-        marked = shared.withColumn("__shared", F.lit(True))
-        rows = rows.join(small(marked), "hash", "left").withColumn("odd", F.when(F.col("__shared"), F.col("word")).otherwise(F.lit("")))
-    joined = rows.select("__id", "__text", "at", "hash", "odd").join(known, ["hash", "odd"]).groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("parts"))
-    ids = F.coalesce(F.flatten(F.transform("parts", lambda x: x["ids"])), F.array().cast("array<int>"))
-    return docs.select("*", *key).join(joined, ["__id", "__text"], "left").select(*docs.columns, ids.alias(out))
-
-
 def _piece_table(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pieces' bytes, where each id's begin, and how many they are."""
     length = np.array([len(p) for p in vocabulary.pieces], np.int64)

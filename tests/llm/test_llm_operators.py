@@ -327,6 +327,26 @@ def test_words_that_share_a_hash(spark, monkeypatch):
         assert r["ids"] == own.encode(r["text"] or "", add_special_tokens=False).ids
 
 
+def test_a_word_table_above_the_bound_moves_no_positions(spark, monkeypatch):
+    """Frequent words come from the table, the others are encoded where they are: no row for each word of each text."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(spark)
+    own = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate([*TEXTS, *ODD, *(f" often again number{i * 7919}" for i in range(40)), "apart"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # a word of the table has the hash of one that isn't in it
+    monkeypatch.setattr(bpe, "_hash", lambda word: F.xxhash64(F.when(word == " again", "apart").otherwise(word)))
+    table = bpe.word_table(df, bpe.Vocabulary(path))
+    held = {r["class"]: (r["n"], r["n_ids"]) for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids")).collect()}
+    bound = sum(12 * n + 2 * m for k, (n, m) in held.items() if k >= 3)
+    assert 0 in held and max(held) > 3 and bpe._fitting(table, bpe.Vocabulary(path), bound) == (3, False)
+    coded = bpe.encode(df, path, broadcast_bytes=bound)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
+    assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {i: own.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+
+
 def test_bytes_that_are_not_text(spark):
     path = queries.tokenizer_path(spark)
     half = spark.createDataFrame([([222],), (None,)], "ids array<int>")
