@@ -5,6 +5,10 @@ Every relation names its key columns, and "now" is always an argument.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +133,39 @@ def remove_step(steps: Column, at: int) -> Column:
     return F.filter(steps, lambda _, i: i != at - 1)
 
 
+def _in_order(rows: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """key, part, at, values: the values of each key in the order of by, which begins with the key, a batch of them in a row; part and at are the order of these."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, batch in enumerate(batches):
+            if batch.num_rows:
+                named = batch["key"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+                first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]])).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows).astype(np.int32)), batch["value"])
+                yield pa.record_batch([batch["key"].take(first), batch["part"].take(first), pa.array(np.full(len(first), at, np.int64)), values], names=["key", "part", "at", "values"])
+
+    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(F.col(key).alias("key"), F.spark_partition_id().alias("part"), F.col(value).alias("value"))
+    return sorted_rows.mapInArrow(runs, f"key {kinds[key]}, part int, at long, values array<{kinds[value]}>")
+
+
 def promote(chain: DataFrame, prompts: DataFrame, versions: DataFrame) -> DataFrame:
-    """tag, version, steps, domain, content_hash: a skill from rows (tag, ord, id), with the union of its prompts' domains and the next version of its tag."""
+    """tag, version, steps, steps_text, domain, content_hash: a skill from rows (tag, ord, id), with the union of its prompts' domains and the next version of its tag.
+
+    steps_text is the ids joined by commas. A skill's steps are put in order over all tasks and come together as long
+    pieces, so that the one task that puts out a skill holds little more than what it puts out.
+    """
     joined = chain.join(prompts.select("id", "domain"), "id", "left")
-    made = joined.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("domain", F.array().cast("array<string>")))))).alias("domain"))
+    pieces = _in_order(joined.select("tag", "ord", "id"), ["tag", "ord", "id"], "tag", "id")
+    text = F.concat_ws(",", F.transform("values", lambda x: x.cast("string")))
+    told = pieces.withColumn("text", F.when(F.exists("values", lambda x: x.isNotNull()), text))
+    ordered = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("part", "at", name))), lambda x: x[name])
+    made = told.groupBy(F.col("key").alias("tag")).agg(F.flatten(ordered("values")).alias("steps"), F.array_join(ordered("text"), ",").alias("steps_text"))
+    parts = joined.select("tag", F.explode("domain").alias("domain")).distinct()
+    domains = parts.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("domain").isNull().alias("none"), "domain"))), lambda x: x["domain"]).alias("domain"))
     last = versions.groupBy("tag").agg(F.max("version").alias("last"))
-    ids = F.transform("s", lambda x: x["id"])
-    return made.join(last, "tag", "left").select("tag", (F.coalesce("last", F.lit(0)) + 1).alias("version"), ids.alias("steps"), "domain", X.content_hash(F.concat_ws(",", F.transform(ids, lambda x: x.cast("string")))).alias("content_hash"))
+    whole = made.join(domains.withColumnRenamed("tag", "__tag"), F.col("tag").eqNullSafe(F.col("__tag")), "left").join(last, "tag", "left")
+    return whole.select("tag", (F.coalesce("last", F.lit(0)) + 1).alias("version"), "steps", "steps_text", F.coalesce("domain", F.array().cast("array<string>")).alias("domain"), X.content_hash("steps_text").alias("content_hash"))
 
 
 def pending(prompts: DataFrame, status_col: str = "backfill_status", at: str = "last_updated") -> DataFrame:

@@ -404,7 +404,7 @@ def _promote(spark: SparkSession, d: str, steps: DataFrame) -> DataFrame:
     chain = steps.select(F.concat(F.lit("tag"), F.col("skill_id") % 50).alias("tag"), F.struct("skill_id", "id").alias("ord"), "id").join(part.select("id"), "id", "left_semi")
     versions = spark.range(50).filter("id % 2 = 0").select(F.concat(F.lit("tag"), F.col("id")).alias("tag"), F.lit(3).alias("version"))
     out = lifecycle.promote(chain, part, versions)
-    return out.select("tag", "version", F.array_join("steps", ",").alias("steps"), F.array_join("domain", ",").alias("domain"), "content_hash")
+    return out.select("tag", "version", F.col("steps_text").alias("steps"), F.array_join("domain", ",").alias("domain"), "content_hash")
 
 
 @query(_PROMOTE)

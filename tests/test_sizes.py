@@ -232,3 +232,25 @@ def test_a_series_waits_in_few_pieces():
     ends = [min(n, 20_000) for n in range(1000, 20_001, 1000)]
     want = [("pending", (n - 900) * 1_080_000) for n in ends] + [("firing", (n - 900 + 56) * 1_080_000) for n in ends] + [("resolved", n * 1_080_000) for n in ends[:-1]] + [("resolved", 19_999 * 1_080_000 + 30_000_000)]
     assert sorted(zip(out["state"], out["us"])) == sorted(want)
+
+
+def test_a_skill_s_steps_come_together_in_pieces(spark, monkeypatch):
+    """Steps are put in order by many tasks, a few thousand at a time; what a skill's task gathers is pieces, not steps."""
+    from spindrift.operators import lifecycle
+
+    n = 60_000
+    chain = spark.range(n).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("tag"), (F.col("id") * 7919 % n).alias("ord"), (F.col("id") % 500).alias("id"))
+    prompts = spark.range(400).select("id", F.array(F.concat(F.lit("d"), F.col("id") % 4), F.lit("all")).alias("domain"))
+    versions = spark.createDataFrame([("a", 3), ("a", 5)], "tag string, version int")
+    want: dict = {}
+    for r in chain.collect():
+        want.setdefault(r["tag"], []).append((r["ord"], r["id"]))
+    out = lifecycle.promote(chain, prompts, versions)
+    got = {r["tag"]: r for r in out.collect()}
+    assert set(got) == set(want) == {"a", "b", None}
+    for tag, steps in want.items():
+        ids = [i for _, i in sorted(steps)]
+        assert got[tag]["steps"] == ids and got[tag]["steps_text"] == ",".join(map(str, ids)) and got[tag]["domain"] == ["all", "d0", "d1", "d2", "d3"]
+        assert got[tag]["version"] == (6 if tag == "a" else 1)
+    pieces = lifecycle._in_order(chain, ["tag", "ord", "id"], "tag", "id").collect()
+    assert sum(len(r["values"]) for r in pieces) == n and max(len(r["values"]) for r in pieces) <= 10_000 and len(pieces) > 5
