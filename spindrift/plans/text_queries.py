@@ -446,7 +446,7 @@ def similarity_ratio(spark, d):
 
 @query()
 def analyze_text(spark, d):
-    return retrieval.lexeme_postings(W.prompts(spark, d), {"title": "A", "prompt_text": "D"}).groupBy("lexeme", "weight").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
+    return retrieval.lexeme_counts(W.prompts(spark, d), {"title": "A", "prompt_text": "D"})
 
 
 @query("""SELECT doc_id AS title, fault FROM (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['no body', 'repeated key: domain'] WHEN 1 THEN ['front matter without an end'] WHEN 2 THEN ['repeated key: domain', 'repeated key: task_type'] ELSE [] END) AS fault FROM documents WHERE trim(text, E' \\n') <> '')""")

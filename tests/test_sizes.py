@@ -254,3 +254,19 @@ def test_a_skill_s_steps_come_together_in_pieces(spark, monkeypatch):
         assert got[tag]["version"] == (6 if tag == "a" else 1)
     pieces = lifecycle._in_order(chain, ["tag", "ord", "id"], "tag", "id").collect()
     assert sum(len(r["values"]) for r in pieces) == n and max(len(r["values"]) for r in pieces) <= 10_000 and len(pieces) > 5
+
+
+def test_lexemes_are_summed_where_they_are_read(spark, monkeypatch):
+    """A task puts out sums, not places; ids that repeat, or are null, are still told apart."""
+    monkeypatch.setattr(retrieval, "_HITS", 50)
+    rows = [(i, f"plans word{i % 40}", f"the plan of {i % 7} rivers " * 5) for i in range(600)]
+    rows += [(5, "plans again", None), (5, None, "plan"), (None, "nobody s plan", "river"), (None, None, "river")]
+    docs = spark.createDataFrame(rows, "id long, title string, text string").repartition(3)
+    fields = {"title": "A", "text": "D"}
+    places = retrieval.lexeme_postings(docs, fields)
+    want = {(r["lexeme"], r["weight"]): (r["n"], r["docs"]) for r in places.groupBy("lexeme", "weight").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs")).collect()}
+    counted = retrieval.lexeme_counts(docs, fields)
+    assert {(r["lexeme"], r["weight"]): (r["n"], r["docs"]) for r in counted.collect()} == want and want["plan", 0.1][1] == 600
+    once = docs.filter("id IS NOT NULL AND id <> 5")
+    plan = retrieval.lexeme_counts(once, fields)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan and "Join" not in plan
