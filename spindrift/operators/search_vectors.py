@@ -12,8 +12,11 @@ lower case as they are). Text is taken in fields of weight A to D, in order of p
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from . import retrieval as R
 #: Folders that postings are filed in.
 BUCKETS = 64
 _ROW = ("id", "lexeme", "places", "weights", "n_lexemes")
+#: The weights that places have.
+_WEIGHTS = sorted(V.TSVECTOR_WEIGHTS.values())
 
 
 def vectors(docs: DataFrame, fields: dict[str, str], config: str = "english", id_col: str = "id") -> DataFrame:
@@ -88,9 +93,9 @@ def segments(spark: SparkSession, path: str) -> list[int]:
 
 
 def _write(rows: DataFrame, path: str, number: int) -> None:
-    """rows as ``vectors`` gives them. A bucket that is crowded in one segment is written by more than one task."""
+    """rows as ``vectors`` gives them, filed by the tasks that make them: a bucket has a file of each task, and no posting is shuffled."""
     at = f"{path}/seg-{number:06d}"
-    rows.select(*_ROW).withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+    rows.select(*_ROW).withColumn("bucket", _bucket()).sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
     # the ids are read from what was written, so that rows are neither worked out twice nor written twice
     kind = rows.schema["id"].dataType.simpleString()
     rows.sparkSession.read.schema(f"id {kind}").parquet(f"{at}/postings").select("id").distinct().write.mode("overwrite").parquet(f"{at}/rows")
@@ -108,25 +113,34 @@ def delete(ids: DataFrame, path: str) -> None:
     write(ids.select("id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]), path)
 
 
-def read(spark: SparkSession, path: str, lexemes: list[str] | None = None) -> DataFrame:
-    """id, lexeme, places, weights, n_lexemes as they stand now; with lexemes, of these alone: only their buckets' files are opened."""
+def _segments(spark: SparkSession, path: str, lexemes: list[str] | None = None) -> list[tuple[int, DataFrame, DataFrame]]:
+    """The segments, the newest first: number, postings, ids that it speaks for."""
     there = segments(spark, path)
     if not there:
         raise ValueError(f"no search vectors at {path}")
     buckets = None
     if lexemes is not None:
         buckets = sorted({r[0] for r in spark.createDataFrame([(x,) for x in lexemes], "lexeme string").select(_bucket()).collect()})
-    parts, newer = [], None
+    out = []
     for number in reversed(there):
         at = f"{path}/seg-{number:06d}"
-        own = spark.read.schema("id " + dict(spark.read.parquet(f"{at}/rows").dtypes)["id"] + ", lexeme string, places array<int>, weights array<double>, n_lexemes int, bucket int").parquet(f"{at}/postings").filter("lexeme IS NOT NULL")
+        ids = spark.read.parquet(f"{at}/rows")
+        own = spark.read.schema("id " + dict(ids.dtypes)["id"] + ", lexeme string, places array<int>, weights array<double>, n_lexemes int, bucket int").parquet(f"{at}/postings").filter("lexeme IS NOT NULL")
         if buckets is not None:
             own = own.filter(F.col("bucket").isin(buckets) & F.col("lexeme").isin(lexemes))
-        own = own.select(*_ROW)
+        out.append((number, own.select(*_ROW), ids))
+    return out
+
+
+def read(spark: SparkSession, path: str, lexemes: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """id, lexeme, places, weights, n_lexemes as they stand now; with lexemes, of these alone: only their buckets' files are opened; with ids (id), few enough to be broadcast, of these rows alone."""
+    parts, newer = [], None
+    for _, own, spoken in _segments(spark, path, lexemes):
+        if ids is not None:
+            own, spoken = (x.join(F.broadcast(ids), "id", "left_semi") for x in (own, spoken))
         if newer is not None:
             own = own.join(R.bounded(newer), "id", "left_anti")
-        ids = spark.read.parquet(f"{at}/rows")
-        newer = ids if newer is None else newer.unionByName(ids).distinct()
+        newer = spoken if newer is None else newer.unionByName(spoken).distinct()
         parts.append(own)
     return reduce(DataFrame.unionByName, parts)
 
@@ -144,18 +158,49 @@ def put_before(rows: DataFrame, path: str, text_col: str, weight: str = "B", con
     """Puts a text's lexemes in front of the stored vectors of its rows (id, text), whose places move on by as many words as the text has.
 
     The same as building the vectors anew with the text as first field. Ids without stored vectors get those of the text alone.
+    The rows are worked through in blocks whose lexemes can be broadcast, so that stored postings move where they are read; a block is a segment.
     """
-    spark = rows.sparkSession
     fresh = settled(vectors(rows, {text_col: weight}, config))
+    n, ids = fresh.count(), fresh.select("id").distinct().count()
+    blocks = max(1, -(-10 * min(n, 4 * ids) // (9 * R.BROADCAST_ROWS)))  # short texts by their lexemes, long ones by four a row
+    for i in range(blocks):
+        _put_block(fresh.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else fresh, path)
+
+
+def _put_block(fresh: DataFrame, path: str) -> None:
+    spark = fresh.sparkSession
+    size = fresh.groupBy("id").agg(F.max("n_places").alias("by"), F.max("n_lexemes").alias("more"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("told"))
+    held = read(spark, path, ids=size.select("id")).groupBy("id").agg(F.max("n_lexemes").alias("had"), F.sum(F.size("places")).alias("held"))
+    # a document's lexemes have as many places as it says; more are those of rows that share an id
+    sized = settled(size.join(held, "id", "left").select("id", "by", (F.coalesce("had", F.lit(0)) + F.col("more")).alias("n_lexemes"), ((F.col("told") > F.col("more")) | F.coalesce(F.col("held") > F.col("had"), F.lit(False))).alias("shared")))
+    front = fresh.filter("lexeme IS NOT NULL").select("id", "lexeme", "places", "weights")
+    if front.limit(R.BROADCAST_ROWS + 1).count() > R.BROADCAST_ROWS:
+        return write(_grouped(fresh, path, size.select("id")), path)
+    single, shared = (F.broadcast(sized.filter(x).select("id", "by", "n_lexemes")) for x in ("NOT shared", "shared"))
+    put = front.join(single, "id").select("id", "lexeme", F.col("places").alias("fp"), F.col("weights").alias("fw"), F.col("n_lexemes").alias("n"))
+    few = [r[0] for r in front.select("lexeme").distinct().limit(_FEW + 1).collect()]
+    met = settled(read(spark, path, few if len(few) <= _FEW else None, single.select("id")).select("id", "lexeme").join(F.broadcast(put.select("id", "lexeme")), ["id", "lexeme"], "left_semi"))
+    moved = read(spark, path, ids=single.select("id")).drop("n_lexemes").join(single, "id").join(F.broadcast(put.drop("n")), ["id", "lexeme"], "left")
+    after = lambda name, own: F.when(F.col(name).isNull(), own).otherwise(F.concat(name, own))
+    out = moved.select("id", "lexeme", after("fp", F.expr("transform(places, p -> p + by)")).alias("places"), after("fw", F.col("weights")).alias("weights"), "n_lexemes")
+    out = out.unionByName(put.join(met, ["id", "lexeme"], "left_anti").select("id", "lexeme", F.col("fp").alias("places"), F.col("fw").alias("weights"), F.col("n").alias("n_lexemes")))
+    none = single.filter("n_lexemes = 0").select("id", F.lit(None).cast("string").alias("lexeme"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<double>").alias("weights"), "n_lexemes")
+    out = out.unionByName(none)
+    if not sized.filter("shared").isEmpty():
+        out = out.unionByName(_grouped(fresh.join(shared.select("id"), "id", "left_semi"), path, shared.select("id")))
+    write(out, path)
+
+
+def _grouped(fresh: DataFrame, path: str, ids: DataFrame) -> DataFrame:
+    """The rows after fresh vectors were put before, by gathering all of a lexeme: for ids that rows share, and texts too long to be broadcast."""
     size = fresh.select("id", F.col("n_places").alias("by"), F.col("n_lexemes").alias("more")).distinct()
-    old = read(spark, path).join(R.bounded(size), "id")
+    old = read(fresh.sparkSession, path, ids=ids).join(R.bounded(size), "id")
     moved = old.select("id", "lexeme", F.expr("transform(places, p -> p + by)").alias("places"), "weights", F.col("n_lexemes").alias("n"))
     both = fresh.filter("lexeme IS NOT NULL").select("id", "lexeme", "places", "weights", F.lit(0).alias("n")).unionByName(moved)
     one = both.groupBy("id", "lexeme").agg(F.sort_array(F.collect_list(F.struct("places", "weights"))).alias("x"), F.max("n").alias("n"))
     total = both.groupBy("id").agg(F.max("n").alias("had"))
     sized = size.join(total, "id", "left").select("id", (F.coalesce("had", F.lit(0)) + F.col("more")).alias("n_lexemes"))
-    joined = sized.join(one, "id", "left")
-    write(joined.select("id", "lexeme", F.expr("flatten(x.places)").alias("places"), F.expr("flatten(x.weights)").alias("weights"), "n_lexemes"), path)
+    return sized.join(one, "id", "left").select("id", "lexeme", F.expr("flatten(x.places)").alias("places"), F.expr("flatten(x.weights)").alias("weights"), "n_lexemes")
 
 
 def query_words(queries: DataFrame, config: str = "english") -> DataFrame:
@@ -173,12 +218,85 @@ def query_words(queries: DataFrame, config: str = "english") -> DataFrame:
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = V.CANDIDATES, config: str = "english") -> DataFrame:
     """query_id, id, score, rank from the stored vectors: what ``retrieval.sparse_search`` finds in the texts.
 
-    While the queries' lexemes are few, only their buckets are read; else the postings meet them by a shuffled join.
+    While the queries' lexemes are few, only their buckets are read. Their postings go to the task of their row once, however many queries
+    ask for them, and a task puts out its k best of each query. More terms than can be broadcast meet the postings by a shuffled join.
     """
     wanted = query_words(queries, config)
-    few = [r[0] for r in wanted.select("lexeme").distinct().limit(R.BROADCAST_ROWS + 1).collect()]
-    stored = read(spark, path, few if len(few) <= _FEW else None)
-    return R.top(R.cover_density(stored.join(R.bounded(wanted), "lexeme")), k)
+    rows = wanted.limit(R.BROADCAST_ROWS + 1).collect()
+    lexemes = list(dict.fromkeys(r["lexeme"] for r in rows))
+    few = lexemes if len(lexemes) <= _FEW else None
+    if len(rows) > R.BROADCAST_ROWS:
+        return R.top(R.cover_density(read(spark, path).join(wanted, "lexeme")), k)
+    number = F.broadcast(spark.createDataFrame(list(enumerate(lexemes)), "at int, lexeme string"))
+    # a place and its weight are one number on the way
+    which = lambda w: F.array_position(F.lit(_WEIGHTS), w).cast("int")
+    marks = F.zip_with("places", "weights", lambda p, w: F.when(which(w) > 0, p * len(_WEIGHTS) + which(w) - 1).otherwise(F.raise_error(F.lit("no such weight"))))
+    parts = []
+    for segment, own, ids in _segments(spark, path, few):
+        parts.append(own.join(number, "lexeme").select("id", F.lit(segment).alias("segment"), "at", marks.alias("marks"), "n_lexemes"))
+        parts.append(ids.select("id", F.lit(segment).alias("segment"), F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("marks"), F.lit(0).alias("n_lexemes")))
+    stored = reduce(DataFrame.unionByName, parts[:-1])  # the oldest segment replaces nothing
+    return R.top(_scored(stored, rows, {x: i for i, x in enumerate(lexemes)}, wanted.schema["query_id"].dataType.simpleString(), k), k)
+
+
+def _scored(stored: DataFrame, wanted: list, number: dict[str, int], kind: str, k: int) -> DataFrame:
+    """query_id, id, score by cover density. stored: id, segment, at (the lexeme's number, -1 where the segment but speaks for the id), marks, n_lexemes; of an id the newest segment counts."""
+    ids = list(dict.fromkeys(r["query_id"] for r in wanted))
+    of = {q: i for i, q in enumerate(ids)}
+    asked: dict[int, list[int]] = {}
+    for q, at in dict.fromkeys((of[r["query_id"]], number[r["lexeme"]]) for r in wanted):
+        asked.setdefault(at, []).append(q)
+    shared = stored.sparkSession.sparkContext.broadcast((asked, ids))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, ids = shared.value
+        best = R._Best(len(ids), k)
+        query, name, value = [], [], []
+
+        def told(row, n: int, hits: list[tuple[int, int]]) -> None:
+            covers: dict[int, list[float]] = {}  # by query: weights, covers, inverse gaps, the last place
+            for mark, at in sorted(hits):
+                place, weight = mark // len(_WEIGHTS), _WEIGHTS[mark % len(_WEIGHTS)]
+                for q in asked[at]:
+                    c = covers.get(q)
+                    if c is None:
+                        covers[q] = [weight, 1, 0.0, place]
+                    else:
+                        c[0] += weight
+                        c[1] += 1
+                        if place > c[3]:
+                            c[2] += 1 / (place - c[3])
+                        c[3] = place
+            for q, (w, many, gaps, _) in covers.items():
+                r = w / math.log(n + 1.0)
+                r = r * gaps / many if gaps else r
+                query.append(q)
+                name.append(row)
+                value.append(round(r / (r + 1), 12))
+
+        def put(type_: pa.DataType) -> None:
+            best.put(np.array(query, np.int64), pa.array(name, type_).to_numpy(zero_copy_only=False), np.array(value, np.float64))
+            for x in (query, name, value):
+                x.clear()
+
+        row, newest, n, hits = None, None, 0, []
+        for batch in batches:
+            for own, segment, at, marks, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != row or newest is None:
+                    told(row, n, hits)
+                    row, newest, hits = own, segment, []
+                if at >= 0 and (segment == newest or own is None):
+                    n = size
+                    hits.extend((mark, at) for mark in marks)
+            if len(query) >= R._HITS:
+                put(batch.schema.field(0).type)
+        told(row, n, hits)
+        if newest is not None:
+            put(batch.schema.field(0).type)
+        yield from best.batches(pa.array(ids).to_numpy(zero_copy_only=False))
+
+    own_kind = dict(stored.dtypes)["id"]
+    return stored.repartition("id").sortWithinPartitions("id", F.desc("segment")).mapInArrow(score, f"query_id {kind}, id {own_kind}, score double")
 
 
 #: Lexemes up to which a search names them in the scan's filter.

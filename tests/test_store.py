@@ -90,6 +90,40 @@ def test_only_the_buckets_asked_for_are_read(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("most", [500_000, 40, 8])
+def test_summaries_go_in_front_block_by_block(spark, tmp_path, monkeypatch, most):
+    """Whatever can be broadcast, the vectors equal a rebuild; rows that share an id stay together as before."""
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", most)
+    path, rows = str(tmp_path / "v"), docs_of(9, 40)
+    search_vectors.write(search_vectors.vectors(frame(spark, [*rows, (100, "river", "of"), (100, "river plan", "the")]), FIELDS), path)
+    search_vectors.write(search_vectors.vectors(frame(spark, [r for r in rows if r[0] % 3 == 0]), FIELDS), path)
+    told = {k: "the data of a plan" if k % 4 else "" for k in range(0, 50, 2)}
+    search_vectors.put_before(spark.createDataFrame([*told.items(), (100, "plan")], "id long, summary string"), path, "summary")
+    assert len(search_vectors.segments(spark, path)) == 3 if most > 40 else len(search_vectors.segments(spark, path)) > 3
+    both = spark.createDataFrame([(k, told.get(k), t, x) for k, t, x in rows] + [(k, s, None, None) for k, s in told.items() if k >= 40], "id long, summary string, title string, text string")
+    got = held(search_vectors.read(spark, path))
+    assert [x for x in got if x[0] != 100] == built(spark, both, fields={"summary": "B", **FIELDS})
+    assert [(x[1], x[2]) for x in got if x[0] == 100] == [("plan", (1, 3)), ("river", (2, 2))]
+
+
+def test_postings_are_written_in_place_and_searched_by_one_shuffle(spark, tmp_path):
+    """A task files what it makes; a search moves a posting once, not once for each query that asks for it."""
+    path, rows = str(tmp_path / "v"), docs_of(10, 90)
+    search_vectors.write(search_vectors.vectors(frame(spark, rows).repartition(3), FIELDS), path)
+    search_vectors.write(search_vectors.vectors(frame(spark, [(k, "plan", None) for k in range(0, 90, 9)]), FIELDS), path)
+    search_vectors.delete(spark.createDataFrame([(1,), (18,)], "id long"), path)
+    files = [len(list(b.glob("*.parquet"))) for b in (tmp_path / "v/seg-000000/postings").iterdir() if b.is_dir()]
+    assert max(files) == 3
+    asked = spark.createDataFrame([(q, f"plan river {WORDS[q % len(WORDS)]} bank") for q in range(30)] + [(30, None), (31, "nowhere")], "query_id long, query string")
+    found = search_vectors.search(spark, path, asked, 15)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "hashpartitioning(id#" in plan and "hashpartitioning(query_id#" in plan and plan.count("Exchange hashpartitioning") == 2
+    now = {r[0]: r for r in [*rows, *((k, "plan", None) for k in range(0, 90, 9))] if r[0] not in (1, 18)}
+    want = retrieval.sparse_search(frame(spark, list(now.values())), asked, FIELDS, 15)
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found.collect()) == sorted((r["query_id"], r["rank"], r["id"]) for r in want.collect())
+    assert search_vectors.search(spark, path, asked.filter("query_id = 30"), 15).collect() == []
+
+
 def test_an_unfinished_segment_is_not_read(spark, tmp_path):
     path, rows = str(tmp_path / "v"), frame(spark, docs_of(6, 10))
     search_vectors.write(search_vectors.vectors(rows, FIELDS), path)
